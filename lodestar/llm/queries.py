@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from lodestar.llm.simhash import op8_simhash_near_dedup
+from lodestar.llm.syncmers import op10_document_fingerprints
 
 QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op10_document_fingerprints": op10_document_fingerprints,
 }
 ORACLES: dict[str, str] = {}
