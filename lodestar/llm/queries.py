@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from lodestar.llm.langid import op6_language_id
 from lodestar.llm.simhash import op8_simhash_near_dedup
 from lodestar.llm.syncmers import op10_document_fingerprints
 
 QUERIES = {
+    "op6_language_id": op6_language_id,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
