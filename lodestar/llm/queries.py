@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from lodestar.llm.hmm import op2_hmm_language_model
 from lodestar.llm.langid import op6_language_id
+from lodestar.llm.pii import op4_pii_spans
 from lodestar.llm.simhash import op8_simhash_near_dedup
 from lodestar.llm.syncmers import op10_document_fingerprints
 
 QUERIES = {
     "op2_hmm_language_model": op2_hmm_language_model,
+    "op4_pii_spans": op4_pii_spans,
     "op6_language_id": op6_language_id,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_document_fingerprints": op10_document_fingerprints,
