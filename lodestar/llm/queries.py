@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lodestar.llm.decontaminate import op9_benchmark_decontamination
 from lodestar.llm.hmm import op2_hmm_language_model
 from lodestar.llm.langid import op6_language_id
 from lodestar.llm.pii import op4_pii_spans
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_pii_spans": op4_pii_spans,
     "op6_language_id": op6_language_id,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
 ORACLES: dict[str, str] = {}
