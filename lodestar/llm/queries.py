@@ -5,14 +5,18 @@ from __future__ import annotations
 from lodestar.llm.decontaminate import op9_benchmark_decontamination
 from lodestar.llm.hmm import op2_hmm_language_model
 from lodestar.llm.langid import op6_language_id
+from lodestar.llm.mixing import op7_source_mixing
 from lodestar.llm.pii import op4_pii_spans
+from lodestar.llm.secrets import op1_secret_scan
 from lodestar.llm.simhash import op8_simhash_near_dedup
 from lodestar.llm.syncmers import op10_document_fingerprints
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_hmm_language_model": op2_hmm_language_model,
     "op4_pii_spans": op4_pii_spans,
     "op6_language_id": op6_language_id,
+    "op7_source_mixing": op7_source_mixing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_document_fingerprints": op10_document_fingerprints,
