@@ -10,10 +10,12 @@ from lodestar.llm.pii import op4_pii_spans
 from lodestar.llm.secrets import op1_secret_scan
 from lodestar.llm.simhash import op8_simhash_near_dedup
 from lodestar.llm.syncmers import op10_document_fingerprints
+from lodestar.llm.urls import op3_url_filters
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_hmm_language_model": op2_hmm_language_model,
+    "op3_url_filters": op3_url_filters,
     "op4_pii_spans": op4_pii_spans,
     "op6_language_id": op6_language_id,
     "op7_source_mixing": op7_source_mixing,
