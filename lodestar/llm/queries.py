@@ -9,6 +9,7 @@ from lodestar.llm.mixing import op7_source_mixing
 from lodestar.llm.pii import op4_pii_spans
 from lodestar.llm.secrets import op1_secret_scan
 from lodestar.llm.simhash import op8_simhash_near_dedup
+from lodestar.llm.substrings import op5_substring_dedup
 from lodestar.llm.syncmers import op10_document_fingerprints
 from lodestar.llm.urls import op3_url_filters
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_hmm_language_model": op2_hmm_language_model,
     "op3_url_filters": op3_url_filters,
     "op4_pii_spans": op4_pii_spans,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_language_id": op6_language_id,
     "op7_source_mixing": op7_source_mixing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
