@@ -1,5 +1,6 @@
 """Imports every module that registers queries."""
 
+from lodestar.operators import relational
 from lodestar.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "relational"]
