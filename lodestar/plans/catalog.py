@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from lodestar.operators import relational
+from lodestar.operators import relational, retrieval
 from lodestar.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "relational"]
+__all__ = ["ORACLES", "QUERIES", "relational", "retrieval"]
