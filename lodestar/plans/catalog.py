@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from lodestar.operators import relational, retrieval
+from lodestar.operators import evaluation, events, relational, retrieval, selection, texts
 from lodestar.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "relational", "retrieval"]
+__all__ = ["ORACLES", "QUERIES", "evaluation", "events", "relational", "retrieval", "selection", "texts"]
