@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.plans.registry import query
-from lodestar.sources.tables import table
+from lodestar.sources.tables import stored, table
 
 K = 20
 
@@ -219,21 +219,18 @@ def bradley_terry(games: DataFrame, rounds: int = 25) -> DataFrame:
     low, high = F.least("left_id", "right_id"), F.greatest("left_id", "right_id")
     pairs = games.groupBy(low.alias("i"), high.alias("j")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("winner_id") == low).alias("w"))
     both = pairs.select("i", "j", (F.col("n") + 1).alias("n"), (F.col("w") + 0.5).alias("w")).unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), (F.col("n") + 1).alias("n"), (F.col("n") - F.col("w") + 0.5).alias("w")))
-    both = both.checkpoint()
+    both = stored(both, "pairs")
     wins = both.groupBy("i").agg(F.sum("w").alias("wins"), F.sum("n").alias("games"))
-    strength = wins.select("i", F.lit(1.0).alias("p")).checkpoint()
+    strength = stored(wins.select("i", F.lit(1.0).alias("p")), "strengths")
     for _ in range(rounds):
         other = strength.select(F.col("i").alias("j"), F.col("p").alias("q"))
         base = both.join(strength, "i").join(other, "j").groupBy("i").agg(F.sum(F.col("n") / (F.col("p") + F.col("q"))).alias("d"))
         new = base.join(wins, "i").select("i", (F.col("wins") / F.col("d")).alias("p"))
         scale = new.agg(F.exp(F.avg(F.ln("p"))).alias("g"))
-        strength = new.join(F.broadcast(scale)).select("i", (F.col("p") / F.col("g")).alias("p")).checkpoint()
+        strength = stored(new.join(F.broadcast(scale)).select("i", (F.col("p") / F.col("g")).alias("p")), "strengths")
     return strength.join(wins, "i").select(F.col("i").alias("id"), F.ln("p").alias("ability"), (1 / F.sqrt("games")).alias("error"))
 
 
 @query("bradley_terry_strengths")
 def bradley_terry_strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lodestar.sources.tables import shared_dir
-
-    spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return bradley_terry(comparisons(spark, sf_dir), 10)
