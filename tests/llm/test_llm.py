@@ -1,0 +1,283 @@
+"""The training-data operators against brute force on small tables, with nulls, empty and long texts, repeats, and clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestar.llm import decontaminate, hmm, langid, mixing, pii, secrets, simhash, substrings, syncmers, urls
+from lodestar.llm.components import connected_components
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+VOCABULARY = {"en": ["the", "of", "water", "house", "there", "window", "when", "with"], "de": ["der", "und", "nicht", "straße", "schön", "zwei", "ich", "auch"]}
+
+
+def texts(n: int = 60, seed: int = 3) -> list[tuple]:
+    """Documents in two languages with copies, near copies, shared passages, a null, empty ones and a long one; an extra column clashes."""
+    r = random.Random(seed)
+    rows = []
+    shared = " ".join(r.choice(VOCABULARY["en"]) + str(r.randrange(40)) for _ in range(50))
+    for i in range(n):
+        lang = "de" if i % 3 == 0 else "en"
+        words = [r.choice(VOCABULARY[lang]) + ("" if r.random() < 0.5 else r.choice("abcdef") * r.randrange(1, 3)) for _ in range(r.randrange(1, 90))]
+        text = " ".join(words)
+        if i % 7 == 1 and rows:
+            text = rows[r.randrange(len(rows))][1]
+        if i % 10 == 2:
+            text = text + "\n" + shared + " " + str(i)
+        rows.append((i, text, lang, "src0", len(text or "")))
+    rows[5] = (5, None, None, None, None)
+    rows[6] = (6, "", "en", "", 0)
+    rows[7] = (7, "   ", "en", "x", 3)
+    rows[8] = (8, "the house " * 3000, "en", "src1", 30000)
+    return [*rows, rows[3]]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(texts(), DOCS).withColumn("fingerprint", F.lit("clash")).withColumn("rate", F.lit(-1)).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.limit(0)
+
+
+def words(text):
+    return (text or "").encode().split()
+
+
+def test_components_of_a_long_path(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 101), (100, 101)], "a long, b long")
+    got = {r.node: r.root for r in connected_components(edges).collect()}
+    assert len({got[i] for i in range(61)}) == 1 and got[100] == got[101] != got[0]
+    assert connected_components(edges.limit(0)).count() == 0
+
+
+def test_simhash_groups_are_those_of_all_pairs(docs, none):
+    rows = [(i, simhash.fingerprint(t)) for i, t, *_ in texts()]
+    fp = np.array([x for _, x in rows]).view(np.uint64)
+    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3
+    label = np.array([i for i, _ in rows])
+    for _ in range(len(rows)):
+        label = np.array([label[near[k]].min() for k in range(len(rows))])
+    got = sorted((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect())
+    assert got == sorted((i, f"{int(f):016x}", int(c)) for (i, _), f, c in zip(rows, fp, label, strict=True))
+    assert simhash.near_duplicates(none).count() == 0
+
+
+def test_tree_search_finds_every_link():
+    r = np.random.default_rng(1)
+    centres = r.integers(0, 2**63, 300, dtype=np.uint64)
+    noise = np.zeros(6000, np.uint64)
+    for _ in range(3):
+        noise |= np.where(r.random(6000) < 0.6, np.uint64(1) << r.integers(0, 64, 6000, dtype=np.uint64), np.uint64(0))
+    fps = np.unique(np.concatenate([centres[r.integers(0, 300, 6000)] ^ noise, r.integers(0, 2**63, 3000, dtype=np.uint64)])).view(np.int64)
+    wanted = np.argwhere(np.triu(np.bitwise_count(fps.view(np.uint64)[:, None] ^ fps.view(np.uint64)[None, :]) <= 3, 1))
+    group = np.arange(len(fps))
+
+    def top(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for side in (0, 1):
+        tree = simhash.build_tree(simhash.half(fps[::5], side), 1, 8)
+        index, leaf, home = simhash.place(tree, simhash.half(fps, side), 1)
+        assert np.bincount(index[home], minlength=len(fps)).tolist() == [1] * len(fps)
+        for at in np.unique(leaf):
+            own = index[leaf == at]
+            for x, y in zip(own, own[simhash.link_shard(fps[own], home[leaf == at], side)], strict=True):
+                a, b = top(x), top(y)
+                group[max(a, b)] = min(a, b)
+    assert all(top(a) == top(b) for a, b in wanted)
+    assert len({top(i) for i in range(len(fps))}) > 300
+
+
+def test_removed_words_are_those_of_repeated_windows(docs, none):
+    rows, window = texts(), 12
+    seen = Counter(tuple(w[i : i + window]) for _, t, *_ in rows for w in [words(t)] for i in range(len(w) - window + 1))
+    wanted = []
+    for i, t, *_ in rows:
+        w = words(t)
+        gone = {j for k in range(len(w) - window + 1) if seen[tuple(w[k : k + window])] > 1 for j in range(k, k + window)}
+        wanted.append((i, len(w), len(gone), b" ".join(x for j, x in enumerate(w) if j not in gone).decode()))
+    assert sorted(tuple(r) for r in substrings.deduplicated(docs, ["doc_id"], window).collect()) == sorted(wanted)
+    assert substrings.deduplicated(none, ["doc_id"], window).count() == 0
+
+
+def test_suffix_automaton_against_all_factors():
+    r = random.Random(2)
+    for _ in range(200):
+        held = [[b"%d" % r.randrange(3) for _ in range(r.randrange(1, 25))] for _ in range(r.randrange(1, 4))]
+        asked = [b"%d" % r.randrange(3) for _ in range(30)]
+        automaton = substrings.SuffixAutomaton()
+        for h in held:
+            automaton.add(h)
+        known = {tuple(h[i:j]) for h in held for i in range(len(h)) for j in range(i + 4, len(h) + 1)}
+        wanted = {k for i in range(30) for j in range(i + 4, 31) if tuple(asked[i:j]) in known for k in range(i, j)}
+        assert {k for s, e in automaton.matches(asked, 4) for k in range(s, e)} == wanted
+
+
+def test_plain_scores_and_a_proper_model(spark, docs, none):
+    marked = docs.withColumn("learn", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1)
+    got = {(r.doc_id, r.n_tokens): r for r in hmm.score(marked, "learn").collect()}
+    counts = Counter()
+    for i, t, *_ in texts():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            counts.update([*hmm.words_of(t), b""])
+    total, distinct = sum(counts.values()), len(counts)
+    for i, t, *_ in texts():
+        own = [*hmm.words_of(t), b""]
+        r = got[i, len(own)]
+        assert r.n_known == sum(counts[w] > 0 for w in own) and r.train_tokens == total
+        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in own))
+        assert math.isfinite(r.score) and r.score < 0
+    assert hmm.score(none.withColumn("learn", F.lit(True)), "learn").count() == 0
+
+
+def test_forward_recursion_against_all_paths():
+    r = np.random.default_rng(4)
+    model = hmm.improved(r.random(2), r.random((2, 2)), r.random((3, 2)))
+    text = np.array([0, 2, 1, 1])
+    by_paths = sum(
+        np.prod([(model.start[p[0]] if t == 0 else model.moves[p[t - 1], p[t]]) * model.emits[text[t], p[t]] for t in range(4)])
+        for p in [[(n >> t) & 1 for t in range(4)] for n in range(16)]
+    )
+    flat, offset, width = hmm.laid_out([text])
+    _, scale = hmm.forward(model, model.emits[flat], offset, width)
+    assert np.log(scale).sum() == pytest.approx(math.log(by_paths))
+    before = by_paths
+    for _ in range(5):
+        model = hmm.improved(*hmm.expected_counts(model, [text] * 50))
+    flat, offset, width = hmm.laid_out([text])
+    assert np.log(hmm.forward(model, model.emits[flat], offset, width)[1]).sum() > math.log(before)
+
+
+def test_languages_are_learnt(docs, none):
+    held = langid.crc_remainder("doc_id", 3) == 1
+    model = langid.train(docs.where(~held))
+    got = {r.doc_id: r for r in langid.identify(docs, model, ["doc_id", "fingerprint"]).collect()}
+    lang = {i: x for i, t, x, *_ in texts() if t and len(t) > 60 and i % 7 != 1 and i % 10 != 2}
+    assert np.mean([got[i].lang_pred == x for i, x in lang.items()]) >= 0.95
+    assert got[5].lang_pred == got[6].lang_pred == got[7].lang_pred == "und" and all(0 <= r.score <= 1 for r in got.values())
+    assert got[1].fingerprint == "clash"
+    assert langid.train(none).predict("hello") == ("und", 0.0)
+
+
+def test_personal_data_in_disguise():
+    found = lambda t: {t[s:e] for s, e, _ in pii.all_spans(t)[1]}
+    assert found("write jo.hn (at) mail dot example dot com") == {"jo.hn (at) mail dot example dot com"}
+    assert found("аnna@exаmple.com") == {"аnna@exаmple.com"}
+    assert found("call plus one four one five five five five two six seven one") == {"plus one four one five five five five two six seven one"}
+    assert found("＋１ ４１５ ５５５ ２６７１ x") == {"＋１ ４１５ ５５５ ２６７１"}
+    for clean in ("he was at the dot of it", "look at example.com", "two or three of four", ""):
+        assert not found(clean)
+    base, every = pii.all_spans("a@b.c 1.2.3.4 999.1.1.1 x 4111 1111 1111 1111 +1 (282) 555-3362")
+    assert pii.joined(base) == "email:0:5,ip:6:13,card:26:45,phone:46:63" and base == every
+
+
+def test_personal_data_of_odd_rows(docs, none):
+    got = [r for r in pii.personal_data(docs).collect() if r.doc_id in (5, 6)]
+    assert all(r.base_sha256 == hashlib.sha256(b"").hexdigest() and r.spans == "" for r in got)
+    assert pii.personal_data(none).count() == 0
+
+
+def test_url_rules(spark):
+    rows = [(1, "http://A.Example.com/en/7x?q"), (2, "https://x.com/en/1"), (3, "http://b.example.net/de/81#a"), (4, "http://c.net/de/9"), (5, None), (6, "no scheme"), (7, "ftp://notcom/en/1"), (8, "http://z.org/fr/1")]
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got[1] == ("a.example.com", "/en/7x", "example.com/en/7", "allow")
+    assert got[2][2:] == ("com/en/", "block") and got[3][2:] == ("example.net/de/8", "block") and got[4][2:] == ("net/de/", "allow")
+    assert got[5][:3] == got[6][:3] == ("", "", None) and got[7][2] is None
+    assert all(v[3] in ("allow", "block") for v in got.values())
+    assert urls.judged(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_templates_that_rules_block_are_blocked_elsewhere(spark):
+    rows = [(i, f"http://h.com/en/{i}") for i in range(40)] + [(100 + i, f"http://h.com/fr/{i}") for i in range(3)] + [(200 + i, f"http://k.de/a/{i}") for i in range(9)]
+    got = {r.page_id: r for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got[101].verdict == "block" and got[101].template == "/{any}/{n}" and got[201].verdict == "allow"
+
+
+def test_syncmers_of_edits(docs, none):
+    got = {r.doc_id: r for r in syncmers.edited_fingerprints(docs.dropDuplicates(["doc_id"])).collect()}
+    own = dict(sorted({i: t or "" for i, t, *_ in texts()}.items()))
+    ids = list(own)
+    for k, i in enumerate(ids):
+        a, b = own[i], own[ids[(k + 1) % len(ids)]]
+        cut = len(a) // 2
+        assert got[i].n_chars == len(a) and got[i].edited_sha256 == hashlib.sha256((a[: len(a) - cut] + b[:cut]).encode()).hexdigest()
+        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+    for i in ids:
+        assert all(got[i].fingerprint == got[j].fingerprint for j in ids if own[i] == own[j])
+    assert syncmers.edited_fingerprints(none).count() == 0
+
+
+def test_anchors_depend_on_their_own_words_only(spark):
+    r = random.Random(9)
+    w = [f"w{r.randrange(500)}" for _ in range(200)]
+    rows = spark.createDataFrame([(1, " ".join(w)), (2, "x y z " + " ".join(w) + " q")], "doc_id long, text string")
+    a, b = ({x["hash"]: x["pos"] for x in r.anchors} for r in syncmers.fingerprints(rows).orderBy("doc_id").collect())
+    assert len(a) > 40 and all(b[h] == p + 3 for h, p in a.items())
+
+
+def test_overlaps_against_brute_force(spark, docs, none):
+    r = random.Random(5)
+    item = [f"k{r.randrange(300)}" for _ in range(30)]
+    broken = [x if i not in (9, 20) else "zz" for i, x in enumerate(item)]
+    rows = [(1, "a b " + " ".join(item) + " c"), (2, " ".join(broken)), (3, " ".join(item[:7])), (4, None), (5, " ".join(reversed(item)))]
+    got = {x.doc_id: x for x in decontaminate.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item)), (7, " ".join(item)), (8, None), (9, "x y")], "item_id long, text string")).collect()}
+    assert set(got) == {1, 2}
+    assert (got[1].item_id, got[1].matched, got[1].compared, got[1].start, got[1].item_start) == (7, 30, 30, 2, 0)
+    assert got[2].matched == 28 and got[2].compared == 30
+    assert decontaminate.overlaps(none, none.select(F.col("doc_id").alias("item_id"), "text")).count() == 0
+
+
+def test_secrets_and_their_likes(spark, none):
+    r = random.Random(6)
+    hexed = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    rows = [(i, f'filler words here token = "{hexed(40)}" and more filler words', "src") for i in range(30)]
+    rows += [(100 + i, f"mail a{i}@host{i}.example.com or {r.randrange(10**15, 10**16)} now", "src") for i in range(30)]
+    rows += [(200, None, None), (201, "", "src")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = secrets.findings(docs, F.col("source")).collect()
+    assert {x.doc_id for x in got if x.is_secret} == set(range(30))
+    cleaned = {x.doc_id: x.text for x in secrets.secret_stage(spark, docs, "").collect()}
+    assert cleaned[0] == 'filler words here token = "[secret]" and more filler words' and cleaned[200] is None and len(cleaned) == len(rows)
+    assert secrets.findings(none, F.col("source")).count() == 0
+
+
+def test_rates_meet_the_targets(spark, none):
+    r = random.Random(8)
+    rows, labels = [], []
+    for i in range(240):
+        kind = i % 3
+        rows.append((i, " ".join(r.choice([["good", "fine", "clear"], ["plain", "dull", "grey"], ["vile", "nasty", "foul"]][kind]) for _ in range(20))))
+        if i % 2:
+            labels.append((i, int(kind == 0), int(kind == 2)))
+    docs, marks = spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id long, text string"), spark.createDataFrame([*labels, (3, None, None)], "doc_id long, quality int, toxic int")
+    got = mixing.mixed(docs, marks, {"good": 0.6, "plain": 0.3, "toxic": 0.1}).collect()
+    total = sum(x.n_tokens for x in got)
+    shares = [sum(x.rate * x.n_tokens * x[f"p_{d}"] for x in got) / total for d in mixing.DOMAINS]
+    assert shares == pytest.approx([0.6, 0.3, 0.1], abs=0.01) and all(x.rate >= 0 for x in got)
+    assert mixing.mixed(none, marks.limit(0)).count() == 0
+    assert mixing.mixed(docs, marks.limit(0)).count() == 242
+
+
+def test_pipeline_keeps_columns(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = documents
+    for name, stage in corpus_pipeline.STAGES[:2]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == documents.columns, name
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_dedup", "benchmark_decontamination", "secret_scan", "source_mixing"]
