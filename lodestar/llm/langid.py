@@ -206,7 +206,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.3) -> DataFrame:
     """The documents whose language is told with a probability of ``least`` or more; rows and columns as given."""
     model = train(docs.where(crc_remainder("doc_id", 3) != 1))
     at = docs.columns.index("text")
