@@ -82,4 +82,4 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that overlap no benchmark item; rows without an id stay."""
     found = overlaps(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_found"), "left_anti")
+    return docs.join(found, docs["doc_id"] == found["_found"], "left_anti")

@@ -45,19 +45,19 @@ def word_features(docs: DataFrame) -> DataFrame:
 def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, p`` for every row of ``docs(doc_id, text)``; ``p`` holds a probability for each domain.
 
-    With labels of one domain only, or none, the posterior is that domain, or uniform.
+    If the labelled documents are of one domain only, or there are none, the posterior is that domain, or uniform.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), domain_of(F.col("quality"), F.col("toxic")).cast("double").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
     total = marks.count()
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     drawn = marks.where(unit < min(1.0, 0.95 * MOST_LABELLED / max(total, 1))).dropDuplicates().limit(MOST_LABELLED)
-    known = sorted(int(r.label) for r in drawn.select("label").distinct().collect())
+    training = stored(word_features(own.join(F.broadcast(drawn), "doc_id")), "labelled")
+    known = sorted(int(r.label) for r in training.select("label").distinct().collect())
     ready = word_features(own)
     if len(known) < 2:
         share = [float(i in known) if known else 1 / len(DOMAINS) for i in range(len(DOMAINS))]
         return ready.select("doc_id", "n_tokens", F.array(*map(F.lit, share)).alias("p"))
-    training = stored(word_features(own.join(F.broadcast(drawn), "doc_id")), "labelled")
     model = LogisticRegression(maxIter=30, regParam=1e-4, family="multinomial", probabilityCol="probability", featuresCol="features", labelCol="label").fit(training)
     p = vector_to_array("probability")
     return model.transform(ready).select("doc_id", "n_tokens", F.transform(F.sequence(F.lit(0), F.lit(len(DOMAINS) - 1)), lambda i: F.coalesce(F.get(p, i), F.lit(0.0))).alias("p"))
@@ -106,7 +106,8 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with a rate above zero, and that ``rate``; rows with equal ids get the mean of their rates, rows without an id one."""
+    """The documents with a rate above zero, and that ``rate``; rows with equal ids get the mean of their rates, rows without an id one; a column ``rate`` that is there already is replaced."""
     rates = mixed(docs, table(spark, sf_dir, "labels")).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.avg("rate").alias("_rate"))
-    rated = docs.join(rates, docs["doc_id"] == F.col("_id"), "left").withColumn("_rate", F.coalesce("_rate", F.lit(1.0)))
-    return rated.where("_rate > 0").select(*[docs[c] for c in docs.columns if c != "rate"], F.col("_rate").alias("rate"))
+    rate = F.coalesce(rates["_rate"], F.lit(1.0))
+    rated = docs.join(rates, docs["doc_id"] == rates["_id"], "left").where(rate > 0)
+    return rated.select(*[docs[c] for c in docs.columns if c != "rate"], rate.alias("rate"))

@@ -119,7 +119,7 @@ def findings(docs: DataFrame, path: Column, labelled=labelled_by_format) -> Data
         assembler = VectorAssembler(inputCols=names, outputCol="_features")
         training = assembler.transform(full.join(drawn, "cid")).select("_features", "label")
         forest = RandomForestClassifier(featuresCol="_features", labelCol="label", probabilityCol="_p", numTrees=TREES, maxDepth=DEPTH, seed=11).fit(training)
-        judged = forest.transform(assembler.transform(full)).withColumn("p_secret", F.get(vector_to_array("_p"), F.lit(1)))
+        judged = forest.transform(assembler.transform(full)).withColumn("p_secret", F.coalesce(F.get(vector_to_array("_p"), F.lit(1)), F.lit(0.0)))
     return judged.select("doc_id", F.col("pos").cast("long").alias("pos"), "key", "value", "before", "after", "p_secret", (F.col("p_secret") >= VOTE).alias("is_secret"))
 
 
@@ -133,9 +133,10 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, mark: str =
     """All documents, with each secret in ``text`` replaced by ``mark`` and ``n_chars`` counted anew; rows without an id stay as they are."""
     found = findings(docs, F.col("source")).where("is_secret AND doc_id IS NOT NULL")
     values = found.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias("_values"))
-    joined = docs.join(values, docs["doc_id"] == F.col("_id"), "left")
-    text = F.when(F.col("_values").isNull(), F.col("text")).otherwise(F.aggregate("_values", F.col("text").cast("string"), lambda t, v: F.replace(t, v, F.lit(mark))))
+    joined = docs.join(values, docs["doc_id"] == values["_id"], "left")
+    own, clean = values["_values"], docs["text"].cast("string")
+    text = F.when(own.isNull(), docs["text"]).otherwise(F.aggregate(own, clean, lambda t, v: F.replace(t, v, F.lit(mark))))
     new = {"text": text}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_values").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+        new["n_chars"] = F.when(own.isNull(), docs["n_chars"]).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
     return joined.select(*[new.get(c, docs[c]).alias(c) for c in docs.columns])
