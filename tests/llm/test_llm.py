@@ -281,3 +281,15 @@ def test_pipeline_keeps_columns(spark):
         docs = stage(spark, docs, sf)
         assert docs.columns == documents.columns, name
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_dedup", "benchmark_decontamination", "secret_scan", "source_mixing"]
+
+
+def test_stages_bear_clashing_columns(spark):
+    import corpus_pipeline
+
+    extra = ["_found", "_id", "_values", "_rate", "rate", "score", "fp", "least", "root", "label", "features", "part"]
+    docs = spark.createDataFrame(texts(30), DOCS).select("*", *[F.lit(i).alias(c) for i, c in enumerate(extra)])
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == (docs.columns if name != "source_mixing" else [*[c for c in docs.columns if c != "rate"], "rate"]), name
+        assert 0 < out.count() <= docs.count()
+        assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
