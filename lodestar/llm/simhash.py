@@ -25,7 +25,7 @@ from lodestar.sources.tables import stored, table
 SHINGLE = 3
 MAX_BITS = 3
 SEED = 42
-#: Tree parameters: fingerprints in the sample that the driver builds a tree from (at most), sampled ones in a leaf (at least), fingerprints wanted in a shard.
+#: Tree parameters: fingerprints in the sample that the driver builds a tree from (about, and never twice as many), sampled ones in a leaf (at least), fingerprints wanted in a shard.
 SAMPLE, LEAF_SAMPLE, SHARD = 1 << 16, 8, 1024
 
 
@@ -148,14 +148,17 @@ def link_shard(fps: np.ndarray, home: np.ndarray, side: int, bits: int = MAX_BIT
 def links(fps: DataFrame, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
     """Links ``(a, b)`` between the distinct fingerprints ``fps(fp)`` that span every group of a shard.
 
-    The two trees are built from a sample of at most ``sample`` fingerprints; every fingerprint is
-    placed. A shard gives each of its fingerprints one link at most, so that a dense group never
+    The two trees are built from a sample of about ``sample`` fingerprints, drawn by a hash; every
+    fingerprint is placed. A shard gives each of its fingerprints one link at most, so that a dense group never
     becomes all its pairs.
     """
     spark, total, band = fps.sparkSession, fps.count(), MAX_BITS // 2
-    drawn = np.array([r.fp for r in fps.orderBy(F.xxhash64("fp")).limit(sample).collect()], np.int64)
     if total < 2:
         return spark.createDataFrame([], "a long, b long")
+    part = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / total))
+    drawn = np.sort(np.array([r.fp for r in fps.where(part).limit(2 * sample).collect()], np.int64))
+    if not len(drawn):
+        drawn = np.array([fps.first().fp], np.int64)
     leaf = max(LEAF_SAMPLE, int(shard * len(drawn) / total))
     trees = [build_tree(half(drawn, side), band, leaf) for side in (0, 1)]
 
