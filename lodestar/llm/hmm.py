@@ -22,7 +22,7 @@ from lodestar.llm.langid import crc_remainder
 from lodestar.sources.tables import stored, table
 
 STATES, HEAD, CLASSES, ROUNDS = 8, 8192, 64, 3
-#: Words whose counts tasks hold in memory (the most frequent); the others' counts are joined.
+#: Words whose counts tasks hold in memory (the most frequent), at most; the others' counts are joined.
 LOOKUP = 1 << 17
 #: Distinct words that a counting task holds before it hands them on; tokens in a batch of the recursions.
 HELD, BATCH = 300_000, 250_000
@@ -74,8 +74,20 @@ class Lexicon:
 
 
 def lexicon(counts: DataFrame) -> Lexicon:
-    """The lexicon of ``counts(word, c)``: ``LOOKUP`` rows at most, and the sums of each class over all words."""
-    top = counts.where(F.length("word") > 0).orderBy(F.desc("c"), "word").limit(LOOKUP).collect()
+    """The lexicon of ``counts(word, c)``, and the sums of each class over all words.
+
+    Words are taken by eighths of a power of two of their counts, from the highest down, while all
+    of an eighth fit into ``LOOKUP``; so only the lexicon's own rows reach the driver.
+    """
+    eighth = F.floor(8 * F.log2("c"))
+    held = counts.where(F.length("word") > 0)
+    least, taken = None, 0
+    for r in sorted(held.groupBy(eighth.alias("e")).count().collect(), key=lambda r: -r.e):
+        taken += r["count"]
+        if taken > LOOKUP:
+            break
+        least = r.e
+    top = sorted(held.where(eighth >= least).select("c", "word").collect(), key=lambda r: (-r.c, bytes(r.word))) if least is not None else []
     words, own = [bytes(r.word) for r in top], np.array([r.c for r in top], np.int64)
     head = min(HEAD, len(words))
     emitted = set(words[:head])
