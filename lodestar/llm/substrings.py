@@ -275,11 +275,12 @@ def repeated_spans_of(docs: DataFrame, pressed: DataFrame, window: int) -> DataF
 
     reference = passages.select("shard", "starts", "first", "words").mapInArrow(cut, "shard long, words binary").dropDuplicates()
     homes = parts.select("shard", "part").distinct()
-    reference = reference.join(homes, "shard").select(F.col("shard").alias("to_shard"), F.col("part").alias("to_part"), F.col("words").alias("passage"))
+    reference = reference.groupBy("shard").agg(F.collect_list("words").alias("passages"))
+    reference = reference.join(homes, "shard").select(F.col("shard").alias("to_shard"), F.col("part").alias("to_part"), "passages")
 
     def stream(own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         automaton, out = SuffixAutomaton(), []
-        for words in held["passage"]:
+        for words in (w for passages in held["passages"] for w in passages):
             automaton.add(words.split())
         for words, rows in own.groupby("words", sort=False) if len(held) else ():
             found = automaton.matches(words.split(), window)
