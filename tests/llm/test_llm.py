@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, hmm, langid, mixing, pii, secrets, simhash, substrings, syncmers, urls
+from lodestar.llm import copies, decontaminate, hmm, langid, mixing, pii, secrets, simhash, substrings, syncmers, urls
 from lodestar.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -101,6 +101,41 @@ def test_tree_search_finds_every_link():
     assert len({top(i) for i in range(len(fps))}) > 300
 
 
+def near_copy_texts(n: int = 120, seed: int = 11) -> list[tuple]:
+    """Base texts, each with a copy that has one to five words replaced, dense groups of near copies, and short ones."""
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        w = [f"v{r.randrange(2000)}" for _ in range(r.randrange(60, 200))]
+        rows.append((2 * i, " ".join(w)))
+        for at in r.sample(range(len(w)), r.randrange(1, 6)):
+            w[at] = f"x{r.randrange(10**6)}"
+        rows.append((2 * i + 1, " ".join(w).upper()))
+    stem = [f"g{r.randrange(500)}" for _ in range(80)]
+    rows += [(1000 + i, " ".join(x if r.random() > 0.03 else f"y{r.randrange(10**6)}" for x in stem)) for i in range(60)]
+    return [*rows, (2000, "a b"), (2001, "A  B"), (2002, "a c"), (2003, ""), (2004, None), (None, "a b")]
+
+
+def test_near_copies_of_five_word_shingles(spark):
+    rows = near_copy_texts()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in simhash.simhash_stage(spark, docs, "").collect()}
+    sets = {i: set(copies.shingles(t).tolist()) for i, t in rows if i is not None}
+    jaccard = lambda a, b: len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b]))
+    near = {(a, b) for a in sets for b in sets if a < b and (jaccard(a, b) >= 0.8 or not sets[a] and not sets[b])}
+    group = {i: i for i in sets}
+    for _ in range(5):
+        for a, b in near:
+            group[a] = group[b] = min(group[a], group[b])
+    assert sum(b == a + 1 and b < 240 for a, b in near) > 40
+    assert not [p for p in near if p[0] in kept and p[1] in kept]
+    assert None in kept and {group[i] for i in sets} <= kept and {2000, 2002, 2003} <= kept and not {2001, 2004} & kept
+    own = copies.keyed(docs.where("doc_id IS NOT NULL")).groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
+    ids = {r.node: r.least for r in own.collect()}
+    for rounds in (0, 1, 4):
+        assert all((min(ids[r.a], ids[r.b]), max(ids[r.a], ids[r.b])) in near for r in copies.links(docs, own, rounds).collect())
+
+
 def test_removed_words_are_those_of_repeated_windows(docs, none):
     rows, window = texts(), 12
     seen = Counter(tuple(w[i : i + window]) for _, t, *_ in rows for w in [words(t)] for i in range(len(w) - window + 1))
