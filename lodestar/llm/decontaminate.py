@@ -28,15 +28,15 @@ def token_hashes(text: Column) -> Column:
     return F.transform(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def seed_hashes(tokens: Column, at: Column) -> Column:
+def seed_hashes(tokens: Column, at: Column, masks=MASKS) -> Column:
     """The hashes of all masks at a place, null where a mask passes the end."""
-    return F.array(*[F.when(at + mask[-1] < F.size(tokens), F.xxhash64(F.lit(i), *[F.get(tokens, at + p) for p in mask])) for i, mask in enumerate(MASKS)])
+    return F.array(*[F.when(at + mask[-1] < F.size(tokens), F.xxhash64(F.lit(i), *[F.get(tokens, at + p) for p in mask])) for i, mask in enumerate(masks)])
 
 
-def seeds(rows: DataFrame, keep: list[str], tokens: str, at: str) -> DataFrame:
+def seeds(rows: DataFrame, keep: list[str], tokens: str, at: str, masks=MASKS) -> DataFrame:
     """``keep``, ``tokens``, the place ``at``, ``mask`` and ``seed``, a row for every mask that fits at every place."""
     placed = rows.select(*keep, tokens, F.posexplode(tokens).alias(at, "_token"))
-    found = placed.select(*keep, tokens, at, F.posexplode(seed_hashes(F.col(tokens), F.col(at))).alias("mask", "seed"))
+    found = placed.select(*keep, tokens, at, F.posexplode(seed_hashes(F.col(tokens), F.col(at), masks)).alias("mask", "seed"))
     return found.where("seed IS NOT NULL")
 
 
@@ -74,12 +74,46 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     return best.select("doc_id", "item_id", *[(F.col(f"x.{f}") * (1 if n == "matched" else -1)).cast("long").alias(n) for n, f in zip(names, ["matched", "col2", "col3", "col4"], strict=True)])
 
 
+def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``(doc_id)``: the documents with a stretch of some item in which enough tokens agree.
+
+    Each stretch at a shift is judged by itself: it counts if ``LEAST_TOKENS`` of its tokens agree (or
+    ``LEAST_SHARE`` of the item's, if that is fewer) and ``LEAST_SHARE`` of the stretch. Items with fewer
+    tokens than a mask's weight must stand there in full. Items too short for ``LEAST_TOKENS`` are sought by
+    more disjoint pieces of three tokens than may differ, so every such stretch of them is found.
+    """
+    left = docs.select(F.col("doc_id").cast("long").alias("doc_id"), token_hashes(F.col("text").cast("string")).alias("d"))
+    right = items.select(token_hashes(F.col("text").cast("string")).alias("b")).where(F.size("b") > 0)
+    right = right.withColumn("key", F.xxhash64("b")).dropDuplicates(["key"])
+    n = F.size("b")
+    masks = (*MASKS, *[tuple(range(k)) for k in range(1, WEIGHT)])
+    least = F.when(n < WEIGHT, n).otherwise(F.least(F.lit(LEAST_TOKENS), F.ceil(n * LEAST_SHARE))).cast("int")
+    piece = (F.col("mask") == len(MASKS) + 2) & (F.col("at") % 3 == 0)
+    whole = (F.col("mask") == len(MASKS) + n - 1) & (F.col("at") == 0)
+    short = n * LEAST_SHARE <= LEAST_TOKENS
+    wanted = seeds(right, ["key"], "b", "at", masks).where(F.when(n < WEIGHT, whole).when(short, piece | (F.col("mask") < len(MASKS))).otherwise(F.col("mask") < len(MASKS)))
+    total = right.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0] * (len(MASKS) + 1)
+    used = {r["mask"] for r in wanted.select("mask").distinct().collect()}
+    placed = seeds(left, ["doc_id"], "d", "pos", [m if i in used or i < len(MASKS) else (1 << 30,) for i, m in enumerate(masks)])
+    wanted, tokens = wanted.select("key", "at", "seed"), right.select("key", "b", least.alias("least"))
+    if total <= BROADCAST_SEEDS:
+        wanted, tokens = F.broadcast(wanted), F.broadcast(tokens)
+    met = placed.join(wanted, "seed").join(tokens, "key")
+    b, d, shift, need = F.col("b"), F.col("d"), F.col("pos") - F.col("at"), F.col("least")
+    met = met.withColumn("agree", F.filter(F.sequence(F.lit(0), F.size(b) - 1), lambda i: F.get(b, i) == F.get(d, i + shift)))
+    agree = F.col("agree")
+    # a stretch of twice as many agreeing tokens halves into two, of which one agrees as well
+    dense = lambda x, k: F.coalesce(k >= (F.get(agree, x + k - 1) - F.get(agree, x) + 1) * LEAST_SHARE, F.lit(False))
+    held = F.exists(F.sequence(F.lit(0), F.size(agree) - need), lambda x: F.exists(F.sequence(need, 2 * need - 1), lambda k: dense(x, k)))
+    return met.where(F.when(F.size(agree) >= need, held).otherwise(F.lit(False))).select("doc_id").distinct()
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item that overlap."""
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that overlap no benchmark item; rows without an id stay."""
-    found = overlaps(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_found")).distinct()
+    """The documents that hold no stretch of a benchmark item; rows without an id stay."""
+    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_found"))
     return docs.join(found, docs["doc_id"] == found["_found"], "left_anti")

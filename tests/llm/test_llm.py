@@ -275,6 +275,19 @@ def test_overlaps_against_brute_force(spark, docs, none):
     assert decontaminate.overlaps(none, none.select(F.col("doc_id").alias("item_id"), "text")).count() == 0
 
 
+def test_stretches_of_items_are_judged_by_themselves(spark, none):
+    item = [f"k{i}" for i in range(59)]
+    gap = item[:15] + [f"z{i}" for i in range(29)] + item[44:]
+    short, ten, four, twelve = "s1 s2 s3 s4 s5 s6".split(), [f"t{i}" for i in range(10)], "u1 u2 u3 u4".split(), [f"q{i}" for i in range(12)]
+    but = lambda w, *places: ["zz" if i in places else x for i, x in enumerate(w)]
+    rows = {1: gap, 2: item[:15], 3: ["a", *but(short, 2), "b"], 4: but(ten, 3, 6), 5: ["x", *four, "y"], 6: but(twelve, 2, 7)}
+    rows |= {11: item[:6], 12: but(short, 1, 4), 13: but(ten, 2, 5, 8), 14: four[:3], 15: four[::-1], 16: [x for p in zip(item, gap[::-1]) for x in p][:40], 17: but(twelve, 1, 5, 9)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()] + [(20, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((item, short, ten, four, twelve))] + [(9, None), (10, "")], "item_id long, text string")
+    assert {x.doc_id for x in decontaminate.contaminated(docs, items).collect()} == {1, 2, 3, 4, 5, 6}
+    assert decontaminate.contaminated(docs, items.limit(0)).count() == decontaminate.contaminated(none, items).count() == 0
+
+
 def test_secrets_and_their_likes(spark, none):
     r = random.Random(6)
     hexed = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
