@@ -20,7 +20,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 LEAST_LENGTH = 8
 #: A word counts as a dictionary word if it is of ASCII letters, this long, and this frequent in the corpus.
 WORD_LETTERS, WORD_COUNT = 3, 20
-#: Labelled findings that the forest is fitted on, at most (drawn by a hash of the value); trees, depth, and the vote that makes a secret.
+#: Labelled findings that the forest is fitted on, about, drawn by class; trees, depth, and the vote that makes a secret.
 MOST_LABELLED, TREES, DEPTH, VOTE = 20_000, 20, 6, 0.5
 PARTS = r"^[\x22'(\[{<]*(?:([A-Za-z_-]+)[=:][\x22']?)?([A-Za-z0-9+/_.@%=-]{8,})"
 CLASSES = {"upper": "[A-Z]", "lower": "[a-z]", "digit": "[0-9]", "other": "[^A-Za-z0-9]"}
@@ -99,6 +99,21 @@ def labelled_by_format(found: DataFrame) -> DataFrame:
     return found.select("cid", label.alias("label")).where("label IS NOT NULL")
 
 
+def training_sample(marks: DataFrame, by_label: dict[float, int], most: int = MOST_LABELLED) -> DataFrame:
+    """``(cid, label)`` of about ``most`` rows of ``marks(cid, value, label)``: half of each class, or all of a class that has fewer, whose rest the other takes.
+
+    Rows are drawn by a hash of the row, so a value in many rows counts by its share of them.
+    """
+    size = dict.fromkeys(by_label, 0)
+    for at, (label, n) in enumerate(sorted(by_label.items(), key=lambda x: x[1])):
+        size[label] = min(n, (most - sum(size.values())) // (len(by_label) - at))
+    unit = F.pmod(F.xxhash64("value", "cid"), F.lit(1 << 30)) / float(1 << 30)
+    share = F.lit(0.0)
+    for label, n in by_label.items():
+        share = F.when(F.col("label") == label, size[label] / n).otherwise(share)
+    return marks.where(unit < share).select("cid", "label")
+
+
 def findings(docs: DataFrame, path: Column, labelled=labelled_by_format) -> DataFrame:
     """Every candidate of ``docs(doc_id, text)`` with ``p_secret`` and ``is_secret``.
 
@@ -114,8 +129,7 @@ def findings(docs: DataFrame, path: Column, labelled=labelled_by_format) -> Data
     if len(by_label) < 2:
         judged = full.withColumn("p_secret", F.lit(max(by_label, default=0.0)))
     else:
-        unit = F.pmod(F.xxhash64("value"), F.lit(1 << 30)) / float(1 << 30)
-        drawn = marks.where(unit < min(1.0, MOST_LABELLED / sum(by_label.values()))).select("cid", "label")
+        drawn = training_sample(marks, by_label)
         assembler = VectorAssembler(inputCols=names, outputCol="_features")
         training = assembler.transform(full.join(drawn, "cid")).select("_features", "label")
         forest = RandomForestClassifier(featuresCol="_features", labelCol="label", probabilityCol="_p", numTrees=TREES, maxDepth=DEPTH, seed=11).fit(training)

@@ -302,6 +302,16 @@ def test_secrets_and_their_likes(spark, none):
     assert secrets.findings(none, F.col("source")).count() == 0
 
 
+def test_both_classes_of_findings_are_drawn(spark):
+    n = 200_000
+    value = F.when(F.col("id") < 30, F.concat(F.lit("s"), "id")).when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string"))
+    marks = spark.range(n).select(F.col("id").alias("cid"), value.alias("value"), (F.col("id") < 30).cast("double").alias("label")).cache()
+    drawn = secrets.training_sample(marks, {1.0: 30, 0.0: n - 30}).join(marks.select("cid", "value"), "cid").cache()
+    assert drawn.where("label = 1").count() == 30 and 19_000 < drawn.count() < 21_000
+    assert 6_000 < drawn.where("value = 'hot'").count() < 7_300
+    assert secrets.training_sample(marks.limit(100), {1.0: 30, 0.0: 70}).count() == 100
+
+
 def test_rates_meet_the_targets(spark, none):
     r = random.Random(8)
     rows, labels = [], []
