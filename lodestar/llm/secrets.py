@@ -1,7 +1,8 @@
 """Secret scans: candidate tokens judged by a random forest that labelled findings teach.
 
-A candidate is a word, or the value of a ``key=value`` word, of eight characters or more that has a
-digit, is all in capitals, or is the value of a key word. The forest sees its length, the rates of transitions between character classes, its spread
+A candidate is a stretch of eight characters or more of a word, between quotes, brackets and other
+delimiters, or the value of a ``key=value`` or ``key:value`` in it, that has a digit or mixes cases, is all in capitals, or
+is the value of a key word. A word can have several. The forest sees its length, the rates of transitions between character classes, its spread
 of characters, how much of it dictionary words cover, the path it stands in and the words next to
 it. DataFrame functions and Spark ML only.
 """
@@ -22,9 +23,12 @@ LEAST_LENGTH = 8
 WORD_LETTERS, WORD_COUNT = 3, 20
 #: Labelled findings that the forest is fitted on, about, drawn by class; trees, depth, and the vote that makes a secret.
 MOST_LABELLED, TREES, DEPTH, VOTE = 20_000, 20, 6, 0.5
-PARTS = r"^[\x22'(\[{<]*(?:([A-Za-z_-]+)[=:][\x22']?)?([A-Za-z0-9+/_.@%=-]{8,})"
+#: A value and the key before it, anywhere in a word; the password of a URL's ``user:password@``; and letters alone that make no plain or capitalised word.
+PARTS = r"(?:([A-Za-z0-9_.-]+)[\x22'`]?[=:][\x22'`]?)?([A-Za-z0-9+/_.@%-]{8,}={0,2})"
+USERINFO = r"://[^/:@]*:([^/@]{8,})@"
+MIXED = "[A-Z]{16}|[a-z][A-Z]|[A-Z]{2}[a-z]"
 CLASSES = {"upper": "[A-Z]", "lower": "[a-z]", "digit": "[0-9]", "other": "[^A-Za-z0-9]"}
-KEYS = r"(?i)^[\x22'(\[{<]*[a-z_-]*(?:pass|passwd|password|pwd|secret|token|apikey|api_key|api-key|access|auth|credential|bearer)[a-z_-]*[\x22':=]*$"
+KEYS = r"(?i)^[\x22'`(\[{<,;]*[a-z0-9_.-]*(?:pass|passwd|password|pwd|secret|token|apikey|api_key|api-key|access|auth|credential|bearer)[a-z0-9_-]*[\x22'`:=]*$"
 TRIAL_PATH = r"(?i)(?:^|[/_.-])(?:test|tests|example|examples|sample|mock|fixture|doc|docs)(?:[/_.-]|$)"
 
 
@@ -33,11 +37,19 @@ def candidates(docs: DataFrame, path: Column) -> DataFrame:
     words = F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), SPACE), lambda w: w != "")
     placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), path.cast("string").alias("path"), words.alias("w"))
     placed = placed.select("doc_id", "path", "w", F.posexplode("w").alias("pos", "word"))
-    placed = placed.where((F.length("word") >= LEAST_LENGTH) & F.col("word").rlike("[0-9=:]|[A-Z]{16}"))
     near = {"before2": -2, "before": -1, "after": 1}
-    placed = placed.select("doc_id", "path", "pos", "word", *[F.coalesce(F.get("w", F.col("pos") + i), F.lit("")).alias(n) for n, i in near.items()])
-    found = placed.select("*", F.regexp_extract("word", PARTS, 1).alias("key"), F.regexp_extract("word", PARTS, 2).alias("value")).drop("word")
-    return found.where((F.length("value") >= LEAST_LENGTH) & (F.col("value").rlike("[0-9]|^[A-Z]{16,}$") | F.col("key").rlike(KEYS))).withColumn("cid", F.monotonically_increasing_id())
+    placed = placed.where(F.length("word") >= LEAST_LENGTH).select("doc_id", "path", "pos", "word", *[F.coalesce(F.get("w", F.col("pos") + i), F.lit("")).alias(n) for n, i in near.items()])
+    placed = placed.where(F.col("word").rlike(f"[0-9=:]|{MIXED}") | F.col("before").rlike("[=:]$"))
+    pairs = F.transform(F.regexp_extract_all("word", F.lit(PARTS), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, PARTS, 1).alias("key"), F.regexp_extract(m, PARTS, 2).alias("value")))
+    logins = F.transform(F.regexp_extract_all("word", F.lit(USERINFO), F.lit(1)), lambda v: F.struct(F.lit("password").alias("key"), v.alias("value")))
+    found = placed.select("*", F.explode(F.concat(pairs, logins)).alias("x")).select("doc_id", "path", "pos", *near, "x.key", "x.value")
+    told = F.col("value").rlike(f"[0-9]|{MIXED}") | F.col("key").rlike(KEYS) | announced()
+    return found.where((F.length("value") >= LEAST_LENGTH) & told).withColumn("cid", F.monotonically_increasing_id())
+
+
+def announced() -> Column:
+    """Whether the words before a value are a key word and a sign of assignment."""
+    return (F.col("before").rlike("[=:]$") & F.col("before").rlike(KEYS)) | (F.col("before").isin("=", ":", ":=") & F.col("before2").rlike(KEYS))
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
@@ -76,7 +88,7 @@ def with_features(found: DataFrame, words: DataFrame) -> tuple[DataFrame, list[s
         "before_known": F.coalesce("known_before", zero),
         "after_known": F.coalesce("known_after", zero),
         "keyed": (F.col("key").rlike(KEYS) | F.col("before").rlike(KEYS) | F.col("before2").rlike(KEYS)).cast("int"),
-        "assigned": ((F.col("key") != "") | F.col("before").isin("=", ":", ":=")).cast("int"),
+        "assigned": ((F.col("key") != "") | F.col("before").rlike("[=:]$")).cast("int"),
         "dots": F.regexp_count(v, F.lit(r"\.")),
         "trial_path": F.coalesce(F.col("path").rlike(TRIAL_PATH), F.lit(False)).cast("int"),
     }
@@ -93,7 +105,8 @@ def labelled_by_format(found: DataFrame) -> DataFrame:
     v = F.col("value")
     placeholder = v.rlike(r"(?i)example|sample|dummy|changeme|xxxx|your[_-]")
     provider = v.rlike(r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^sk-[A-Za-z0-9]{20,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$")
-    named = (F.col("key").rlike(KEYS) | (F.col("before").isin("=", ":", ":=") & F.col("before2").rlike(KEYS))) & v.rlike("[A-Za-z]") & ~v.rlike("[@.]")
+    login = (F.col("key") == "password") & ~v.rlike("[@/]")
+    named = (F.col("key").rlike(KEYS) & ~v.rlike("[@.]") | login | announced() & v.rlike("[0-9]") & ~v.rlike("[@.]")) & v.rlike("[A-Za-z]")
     plain = v.rlike(r"^[0-9.%+/-]+$|@|\.[A-Za-z]{2,}$")
     label = F.when(placeholder | plain, 0.0).when(provider | named, 1.0)
     return found.select("cid", label.alias("label")).where("label IS NOT NULL")
