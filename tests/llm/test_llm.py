@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,10 +145,37 @@ def test_removed_words_are_those_of_repeated_windows(docs, none):
         w = words(t)
         gone = {j for k in range(len(w) - window + 1) if seen[tuple(w[k : k + window])] > 1 for j in range(k, k + window)}
         wanted.append((i, len(w), len(gone), b" ".join(x for j, x in enumerate(w) if j not in gone).decode()))
-    assert sorted(tuple(r) for r in substrings.deduplicated(docs, ["doc_id"], window).collect()) == sorted(wanted)
+    for part_words in (substrings.PART_WORDS, 60):
+        assert sorted(tuple(r) for r in substrings.deduplicated(docs, ["doc_id"], window, part_words).collect()) == sorted(wanted)
     assert substrings.deduplicated(none, ["doc_id"], window).count() == 0
 
 
+def test_words_and_runs_of_bytes(monkeypatch):
+    r = random.Random(4)
+    for _ in range(60):
+        said = ["".join(r.choice("ab é\t\n\x0b\u00a0") for _ in range(r.randrange(60))) for _ in range(r.randrange(1, 6))]
+        data, at = substrings.bytes_of(pa.array(["xx", *said])[1:])
+        starts, ends = substrings.word_bounds(data, at)
+        wanted = [w for t in said for w in words(t)]
+        assert [data[s:e].tobytes() for s, e in zip(starts, ends, strict=True)] == wanted
+        h = [substrings.word_hashes(data, starts, ends, lane) for lane in (0, 1)]
+        assert all(len({*zip(wanted, x.tolist(), strict=True)}) == len({*wanted}) == len({*x.tolist()}) for x in h)
+    monkeypatch.setattr(substrings, "SPAN", 16)
+    for _ in range(60):
+        texts = [[r.randrange(6) for _ in range(r.randrange(70))] for _ in range(4)]
+        h = np.array([x for t in texts for x in t], np.uint64) + np.uint64(1)
+        bounds = np.cumsum([0, *map(len, texts)])
+        names, text, start, n, twice = substrings.window_runs(h, bounds, 12, 3)
+        covered = Counter((t, s + i) for t, s, k in zip(text.tolist(), start.tolist(), n.tolist(), strict=True) for i in range(k))
+        assert covered == Counter((t, i) for t, x in enumerate(texts) for i in range(len(x) - 11))
+        named = {}
+        for name, t, s, k, two in zip(names.tolist(), text.tolist(), start.tolist(), n.tolist(), twice.tolist(), strict=True):
+            own = Counter(tuple(texts[t][s + i : s + i + 12]) for i in range(k))
+            assert two or max(own.values()) == 1
+            for i in range(k):
+                assert named.setdefault(tuple(texts[t][s + i : s + i + 12]), name) == name
+
+
 def test_suffix_automaton_against_all_factors():
     r = random.Random(2)
     for _ in range(200):
