@@ -1,13 +1,15 @@
 """Personal data in disguise: texts are normalised by transducers that keep offsets, and found spans are mapped back.
 
 A transducer reads source characters and writes normalised ones, each with the source positions it
-stands for. Three run in one pass: homoglyphs and full-width forms become ASCII, spelled digits
-become digits, and written-out ``at`` and ``dot`` become signs. Identifiers found in the normalised
-text are mapped to source spans and added to those that the plain patterns find.
+stands for. The first makes homoglyphs and full-width forms ASCII. On its output two read the stretches
+that may hide something: written-out ``at`` and ``dot`` around names become signs; spelled digits,
+and dots written out between digits, become digits and signs. All patterns are sought in what each
+writes, and spans are mapped back to the source and added to those that the plain patterns find.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
@@ -41,20 +43,23 @@ LOOKALIKE = {
     "ı": "i", "ɡ": "g", "ɑ": "a", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "․": ".", "。": ".", "·": ".", " ": " ", " ": " ", " ": " ",
 }
 INVISIBLE = frozenset("​‌‍⁠﻿­")
-AT = r"(?:\s*[(\[{<]\s*(?:at|arroba|arobase)\s*[)\]}>]\s*|\s+(?:at|arroba|arobase)\s+)"
-DOT = r"(?:\s*[(\[{<]\s*(?:dot|point|punkt|punto)\s*[)\]}>]\s*|\s+(?:dot|point|punkt|punto)\s+)"
-NAME = r"[A-Za-z0-9_%+-]+"
-#: An address with at least one sign written out; the domain needs a dot of some form, and ``at`` in bare letters a written-out dot.
-WRITTEN = re.compile(rf"{NAME}(?:(?:\.|{DOT}){NAME})*?(?P<at>{AT}|@)(?P<domain>[A-Za-z0-9-]+(?:(?:\.|{DOT})[A-Za-z0-9-]+)+)", re.IGNORECASE)
+AT_WORDS, DOT_WORDS = "at|arroba|arobase", "dot|point|punkt|punto"
+#: A sign written out: in brackets, as a word or as itself, or as a word between blanks. The blanks around it belong to it.
+AT_SIGN = re.compile(rf"[(\[{{<]\s*+(?:{AT_WORDS}|@)\s*+[)\]}}>]|(?<!\S)(?:{AT_WORDS})(?!\S)|@", re.IGNORECASE)
+DOT_SIGN = re.compile(rf"[(\[{{<]\s*+(?:{DOT_WORDS}|\.)\s*+[)\]}}>]|(?<!\S)(?:{DOT_WORDS})(?!\S)", re.IGNORECASE)
+DOT = rf"(?:\s*+[(\[{{<]\s*+(?:{DOT_WORDS}|\.)\s*+[)\]}}>]\s*+|\s++(?:{DOT_WORDS})\s++)"
+DOMAIN = re.compile(rf"[A-Za-z0-9-]++(?:(?:\.|{DOT})[A-Za-z0-9-]++)+", re.IGNORECASE)
+NAME_CHARACTERS = LOCAL_CHARACTERS - {"."}
 #: What may hold a written-out sign at all, and the last labels that an address all in bare words may end in.
-DOT_WORDS = ("dot", "point", "punkt", "punto")
-BRACKETED = re.compile(r"[(\[{<]\s*(?:at|arroba|arobase)\s*[)\]}>]", re.IGNORECASE)
+SIGN_WORDS = re.compile(rf"(?<!\S)(?:{DOT_WORDS})(?!\S)|[(\[{{<]\s*+(?:{AT_WORDS}|{DOT_WORDS}|[.@])\s*+[)\]}}>]", re.IGNORECASE)
 LAST_LABELS = frozenset("com org net edu gov info io co uk us eu de fr es".split())
 DIGIT = re.compile("[0-9]")
-PUNCTUATION = str.maketrans(dict.fromkeys(",.;:-()", " "))
+PUNCTUATION = str.maketrans(dict.fromkeys(",.;:-()+", " "))
 NUMERAL = "|".join(sorted(SPELLED, key=len, reverse=True))
-SPELLED_RUN = re.compile(rf"(?:\b(?:plus\b[\s,.-]*)?(?:(?:{NUMERAL})\b|(?<=[0-9\s,.-])[0-9]+)(?:[\s,-]+(?=[0-9a-zé]))?){{4,}}", re.IGNORECASE)
-NUMERAL_WORD = re.compile(rf"\b(plus|{NUMERAL})\b", re.IGNORECASE)
+#: The parts of a number that may be spelled: digits, a plus, spelled digits, written-out dots, and what stands between.
+NUMBER_PART = re.compile(rf"(?P<digits>[0-9]++)|(?P<plus>\+|\bplus\b)|\b(?P<word>{NUMERAL})\b|(?P<dot>{DOT}|\.(?=[0-9]))|(?P<gap>[\s,()-]++)", re.IGNORECASE)
+#: Spelled digits, or groups with written-out dots between, that make a run worth reading.
+LEAST_PARTS = 4
 MIXED_RUN = re.compile(r"\+?[0-9OoIl|][0-9OoIl| ().-]{8,}[0-9OoIl|]")
 LETTER_DIGITS = str.maketrans("OoIl|", "00111")
 
@@ -121,27 +126,103 @@ def plain_letters(text: str) -> tuple[str, list[int]]:
     return "".join(out), [*source, len(text)]
 
 
-def rewritten(text: str, source: list[int], start: int, end: int, pattern: re.Pattern, write) -> tuple[str, list[tuple[int, int]]]:
-    """``text[start:end]`` with each match of ``pattern`` replaced by ``write(match)``; the source span of every character written."""
-    out, spans, at = [], [], start
+Piece = tuple[str, int, int]
 
-    def copy(to: int) -> None:
-        for i in range(at, to):
-            out.append(text[i])
-            spans.append((source[i], source[i + 1] if i + 1 < len(source) else source[-1]))
 
-    for m in pattern.finditer(text, start, end):
-        copy(m.start())
-        for c in write(m):
-            out.append(c)
-            spans.append((source[m.start()], source[m.end() - 1] + 1))
+def as_written(text: str, start: int, end: int) -> list[Piece]:
+    return [(text[i], i, i + 1) for i in range(start, end)]
+
+
+def without_signs(text: str, start: int, end: int) -> list[Piece]:
+    """``text[start:end]`` character by character with its span, each written-out dot as one sign."""
+    out, at = [], start
+    for m in re.compile(DOT, re.IGNORECASE).finditer(text, start, end):
+        out += [*as_written(text, at, m.start()), (".", m.start(), m.end())]
         at = m.end()
-    copy(end)
-    return "".join(out), spans
+    return out + as_written(text, at, end)
+
 
+def with_blanks(text: str, start: int, end: int) -> tuple[int, int]:
+    while start and text[start - 1].isspace():
+        start -= 1
+    while end < len(text) and text[end].isspace():
+        end += 1
+    return start, end
 
-SIGN = re.compile(rf"(?P<at>{AT})|(?P<dot>{DOT})", re.IGNORECASE)
-GAP = re.compile(r"(?<=[0-9+])[\s,]+(?=[0-9])")
+
+def written_addresses(text: str) -> list[list[Piece]]:
+    """Stretches that are addresses with a sign written out, normalised; every character with its span.
+
+    Around each at sign, names joined by dots are taken to the left and a domain to the right, which needs a
+    dot of some form. An address whose ``at`` is a bare word needs a written-out dot, and one all in bare
+    words a known last label. Each character is looked at a bounded number of times, however long a name is.
+    """
+    dots = {}
+    for m in DOT_SIGN.finditer(text):
+        start, end = with_blanks(text, *m.span())
+        dots[end] = start
+    out, free = [], 0
+    for m in AT_SIGN.finditer(text):
+        if m.start() < free:
+            continue
+        sign = m[0]
+        low, high = m.span() if sign == "@" else with_blanks(text, *m.span())
+        if sign != "@" and sign[0] not in "([{<" and (low == m.start() or high == m.end()):
+            continue
+        domain = DOMAIN.match(text, high)
+        if not domain:
+            continue
+        at, name, written = low, low, False
+        while True:
+            start = at
+            while start > free and text[start - 1] in NAME_CHARACTERS:
+                start -= 1
+            if start == at:
+                break
+            name = start
+            if start - 1 > free and text[start - 1] == ".":
+                at = start - 1
+            elif dots.get(start, -1) > free:
+                at, written = dots[start], True
+            else:
+                break
+        if name == low:
+            continue
+        signs = [x[0] for x in re.finditer(DOT, domain[0], re.IGNORECASE)]
+        bare_at = sign != "@" and sign[0] not in "([{<"
+        bare = not any(re.search(r"[(\[{<]", x) for x in signs)
+        known = re.split(r"[\s.]+", domain[0].lower())[-1] in LAST_LABELS
+        if (sign == "@" and not signs and not written) or (bare_at and (not signs or (bare and not known))):
+            continue
+        out.append([*without_signs(text, name, low), ("@", low, high), *without_signs(text, high, domain.end())])
+        free = domain.end()
+    return out
+
+
+def spelled_numbers(text: str) -> list[list[Piece]]:
+    """Stretches of digits and spelled digits, with what stands between left out and written-out dots as signs, one piece a digit, plus or dot."""
+    out: list[list[Piece]] = []
+    own: list[Piece] = []
+    words = end = 0
+
+    def close() -> None:
+        if words >= LEAST_PARTS or (words or any(c == "." and e - s > 1 for c, s, e in own)) and sum(c.isdigit() for c, _, _ in own) >= LEAST_PARTS:
+            out.append(own)
+
+    for m in NUMBER_PART.finditer(text):
+        if m.start() != end:
+            close()
+            own, words = [], 0
+        end = m.end()
+        if m["digits"]:
+            own += as_written(text, *m.span())
+        elif m["word"]:
+            own.append((SPELLED[m["word"].lower()], *m.span()))
+            words += 1
+        elif not m["gap"]:
+            own.append(("+" if m["plus"] else ".", *m.span()))
+    close()
+    return out
 
 
 def disguised_spans(text: str) -> list[tuple[int, int, str]]:
@@ -150,40 +231,41 @@ def disguised_spans(text: str) -> list[tuple[int, int, str]]:
     odd = not text.isascii() and any(plain_character(c) != c for c in set(text))
     flat, source = plain_letters(text) if odd else (text, range(len(text) + 1))
 
-    def add(said: str, spans: list[tuple[int, int]]) -> None:
-        for start, end, kind in plain_spans(said):
-            found.append((spans[start][0], spans[end - 1][1], kind))
+    def add(pieces: list[Piece]) -> None:
+        for start, end, kind in plain_spans("".join(c for c, _, _ in pieces)):
+            found.append((source[pieces[start][1]], source[pieces[end - 1][2] - 1] + 1, kind))
 
     if flat != text:
-        add(flat, [(source[i], source[i] + 1) for i in range(len(flat))])
-    low = flat.lower()
-    if any(x in low for x in DOT_WORDS) or BRACKETED.search(flat):
-        for m in WRITTEN.finditer(flat):
-            bare_at = m["at"] != "@" and not BRACKETED.search(m["at"])
-            dots = [x[0] for x in re.finditer(DOT, m["domain"], re.IGNORECASE)]
-            bare = not any(re.search(r"[(\[{<]", x) for x in dots)
-            if (m["at"] != "@" or dots) and not (bare_at and (not dots or bare and re.split(r"[\s.]+", m["domain"].lower())[-1] not in LAST_LABELS)):
-                add(*rewritten(flat, source, *m.span(), SIGN, lambda x: "@" if x["at"] else "."))
-    several = sum(map(SPELLED.__contains__, low.translate(PUNCTUATION).split())) >= 4
-    for m in SPELLED_RUN.finditer(flat) if several else ():
-        said, spans = rewritten(flat, source, *m.span(), NUMERAL_WORD, lambda x: "+" if x[1].lower() == "plus" else SPELLED[x[1].lower()])
-        kept = [i for i in range(len(said)) if not said[i].isspace() and said[i] != ","]
-        add("".join(said[i] for i in kept), [spans[i] for i in kept])
+        for start, end, kind in plain_spans(flat):
+            found.append((source[start], source[end - 1] + 1, kind))
+    signs = SIGN_WORDS.search(flat)
+    if signs:
+        for pieces in written_addresses(flat):
+            add(pieces)
+    said = flat.lower().translate(PUNCTUATION).split()
+    spelled = not SPELLED.keys().isdisjoint(said) and b"\1\1" in bytes(w in SPELLED or w[0].isdigit() for w in said)
+    if spelled or signs and DIGIT.search(flat):
+        for pieces in spelled_numbers(flat):
+            add(pieces)
     for m in MIXED_RUN.finditer(flat) if DIGIT.search(flat) else ():
         run = m[0]
         if re.search("[OoIl|]", run) and sum(map(str.isdigit, run)) >= 6:
-            add(run.translate(LETTER_DIGITS), [(source[i], source[i] + 1) for i in range(*m.span())])
+            add([(c.translate(LETTER_DIGITS), i, i + 1) for c, i in zip(run, range(*m.span()), strict=True)])
     return found
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """The plain spans, and all spans: the plain ones and those disguised ones that no span of their kind overlaps."""
     base = plain_spans(text)
-    added = list(base)
+    held = {kind: sorted((s, e) for s, e, k in base if k == kind) for kind in KINDS}
+    added = []
     for start, end, kind in sorted(set(disguised_spans(text)), key=lambda s: (s[0], -s[1], s[2])):
-        if all(k != kind or e <= start or s >= end for s, e, k in added):
+        own = held[kind]
+        at = bisect.bisect_left(own, (end, 0))
+        if not at or own[at - 1][1] <= start:
+            own.insert(at, (start, end))
             added.append((start, end, kind))
-    return base, sorted(added, key=order)
+    return base, sorted(base + added, key=order)
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
