@@ -2,10 +2,12 @@
 
 A classifier, fitted on the table of labels, gives every document a posterior over the domains. The
 rates are nonnegative and minimise the squared differences between the domains' expected totals,
-the sums of ``rate * tokens * posterior``, and the targets. Projected gradients do it: each step
-sums the totals over all documents in Spark and moves every rate against the gradient, cut off at
-zero. The squares are weighted by the inverse of the domains' token-weighted second moments, which
-makes the problem well conditioned. DataFrame functions and Spark ML only.
+the sums of ``rate * tokens * posterior``, and the targets. Projected gradients do it: rates start at one;
+each step sums the totals over all documents in Spark, moves the rates against the gradient and cuts them off
+at zero. A gradient is a weight for each domain times the document's posterior, so all steps together are
+one weight for each domain, and a rate is ``max(0, 1 + weights . posterior)``. Steps are scaled by the
+second moments of the documents whose rate is not zero, as these are at each step, and of several step lengths,
+judged in one pass, the best is taken; a few passes meet the targets. DataFrame functions and Spark ML only.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ DOMAINS = ("good", "plain", "toxic")
 TARGETS = {"good": 0.8, "plain": 0.195, "toxic": 0.005}
 #: Labelled documents that the classifier is fitted on, at most (drawn by a hash of the id); hashed word features.
 MOST_LABELLED, FEATURES = 20_000, 1 << 15
-#: Gradient steps at most, and the largest relative miss of a target that ends them.
-STEPS, MISS = 30, 1e-3
+#: The largest relative miss of a target that ends the steps, the step lengths tried, and passes in a row without a lesser miss after which targets count as out of reach.
+MISS, LENGTHS, IDLE = 1e-5, (1.0, 0.5, 0.2, 0.05, 0.01), 8
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -63,41 +65,69 @@ def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return model.transform(ready).select("doc_id", "n_tokens", F.transform(F.sequence(F.lit(0), F.lit(len(DOMAINS) - 1)), lambda i: F.coalesce(F.get(p, i), F.lit(0.0))).alias("p"))
 
 
-def dot(weights: list[float]) -> Column:
-    return sum((F.col(f"p{i}") * float(w) for i, w in enumerate(weights)), F.lit(0.0))
+def rate_of(weights: np.ndarray) -> Column:
+    return F.greatest(F.lit(0.0), sum((F.col(f"p{i}") * float(w) for i, w in enumerate(weights)), F.lit(1.0)))
 
 
-def fitted_rates(soft: DataFrame, targets: dict[str, float]) -> Column:
-    """The rate of each row of ``soft(n_tokens, p0, p1, ...)`` as a column expression over it."""
+def fitted_weights(soft: DataFrame, targets: dict[str, float]) -> tuple[np.ndarray, float]:
+    """The domains' weights for ``soft(n_tokens, p0, p1, ...)``, and the largest relative miss of a target that is left.
+
+    The weights minimise ``sum(tokens * rate ** 2) / 2 - wanted . weights``, whose gradient is the totals'
+    difference from the targets; so they give the rates nearest to one that meet the targets. Targets that
+    no rates meet (a domain without any posterior) end the search when no step makes the miss less.
+    """
     k, t = len(DOMAINS), F.col("n_tokens").cast("double")
-    moments = soft.agg(F.sum(t).alias("t"), *[F.sum(t * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"m{i}_{j}") for i in range(k) for j in range(k)]).first()
-    total = moments["t"] or 0.0
-    rate = F.lit(1.0)
+    total = soft.agg(F.sum(t)).first()[0] or 0.0
+    weights = np.zeros(k)
     if not total:
-        return rate
-    second = np.array([[moments[f"m{i}_{j}"] / total for j in range(k)] for i in range(k)])
-    inverse = np.linalg.pinv(second + 1e-6 * np.eye(k))
+        return weights, 0.0
     wanted = np.array([targets[d] for d in DOMAINS])
     wanted = wanted / wanted.sum()
-    for _ in range(STEPS):
-        row = soft.agg(*[F.sum(rate * t * F.col(f"p{i}")).alias(f"e{i}") for i in range(k)]).first()
-        miss = np.array([row[f"e{i}"] for i in range(k)]) / total - wanted
-        if np.abs(miss / np.maximum(wanted, 1e-9)).max() < MISS:
+
+    def judged(candidates: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        sums = []
+        for c, w in enumerate(candidates):
+            rate = rate_of(w)
+            sums.append(F.sum(t * rate * rate).alias(f"v{c}"))
+            sums += [F.sum(t * rate * F.col(f"p{i}")).alias(f"e{c}_{i}") for i in range(k)]
+            sums += [F.sum(F.when(rate > 0, t * F.col(f"p{i}") * F.col(f"p{j}")).otherwise(0.0)).alias(f"m{c}_{i}_{j}") for i in range(k) for j in range(i, k)]
+        row = soft.agg(*sums).first()
+        out = []
+        for c, w in enumerate(candidates):
+            short = np.array([row[f"e{c}_{i}"] for i in range(k)]) / total - wanted
+            second = np.array([[row[f"m{c}_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / total
+            out.append((row[f"v{c}"] / total / 2 - float(wanted @ w), short, second))
+        return out
+
+    miss = lambda short: float(np.abs(short / np.maximum(wanted, 1e-9)).max())
+    value, short, second = judged([weights])[0]
+    best, idle = (miss(short), weights), 0
+    while best[0] >= MISS and idle < IDLE:
+        step = np.linalg.solve(second + 1e-9 * np.eye(k), short)
+        tried = [weights - length * step for length in LENGTHS]
+        found = judged(tried)
+        at = min(range(len(found)), key=lambda i: found[i][0])
+        if found[at][0] >= value - 1e-15:
             break
-        rate = F.greatest(F.lit(0.0), rate - dot(list(inverse @ miss)))
-    return rate
+        weights, (value, short, second) = tried[at], found[at]
+        idle = 0 if miss(short) < 0.99 * best[0] else idle + 1
+        if miss(short) < best[0]:
+            best = (miss(short), weights)
+    return best[1], best[0]
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """``doc_id, n_tokens, p_*, rate`` for every row of ``docs(doc_id, text)``.
+    """``doc_id, n_tokens, p_*, rate, miss`` for every row of ``docs(doc_id, text)``.
 
     ``rate`` is how many times the document is to be taken, in expectation; all rates together take
-    as many tokens as the corpus has. Texts without words have a rate as well, which changes no total.
-    An empty table gives an empty result. Repeated rows count each.
+    as many tokens as the corpus has. ``miss`` is the largest relative difference of a domain's total from its
+    target, the same in all rows: near zero, unless the corpus cannot meet the targets. Texts without words have a rate as
+    well, which changes no total. An empty table gives an empty result. Repeated rows count each.
     """
     soft = posteriors(docs, labels)
     soft = stored(soft.select("doc_id", "n_tokens", *[F.get("p", i).alias(f"p{i}") for i in range(len(DOMAINS))]), "posteriors")
-    return soft.select("doc_id", "n_tokens", *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(DOMAINS)], fitted_rates(soft, targets).alias("rate"))
+    weights, miss = fitted_weights(soft, targets)
+    return soft.select("doc_id", "n_tokens", *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(DOMAINS)], rate_of(weights).alias("rate"), F.lit(miss).alias("miss"))
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
