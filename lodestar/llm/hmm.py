@@ -15,7 +15,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.langid import crc_remainder
@@ -73,22 +73,41 @@ class Lexicon:
         return self.head + 1 + CLASSES
 
 
-def lexicon(counts: DataFrame) -> Lexicon:
-    """The lexicon of ``counts(word, c)``, and the sums of each class over all words.
+def most_frequent(held: DataFrame, most: int) -> list[tuple[int, bytes]]:
+    """``(c, word)`` of the ``most`` most frequent words of ``held(word, c)``; those of equal counts are taken in the order of a hash.
 
-    Words are taken by eighths of a power of two of their counts, from the highest down, while all
-    of an eighth fit into ``LOOKUP``; so only the lexicon's own rows reach the driver.
+    The cut is sought by sums: first by eighths of a power of two of the counts, then by the counts of the
+    eighth that does not fit, then by ranges of the hash of the words with the count that does not fit.
+    So about ``most`` rows reach the driver, and ties and words of one count only are cut like any others.
     """
-    eighth = F.floor(8 * F.log2("c"))
-    held = counts.where(F.length("word") > 0)
-    least, taken = None, 0
-    for r in sorted(held.groupBy(eighth.alias("e")).count().collect(), key=lambda r: -r.e):
-        taken += r["count"]
-        if taken > LOOKUP:
-            break
-        least = r.e
-    top = sorted(held.where(eighth >= least).select("c", "word").collect(), key=lambda r: (-r.c, bytes(r.word))) if least is not None else []
-    words, own = [bytes(r.word) for r in top], np.array([r.c for r in top], np.int64)
+    eighth, unit = F.floor(8 * F.log2("c")), F.pmod(F.xxhash64("word"), F.lit(1 << 40))
+
+    def fitting(rows: DataFrame, by: Column, room: int, falling: bool) -> tuple[int | None, int]:
+        """The first value that does not fit into ``room``, and the room left before it."""
+        for r in sorted(rows.groupBy(by.alias("x")).count().collect(), key=lambda r: -r.x if falling else r.x):
+            if r["count"] > room:
+                return r.x, room
+            room -= r["count"]
+        return None, room
+
+    band, room = fitting(held, eighth, most, True)
+    wanted = eighth > band if band is not None else F.lit(True)
+    if band is not None:
+        last, room = fitting(held.where(eighth == band), F.col("c"), room, True)
+        wanted = wanted | ((eighth == band) & (F.col("c") > last))
+        edge, room = fitting(held.where(F.col("c") == last), F.floor(unit / (1 << 24)), room, False)
+        wanted = wanted | ((F.col("c") == last) & (F.floor(unit / (1 << 24)) < edge))
+        tied = held.where((F.col("c") == last) & (F.floor(unit / (1 << 24)) == edge)).orderBy(unit, "word").limit(room)
+        rows = held.where(wanted).select("c", "word").unionByName(tied.select("c", "word"))
+    else:
+        rows = held.select("c", "word")
+    return sorted(((r.c, bytes(r.word)) for r in rows.collect()), key=lambda r: (-r[0], r[1]))
+
+
+def lexicon(counts: DataFrame, most: int = LOOKUP) -> Lexicon:
+    """The lexicon of ``counts(word, c)``, its ``most`` most frequent words, and the sums of each class over all words."""
+    top = most_frequent(counts.where(F.length("word") > 0), most)
+    words, own = [w for _, w in top], np.array([c for c, _ in top], np.int64)
     head = min(HEAD, len(words))
     emitted = set(words[:head])
 
