@@ -3,12 +3,13 @@
 N-grams of one to three characters are hashed to ``DIM`` buckets. Document frequencies count every
 learning document. Weights come from follow-the-regularised-leader with an elastic-net penalty,
 run over a bounded sample of labelled documents in parallel parts whose models are averaged, twice.
-A part of the sample that training does not see sets the softmax temperature.
+Parts are as many as the sample asks for. What training does not see of the sample sets the softmax temperature.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,16 @@ from lodestar.sources.tables import stored, table
 
 DIM_BITS = 15
 DIM = 1 << DIM_BITS
-#: Documents of one language, and languages (the most frequent), that training takes at most; parts it runs in; rounds of averaging.
-PER_LANGUAGE, MOST_LANGUAGES, PARTS, ROUNDS = 5000, 500, 8, 2
+#: Documents of one language, and of all, that training takes (about, and one of each language at least); documents in one of the parts it runs in; rounds of averaging.
+PER_LANGUAGE, MOST_SAMPLED, PART_ROWS, ROUNDS = 5000, 1_000_000, 2000, 2
+#: Parts at least; of five rows, how many teach (the others set the temperature and the bar).
+LEAST_PARTS, TAUGHT = 8, 4
 #: FTRL: step, step offset, L1 and L2 penalty.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.01
 CHUNK = 1 << 18
 UNKNOWN = "und"
+#: The stage's bar: texts of a language that a trigram must be in to count as used, texts that tell which are, and the share of the middle share.
+USED, LEAST_TEXTS, BAR = 0.01, 50, 0.6
 
 
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -114,24 +119,39 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
     return np.log((df[DIM] + 1) / (df[:DIM] + 1)) + 1
 
 
+def sampled(labelled: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """The sample of ``labelled(text, lang)`` that training takes, with a ``part`` (-1 for held-out rows), and all languages.
+
+    Rows are drawn by a hash of the text, each language by its own share; equal texts with one label count once.
+    """
+    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    languages = tuple(sorted(counts))
+    wanted = max(1, min(PER_LANGUAGE, MOST_SAMPLED // max(1, len(counts))))
+    shares = labelled.sparkSession.createDataFrame([(x, min(1.0, wanted / n)) for x, n in counts.items()], "lang string, share double")
+    unit = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
+    sample = labelled.join(F.broadcast(shares), "lang").where(unit < F.col("share")).select("text", "lang").dropDuplicates(["text", "lang"])
+    parts = max(LEAST_PARTS, sum(min(n, wanted) for n in counts.values()) // PART_ROWS)
+    at = F.pmod(F.hash("text"), F.lit(5 * parts))
+    return stored(sample.withColumn("part", F.when(at >= TAUGHT * parts, -1).otherwise(F.pmod(at, F.lit(parts)))), "labelled"), languages
+
+
 def train(labelled: DataFrame) -> Model:
+    """``trained`` without its sample."""
+    return trained(labelled)[0]
+
+
+def trained(labelled: DataFrame) -> tuple[Model, DataFrame]:
     """A model from ``labelled(text, lang)``; rows with a null or without a letter teach nothing.
 
-    Statistics cover all rows. Weights are fitted on about ``PER_LANGUAGE`` rows of each language
-    at most, drawn by a hash of the text; equal texts with one label count once there.
+    Statistics cover all rows. Weights are fitted on about ``PER_LANGUAGE`` rows of each language, and ``MOST_SAMPLED`` of all,
+    at most. Every language is learnt, also one with a single row; the model takes 256 KB for each. The sample comes with it.
     """
     labelled = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    languages = tuple(sorted(r.lang for r in counts))
+    sample, languages = sampled(labelled)
     if not languages:
-        return Model((), np.ones(DIM), np.zeros((0, DIM)))
+        return Model((), np.ones(DIM), np.zeros((0, DIM))), sample
     idf = inverse_frequencies(labelled.select("text"))
     number = {lang: i for i, lang in enumerate(languages)}
-    share = {r.lang: min(1.0, PER_LANGUAGE / r["count"]) for r in counts}
-    drawn = F.create_map(*[F.lit(x) for lang in languages for x in (lang, share[lang])])
-    unit = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.where(unit < F.try_element_at(drawn, F.col("lang"))).dropDuplicates(["text", "lang"]).withColumn("part", F.pmod(F.hash("text"), F.lit(5 * PARTS)))
-    sample = stored(sample.withColumn("part", F.when(F.col("part") >= 4 * PARTS, -1).otherwise(F.pmod("part", F.lit(PARTS)))), "labelled")
     weights = np.zeros((len(languages), DIM))
     learning = sample.where("part >= 0")
 
@@ -155,27 +175,32 @@ def train(labelled: DataFrame) -> Model:
         for row in parts.groupBy("k", "bucket").agg((F.sum("w") / total).alias("w")).collect():
             weights[row.k, row.bucket] = row.w
     model = Model(languages, idf, weights)
+    return replace(model, temperature=temperature(sample.where("part < 0"), model)), sample
 
-    def judge(batches):
-        for batch in batches:
-            rows = [(model.logits(t), number[y]) for t, y in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True) if has_letter(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([x.tolist() for x, _ in rows], pa.list_(pa.float64())), pa.array([y for _, y in rows], pa.int64())], ["x", "y"])
-
-    held = sample.where("part < 0").mapInArrow(judge, "x array<double>, y long").collect()
-    return Model(languages, idf, weights, temperature(np.array([r.x for r in held]), np.array([r.y for r in held], int)) if held else 1.0)
-
-
-def temperature(logits: np.ndarray, y: np.ndarray) -> float:
-    """The temperature with the least negative log-likelihood, by a search over a falling grid."""
-
-    def loss(t: float) -> float:
-        return float(-np.log(softmax(logits / t)[np.arange(len(y)), y] + 1e-12).mean())
 
+def temperature(held: DataFrame, model: Model) -> float:
+    """The temperature with the least negative log-likelihood of ``held(text, lang)``, by grids whose losses are summed over all rows; one without rows."""
+    number = {lang: i for i, lang in enumerate(model.languages)}
     low, high = np.log(0.02), np.log(20.0)
-    for _ in range(40):
-        a, b = low + (high - low) / 3, high - (high - low) / 3
-        low, high = (low, b) if loss(np.exp(a)) <= loss(np.exp(b)) else (a, high)
-    return float(np.exp((low + high) / 2))
+    for _ in range(2):
+        grid = np.exp(np.linspace(low, high, 25))
+
+        def judge(batches, grid=grid):
+            loss, n = np.zeros(len(grid)), 0
+            for batch in batches:
+                for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
+                    if has_letter(text):
+                        loss -= np.log(softmax(model.logits(text)[None, :] / grid[:, None])[:, number[lang]] + 1e-12)
+                        n += 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(grid))), pa.array(loss), pa.array(np.full(len(grid), n))], ["at", "loss", "n"])
+
+        sums = held.mapInArrow(judge, "at long, loss double, n long").groupBy("at").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n")).collect()
+        if not sums or not sums[0].n:
+            return 1.0
+        best = min(sums, key=lambda r: (round(r.loss, 9), r["at"]))["at"]
+        step = np.log(grid[1] / grid[0])
+        low, high = np.log(grid[best]) - step, np.log(grid[best]) + step
+    return float(grid[best])
 
 
 def crc_remainder(column: str, of: int) -> Column:
@@ -206,14 +231,103 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.3) -> DataFrame:
-    """The documents whose language is told with a probability of ``least`` or more; rows and columns as given."""
-    model = train(docs.where(crc_remainder("doc_id", 3) != 1))
+def letter_trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a whole text's trigrams of letters, other characters counting as single blanks, ascending, and how often each occurs; those with one letter are left out."""
+    counts = np.zeros(DIM, np.int64)
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    for at in range(0, len(points), CHUNK):
+        part = points[at : at + CHUNK + 2]
+        letter = is_letter()[part]
+        part = np.where(letter, part, np.uint32(32))
+        kept = letter | np.concatenate([[True], letter[:-1]])
+        part, letter = part[kept], letter[kept]
+        sure = letter[:-2].astype(np.int8) + letter[1:-1] + letter[2:] >= 2
+        codes = ((part[:-2] * np.uint32(0x9E3779B1) + part[1:-1]) * np.uint32(0x85EBCA6B) + part[2:])[sure]
+        codes = (codes ^ (codes >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        counts += np.bincount(codes >> np.uint32(32 - DIM_BITS), minlength=DIM)
+    found = np.flatnonzero(counts)
+    return found, counts[found]
+
+
+@cache
+def is_letter() -> np.ndarray:
+    return np.array([chr(i).isalpha() for i in range(0x110000)])
+
+
+@dataclass(frozen=True)
+class Usage:
+    """Which trigrams each language uses, and the share of a text's trigrams that must be used in its languages."""
+
+    known: np.ndarray
+    bar: float = 0.0
+
+    def share(self, text: str, language: int) -> tuple[float, int]:
+        """The share of a text's trigrams that ``language``, or the one other language that knows most of the rest, uses; and their number."""
+        found, counts = letter_trigrams(text)
+        rest = counts * ~self.known[language, found]
+        return (1.0 - (rest.sum() - max(0, (self.known[:, found] @ rest).max())) / counts.sum() if len(found) else 1.0), int(counts.sum())
+
+    def foreign(self, text: str, language: int) -> bool:
+        """Whether the share is below the bar even if it is two standard deviations short by chance."""
+        share, n = self.share(text, language)
+        return share + 2 * np.sqrt(share * (1 - share) / max(n, 1)) < self.bar
+
+
+def usage(sample: DataFrame, model: Model) -> Usage:
+    """The trigrams that ``USED`` of a language's texts in ``sample(text, lang, part)`` have, and the bar that held-out texts set.
+
+    A language with fewer than ``LEAST_TEXTS`` texts to learn from is taken to use every trigram.
+    """
+    number = {lang: i for i, lang in enumerate(model.languages)}
+
+    def count(batches):
+        seen = np.zeros((len(number), DIM), np.int32)
+        for batch in batches:
+            for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
+                seen[number[lang], letter_trigrams(text)[0]] += 1
+        k, b = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(b), pa.array(seen[k, b].astype(np.int64))], ["k", "bucket", "n"])
+
+    learnt = sample.where("part >= 0")
+    sizes = {r.lang: r["count"] for r in learnt.groupBy("lang").count().collect()}
+    known = np.ones((len(number), DIM), bool)
+    for lang, n in sizes.items():
+        known[number[lang]] = n < LEAST_TEXTS
+    least = learnt.sparkSession.createDataFrame([(number[x], max(1, int(USED * n))) for x, n in sizes.items() if n >= LEAST_TEXTS], "k long, least long")
+    uses = learnt.mapInArrow(count, "k long, bucket long, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).join(F.broadcast(least), "k").where("n >= least")
+    for r in uses.groupBy("k").agg(F.collect_list("bucket").alias("buckets")).collect():
+        known[r.k, r.buckets] = True
+    found = Usage(known)
+
+    def judge(batches):
+        for batch in batches:
+            rows = [found.share(t, number[y])[0] for t, y in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True) if has_letter(t)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.float64())], ["share"])
+
+    middle = sample.where("part < 0").mapInArrow(judge, "share double").agg(F.percentile_approx("share", 0.5)).first()[0]
+    return replace(found, bar=BAR * middle if middle is not None else 0.0)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that are in some learnt language, or in two; rows and columns as given.
+
+    Rejected are texts without a letter, null and empty ones among them, and texts whose trigrams are too rarely used in the predicted
+    language and in the one other that knows most of the rest: less than ``BAR`` of what is the middle among held-out
+    labelled texts. So the bar does not depend on how many languages there are, and a short text has the benefit of the doubt. Where no
+    row has a language nothing with a letter is rejected.
+    """
+    model, sample = trained(docs.where(crc_remainder("doc_id", 3) != 1))
+    uses = usage(sample, model) if model.languages else None
+    number = {lang: i for i, lang in enumerate(model.languages)}
     at = docs.columns.index("text")
 
+    def keep(text: str | None) -> bool:
+        if uses is None or not has_letter(text):
+            return has_letter(text)
+        return not uses.foreign(text, number[model.predict(text)[0]])
+
     def run(batches):
         for batch in batches:
-            said = (model.predict(t) for t in batch.column(at).to_pylist())
-            yield batch.filter(pa.array([lang != UNKNOWN and p >= least for lang, p in said], pa.bool_()))
+            yield batch.filter(pa.array([keep(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
