@@ -2,10 +2,12 @@
 
 Two fingerprints of 64 bits that differ in at most three bits differ in at most one bit of their
 upper or of their lower 32 bits. So two trees, one on each half, with a search radius of one bit
-find every link. A tree's inner nodes hold a vantage point and a radius; half-fingerprints within
-that radius belong to the inner branch. By the triangle inequality only those within one bit of
-the radius can have partners on the other side, and only those are copied across the boundary.
-The leaves are the shards: each is searched on its own, comparing whole fingerprints.
+find every link. The nodes of one level of a tree share a vantage point, and have a branch for every
+distance from it. By the triangle inequality a partner within one bit is in the same branch or in one beside it,
+at every level; a half-fingerprint is copied only to those leaves that a partner can really be in,
+a dozen or so however deep the tree is, and the tree is as deep as the number of fingerprints asks for.
+The leaves are the shards: each is searched on its own, comparing whole fingerprints. A leaf that
+is too large for one task is dealt again by the bits of the other half.
 """
 
 from __future__ import annotations
@@ -26,8 +28,12 @@ from lodestar.sources.tables import stored, table
 SHINGLE = 3
 MAX_BITS = 3
 SEED = 42
-#: Tree parameters: fingerprints in the sample that the driver builds a tree from (about, and never twice as many), sampled ones in a leaf (at least), fingerprints wanted in a shard.
-SAMPLE, LEAF_SAMPLE, SHARD = 1 << 16, 8, 1024
+#: Fingerprints wanted in a leaf, bits that a level tells apart (about), rows of leaves that a task searches at once.
+LEAF, LEVEL_BITS, GROUP_ROWS = 64, 3.0, 100_000
+#: Rows from which a leaf is dealt again, and how often that is done.
+HOT, ROUNDS = 20_000, 4
+#: Vantage points, by side and level.
+VANTAGE = np.random.default_rng(SEED).integers(0, 2**32, (2, 11), dtype=np.uint32)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -62,121 +68,142 @@ def half(fps: np.ndarray, side: int) -> np.ndarray:
     return ((fps.view(np.uint64) >> np.uint64(32 * side)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def choose_split(points: np.ndarray, band: int) -> tuple[np.uint32, int] | None:
-    """A vantage point and radius that halve ``points`` with few of them near the boundary; None if none prunes."""
-    best = (0.95, None)
-    for vantage in points[:: max(1, len(points) // 8)][:8]:
-        near = np.cumsum(np.bincount(np.bitwise_count(points ^ vantage), minlength=34)) / len(points)
-        for m in range(32):
-            inner, copied = near[m], near[min(m + band, 32)] - near[m]
-            both = near[min(m + band, 32)] - (near[m - band] if m >= band else 0)
-            cost = inner * (inner + copied) + (1 - inner) ** 2 + 0.5 * both
-            if 0.02 < inner < 0.98 and cost < best[0]:
-                best = (cost, (vantage, m))
-    return best[1]
-
-
-def build_tree(points: np.ndarray, band: int, leaf: int) -> list:
-    """Nodes ``[vantage, radius, inner, outer]`` as a list; a leaf is its number alone."""
-    tree: list = []
-
-    def grow(own: np.ndarray) -> int:
-        at = len(tree)
-        tree.append(at)
-        split = choose_split(own, band) if len(own) > 2 * leaf else None
-        if split:
-            inside = np.bitwise_count(own ^ split[0]) <= split[1]
-            tree[at] = [split[0], split[1], grow(own[inside]), grow(own[~inside])]
-        return at
-
-    grow(points)
-    return tree
-
-
-def place(tree: list, points: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which points go to which leaves, as ``(index, leaf, home)``; every point has one home leaf."""
-    out, todo = [], [(0, np.arange(len(points)), np.ones(len(points), bool))]
-    while todo:
-        at, index, home = todo.pop()
-        if not len(index):
-            continue
-        if not isinstance(tree[at], list):
-            out.append((index, np.full(len(index), at), home))
-            continue
-        vantage, radius, inner, outer = tree[at]
-        d = np.bitwise_count(points[index] ^ vantage).astype(np.int64)
-        to_inner, to_outer = d - band <= radius, np.where(home, d > radius, d + band > radius)
-        todo += [(inner, index[to_inner], (home & (d <= radius))[to_inner]), (outer, index[to_outer], home[to_outer])]
-    empty = np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (empty, empty, empty.astype(bool))
-
-
-def link_shard(fps: np.ndarray, home: np.ndarray, side: int, bits: int = MAX_BITS, block: int = 512) -> np.ndarray:
-    """For each fingerprint of a shard, the least index that links reach; pairs without a home end are left to other shards.
-
-    Fingerprints are sorted by their distance to a vantage point; a block is compared only with
-    those whose distance differs by the radius at most.
+def levels_for(total: int) -> int:
+    """Levels at which leaves have about ``LEAF`` of ``total`` fingerprints; a level parts them some ten ways."""
+    return int(np.clip(np.ceil(np.log2(max(total, 1) / LEAF) / LEVEL_BITS), 1, len(VANTAGE[0])))
+
+
+def branch(parts: np.ndarray, side: int, levels: int) -> np.ndarray:
+    """The leaf of each half-fingerprint: its distances to the vantage points of the levels, and the side."""
+    key = np.zeros(len(parts), np.int64)
+    for vantage in VANTAGE[side][:levels]:
+        key = key * 33 + np.bitwise_count(parts ^ vantage)
+    return key * 2 + side
+
+
+def place(fps: np.ndarray, side: int, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which fingerprints go to which leaves, as ``(index, leaf, home)``; every one has one home leaf.
+
+    A partner one bit away is one step nearer or farther at every level, so it is in one of few leaves. Of two
+    partners the one that has a zero in that bit is copied to the other's leaf, if that is not its own.
     """
     parts = half(fps, side)
-    d = np.bitwise_count(parts ^ parts[0]).astype(np.int64)
-    order = np.argsort(d, kind="stable")
-    d, own, homes, root = d[order], fps[order].view(np.uint64), home[order], np.arange(len(fps))
+    home = branch(parts, side, levels)
+    index, leaf = [], []
+    for bit in range(32):
+        own = np.flatnonzero((parts >> np.uint32(bit)) & np.uint32(1) == 0)
+        to = branch(parts[own] | np.uint32(1 << bit), side, levels)
+        other = to != home[own]
+        index.append(own[other])
+        leaf.append(to[other])
+    copies = np.stack([np.concatenate(index), np.concatenate(leaf)])
+    order = np.lexsort(copies)
+    copies = copies[:, order]
+    copies = copies[:, np.concatenate([[True], (np.diff(copies) != 0).any(axis=0)])[: copies.shape[1]]]
+    index = np.concatenate([np.arange(len(fps)), copies[0]])
+    return index, np.concatenate([home, copies[1]]), np.arange(len(index)) < len(fps)
+
+
+def link_leaf(fps: np.ndarray, homes: int, bits: int = MAX_BITS, block: int = 512) -> np.ndarray:
+    """For each fingerprint of a leaf, the least index that links reach; the first ``homes`` are at home, and pairs without such an end are left to other leaves."""
+    own, root = fps.view(np.uint64), np.arange(len(fps))
 
     def top(x: np.ndarray) -> np.ndarray:
-        while (up := root[x]).tobytes() != x.tobytes():
+        while ((up := root[x]) != x).any():
             x = up
         return x
 
-    for at in range(0, len(own), block):
-        end = min(at + block, len(own))
-        last = np.searchsorted(d, d[end - 1] + bits // 2, "right")
-        for lo in range(at, last, 4096):
-            hi = min(lo + 4096, last)
-            a, b = np.nonzero((np.bitwise_count(own[at:end, None] ^ own[None, lo:hi]) <= bits) & (homes[at:end, None] | homes[None, lo:hi]))
+    for at in range(0, homes, block):
+        for lo in range(at, len(own), 4096):
+            a, b = np.nonzero(np.bitwise_count(own[at : min(at + block, homes), None] ^ own[None, lo : lo + 4096]) <= bits)
             a, b = top(a + at), top(b + lo)
-            for x, y in np.unique(np.stack([a, b], 1)[a != b], axis=0).tolist():
-                while root[x] != x:
-                    x = root[x]
-                while root[y] != y:
-                    y = root[y]
-                root[max(x, y)] = min(x, y)
-            root[at:last] = top(root[at:last])
-    found = np.empty(len(fps), np.int64)
-    found[order] = order[top(np.arange(len(fps)))]
-    return found
-
-
-def links(fps: DataFrame, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
-    """Links ``(a, b)`` between the distinct fingerprints ``fps(fp)`` that span every group of a shard.
-
-    The two trees are built from a sample of about ``sample`` fingerprints, drawn by a hash; every
-    fingerprint is placed. A shard gives each of its fingerprints one link at most, so that a dense group never
-    becomes all its pairs.
+            while (a != b).any():
+                a, b = a[a != b], b[a != b]
+                np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+                root = top(root)
+                a, b = root[a], root[b]
+    return top(root)
+
+
+def links_of_leaves(leaf: np.ndarray, home: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span every group of every leaf: each fingerprint of a leaf has one link at most there."""
+    order = np.lexsort((~home, leaf))
+    leaf, home, fps = leaf[order], home[order], fps[order]
+    cuts = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1], [True]]))
+    homes = np.add.reduceat(home.astype(np.int64), cuts[:-1]) if len(leaf) else np.zeros(0, np.int64)
+    found = []
+    for s, e, n in zip(cuts[:-1].tolist(), cuts[1:].tolist(), homes.tolist(), strict=True):
+        if n and e - s > 1:
+            root = link_leaf(fps[s:e], n)
+            linked = np.flatnonzero(root != np.arange(e - s))
+            if len(linked):
+                found.append((fps[s + linked], fps[s + root[linked]]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def narrowed(leaf: np.ndarray, left: np.ndarray, home: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Deal the fingerprints of too large leaves again: ``left`` masks those bits of the other half that they may still differ in.
+
+    The bits go in ``MAX_BITS + 1`` groups, one of which two linked fingerprints have in common: each
+    fingerprint goes to a leaf for every group.
     """
-    spark, total, band = fps.sparkSession, fps.count(), MAX_BITS // 2
+    out = []
+    for side in (0, 1):
+        for mask in np.unique(left[leaf & 1 == side]).tolist():
+            own = np.flatnonzero((left == mask) & (leaf & 1 == side))
+            rest = half(fps[own], 1 - side).astype(np.int64)
+            for g, group in enumerate(np.array_split([b for b in range(32) if mask >> b & 1], MAX_BITS + 1)):
+                bits = sum(1 << int(b) for b in group)
+                key = (leaf[own].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ ((rest & bits) * 4 + g).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+                key = ((key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(2)
+                out.append((key.view(np.int64) * 2 + side, np.full(len(own), mask & ~bits), home[own], fps[own]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
+    """Links ``(a, b)`` between the distinct fingerprints ``fps(fp)`` that span every group of a leaf.
+
+    Every fingerprint is placed in both trees, whose depth follows from the number of fingerprints. A
+    leaf of more than ``hot`` rows is dealt again, up to ``ROUNDS`` times, by bits of the other half. A leaf gives
+    each of its fingerprints one link at most, so that a dense group never becomes all its pairs.
+    """
+    spark, total = fps.sparkSession, fps.count()
     if total < 2:
         return spark.createDataFrame([], "a long, b long")
-    part = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / total))
-    drawn = np.sort(np.array([r.fp for r in fps.where(part).limit(2 * sample).collect()], np.int64))
-    if not len(drawn):
-        drawn = np.array([fps.first().fp], np.int64)
-    leaf = max(LEAF_SAMPLE, int(shard * len(drawn) / total))
-    trees = [build_tree(half(drawn, side), band, leaf) for side in (0, 1)]
+    levels, schema = levels_for(total), "leaf long, left long, home boolean, fp long"
 
     def deal(batches):
         for batch in batches:
             own = batch.column(0).to_numpy(zero_copy_only=False)
-            for side, tree in enumerate(trees):
-                index, at, home = place(tree, half(own, side), band)
-                yield pa.RecordBatch.from_arrays([pa.array(at * 2 + side, pa.int64()), pa.array(home), pa.array(own[index])], ["shard", "home", "fp"])
+            for side in (0, 1):
+                for at in range(0, len(own), 4096):
+                    part = own[at : at + 4096]
+                    index, leaf, home = place(part, side, levels)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (leaf, np.full(len(leaf), 0xFFFFFFFF), home, part[index])], ["leaf", "left", "home", "fp"])
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf["fp"].to_numpy(np.int64)
-        to = link_shard(own, pdf["home"].to_numpy(bool), int(pdf["shard"].iloc[0]) % 2)
-        linked = to != np.arange(len(own))
-        return pd.DataFrame({"a": own[linked], "b": own[to[linked]]})
+    def again(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in narrowed(*(c.to_numpy(zero_copy_only=False) for c in batch.columns))], ["leaf", "left", "home", "fp"])
 
-    return fps.mapInArrow(deal, "shard long, home boolean, fp long").groupBy("shard").applyInPandas(search, "a long, b long")
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = links_of_leaves(pdf["leaf"].to_numpy(np.int64), pdf["home"].to_numpy(bool), pdf["fp"].to_numpy(np.int64))
+        return pd.DataFrame({"a": a, "b": b})
+
+    dealt, found = fps.mapInArrow(deal, schema), None
+    for turn in range(ROUNDS + 1):
+        large = None
+        if turn < ROUNDS:
+            large = stored(dealt.groupBy("leaf").count().where(F.col("count") > hot).select("leaf"), "large")
+            large = large if large.head(1) else None
+        small = dealt if large is None else dealt.join(large, "leaf", "left_anti")
+        group = F.pmod(F.xxhash64("leaf"), F.lit(max(1, total * 16 // GROUP_ROWS)))
+        own = small.withColumn("bucket", group).groupBy("bucket").applyInPandas(search, "a long, b long")
+        found = own if found is None else found.unionByName(own)
+        if large is None:
+            return found
+        dealt = stored(dealt.join(large, "leaf", "left_semi").select("leaf", "left", "home", "fp").mapInArrow(again, schema), "dealt")
+    return found
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
