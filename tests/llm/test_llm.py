@@ -81,25 +81,49 @@ def test_tree_search_finds_every_link():
     for _ in range(3):
         noise |= np.where(r.random(6000) < 0.6, np.uint64(1) << r.integers(0, 64, 6000, dtype=np.uint64), np.uint64(0))
     fps = np.unique(np.concatenate([centres[r.integers(0, 300, 6000)] ^ noise, r.integers(0, 2**63, 3000, dtype=np.uint64)])).view(np.int64)
-    wanted = np.argwhere(np.triu(np.bitwise_count(fps.view(np.uint64)[:, None] ^ fps.view(np.uint64)[None, :]) <= 3, 1))
-    group = np.arange(len(fps))
-
-    def top(x):
-        while group[x] != x:
-            x = group[x]
-        return x
-
-    for side in (0, 1):
-        tree = simhash.build_tree(simhash.half(fps[::5], side), 1, 8)
-        index, leaf, home = simhash.place(tree, simhash.half(fps, side), 1)
-        assert np.bincount(index[home], minlength=len(fps)).tolist() == [1] * len(fps)
-        for at in np.unique(leaf):
-            own = index[leaf == at]
-            for x, y in zip(own, own[simhash.link_shard(fps[own], home[leaf == at], side)], strict=True):
-                a, b = top(x), top(y)
-                group[max(a, b)] = min(a, b)
-    assert all(top(a) == top(b) for a, b in wanted)
-    assert len({top(i) for i in range(len(fps))}) > 300
+    fps = np.sort(fps)
+    near = np.bitwise_count(fps.view(np.uint64)[:, None] ^ fps.view(np.uint64)[None, :]) <= 3
+    wanted = np.argwhere(np.triu(near, 1))
+    for levels in (1, 4, 8):
+        group = np.arange(len(fps))
+
+        def top(x, group=group):
+            while group[x] != x:
+                x = group[x]
+            return x
+
+        for side in (0, 1):
+            index, leaf, home = simhash.place(fps, side, levels)
+            assert np.bincount(index[home], minlength=len(fps)).tolist() == [1] * len(fps) and len(index) <= 17 * len(fps)
+            for more in (False, True):
+                rows = (leaf, home, fps[index])
+                if more:
+                    narrow = simhash.narrowed(leaf, np.full(len(leaf), 0xFFFFFFFF), home, fps[index])
+                    assert len(narrow[0]) == 4 * len(leaf) and set((narrow[0] & 1).tolist()) == {side}
+                    rows = (narrow[0], narrow[2], narrow[3])
+                a, b = simhash.links_of_leaves(*rows)
+                for x, y in zip(np.searchsorted(fps, a), np.searchsorted(fps, b), strict=True):
+                    x, y = top(x), top(y)
+                    group[max(x, y)] = min(x, y)
+        assert all(top(a) == top(b) for a, b in wanted)
+        assert len({top(i) for i in range(len(fps))}) > 300
+
+
+def test_large_leaves_are_dealt_again(spark):
+    r = np.random.default_rng(3)
+    centres = r.integers(0, 2**63, 20, dtype=np.uint64)
+    fps = np.unique(centres[r.integers(0, 20, 1500)] ^ (np.uint64(1) << r.integers(0, 64, 1500, dtype=np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 1500, dtype=np.uint64)))
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
+    label = np.arange(len(fps))
+    for _ in range(30):
+        label = np.array([label[x].min() for x in near])
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    for hot in (simhash.HOT, 60):
+        pairs = simhash.links(df, hot).collect()
+        at = {int(x): i for i, x in enumerate(fps.view(np.int64))}
+        assert all(label[at[p.a]] == label[at[p.b]] for p in pairs)
+        roots = {x.node: x.root for x in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+        assert len(set(roots.values())) + len(fps) - len(roots) == len(set(label.tolist()))
 
 
 def near_copy_texts(n: int = 120, seed: int = 11) -> list[tuple]:
