@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters with marks and the plain letters they fold to, position by position.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Letters of the Latin blocks whose decomposition is one ASCII letter with marks, and those letters, position by position.
+_PAIRS = [(c, p) for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if c.lower() == c and len(p := "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))) == 1 and p.isascii() and p != c]
+MARKED, PLAIN = "".join(c for c, _ in _PAIRS), "".join(p for _, p in _PAIRS)
 WORD = r"[\p{L}\p{N}]+"
 DOI = r"10\.[0-9]{4,9}/[^\s\x22<>]+"
-#: Function words that carry no topic, for the corpus's four languages.
+# Function words that carry no topic, for the corpus's four languages.
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "der", "des", "die", "de", "el", "en", "et", "for", "from", "in", "is", "it", "la", "le", "les", "of", "on", "or", "que", "the", "to", "und", "was", "with", "y"]
 
 
 def fold(x: Column) -> Column:
-    """Lower case without accents; sharp s becomes ``ss``."""
-    return F.replace(F.translate(F.lower(x), MARKED, PLAIN), F.lit("ß"), F.lit("ss"))
+    """Lower case without accents, whether they are part of a letter or follow it; sharp s becomes ``ss``."""
+    return F.replace(F.regexp_replace(F.translate(F.lower(x), MARKED, PLAIN), r"\p{Mn}+", ""), F.lit("ß"), F.lit("ss"))
 
 
 def ascii_words(x: Column) -> Column:
@@ -91,11 +93,27 @@ def coverage(terms: Column, words: Column) -> Column:
     return F.when(F.size(terms) == 0, 0.0).otherwise(F.size(F.array_intersect(terms, words)) / F.size(F.array_distinct(terms)))
 
 
+# The weights of the four signs of a readable text, the share of letters and the length from which they count in full.
+READABLE = {"visible": 0.25, "letters": 0.30, "words": 0.25, "length": 0.20}
+LETTERS_ENOUGH, LENGTH_ENOUGH = 0.7, 80
+
+
 def readable_share(x: Column) -> Column:
-    """How much a recognised text looks like text: printable share, letters and digits, words, and length, weighed."""
-    length = F.greatest(F.length(x), F.lit(1))
-    printable = F.length(F.regexp_replace(x, r"[^\x20-\x7E\p{L}\p{N}\n]", "")) / length
-    letters = F.least(F.length(F.regexp_replace(x, r"[^\p{L}\p{N}]", "")) / length / 0.7, F.lit(1.0))
+    """How much a recognised text looks like text, from zero to one.
+
+    Four signs count: characters that can be seen, letters and digits, words of letters only with a mark
+    behind them at most, and enough length.
+    """
+
+    def kept(pattern: str) -> Column:
+        return F.length(F.regexp_replace(x, pattern, "")) / F.greatest(F.lit(1), F.length(x))
+
     pieces = F.filter(F.split(x, r"\s+"), lambda p: p != "")
-    words = F.size(F.filter(pieces, lambda p: p.rlike(r"^[\p{L}]{2,}[.,;:!?]?$"))) / F.greatest(F.size(pieces), F.lit(1))
-    return F.round(0.25 * printable + 0.30 * letters + 0.25 * words + 0.20 * F.least(F.length(x) / 80, F.lit(1.0)), 6)
+    plain = F.filter(pieces, lambda p: p.rlike(r"^[\p{L}]{2,}[.,;:!?]?$"))
+    signs = {
+        "visible": kept(r"[^\x20-\x7E\p{L}\p{N}\n]"),
+        "letters": F.least(F.lit(1.0), kept(r"[^\p{L}\p{N}]") / LETTERS_ENOUGH),
+        "words": F.size(plain) / F.greatest(F.lit(1), F.size(pieces)),
+        "length": F.least(F.lit(1.0), F.length(x) / LENGTH_ENOUGH),
+    }
+    return F.round(sum((READABLE[k] * v for k, v in signs.items()), F.lit(0.0)), 6)

@@ -5,14 +5,15 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.functions.text import coverage, tokens
+from lodestar.functions.text import content_terms, coverage, jaccard, tokens
+from lodestar.operators.retrieval import article_details, article_hits, ranked_articles
 from lodestar.plans.registry import query
 from lodestar.sources.bindings import CHUNKS, TOKENS, chunks, search_queries
-from lodestar.sources.tables import table
+from lodestar.sources.tables import stored, table
 
 TARGET, MOST, OVERLAP = 420, 512, 80
 UNIT_TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -83,36 +84,95 @@ def excerpt_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("n", n).where("n <= 2").select("chunk_id", "n", "sentence")
 
 
-ROLES = {"results": 0.18, "discussion": 0.14, "conclusion": 0.12, "abstract": 0.08, "introduction": 0.02, "other": 0.0, "methods": -0.12}
+# Bonuses by section, weights of a passage's other marks, words of contrast and of questions about methods, what a measurement looks like, and the roles of sections.
+SECTION_BONUS = {"results": 0.25, "discussion": 0.22, "conclusion": 0.24, "abstract": 0.06, "introduction": 0.02, "other": 0.0, "materials and methods": -0.12}
+RANK_BONUS, OVERLAP_BONUS, MEASURED_BONUS, CONTRAST_BONUS, METHODS_MALUS, CONTEXT_BONUS = 0.40, 0.22, 0.10, 0.07, 0.12, 0.22
+RANKS, CONTEXT_REACH, NEAR, BUDGET, CANDIDATES = 8, 4, 0.85, 32_000, 100
+METHODS = ["methods", "materials and methods", "methodology"]
+CONTRAST = ["although", "but", "cependant", "contrairement", "contrary", "however", "neanmoins", "not", "whereas"]
+METHOD_WORDS = ["assay", "design", "echantillon", "echantillons", "method", "methode", "methodes", "methods", "protocol", "protocole", "sample", "samples"]
+MEASURED = r"(?i)(?:\b[0-9]+(?:[.,][0-9]+)?\s*(?:%|°c|mg|g|kg|ml|l|h|hours?|jours?|days?|ppm|ppb)\b|\bp\s*[<=>]\s*0[.,][0-9]+\b|\b(?:mean|median|moyenne|médiane)\b)"
+ROLE = {"results": "result", "methods": "method_or_conditions", "materials and methods": "method_or_conditions", "methodology": "method_or_conditions", "discussion": "discussion_or_limit", "conclusion": "discussion_or_limit"}
 
 
-@query("passage_selection")
-def passage_selection(spark: SparkSession, sf_dir: str, count: int = 4, budget: int = 2400, near: float = 0.85) -> DataFrame:
-    """For each question and article that share words, passages by section, overlap and numbers, without near repeats and within a budget of characters.
+def looked_up(table: dict, key: Column, otherwise) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key], F.lit(otherwise))
+
 
-    Scores are expressions; the greedy choice runs over the fifty best passages of one question and article.
+def passage_candidates(hits: DataFrame, texts: DataFrame, queries: DataFrame, radius: int = 1) -> DataFrame:
+    """``query_id, article_id, chunk_id, section, text, said, role, pos, score`` of the chunks that passages are taken from.
+
+    ``hits(query_id, article_id, chunk_id, rank)`` are the ranked chunks of the chosen articles, of which the best ``RANKS`` of an article count; with
+    them come the first ``CANDIDATES`` chunks of the article. ``pos`` is a ranked chunk's place in its article, from zero. A chunk at most ``radius``
+    places from a ranked one has a role in its context.
+    """
+    terms = lambda c: F.array_distinct(F.filter(content_terms(c), lambda t: F.length(t) >= 2))
+    ranked = hits.withColumn("pos", F.row_number().over(Window.partitionBy("query_id", "article_id").orderBy("rank", "chunk_id")) - 1).where(F.col("pos") < RANKS)
+    own = texts.withColumn("_n", F.row_number().over(Window.partitionBy("article_id").orderBy("chunk_index", "chunk_id")))
+    asked = queries.select("query_id", terms(F.col("query")).alias("terms"))
+    anchors = ranked.join(own.select("chunk_id", F.col("chunk_index").alias("at")), "chunk_id").groupBy("query_id", "article_id").agg(F.collect_list("at").alias("anchors"), F.collect_list(F.struct("chunk_id", "pos")).alias("ranked"))
+    met = anchors.join(own, "article_id").join(asked, "query_id")
+    met = met.withColumn("pos", F.get(F.transform(F.filter("ranked", lambda r: r["chunk_id"] == F.col("chunk_id")), lambda r: r["pos"]), F.lit(0)))
+    met = met.where((F.col("_n") <= CANDIDATES) | F.col("pos").isNotNull())
+    met = met.withColumn("_near", F.array_min(F.transform("anchors", lambda a: F.abs(a - F.col("chunk_index"))))).withColumn("said", terms(F.col("text")))
+    section = F.lower(F.coalesce("section", F.lit("other")))
+    methods = section.isin(METHODS)
+    wanted = F.arrays_overlap("terms", F.array(*map(F.lit, METHOD_WORDS)))
+    score = (
+        looked_up(SECTION_BONUS, section, 0.0)
+        + F.when(F.col("pos").isNotNull(), RANK_BONUS * F.greatest(F.lit(0.0), 1 - F.col("pos") / RANKS)).otherwise(0.0)
+        + OVERLAP_BONUS * coverage(F.col("terms"), F.col("said"))
+        + F.when(F.col("text").rlike(MEASURED), MEASURED_BONUS).otherwise(0.0)
+        + F.when(F.arrays_overlap("said", F.array(*map(F.lit, CONTRAST))), CONTRAST_BONUS).otherwise(0.0)
+        - F.when(methods & ~wanted, METHODS_MALUS).otherwise(0.0)
+        + F.when(F.col("_near") <= radius, CONTEXT_BONUS * F.greatest(F.lit(0.0), 1 - F.col("_near") / CONTEXT_REACH)).otherwise(0.0)
+    )
+    role = F.when(F.col("_near") <= radius, looked_up(ROLE, section, "supporting_context"))
+    return met.select("query_id", "article_id", "chunk_id", "section", "text", "said", role.alias("role"), "pos", (methods & ~wanted).alias("deferred"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 9).alias("score"))
+
+
+def selected_passages(candidates: DataFrame, count: int = 5, least: int = 3, most: int = 8) -> DataFrame:
+    """``query_id, article_id, chunk_id, place, score``: passages of each query and article, chosen one after another by score.
+
+    One is passed over if it does not fit into ``BUDGET`` characters, deferred if it is about methods that nobody asked for, if one with
+    its role is chosen and others have other roles, or if its words are ``NEAR`` those of a chosen one. If fewer than ``least`` are chosen,
+    deferred ones fill up: near repeats, then methods, then roles. The fold goes over one article's candidates, ``CANDIDATES`` or so, as an array.
     """
-    q = search_queries(spark, sf_dir).select("query_id", tokens(F.col("query")).alias("q"))
-    c = chunks(spark, sf_dir).select("chunk_id", "article_id", "section", "text", tokens(F.col("text")).alias("c"))
-    terms = lambda df, key, w: df.select(key, F.explode(F.array_distinct(w)).alias("t"))
-    met = terms(c, "chunk_id", "c").join(terms(q, "query_id", "q"), "t").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 6")
-    full = met.join(q, "query_id").join(c, "chunk_id")
-    role = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])[F.col("section")]
-    full = full.withColumn("score", F.round(role + 0.22 * coverage(F.col("q"), F.col("c")) + F.when(F.col("text").rlike("[0-9]"), 0.10).otherwise(0.0), 6))
-    ranked = full.withColumn("rn", F.row_number().over(Window.partitionBy("query_id", "article_id").orderBy(F.desc("score"), "chunk_id"))).where("rn <= 50")
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, used, out = [], 0, []
-        for row in pdf.sort_values("rn").itertuples():
-            words = frozenset(row.c)
-            if len(out) == count or used + len(row.text) > budget or any(len(words & w) >= near * len(words | w) for w in taken):
-                continue
-            taken.append(words)
-            used += len(row.text)
-            out.append((row.query_id, row.article_id, row.chunk_id, len(out) + 1, row.score))
-        return pd.DataFrame(out, columns=["query_id", "article_id", "chunk_id", "place", "score"])
-
-    return ranked.select("query_id", "article_id", "chunk_id", "rn", "score", "text", "c").groupBy("query_id", "article_id").applyInPandas(choose, "query_id long, article_id long, chunk_id long, place int, score double")
+    item = F.struct((-F.col("score")).alias("s"), "chunk_id", F.length("text").alias("n"), "said", "role", "deferred", F.coalesce("pos", F.lit(RANKS)).alias("pos"))
+    groups = candidates.groupBy("query_id", "article_id").agg(F.array_sort(F.collect_list(item)).alias("l"))
+    groups = groups.withColumn("roles", F.size(F.array_distinct(F.array_compact(F.transform("l", lambda x: x["role"])))))
+    none = F.array().cast("array<int>")
+    start = F.struct(none.alias("ids"), F.lit(0).alias("used"), none.alias("near"), none.alias("methods"), none.alias("same"))
+    at = lambda i: F.get(F.col("l"), i)
+
+    def step(a: Column, i: Column) -> Column:
+        x = at(i)
+        passed = (F.size(a["ids"]) >= count) | (a["used"] + x["n"] > BUDGET)
+        same = x["role"].isNotNull() & (F.col("roles") > 1) & F.exists(a["ids"], lambda j: F.coalesce(at(j)["role"] == x["role"], F.lit(False)))
+        near = F.exists(a["ids"], lambda j: jaccard(at(j)["said"], x["said"]) >= NEAR)
+        to = F.when(passed, "").when(x["deferred"], "methods").when(same, "same").when(near, "near").otherwise("ids")
+        grown = {k: F.when(to == k, F.concat(a[k], F.array(i))).otherwise(a[k]).alias(k) for k in ("ids", "near", "methods", "same")}
+        return F.struct(grown["ids"], F.when(to == "ids", a["used"] + x["n"]).otherwise(a["used"]).alias("used"), grown["near"], grown["methods"], grown["same"])
+
+    def fill(a: Column, i: Column) -> Column:
+        fits = (F.size(a["ids"]) < F.least(F.lit(least), F.size("l"))) & (a["used"] + at(i)["n"] <= BUDGET)
+        return F.struct(F.when(fits, F.concat(a["ids"], F.array(i))).otherwise(a["ids"]).alias("ids"), F.when(fits, a["used"] + at(i)["n"]).otherwise(a["used"]).alias("used"))
+
+    groups = groups.withColumn("a", F.aggregate(F.sequence(F.lit(0), F.size("l") - 1), start, step))
+    rest = F.aggregate(F.concat("a.near", "a.methods", "a.same"), F.struct(F.col("a.ids").alias("ids"), F.col("a.used").alias("used")), fill)
+    groups = groups.withColumn("ids", rest["ids"]).select("query_id", "article_id", "l", "ids")
+    chosen = F.array_sort(F.transform("ids", lambda i: F.struct(at(i)["pos"].alias("pos"), at(i)["s"].alias("s"), at(i)["chunk_id"].alias("chunk_id"))))
+    placed = groups.select("query_id", "article_id", F.posexplode(F.slice(chosen, 1, most)).alias("at", "x"))
+    return placed.select("query_id", "article_id", "x.chunk_id", (F.col("at") + 1).alias("place"), (-F.col("x.s")).alias("score"))
+
+
+@query("passage_selection")
+def passage_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of each query's ten best articles: candidates come from those articles only."""
+    hits, texts, queries = stored(article_hits(spark, sf_dir), "hits"), chunks(spark, sf_dir), search_queries(spark, sf_dir)
+    best = ranked_articles(hits, article_details(spark, sf_dir), queries, texts, 10).select("query_id", "article_id")
+    found = selected_passages(passage_candidates(hits.join(best, ["query_id", "article_id"]), texts, queries))
+    return found.select("query_id", "article_id", "chunk_id", "place", F.round("score", 6).alias("score"))
 
 
 @query("evidence_checks", f"WITH {CHUNKS}, e AS (SELECT chunk_id, article_id, CASE WHEN chunk_id % 10 = 3 THEN 'not in it' WHEN chunk_id % 10 = 4 THEN text[1:20] ELSE text[3:40] END AS excerpt, CASE WHEN chunk_id % 10 = 5 THEN -chunk_id - 1 ELSE chunk_id END AS cited FROM chunks) SELECT coalesce(CASE WHEN c.chunk_id IS NULL THEN 'unknown_chunk' WHEN NOT contains(c.text, e.excerpt) THEN 'not_verbatim' END, 'valid') AS code, count(*) AS n FROM e LEFT JOIN chunks c ON c.chunk_id = e.cited GROUP BY 1")

@@ -3,41 +3,58 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import content_terms, coverage, query_terms, tokens
+from lodestar.functions.text import STOP_WORDS, content_terms, coverage, query_terms, tokens
 from lodestar.plans.registry import query
-from lodestar.sources.bindings import CHUNKS, TOKENS, chunks, search_queries
-from lodestar.sources.tables import table
+from lodestar.sources.bindings import CHUNKS, TOKENS, articles, chunks, search_queries
+from lodestar.sources.tables import stored, table
 
 #: BM25 saturation and length weight, and the least inverse document frequency.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Reciprocal-rank constant; weights of the lexical and the vector list.
 RRF_K, LEXICAL, VECTOR = 60, 0.35, 0.45
-QUERY_BLOCK, ROW_BLOCK = 256, 4096
+# The weights of a chunk's fields in lexical search, and of an article's parts in its rank.
+CHUNK_FIELDS = {"section": 1.5, "text": 1.0}
+ARTICLE_WEIGHTS = {"best": 0.40, "top3": 0.25, "title": 0.15, "abstract": 0.10, "concept": 0.10}
+#: Queries that meet a block of rows together, and bytes of query vectors that may be broadcast; beyond, blocks are joined.
+QUERY_BLOCK, BROADCAST_BYTES = 4096, 64 << 20
 
 
-def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, term, tf, length``: the inverted index of a text column."""
-    words = rows.select(key, tokens(F.col(text)).alias("w")).select(key, F.size("w").alias("length"), F.explode("w").alias("term"))
-    return words.groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+def index_of(rows: DataFrame, key: str, fields: dict[str, float], asked: DataFrame) -> DataFrame:
+    """``key, length, term, tf``, stored: the inverted index of the text columns ``fields`` with their weights, cut to the terms ``asked(term)``.
+
+    ``tf`` adds up the weights of a term's places, ``length`` counts all words of all fields. Every row of ``rows`` is
+    there: its words that nobody asked for are one entry with a null term. So one pass over the texts serves
+    the statistics and the scores, and only asked terms are shuffled one by one.
+    """
+    held = rows.select(key, *[F.coalesce(tokens(F.col(f)), F.array().cast("array<string>")).alias(f"_w{i}") for i, f in enumerate(fields)])
+    sizes = [F.size(f"_w{i}") for i in range(len(fields))]
+    held = held.select(key, sum(sizes, F.lit(0)).alias("length"), *[x.alias(f"_s{i}") for i, x in enumerate(sizes)], F.posexplode_outer(F.concat(*[f"_w{i}" for i in range(len(fields))])).alias("_at", "_word"))
+    weight, until = F.lit(float(list(fields.values())[-1])), []
+    for i, w in enumerate(fields.values()):
+        until.append((sum([F.col(f"_s{j}") for j in range(i + 1)], F.lit(0)), w))
+    for end, w in reversed(until[:-1]):
+        weight = F.when(F.col("_at") < end, float(w)).otherwise(weight)
+    terms = asked.select(F.col("term").alias("_word"), F.col("term")).distinct()
+    held = held.withColumn("_weight", weight).join(terms, "_word", "left")
+    return stored(held.groupBy(key, "length", "term").agg(F.sum("_weight").alias("tf")), "index")
 
 
 def bm25(index: DataFrame, queries: DataFrame, key: str) -> DataFrame:
-    """``query_id, key, score``, higher is better; statistics are those of the whole index.
+    """``query_id, key, score``, higher is better, for ``queries(query_id, term)`` with a row for each distinct term.
 
-    ``queries(query_id, term)`` has a row for each distinct term. Postings are cut to the queries'
-    terms before anything is joined to them.
+    The entries of a row are brought to one place first: so its scores are added up there, and no pair of query and
+    row is shuffled before the best are chosen.
     """
     size = index.groupBy(key).agg(F.first("length").alias("length")).agg(F.count(F.lit(1)).alias("N"), F.avg("length").alias("mean"))
-    df = index.join(queries.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = index.where("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.ln((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    weight = df.join(F.broadcast(size)).select("term", idf.alias("idf"), "mean")
-    asked = queries.join(weight, "term")
+    asked = queries.join(df.join(F.broadcast(size)).select("term", idf.alias("idf"), "mean"), "term")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return index.join(asked, "term").groupBy("query_id", key).agg(F.sum(part).alias("score"))
+    return index.where("term IS NOT NULL").repartition(key).join(asked, "term").groupBy("query_id", key).agg(F.sum(part).alias("score"))
 
 
 def top(rows: DataFrame, by: list[str], order: list, most: int) -> DataFrame:
@@ -50,17 +67,22 @@ def asked_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERY_TERMS = f"qt AS (SELECT query_id, unnest(list_slice(list_distinct_ordered, 1, 24)) AS term FROM (SELECT item_id AS query_id, list_filter(list_transform(list_filter(list_zip(w, range(len(w))), lambda p: list_position(w, p[1]) = p[2] + 1), lambda p: p[1]), lambda t: length(t) >= 2 OR regexp_matches(t, '^[0-9]+$')) AS list_distinct_ordered FROM (SELECT item_id, {TOKENS.format(x='text')} AS w FROM benchmark)))"
-POSTINGS = f"p AS (SELECT chunk_id, article_id, len(w) AS length, unnest(w) AS term FROM (SELECT chunk_id, article_id, {TOKENS.format(x='text')} AS w FROM chunks)), idx AS (SELECT chunk_id, article_id, length, term, count(*) AS tf FROM p GROUP BY ALL)"
-SCORED = """st AS (SELECT count(*) AS n, avg(length) AS mean FROM (SELECT DISTINCT chunk_id, length FROM idx)),
+POSTINGS = f"w0 AS (SELECT chunk_id, article_id, {TOKENS.format(x='section')} AS s, {TOKENS.format(x='text')} AS w FROM chunks), p AS (SELECT chunk_id, article_id, len(s) + len(w) AS length, unnest(list_concat(s, w)) AS term, unnest(list_concat(list_transform(s, lambda x: 1.5), list_transform(w, lambda x: 1.0))) AS weight FROM w0), idx AS (SELECT chunk_id, article_id, length, term, CAST(sum(weight) AS DOUBLE) AS tf FROM p GROUP BY chunk_id, article_id, length, term)"
+SCORED = """st AS (SELECT count(*) AS n, avg(len(s) + len(w)) AS mean FROM w0),
  dfs AS (SELECT term, count(*) AS df FROM idx GROUP BY term),
  sc AS (SELECT query_id, idx.chunk_id, idx.article_id, sum(greatest(ln((st.n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / st.mean))) AS score
    FROM idx JOIN qt ON qt.term = idx.term JOIN dfs ON dfs.term = idx.term, st GROUP BY query_id, idx.chunk_id, idx.article_id)"""
 LEXICAL_SQL = f"WITH {CHUNKS}, {QUERY_TERMS}, {POSTINGS}, {SCORED}"
 
 
+def lexical_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``query_id, chunk_id, score`` of the chunks by section and text, the section counting more."""
+    asked = asked_terms(spark, sf_dir)
+    return bm25(index_of(chunks(spark, sf_dir), "chunk_id", CHUNK_FIELDS, asked), asked, "chunk_id")
+
+
 def lexical_lists(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
-    scored = bm25(postings(chunks(spark, sf_dir), "chunk_id", "text"), asked_terms(spark, sf_dir), "chunk_id")
-    return top(scored, ["query_id"], [F.desc(F.round("score", 6)), "chunk_id"], most)
+    return top(lexical_scores(spark, sf_dir), ["query_id"], [F.desc(F.round("score", 6)), "chunk_id"], most)
 
 
 @query("lexical_search", LEXICAL_SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM sc) SELECT query_id, chunk_id, round(score, 4) AS score, rank FROM r WHERE rank <= 20")
@@ -71,11 +93,13 @@ def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("match_all_terms", LEXICAL_SQL + " SELECT qt.query_id, idx.chunk_id FROM idx JOIN (SELECT query_id, term FROM qt) qt ON qt.term = idx.term GROUP BY qt.query_id, idx.chunk_id HAVING count(*) = (SELECT count(*) FROM qt q2 WHERE q2.query_id = qt.query_id)")
 def match_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks that have every term of a query."""
+    """Chunks that have every term of a query: those with its rarest term, looked at for the others."""
     asked = asked_terms(spark, sf_dir)
-    need = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
-    met = postings(chunks(spark, sf_dir), "chunk_id", "text").join(asked, "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("have"))
-    return met.join(need, "query_id").where("have = need").select("query_id", "chunk_id")
+    index = index_of(chunks(spark, sf_dir), "chunk_id", CHUNK_FIELDS, asked).where("term IS NOT NULL").select("chunk_id", "term")
+    held = index.groupBy("chunk_id").agg(F.collect_set("term").alias("terms"))
+    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    need = asked.join(df, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"), F.collect_set("term").alias("need"))
+    return index.join(need, "term").join(held, "chunk_id").where(F.size(F.array_except("need", "terms")) == 0).select("query_id", "chunk_id")
 
 
 @query("match_phrase", f"WITH {CHUNKS} SELECT item_id AS query_id, chunk_id FROM (SELECT item_id, array_to_string({TOKENS.format(x='text')}[1:4], ' ') AS phrase FROM benchmark) q JOIN (SELECT chunk_id, array_to_string({TOKENS.format(x='text')}, ' ') AS body FROM chunks) c ON contains(' ' || c.body || ' ', ' ' || q.phrase || ' ')")
@@ -98,38 +122,76 @@ def match_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.join(asked, "stem").groupBy("query_id").agg(F.countDistinct("chunk_id").alias("n"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, most: int, least: float | None = None) -> DataFrame:
-    """``query_id, id, similarity, rank``: exact cosine neighbours of ``queries(query_id, embedding)`` among ``vectors(id, embedding)``.
+def unit_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """The vectors of a column as rows of length one; zero vectors stay zero."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    rows = flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
 
-    Both sides are packed in blocks; every block of rows meets every block of queries and keeps its
-    best ``most``, then the blocks' best are ranked. Null and zero vectors are near nothing.
+
+def meetings(vectors: DataFrame, queries: DataFrame, judge, schema: str) -> DataFrame:
+    """``judge(query_ids, ids, similarities)`` for every block of ``queries(query_id, embedding)`` and of rows ``vectors(id, embedding)``.
+
+    Rows are not shuffled: each batch of them is packed where it is and meets the blocks of queries, which are
+    broadcast if they are small. Null vectors meet nothing.
     """
 
-    def packed(df: DataFrame, key: str, size: int, out: str) -> DataFrame:
-        parts = F.pmod(F.xxhash64(key), F.lit(max(1, -(-df.count() // size)))).alias(out)
-        return df.where(F.col(key).isNotNull() & F.col("embedding").isNotNull()).groupBy(parts).agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col("embedding").cast("array<double>").alias("v"))).alias(f"{out}_rows"))
+    def packed(df: DataFrame, key: str, block: str) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    ids, v = batch.column(0).to_numpy(zero_copy_only=False), unit_rows(batch.column(1))
+                    for at in range(0, len(ids), QUERY_BLOCK):
+                        yield pa.RecordBatch.from_arrays([pa.array([x[at : at + QUERY_BLOCK].tobytes()], pa.binary()) for x in (ids.astype(np.int64), v)], [f"{block}_ids", f"{block}_v"])
+
+        own = df.select(F.col(key).cast("long").alias(key), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col(key).isNotNull() & F.col("embedding").isNotNull())
+        return own.mapInArrow(run, f"{block}_ids binary, {block}_v binary")
 
-    asked = packed(queries, "query_id", QUERY_BLOCK, "q")
-    numbers = F.array(*[F.lit(r.q) for r in asked.select("q").collect()]) if asked.head(1) else F.array().cast("array<bigint>")
-    met = packed(vectors, "id", ROW_BLOCK, "b").withColumn("q", F.explode(numbers)).join(asked, "q").repartition("q", "b")
+    n = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    parts = max(1, -(-n.n // QUERY_BLOCK))
+    asked = stored(packed(queries.repartition(parts), "query_id", "q").withColumn("q", F.monotonically_increasing_id()), "queries")
+    blocks = F.array(*[F.lit(r.q) for r in asked.select("q").collect()]).cast("array<long>")
+    rows = packed(vectors, "id", "b").withColumn("q", F.explode(blocks))
+    met = rows.join(F.broadcast(asked) if n.n * (n.d or 0) * 8 <= BROADCAST_BYTES else asked, "q")
 
     def search(batches):
-        for pdf in batches:
-            for q, b in zip(pdf["q_rows"], pdf["b_rows"], strict=True):
-                unit = lambda rows: np.array([r["v"] / max(np.linalg.norm(r["v"]), 1e-300) for r in rows])
-                s, ids = unit(q) @ unit(b).T, np.array([r["id"] for r in b])
-                out = []
-                for i, row in enumerate(s):
-                    best = np.lexsort((ids, -np.round(row, 9)))[:most]
-                    out.append(pd.DataFrame({"query_id": q[i]["id"], "id": ids[best], "similarity": row[best]}))
-                yield pd.concat(out)
-
-    found = met.select("q_rows", "b_rows").mapInPandas(search, "query_id long, id long, similarity double")
-    if least is not None:
-        found = found.where(F.col("similarity") >= least)
+        for batch in batches:
+            for row in batch.select(["q_ids", "q_v", "b_ids", "b_v"]).to_pylist():
+                q, b = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["b_ids"], np.int64)
+                yield judge(q, b, np.frombuffer(row["q_v"]).reshape(len(q), -1) @ np.frombuffer(row["b_v"]).reshape(len(b), -1).T)
+
+    return met.mapInArrow(search, schema)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """``query_id, id, similarity, rank``: exact cosine neighbours of ``queries(query_id, embedding)`` among ``vectors(id, embedding)``; a block's best ``most`` leave its task."""
+
+    def judge(q: np.ndarray, b: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+        if len(b) > 4 * most:
+            least = -np.partition(-s, most, axis=1)[:, most]
+            rows, columns = np.nonzero(s >= least[:, None] - 1e-8)
+        else:
+            rows, columns = np.indices(s.shape).reshape(2, -1)
+        x = s[rows, columns]
+        order = np.lexsort((b[columns], -np.round(x, 9), rows))
+        rows, columns, x = rows[order], columns[order], x[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        kept = place < most
+        return pa.RecordBatch.from_arrays([pa.array(q[rows[kept]]), pa.array(b[columns[kept]]), pa.array(x[kept])], ["query_id", "id", "similarity"])
+
+    found = meetings(vectors, queries, judge, "query_id long, id long, similarity double")
     return top(found, ["query_id"], [F.desc(F.round("similarity", 9)), "id"], most)
 
 
+def within(vectors: DataFrame, queries: DataFrame, least: float) -> DataFrame:
+    """``query_id, n``: how many vectors have a cosine of ``least`` or more with each query; counted where they meet."""
+
+    def judge(q: np.ndarray, b: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(q), pa.array((s >= least).sum(axis=1))], ["query_id", "n"])
+
+    return meetings(vectors, queries, judge, "query_id long, n long").groupBy("query_id").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 COSINE = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 
 
@@ -145,8 +207,7 @@ def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many vectors are at least 0.3 alike, for every query."""
     own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    found = nearest(own, own.where("id % 50 = 0").withColumnRenamed("id", "query_id"), 1 << 30, 0.3)
-    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    return within(own, own.where("id % 50 = 0").withColumnRenamed("id", "query_id"), 0.3)
 
 
 def fused(lists: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -176,47 +237,99 @@ def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.where("place <= 20").select("query_id", "id", F.round("score", 8).alias("score"), "best_rank", "place")
 
 
-def stand_in_vectors(rows: DataFrame, key: str, text: str, dims: int = 16) -> DataFrame:
-    """``key, embedding``: hashed counts of a text's topical words, a stand-in for an encoder's vectors."""
-    slots = F.transform(content_terms(F.col(text)), lambda t: F.pmod(F.crc32(t.cast("binary")), F.lit(dims)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    return rows.select(key, counts.alias("embedding"))
+def stand_in_vectors(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, embedding``: sixteen hashed counts of a text's topical words, a stand-in for an encoder's vectors."""
+    slots = F.array_join(F.transform(content_terms(F.col(text)), lambda t: F.substring(F.md5(t), 1, 1)), "")
+    own = rows.select(key, slots.alias("_slots"))
+    return own.select(key, F.array(*[(F.length("_slots") - F.length(F.replace("_slots", F.lit(d)))).cast("double") for d in "0123456789abcdef"]).alias("embedding"))
 
 
-@query("hybrid_search")
-def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexical and vector lists of two hundred, fused, the best ten of each query with their texts."""
-    own = chunks(spark, sf_dir)
-    lexical = lexical_lists(spark, sf_dir, 200).select("query_id", F.lit("lexical").alias("origin"), F.lit(LEXICAL).alias("weight"), F.col("chunk_id").alias("id"), "rank")
-    vectors = stand_in_vectors(own, "chunk_id", "text").withColumnRenamed("chunk_id", "id")
-    near = nearest(vectors, stand_in_vectors(search_queries(spark, sf_dir), "query_id", "query"), 200)
+CONTENT = "list_filter(" + TOKENS + ", lambda t: NOT list_contains([" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "], t))"
+VECTOR_OF = "list_transform(range(16), lambda d: CAST(len(list_filter(list_transform(" + CONTENT + ", lambda t: md5(t)[1:1]), lambda h: h = '0123456789abcdef'[d + 1:d + 1])) AS DOUBLE))"
+HYBRID = f""", lx AS (SELECT query_id, chunk_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM sc),
+ qv AS (SELECT item_id AS query_id, {VECTOR_OF.format(x='text')} AS v FROM benchmark), cv AS (SELECT chunk_id AS id, {VECTOR_OF.format(x='text')} AS v FROM chunks),
+ vs AS (SELECT query_id, id, round(CASE WHEN list_sum(qv.v) = 0 OR list_sum(cv.v) = 0 THEN 0 ELSE list_cosine_similarity(qv.v, cv.v) END, 9) AS s FROM qv, cv), vr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM vs),
+ hl AS (SELECT query_id, id, rank, 0.35 / (60 + rank) AS part FROM lx WHERE rank <= 200 UNION ALL SELECT query_id, id, rank, 0.45 / (60 + rank) FROM vr WHERE rank <= 200),
+ hy AS (SELECT query_id, id, sum(part) AS score, min(rank) AS best_rank FROM hl GROUP BY query_id, id),
+ hr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, best_rank, id) AS rank FROM hy)"""
+
+
+def hybrid_lists(spark: SparkSession, sf_dir: str, most: int, candidates: int = 200) -> DataFrame:
+    """``query_id, id, score, best_rank, rank`` of the ``most`` best chunks of each query: a lexical and a vector list of ``candidates``, fused."""
+    lexical = lexical_lists(spark, sf_dir, candidates).select("query_id", F.lit("lexical").alias("origin"), F.lit(LEXICAL).alias("weight"), F.col("chunk_id").alias("id"), "rank")
+    vectors = stand_in_vectors(chunks(spark, sf_dir), "chunk_id", "text").withColumnRenamed("chunk_id", "id")
+    near = nearest(vectors, stand_in_vectors(search_queries(spark, sf_dir), "query_id", "query"), candidates)
     semantic = near.select("query_id", F.lit("vector").alias("origin"), F.lit(VECTOR).alias("weight"), "id", "rank")
-    best = top(fused(lexical.unionByName(semantic)), ["query_id"], [F.desc(F.round("score", 12)), "best_rank", "id"], 10)
-    return best.join(own.select(F.col("chunk_id").alias("id"), "article_id", "text"), "id").select("query_id", "rank", "id", "article_id", F.round("score", 8).alias("score"), "text")
+    return top(fused(lexical.unionByName(semantic)), ["query_id"], [F.desc(F.round("score", 12)), "best_rank", "id"], most)
 
 
-ARTICLE_RANK = """, q AS (SELECT item_id AS query_id, {qt} AS terms FROM benchmark),
- rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, article_id ORDER BY score DESC, chunk_id) AS rn FROM (SELECT query_id, chunk_id, article_id, round(score, 6) AS score FROM sc)),
- ag AS (SELECT query_id, article_id, max(score) AS best, avg(score) FILTER (rn <= 3) AS top3, count(*) AS matched FROM rk GROUP BY query_id, article_id),
- mx AS (SELECT query_id, max(best) AS mb, max(top3) AS mt FROM ag GROUP BY query_id),
- ti AS (SELECT doc_id AS article_id, {tt} AS words FROM documents),
- fin AS (SELECT ag.query_id, ag.article_id, matched, round(least(1, greatest(0, 0.55 * best / mb + 0.30 * top3 / mt + 0.15 * CASE WHEN len(q.terms) = 0 THEN 0 ELSE len(list_intersect(q.terms, ti.words)) / len(list_distinct(q.terms)) END)), 6) AS score
-  FROM ag JOIN mx ON mx.query_id = ag.query_id JOIN ti ON ti.article_id = ag.article_id JOIN q ON q.query_id = ag.query_id),
- pl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, article_id) AS rank FROM fin)
- SELECT query_id, article_id, matched, round(score, 4) AS score, rank FROM pl WHERE rank <= 10""".format(qt=TOKENS.format(x="text"), tt=TOKENS.format(x="split_part(text, chr(10), 1)"))
+@query("hybrid_search", LEXICAL_SQL + HYBRID + " SELECT query_id, hr.rank, id, article_id, round(score, 8) AS score, text FROM hr JOIN chunks ON chunk_id = id WHERE hr.rank <= 10")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best chunks of each query by both lists, with their texts."""
+    best = hybrid_lists(spark, sf_dir, 10)
+    own = chunks(spark, sf_dir).select(F.col("chunk_id").alias("id"), "article_id", "text")
+    return own.join(best, "id").select("query_id", "rank", "id", "article_id", F.round("score", 8).alias("score"), "text")
+
+
+def abstract_of(text: Column) -> Column:
+    """The second line of a document, which stands in for its abstract; null if there is none."""
+    line = F.split_part(text, F.lit("\n"), F.lit(2))
+    return F.when(F.trim(line) != "", line)
 
 
-@query("article_ranking", LEXICAL_SQL + ARTICLE_RANK)
+def ranked_articles(hits: DataFrame, details: DataFrame, queries: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """``query_id, article_id, matched, score, best_rank, best_chunk, rank`` from ``hits(query_id, chunk_id, article_id, score, rank)``.
+
+    An article's score weighs its best chunk and the mean of its three best, each against the query's best article,
+    the share of the query's terms in the title and in the abstract (``details(article_id, title, abstract)``), and the
+    share of the query's concepts, its three longest terms, that stand in title, abstract or the five best chunks (``texts(chunk_id, text)``).
+    """
+    best_first = Window.partitionBy("query_id", "article_id").orderBy(F.desc(F.round("score", 12)), "rank", "chunk_id")
+    placed = hits.withColumn("n", F.row_number().over(best_first))
+    said = placed.where("n <= 5").join(texts.select("chunk_id", F.array_distinct(tokens(F.col("text"))).alias("said")), "chunk_id")
+    said = said.groupBy("query_id", "article_id").agg(F.array_distinct(F.flatten(F.collect_list("said"))).alias("said"))
+    own = placed.groupBy("query_id", "article_id").agg(
+        F.max("score").alias("best"), F.avg(F.when(F.col("n") <= 3, F.col("score"))).alias("top3"), F.count(F.lit(1)).alias("matched"),
+        F.min("rank").alias("best_rank"), F.min_by("chunk_id", "n").alias("best_chunk"),
+    )
+    peak = Window.partitionBy("query_id")
+    own = own.withColumn("best", F.col("best") / F.max("best").over(peak)).withColumn("top3", F.col("top3") / F.max("top3").over(peak))
+    terms = queries.select("query_id", F.array_distinct(content_terms(F.col("query"))).alias("terms"))
+    longest = F.slice(F.transform(F.array_sort(F.transform("terms", lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t")))), lambda x: x["t"]), 1, 3)
+    terms = terms.withColumn("concepts", longest)
+    words = details.select("article_id", tokens(F.col("title")).alias("title"), F.coalesce(tokens(F.col("abstract")), F.array().cast("array<string>")).alias("abstract"))
+    full = own.join(said, ["query_id", "article_id"]).join(terms, "query_id").join(words, "article_id")
+    everything = F.concat("title", "abstract", "said")
+    parts = {"best": F.col("best"), "top3": F.col("top3"), "title": coverage(F.col("terms"), F.col("title")), "abstract": coverage(F.col("terms"), F.col("abstract")), "concept": coverage(F.col("concepts"), everything)}
+    score = sum((ARTICLE_WEIGHTS[k] * x for k, x in parts.items()), F.lit(0.0))
+    full = full.select("query_id", "article_id", "matched", "best_rank", "best_chunk", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 9).alias("score"))
+    return top(full, ["query_id"], [F.desc("score"), "best_rank", "article_id"], most)
+
+
+def article_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred best chunks of each query, with their articles."""
+    return hybrid_lists(spark, sf_dir, 100).select("query_id", F.col("id").alias("chunk_id"), F.floor(F.col("id") / 100000).cast("long").alias("article_id"), "score", "rank")
+
+
+def article_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles(spark, sf_dir).select("article_id", "title", abstract_of(F.col("body")).alias("abstract"), "doi", "status")
+
+
+COVERAGE = "CASE WHEN len({q}) = 0 THEN 0 ELSE len(list_intersect({q}, {w})) / len({q}) END"
+ARTICLE_RANK = HYBRID + f""", hits AS (SELECT query_id, chunk_id, article_id, score, hr.rank FROM hr JOIN chunks ON chunk_id = id WHERE hr.rank <= 100),
+ pl AS (SELECT *, row_number() OVER (PARTITION BY query_id, article_id ORDER BY round(score, 12) DESC, rank, chunk_id) AS n FROM hits),
+ sd AS (SELECT query_id, article_id, flatten(list(w)) AS said FROM pl JOIN w0 USING (chunk_id, article_id) WHERE n <= 5 GROUP BY query_id, article_id),
+ ow AS (SELECT query_id, article_id, max(score) AS best, avg(score) FILTER (n <= 3) AS top3, count(*) AS matched, min(rank) AS best_rank, arg_min(chunk_id, n) AS best_chunk FROM pl GROUP BY query_id, article_id),
+ tq AS (SELECT item_id AS query_id, list_distinct({CONTENT.format(x='text')}) AS terms FROM benchmark), tc AS (SELECT query_id, terms, list_transform(list_sort(list_transform(terms, lambda t: {{'l': -length(t), 't': t}}))[1:3], lambda x: x.t) AS concepts FROM tq),
+ ti AS (SELECT doc_id AS article_id, {TOKENS.format(x="split_part(text, chr(10), 1)")} AS title, {TOKENS.format(x="split_part(text, chr(10), 2)")} AS abstract FROM documents),
+ fin AS (SELECT ow.query_id, ow.article_id, matched, best_rank, best_chunk, round(least(1, greatest(0, 0.40 * best / max(best) OVER (PARTITION BY ow.query_id) + 0.25 * top3 / max(top3) OVER (PARTITION BY ow.query_id) + 0.15 * {COVERAGE.format(q='terms', w='title')} + 0.10 * {COVERAGE.format(q='terms', w='abstract')}
+   + 0.10 * {COVERAGE.format(q='concepts', w='list_concat(title, abstract, said)')})), 9) AS score
+  FROM ow JOIN sd USING (query_id, article_id) JOIN ti USING (article_id) JOIN tc USING (query_id)),
+ ar AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_rank, article_id) AS rank FROM fin)"""
+
+
+@query("article_ranking", LEXICAL_SQL + ARTICLE_RANK + " SELECT query_id, article_id, matched, best_chunk, round(score, 4) AS score, rank FROM ar WHERE rank <= 10")
 def article_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles by their chunks: best score, mean of the three best, and the query's share in the title."""
-    scored = bm25(postings(chunks(spark, sf_dir), "chunk_id", "text"), asked_terms(spark, sf_dir), "chunk_id")
-    scored = scored.select("query_id", "chunk_id", F.floor(F.col("chunk_id") / 100000).alias("article_id"), F.round("score", 6).alias("score"))
-    ranked = scored.withColumn("rn", F.row_number().over(Window.partitionBy("query_id", "article_id").orderBy(F.desc("score"), "chunk_id")))
-    best = ranked.groupBy("query_id", "article_id").agg(F.max("score").alias("best"), F.avg(F.when(F.col("rn") <= 3, F.col("score"))).alias("top3"), F.count(F.lit(1)).alias("matched"))
-    most = best.groupBy("query_id").agg(F.max("best").alias("mb"), F.max("top3").alias("mt"))
-    titles = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), tokens(F.split_part("text", F.lit("\n"), F.lit(1))).alias("words"))
-    terms = search_queries(spark, sf_dir).select("query_id", tokens(F.col("query")).alias("terms"))
-    full = best.join(most, "query_id").join(titles, "article_id").join(terms, "query_id")
-    score = 0.55 * F.col("best") / F.col("mb") + 0.30 * F.col("top3") / F.col("mt") + 0.15 * coverage(F.col("terms"), F.col("words"))
-    full = full.withColumn("score", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 6))
-    return top(full, ["query_id"], [F.desc("score"), "article_id"], 10).select("query_id", "article_id", "matched", F.round("score", 4).alias("score"), "rank")
+    """The ten best articles of each query by their best chunks, title, abstract and concepts."""
+    found = ranked_articles(article_hits(spark, sf_dir), article_details(spark, sf_dir), search_queries(spark, sf_dir), chunks(spark, sf_dir), 10)
+    return found.select("query_id", "article_id", "matched", "best_chunk", F.round("score", 4).alias("score"), "rank")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import STOP_WORDS, all_dois, ascii_words, canonical_key, content_terms, coverage, doi_in, fold, jaccard, query_terms, readable_share, title_key, token_count, tokens, verified_doi, without_markup
@@ -111,17 +111,49 @@ def first_plausible_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("author_lists", "WITH a AS (SELECT p_partkey, list_filter(list_transform(string_split_regex(p_name || '; ' || p_brand || ' and ' || p_type || ' et ' || p_name, ';| and | et '), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM part) SELECT p_partkey, len(l) AS named, len(list_distinct(list_transform(l, lambda x: lower(x)))) AS authors, l[1] AS first FROM a")
 def author_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat("p_name", F.lit("; "), "p_brand", F.lit(" and "), "p_type", F.lit(" et "), "p_name")
-    names = F.filter(F.transform(F.split(raw, ";| and | et "), F.trim), lambda x: x != "")
+    names = F.filter(F.transform(F.split(raw, ";| and | et "), lambda x: F.trim(x)), lambda x: x != "")
     return table(spark, sf_dir, "part").select("p_partkey", F.size(names).cast("long").alias("named"), F.size(F.array_distinct(F.transform(names, F.lower))).cast("long").alias("authors"), F.get(names, F.lit(0)).alias("first"))
 
 
-HEADINGS = [("abstract", "abstract|summary"), ("introduction", "introduction|background"), ("methods", "methods?|materials and methods"), ("results", "results?"), ("discussion", "discussion"), ("conclusion", "conclusions?"), ("references", "references|bibliography")]
+# What heads the seven kinds of sections.
+HEADINGS = [("abstract", "abstract|summary|resume"), ("introduction", "introduction|background"), ("materials and methods", "methods?|methodology|materials and methods"), ("results", "results?|resultats"), ("discussion", "discussion"), ("conclusion", "conclusions?"), ("references", "references|bibliography|bibliographie")]
 
 
-@query("section_headings", f"WITH {CHUNKS} SELECT section, count(*) AS n, count(*) FILTER (length(text) <= 80 AND regexp_matches(lower(section || '. ' || text), '^(abstract|results)')) AS headed FROM chunks GROUP BY section")
+def heading(line: Column) -> Column:
+    """The section that a line heads: nothing but a known heading, with or without a number and a colon, in 80 characters at most; else null."""
+    own = F.trim(F.regexp_replace(fold(line), r"^\s*(?:[0-9]+(?:\.[0-9]+)*|[ivx]+)[.)]?\s+|[\s:.]+$", ""))
+    found = F.lit(None).cast("string")
+    for name, pattern in reversed(HEADINGS):
+        found = F.when(own.rlike(f"^(?:{pattern})$"), name).otherwise(found)
+    return F.when(F.length(line) <= 80, found)
+
+
+HEADED = "h AS (SELECT doc_id, i, unnest([CAST(i AS VARCHAR) || '. ' || upper(s) || ':', s || ' ' || l, l, 'IV) ' || s, s]) AS line FROM (SELECT doc_id, l, i, (['Abstract','Introduction','Methods','Results','Discussion','Conclusions','Résultats','References','Other'])[CAST(i % 9 + 1 AS INTEGER)] AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)))"
+OWN_LINE = f"trim(regexp_replace(regexp_replace({FOLD.format(x='line')}, '^\\s*(?:[0-9]+(?:\\.[0-9]+)*|[ivx]+)[.)]?\\s+', ''), '[\\s:.]+$', ''), ' ')"
+
+
+@query("section_headings", f"WITH {HEADED}, o AS (SELECT doc_id, line, {OWN_LINE} AS own FROM h), c AS (SELECT doc_id, CASE WHEN length(line) > 80 THEN NULL " + " ".join(f"WHEN regexp_full_match(own, '{p}') THEN '{n}'" for n, p in HEADINGS) + " END AS section FROM o) SELECT doc_id, section, count(*) AS n FROM c WHERE section IS NOT NULL GROUP BY ALL")
 def section_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.lower(F.concat("section", F.lit(". "), "text"))
-    return chunks(spark, sf_dir).groupBy("section").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.length("text") <= 80) & line.rlike("^(abstract|results)")).alias("headed"))
+    """Headings of five shapes put among the lines of the documents, and those that are recognised, by section."""
+    names = F.array(*[F.lit(x) for x in ("Abstract", "Introduction", "Methods", "Results", "Discussion", "Conclusions", "Résultats", "References", "Other")])
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "l")).withColumn("s", F.element_at(names, F.col("i") % 9 + 1))
+    shapes = [F.concat(F.col("i").cast("string"), F.lit(". "), F.upper("s"), F.lit(":")), F.concat("s", F.lit(" "), "l"), F.col("l"), F.concat(F.lit("IV) "), "s"), F.col("s")]
+    found = lines.select("doc_id", F.explode(F.array(*shapes)).alias("line")).select("doc_id", heading(F.col("line")).alias("section")).where("section IS NOT NULL")
+    return found.groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("n"))
+
+
+def abstract_in(text: Column) -> Column:
+    """What stands between a line that heads an abstract and the next heading of an introduction or keywords, or an empty line; null if there is none."""
+    found = F.regexp_extract(text, r"(?is)(?:^|\n)\s*(?:abstract|summary)\s*:?\s*\n?(.+?)(?=\n\s*(?:introduction|keywords|key words|1\.)|\n\s*\n|$(?!\n))", 1)
+    return F.when(F.trim(found) != "", F.trim(F.regexp_replace(found, r"\s+", " ")))
+
+
+@query("abstract_sections", "SELECT doc_id, trim(regexp_replace(string_split(text, chr(10))[1], '\\s+', ' ', 'g'), ' ') AS abstract FROM documents WHERE trim(string_split(text, chr(10))[1], ' ') <> ''")
+def abstract_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The abstracts of papers that are made of the documents: a heading, the first line, and the rest as the introduction."""
+    first = F.split_part("text", F.lit("\n"), F.lit(1))
+    paper = F.concat(F.lit("Title\nABSTRACT:\n"), first, F.lit("\nIntroduction\n"), "text")
+    return table(spark, sf_dir, "documents").where(F.trim(first) != "").select("doc_id", abstract_in(paper).alias("abstract"))
 
 
 @query("sentences", "SELECT doc_id, len(list_filter(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ') <> '')) AS n FROM documents")
@@ -130,18 +162,21 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(parts).cast("long").alias("n"))
 
 
-@query("question_overlap", f"WITH {CHUNKS}, q AS (SELECT item_id AS query_id, {TOKENS.format(x='text')} AS w FROM benchmark), c AS (SELECT chunk_id, {TOKENS.format(x='text')} AS w FROM chunks), e AS (SELECT query_id, chunk_id, count(*) AS shared FROM (SELECT DISTINCT query_id, unnest(w) AS t FROM q) a JOIN (SELECT DISTINCT chunk_id, unnest(w) AS t FROM c) b USING (t) GROUP BY ALL HAVING count(*) >= 8) SELECT e.query_id, e.chunk_id, round(len(list_intersect(q.w, c.w)) / len(list_distinct(list_concat(q.w, c.w))), 6) AS jaccard, round(len(list_intersect(q.w, c.w)) / len(list_distinct(q.w)), 6) AS coverage FROM e JOIN q USING (query_id) JOIN c USING (chunk_id)")
+@query("question_overlap", f"WITH q AS (SELECT item_id AS query_id, list_distinct({TOKENS.format(x='text')}) AS w, item_id % 40 AS k FROM benchmark), c AS (SELECT doc_id, list_distinct({TOKENS.format(x='text')}) AS w, doc_id % 40 AS k FROM documents) SELECT query_id, doc_id, round(CASE WHEN len(q.w) = 0 OR len(c.w) = 0 THEN 0 ELSE len(list_intersect(q.w, c.w)) / len(list_distinct(list_concat(q.w, c.w))) END, 6) AS jaccard, round(CASE WHEN len(q.w) = 0 THEN 0 ELSE len(list_intersect(q.w, c.w)) / len(q.w) END, 6) AS coverage FROM q JOIN c USING (k)")
 def question_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Likeness and coverage of questions and chunks that share eight distinct words or more."""
-    q = search_queries(spark, sf_dir).select("query_id", tokens(F.col("query")).alias("q"))
-    c = chunks(spark, sf_dir).select("chunk_id", tokens(F.col("text")).alias("c"))
-    terms = lambda df, key, w: df.select(key, F.explode(F.array_distinct(w)).alias("t"))
-    met = terms(c, "chunk_id", "c").join(terms(q, "query_id", "q"), "t").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 8")
-    full = met.join(q, "query_id").join(c, "chunk_id")
-    return full.select("query_id", "chunk_id", F.round(jaccard(F.col("q"), F.col("c")), 6).alias("jaccard"), F.round(coverage(F.col("q"), F.col("c")), 6).alias("coverage"))
+    """Likeness and coverage of questions and the documents of their number modulo forty, whatever they share."""
+    q = search_queries(spark, sf_dir).select("query_id", tokens(F.col("query")).alias("q"), (F.col("query_id") % 40).alias("k"))
+    c = table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("c"), (F.col("doc_id") % 40).alias("k"))
+    return c.join(q, "k").select("query_id", "doc_id", F.round(jaccard(F.col("q"), F.col("c")), 6).alias("jaccard"), F.round(coverage(F.col("q"), F.col("c")), 6).alias("coverage"))
+
 
+READABLE_SQL = """WITH t AS (SELECT doc_id, text, greatest(1, length(text)) AS n, string_split_regex(trim(text, ' '), '\\s+') AS p FROM documents),
+ m AS (SELECT doc_id, length(text) AS l, length(regexp_replace(text, '[^\\x20-\\x7E\\p{L}\\p{N}\\n]', '', 'g')) / n AS visible, length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) / n AS letters, list_filter(p, lambda x: x <> '') AS w FROM t),
+ s AS (SELECT doc_id, round(0.25 * visible + 0.30 * least(1, letters / 0.7) + 0.25 * len(list_filter(w, lambda x: regexp_matches(x, '^[\\p{L}]{2,}[.,;:!?]?$'))) / greatest(1, len(w)) + 0.20 * least(1, l / 80), 6) AS share FROM m)
+ SELECT doc_id, share, share >= 0.75 AS admitted FROM s"""
 
-@query("readable_share")
+
+@query("readable_share", READABLE_SQL)
 def readable_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much every document looks like text, and whether that admits it."""
     share = readable_share(F.col("text"))
@@ -156,12 +191,12 @@ def citation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.groupBy("l_orderkey").agg(F.array_join(F.transform(ordered, lambda x: x["s"]), "; ").alias("label"))
 
 
-@query("bibliography", f"WITH {ARTICLES} SELECT article_id, '@article{{ls' || CAST(article_id AS VARCHAR) || ', title = {{' || left(title, 60) || '}}, year = {{' || CAST(year AS VARCHAR) || '}}' || coalesce(', doi = {{' || doi || '}}', '') || '}}' AS entry FROM articles WHERE status IN ('validated','indexed')".replace("{{", "{").replace("}}", "}"))
+@query("bibliography", f"WITH {ARTICLES} SELECT article_id, '@article{{ls' || CAST(article_id AS VARCHAR) || ', title = {{' || title || '}}, year = {{' || CAST(year AS VARCHAR) || '}}' || coalesce(', doi = {{' || doi || '}}', '') || '}}' AS entry FROM articles WHERE status IN ('validated','indexed')".replace("{{", "{").replace("}}", "}"))
 def bibliography(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A BibTeX entry for every visible article."""
     rows = articles(spark, sf_dir).where(F.col("status").isin("validated", "indexed"))
     doi = F.coalesce(F.concat(F.lit(", doi = {"), "doi", F.lit("}")), F.lit(""))
-    entry = F.concat(F.lit("@article{ls"), F.col("article_id").cast("string"), F.lit(", title = {"), F.left("title", F.lit(60)), F.lit("}, year = {"), F.col("year").cast("string"), F.lit("}"), doi, F.lit("}"))
+    entry = F.concat(F.lit("@article{ls"), F.col("article_id").cast("string"), F.lit(", title = {"), "title", F.lit("}, year = {"), F.col("year").cast("string"), F.lit("}"), doi, F.lit("}"))
     return rows.select("article_id", entry.alias("entry"))
 
 
@@ -179,15 +214,3 @@ def inverted_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("json_fields", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, json_valid(props) AS valid FROM events")
 def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"), F.try_parse_json("props").isNotNull().alias("valid"))
-
-
-VARIANTS = [("original", 1.0, lambda q: q), ("folded", 0.65, lambda q: fold(q)), ("long_words", 0.35, lambda q: F.array_join(F.filter(tokens(q), lambda t: F.length(t) >= 6), " "))]
-
-
-@query("query_variants", f"WITH v AS (SELECT item_id AS query_id, 'original' AS tier, 1.0 AS weight, text AS variant FROM benchmark UNION ALL SELECT item_id, 'folded', 0.65, {FOLD.format(x='text')} FROM benchmark UNION ALL SELECT item_id, 'long_words', 0.35, array_to_string(list_filter({TOKENS.format(x='text')}, lambda t: length(t) >= 6), ' ') FROM benchmark), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY weight DESC) AS n FROM v WHERE variant <> '') SELECT query_id, tier, CAST(weight AS DOUBLE) AS weight, variant FROM r WHERE n = 1")
-def query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each question's variants with the weights of their tiers; equal ones keep the highest."""
-    q = search_queries(spark, sf_dir)
-    made = q.select("query_id", F.explode(F.array(*[F.struct(F.lit(n).alias("tier"), F.lit(w).alias("weight"), f(F.col("query")).alias("variant")) for n, w, f in VARIANTS])).alias("v")).select("query_id", "v.*")
-    best = F.row_number().over(Window.partitionBy("query_id", "variant").orderBy(F.desc("weight")))
-    return made.where("variant <> ''").withColumn("n", best).where("n = 1").drop("n")

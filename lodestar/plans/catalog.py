@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from lodestar.operators import entities, evaluation, events, passages, relational, research, retrieval, selection, texts
+from lodestar.operators import entities, evaluation, events, evidence, passages, phrases, planning, relational, research, retrieval, selection, texts
 from lodestar.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "entities", "evaluation", "events", "passages", "relational", "research", "retrieval", "selection", "texts"]
+__all__ = ["ORACLES", "QUERIES", "entities", "evaluation", "events", "evidence", "passages", "phrases", "planning", "relational", "research", "retrieval", "selection", "texts"]

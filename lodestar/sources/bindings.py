@@ -81,5 +81,5 @@ HITS = """hits AS (SELECT l_orderkey AS run_id, l_partkey AS record_id, 'theme'
   CASE WHEN l_discount >= 0.07 THEN 'accepted' WHEN l_discount >= 0.045 THEN 'review' ELSE 'rejected' END AS hit_status FROM lineitem)"""
 
 #: DuckDB for the folding of ``functions.text``.
-FOLD = "replace(translate(lower({x}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), 'ß', 'ss')"
+FOLD = "replace(strip_accents(lower({x})), 'ß', 'ss')"
 TOKENS = r"regexp_extract_all(" + FOLD + r", '[\p{{L}}\p{{N}}]+')"

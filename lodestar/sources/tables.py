@@ -14,16 +14,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured (tests)."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; a local one only where none is set and Spark runs on this machine alone."""
     configured = spark.conf.get("spark.checkpoint.dir", "")
     if not configured:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
 
 
 def stored(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, so that lost executors cost no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    """Write ``df`` as Parquet in the shared folder and read it back, so that lost executors cost no recomputation.
+
+    The files go when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    remember(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remember(spark: SparkSession, path: str) -> None:
+    """Have the folder system that holds ``path`` delete it when the driver ends."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
