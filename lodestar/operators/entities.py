@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lodestar.functions.text import title_key
+from lodestar.functions.text import fold, title_key
 from lodestar.operators.selection import first_by
 from lodestar.plans.registry import query
 from lodestar.sources.bindings import ARTICLES, CHUNKS, FOLD, HITS, articles, chunks, record_hits
@@ -113,57 +109,246 @@ def next_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg((F.max("turn") + 1).alias("next_position"))
 
 
-@query("hash_guarded_update", "SELECT p_partkey, CASE WHEN md5(p_name) = CASE WHEN p_partkey % 4 = 0 THEN 'stale' ELSE md5(p_name) END THEN 'indexed' ELSE 'pending' END AS status FROM part")
+def guarded_update(rows: DataFrame, read: DataFrame, key: str) -> DataFrame:
+    """``rows(key, content_hash, status)`` with the status of ``read(key, content_hash, status)`` where the content is still what was read; others keep theirs."""
+    own = read.select(key, "content_hash", F.col("status").alias("_new"))
+    return rows.join(own, [key, "content_hash"], "left").withColumn("status", F.coalesce("_new", "status")).drop("_new")
+
+
+@query("hash_guarded_update", "WITH now AS (SELECT doc_id, md5(CASE WHEN doc_id % 4 = 0 THEN upper(text) ELSE text END) AS content_hash FROM documents) SELECT now.doc_id, CASE WHEN now.content_hash = md5(d.text) THEN 'indexed' ELSE 'pending' END AS status FROM now JOIN documents d USING (doc_id)")
 def hash_guarded_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A status is set only where the content's hash is still the one that was read."""
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.md5("p_name").alias("hash"))
-    read = rows.select("p_partkey", F.when(F.col("p_partkey") % 4 == 0, "stale").otherwise(F.col("hash")).alias("hash"), F.lit("indexed").alias("status"))
-    return rows.join(read, ["p_partkey", "hash"], "left").select("p_partkey", F.coalesce("status", F.lit("pending")).alias("status"))
+    """Documents that were read and then, one in four, changed: only unchanged ones become indexed."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    now = docs.select("doc_id", F.md5(F.when(F.col("doc_id") % 4 == 0, F.upper("text")).otherwise(F.col("text"))).alias("content_hash"), F.lit("pending").alias("status"))
+    return guarded_update(now, docs.select("doc_id", F.md5("text").alias("content_hash"), F.lit("indexed").alias("status")), "doc_id").select("doc_id", "status")
+
 
+# --- titles that mean the same -------------------------------------------------------------------
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Twice the matching characters over all characters of two texts."""
-    return pd.Series([SequenceMatcher(None, a or "", b or "", autojunk=False).ratio() for a, b in zip(left, right, strict=True)])
+GRAM, ALIKE = 3, 0.96
 
 
-def title_candidates(rows: DataFrame, least: float = 0.96) -> DataFrame:
-    """Pairs of each title's block representative and the block's other distinct titles, at most a year apart, with their likeness and a verdict.
+def title_pairs(keys: DataFrame, least: float = ALIKE) -> DataFrame:
+    """``a, b, likeness``: all pairs of distinct ``keys(id, key)`` with a likeness of ``least`` or more, ``a < b``.
 
-    A block has the titles that begin with the same twelve letters of their key. Its first title
-    stands for it, so a block gives as many pairs as it has titles.
+    The likeness is one less the edit distance over the longer length. A distance of ``d`` leaves all but ``GRAM * d`` grams of a key alone, so of two
+    such keys some gram stands among the first ``GRAM * d + 1`` of either, in one order of all grams; the rarest come first, so few keys meet that are not alike.
     """
-    keyed = rows.withColumn("key", title_key(F.col("title"))).withColumn("block", F.substring("key", 1, 12))
-    distinct = keyed.groupBy("block", "key").agg(F.min(F.struct("article_id", "title", "year")).alias("x")).select("block", "x.*")
-    first = first_by(distinct, ["block"], ["article_id"]).select("block", F.col("article_id").alias("target_id"), F.col("title").alias("target"), F.col("year").alias("target_year"))
-    met = distinct.join(first, "block").where("article_id <> target_id")
-    like = met.withColumn("ratio", sequence_ratio(F.substring("target", 1, 500), F.substring("title", 1, 500)))
-    near = F.abs(F.col("year") - F.col("target_year")) <= 1
-    verdict = F.when((F.col("ratio") >= least) & near, "accepted").when(F.col("ratio") >= 0.85, "review").otherwise("rejected")
-    return like.select("target_id", "article_id", F.round("ratio", 6).alias("ratio"), verdict.alias("verdict"))
+    n = F.length("key")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - GRAM + 1, F.lit(1))), lambda i: F.substring("key", i, F.lit(GRAM)))
+    placed = keys.select("id", "key", F.explode(grams).alias("g"))
+    placed = placed.withColumn("turn", F.row_number().over(Window.partitionBy("id", "g").orderBy(F.lit(1))))
+    common = placed.groupBy("g", "turn").agg(F.count(F.lit(1)).alias("df"))
+    ranked = placed.join(common, ["g", "turn"]).withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("df", "g", "turn")))
+    allowed = F.floor((1 - least) * n + 1e-9)
+    first = ranked.where(F.col("n") <= GRAM * allowed + 1).select("id", "g", "turn", n.alias("l"))
+    met = first.withColumnsRenamed({"id": "a", "l": "la"}).join(first.withColumnsRenamed({"id": "b", "l": "lb"}), ["g", "turn"])
+    met = met.where((F.col("a") < F.col("b")) & (F.least("la", "lb") >= F.greatest("la", "lb") * least - 1e-9)).select("a", "b").distinct()
+    both = met.join(keys.select(F.col("id").alias("a"), F.col("key").alias("ka")), "a").join(keys.select(F.col("id").alias("b"), F.col("key").alias("kb")), "b")
+    like = 1 - F.levenshtein("ka", "kb") / F.greatest(F.length("ka"), F.length("kb"))
+    return both.select("a", "b", like.alias("likeness")).where(F.col("likeness") >= least - 1e-9)
+
+
+def title_candidates(rows: DataFrame, least: float = ALIKE) -> DataFrame:
+    """``target_id, article_id, likeness, verdict`` of different titles of ``rows(article_id, title, year, authors)`` that are ``least`` alike.
+
+    Rows whose title keys are equal are one title, named by their least id. A pair is accepted if some of their rows are at most a year apart, or one has no year,
+    and share an author, or one names none; else it is for review. Null titles have no partner.
+    """
+    own = rows.where("title IS NOT NULL").withColumn("key", title_key(F.col("title"))).groupBy("key").agg(
+        F.min("article_id").alias("id"), F.collect_set("year").alias("years"), F.max(F.col("year").isNull()).alias("undated"), F.array_distinct(F.flatten(F.collect_set("authors"))).alias("authors"),
+    )
+    side = lambda k: own.select(F.col("id").alias(k), F.col("years").alias(f"y{k}"), F.col("undated").alias(f"u{k}"), F.col("authors").alias(f"n{k}"))
+    met = title_pairs(own.select("id", "key"), least).join(side("a"), "a").join(side("b"), "b")
+    near = F.col("ua") | F.col("ub") | F.exists("ya", lambda x: F.exists("yb", lambda y: F.abs(x - y) <= 1))
+    shared = (F.size("na") == 0) | (F.size("nb") == 0) | F.arrays_overlap("na", "nb")
+    return met.select(F.col("a").alias("target_id"), F.col("b").alias("article_id"), F.round("likeness", 6).alias("likeness"), F.when(near & shared, "accepted").otherwise("review").alias("verdict"))
+
+
+TITLES = f"k AS (SELECT {KEY} AS key, min(article_id) AS id, list_distinct(list(year)) AS years, list_distinct(list(source)) AS authors FROM articles WHERE title IS NOT NULL GROUP BY 1)"
 
 
-@query("title_candidate_matches")
+@query("title_candidate_matches", f"WITH {ARTICLES}, {TITLES}, p AS (SELECT a.id AS target_id, b.id AS article_id, 1 - levenshtein(a.key, b.key) / greatest(length(a.key), length(b.key)) AS likeness, a.years AS ya, b.years AS yb, list_has_any(a.authors, b.authors) AS shared FROM k a JOIN k b ON a.id < b.id AND least(length(a.key), length(b.key)) >= 0.96 * greatest(length(a.key), length(b.key)) - 1e-9) SELECT target_id, article_id, round(likeness, 6) AS likeness, CASE WHEN shared AND len(list_filter(ya, lambda x: len(list_filter(yb, lambda y: abs(x - y) <= 1)) > 0)) > 0 THEN 'accepted' ELSE 'review' END AS verdict FROM p WHERE likeness >= 0.96 - 1e-9")
 def title_candidate_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return title_candidates(articles(spark, sf_dir).select("article_id", "title", "year"))
+    """The articles' titles; the source stands in for the authors."""
+    return title_candidates(articles(spark, sf_dir).select("article_id", "title", "year", F.array_compact(F.array("source")).alias("authors")))
 
 
-@query("conservative_scope_rules", f"WITH {ARTICLES}, f AS (SELECT article_id, {FOLD.format(x='title')} AS t, {FOLD.format(x='body')} AS b FROM articles), s AS (SELECT article_id, CASE WHEN contains(t, 'the') THEN 0.55 WHEN contains(b, 'the') THEN 0.25 ELSE 0 END + CASE WHEN contains(t, 'tion') THEN 0.30 WHEN contains(b, 'tion') THEN 0.15 ELSE 0 END - CASE WHEN contains(b, 'license') THEN 0.4 ELSE 0 END AS raw, contains(b, 'license') AS flag, contains(t, 'the') AS domain FROM f) SELECT article_id, round(least(1, greatest(0, raw)), 3) AS score, CASE WHEN flag THEN 'rejected' WHEN round(least(1, greatest(0, raw)), 3) >= 0.7 AND domain THEN 'accepted' WHEN round(least(1, greatest(0, raw)), 3) >= 0.45 THEN 'review' ELSE 'rejected' END AS status FROM s")
-def conservative_scope_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A relevance gate: domain and theme words in title or text add, exclusion flags subtract and reject."""
-    from lodestar.functions.text import fold
+# --- gates by rules ------------------------------------------------------------------------------
+
+# What domain and theme add by where they stand, and the bars of acceptance and review.
+DOMAIN_TITLE, DOMAIN_ABSTRACT, THEME_TITLE, THEME_ABSTRACT, ACCEPT, REVIEW = 0.55, 0.25, 0.30, 0.15, 0.70, 0.45
+#: Rules for the stored texts. Flags: name, where it is sought, pattern, penalty.
+GATE = {"domain": r"\b(the|der|les?|el)\b", "context": "tion|ung|ment|cion", "theme": "an|en"}
+FLAGS = [
+    ("license", "abstract", "license|copyright", 0.40), ("dated", "year", "1900", 0.40), ("shouting", "title", "!!", 0.50), ("signs", "title", "[*#$%&]{2,}", 0.70),
+    ("table", "title", "[|]", 0.50), ("address", "abstract", "@", 0.70), ("numbers", "title", "[0-9]{3,}", 0.70),
+]
+
 
-    t, b = fold(F.col("title")), fold(F.col("body"))
-    has = lambda x, w: F.contains(x, F.lit(w))
-    raw = F.when(has(t, "the"), 0.55).when(has(b, "the"), 0.25).otherwise(0.0) + F.when(has(t, "tion"), 0.30).when(has(b, "tion"), 0.15).otherwise(0.0) - F.when(has(b, "license"), 0.4).otherwise(0.0)
-    rows = articles(spark, sf_dir).select("article_id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)), 3).alias("score"), has(b, "license").alias("flag"), has(t, "the").alias("domain"))
+def relevance_gate(rows: DataFrame, gate: dict[str, str], flags: list[tuple[str, str, str, float]]) -> DataFrame:
+    """``rows(title, abstract, year, ...)`` with ``score, status, flags`` by rules.
+
+    A domain word counts if the record has technical context or the theme. Domain and theme add by where they stand; every flag takes its penalty and rejects, whatever the
+    score, and so does a domain word without context. Else a score of ``ACCEPT`` with the domain in the title accepts, one of ``REVIEW`` with the domain anywhere is for review.
+    """
+    where = {"title": fold(F.coalesce("title", F.lit(""))), "abstract": fold(F.coalesce("abstract", F.lit("")))}
+    rows = rows.withColumns({f"_{k}": x for k, x in where.items()})
+    has = lambda c, k: F.col(f"_{c}").rlike(gate[k])
+    context = has("title", "context") | has("abstract", "context") | has("title", "theme") | has("abstract", "theme")
+    rows = rows.withColumn("_context", context).withColumn("_dt", has("title", "domain") & context).withColumn("_da", has("abstract", "domain") & context)
+    bare = (has("title", "domain") | has("abstract", "domain")) & ~F.col("_context")
+    found = [(name, F.coalesce(F.col("year") < int(pattern), F.lit(False)) if c == "year" else F.col(f"_{c}").rlike(pattern), penalty) for name, c, pattern, penalty in flags] + [("no_context", bare, 0.70)]
+    rows = rows.withColumn("flags", F.array_compact(F.array(*[F.when(x, name) for name, x, _ in found])))
+    raw = sum((F.when(x, w).otherwise(0.0) for x, w in ((F.col("_dt"), DOMAIN_TITLE), (F.col("_da"), DOMAIN_ABSTRACT), (has("title", "theme"), THEME_TITLE), (has("abstract", "theme"), THEME_ABSTRACT))), F.lit(0.0))
+    raw = raw - sum((F.when(F.array_contains("flags", name), w).otherwise(0.0) for name, _, w in found), F.lit(0.0))
+    rows = rows.withColumn("score", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)), 3))
     s = F.col("score")
-    return rows.select("article_id", "score", F.when(F.col("flag"), "rejected").when((s >= 0.7) & F.col("domain"), "accepted").when(s >= 0.45, "review").otherwise("rejected").alias("status"))
+    status = F.when(F.size("flags") > 0, "rejected").when((s >= ACCEPT) & F.col("_dt"), "accepted").when((s >= REVIEW) & (F.col("_dt") | F.col("_da")), "review").otherwise("rejected")
+    return rows.withColumn("status", status).drop("_title", "_abstract", "_context", "_dt", "_da")
+
 
+def gate_sql() -> str:
+    flags = [(n, f"coalesce(year < {p}, false)" if c == "year" else f"regexp_matches({c[0]}, '{p}')", w) for n, c, p, w in FLAGS]
+    has = lambda c, k: f"regexp_matches({c}, '{GATE[k]}')"
+    bare = f"(({has('t', 'domain')} OR {has('a', 'domain')}) AND NOT context)"
+    listed = "list_filter([" + ", ".join(f"CASE WHEN {x} THEN '{n}' END" for n, x, _ in [*flags, ("no_context", bare, 0.7)]) + "], lambda x: x IS NOT NULL)"
+    less = " - ".join(f"CASE WHEN {x} THEN {w} ELSE 0 END" for _, x, w in [*flags, ("", bare, 0.7)])
+    return f"""WITH {ARTICLES}, f AS (SELECT article_id, year, {FOLD.format(x='title')} AS t, {FOLD.format(x="coalesce(split_part(body, chr(10), 2), '')")} AS a FROM articles),
+ c AS (SELECT *, {has('t', 'context')} OR {has('a', 'context')} OR {has('t', 'theme')} OR {has('a', 'theme')} AS context FROM f), d AS (SELECT *, {has('t', 'domain')} AND context AS dt, {has('a', 'domain')} AND context AS da, {listed} AS flags FROM c),
+ s AS (SELECT *, CAST(round(least(1, greatest(0, CASE WHEN dt THEN 0.55 ELSE 0 END + CASE WHEN da THEN 0.25 ELSE 0 END + CASE WHEN {has('t', 'theme')} THEN 0.30 ELSE 0 END + CASE WHEN {has('a', 'theme')} THEN 0.15 ELSE 0 END - {less})), 3) AS DOUBLE) AS score FROM d)
+ SELECT article_id, score, array_to_string(flags, ',') AS flags, CASE WHEN len(flags) > 0 THEN 'rejected' WHEN score >= 0.7 AND dt THEN 'accepted' WHEN score >= 0.45 AND (dt OR da) THEN 'review' ELSE 'rejected' END AS status FROM s"""
 
-@query("editorial_scope", f"WITH {ARTICLES} SELECT article_id, CASE WHEN regexp_matches(title, '[*#$%&]{{2,}}') THEN 'noise' WHEN length(trim(title, ' ')) < 20 THEN 'fragment' WHEN contains(title, ' | ') THEN 'table' WHEN upper(title) = title THEN 'banner' ELSE 'article' END AS scope FROM articles")
+
+@query("conservative_scope_rules", gate_sql())
+def conservative_scope_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = articles(spark, sf_dir).select("article_id", "title", F.split_part("body", F.lit("\n"), F.lit(2)).alias("abstract"), "year")
+    return relevance_gate(own, GATE, FLAGS).select("article_id", "score", F.array_join("flags", ",").alias("flags"), "status")
+
+
+#: Ordered rules for the stored titles: verdict, what the title has, what it must not have, what the text has.
+SCOPE = [
+    ("rejected: noise", "[*#$%&!]{2,}", None, None), ("rejected: table", "[|]", None, None), ("rejected: homonym", "^(the|der) ", "tion|ung", None),
+    ("accepted: direct", "tion|ung|ment", None, None), ("accepted: bridge", "er", None, "license"), ("accepted: material", "[aeiou]{2}", None, None),
+]
+
+
+def editorial_scope_of(title: Column, text: Column, rules: list[tuple[str, str, str | None, str | None]]) -> Column:
+    """The verdict of the first rule that fits a folded title and text; an empty title and one that no rule fits are rejected."""
+    t, b = fold(F.coalesce(title, F.lit(""))), fold(F.coalesce(text, F.lit("")))
+    scope = F.lit("rejected: indirect")
+    for verdict, has, lacks, said in reversed(rules):
+        fits = t.rlike(has)
+        fits = fits & ~t.rlike(lacks) if lacks else fits
+        scope = F.when(fits & b.rlike(said) if said else fits, verdict).otherwise(scope)
+    return F.when(F.trim(t) == "", "rejected: untitled").otherwise(scope)
+
+
+SCOPE_SQL = " ".join(f"WHEN regexp_matches(t, '{h}')" + (f" AND NOT regexp_matches(t, '{n}')" if n else "") + (f" AND regexp_matches(b, '{b}')" if b else "") + f" THEN '{v}'" for v, h, n, b in SCOPE)
+
+
+@query("editorial_scope", f"WITH {ARTICLES}, f AS (SELECT article_id, {FOLD.format(x='title')} AS t, {FOLD.format(x='body')} AS b FROM articles) SELECT article_id, CASE WHEN trim(t, ' ') = '' THEN 'rejected: untitled' {SCOPE_SQL} ELSE 'rejected: indirect' END AS scope FROM f")
 def editorial_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What kind of record a title heads; the first rule that fits decides."""
-    t = F.col("title")
-    scope = F.when(t.rlike("[*#$%&]{2,}"), "noise").when(F.length(F.trim(t)) < 20, "fragment").when(F.contains(t, F.lit(" | ")), "table").when(F.upper(t) == t, "banner").otherwise("article")
-    return articles(spark, sf_dir).select("article_id", scope.alias("scope"))
+    return articles(spark, sf_dir).select("article_id", editorial_scope_of(F.col("title"), F.col("body"), SCOPE).alias("scope"))
+
+
+# --- records of two providers --------------------------------------------------------------------
+
+MERGED = ["title", "year", "doi", "journal"]
+
+
+def merged_providers(primary: DataFrame, secondary: DataFrame, key: str, strict: bool = True) -> DataFrame:
+    """``key`` and ``MERGED`` of two providers' records, the primary's values first; records with different DOIs are an error, or with ``strict`` off left out."""
+    other = secondary.select(key, *[F.col(c).alias(f"_{c}") for c in MERGED])
+    both = primary.join(other, key, "left")
+    clash = F.lower("doi") != F.lower("_doi")
+    if strict:
+        both = both.withColumn("doi", F.when(clash, F.raise_error(F.concat(F.lit("records with different DOIs: "), F.col(key).cast("string")))).otherwise(F.col("doi")))
+    else:
+        both = both.where(~F.coalesce(clash, F.lit(False)))
+    return both.select(key, *[F.coalesce(c, f"_{c}").alias(c) for c in MERGED])
+
+
+def filled(target: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``target`` with only its missing fields taken from ``found``; ``n_filled`` counts them. What is there is never overwritten."""
+    other = found.select(key, *[F.col(c).alias(f"_{c}") for c in MERGED])
+    both = target.join(other, key, "left")
+    n = sum((F.col(c).isNull() & F.col(f"_{c}").isNotNull()).cast("int") for c in MERGED)
+    return both.select(key, *[F.coalesce(c, f"_{c}").alias(c) for c in MERGED], n.cast("long").alias("n_filled"))
+
+
+def providers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three views of the articles as records with gaps: the stored one and two providers'."""
+    own = articles(spark, sf_dir).select("article_id", "title", "year", "doi", F.col("source").alias("journal"))
+    gap = lambda c, n, at: F.when(F.col("article_id") % n != at, F.col(c)).alias(c)
+    target = own.select("article_id", gap("title", 7, 1), gap("year", 2, 0), gap("doi", 4, 1), F.lit(None).cast("string").alias("journal"))
+    first = own.select("article_id", "title", gap("year", 3, 0), gap("doi", 5, 2), gap("journal", 2, 1))
+    return target, first, own.select("article_id", F.upper("title").alias("title"), "year", F.upper("doi").alias("doi"), "journal").where("article_id % 11 <> 0")
+
+
+PROVIDERS = f"""WITH {ARTICLES}, t AS (SELECT article_id, CASE WHEN article_id % 7 <> 1 THEN title END AS title, CASE WHEN article_id % 2 <> 0 THEN year END AS year, CASE WHEN article_id % 4 <> 1 THEN doi END AS doi FROM articles),
+ p AS (SELECT article_id, title, CASE WHEN article_id % 3 <> 0 THEN year END AS year, CASE WHEN article_id % 5 <> 2 THEN doi END AS doi, CASE WHEN article_id % 2 <> 1 THEN source END AS journal FROM articles), s AS (SELECT article_id, upper(title) AS title, year, upper(doi) AS doi, source AS journal FROM articles WHERE article_id % 11 <> 0),
+ m AS (SELECT p.article_id, coalesce(p.title, s.title) AS title, coalesce(p.year, s.year) AS year, coalesce(p.doi, s.doi) AS doi, coalesce(p.journal, s.journal) AS journal FROM p LEFT JOIN s USING (article_id))"""
+
+
+@query("metadata_enrichment", PROVIDERS + " SELECT t.article_id, coalesce(t.title, m.title) AS title, coalesce(t.year, m.year) AS year, coalesce(t.doi, m.doi) AS doi, m.journal, CAST(t.title IS NULL AND m.title IS NOT NULL AS BIGINT) + CAST(t.year IS NULL AND m.year IS NOT NULL AS BIGINT) + CAST(t.doi IS NULL AND m.doi IS NOT NULL AS BIGINT) + CAST(m.journal IS NOT NULL AS BIGINT) AS n_filled FROM t LEFT JOIN m USING (article_id)")
+def metadata_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing fields of stored records from the merged records of two providers."""
+    target, first, second = providers(spark, sf_dir)
+    return filled(target, merged_providers(first, second, "article_id"), "article_id")
+
+
+@query("cross_validated_matches", PROVIDERS + ", k AS (SELECT p.article_id, s.doi IS NOT NULL AND lower(p.doi) = lower(s.doi) AS same, 1 - levenshtein(lower(p.title), lower(s.title)) / greatest(1, length(p.title), length(s.title)) AS likeness, p.year IS NULL OR s.year IS NULL OR abs(p.year - s.year) <= 1 AS near FROM p LEFT JOIN s USING (article_id)) SELECT article_id, CASE WHEN same IS NULL OR NOT same THEN 'review: doi' WHEN likeness < 0.94 THEN 'review: title' WHEN NOT near THEN 'review: year' ELSE 'accepted' END AS verdict FROM k")
+def cross_validated_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a second provider confirms the first one's record: the same DOI, titles 0.94 alike, years at most one apart."""
+    _, first, second = providers(spark, sf_dir)
+    other = second.select("article_id", *[F.col(c).alias(f"_{c}") for c in MERGED])
+    both = first.join(other, "article_id", "left")
+    low, high = F.lower("title"), F.lower("_title")
+    likeness = 1 - F.levenshtein(low, high) / F.greatest(F.lit(1), F.length(low), F.length(high))
+    same = F.coalesce(F.lower("doi") == F.lower("_doi"), F.lit(False))
+    near = F.col("year").isNull() | F.col("_year").isNull() | (F.abs(F.col("year") - F.col("_year")) <= 1)
+    return both.select("article_id", F.when(~same, "review: doi").when(likeness < 0.94, "review: title").when(~near, "review: year").otherwise("accepted").alias("verdict"))
+
+
+# --- bulk changes --------------------------------------------------------------------------------
+
+
+@query("status_by_ids", f"WITH {ARTICLES} SELECT article_id, CASE WHEN article_id IN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 45) THEN 'indexed' ELSE status END AS status FROM articles")
+def status_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of ids gets one status; however long the list is, it is joined, not spelled out."""
+    ids = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("article_id")).distinct().withColumn("_new", F.lit("indexed"))
+    return articles(spark, sf_dir).join(ids, "article_id", "left").select("article_id", F.coalesce("_new", "status").alias("status"))
+
+
+@query("bulk_rejections", f"WITH {ARTICLES} SELECT article_id, CASE WHEN trim(split_part(body, chr(10), 2), ' ') = '' THEN 'rejected' WHEN doi IS NULL AND status IN ('validated', 'indexed') THEN 'awaiting_validation' ELSE status END AS status, CASE WHEN trim(split_part(body, chr(10), 2), ' ') = '' THEN 'no abstract' WHEN doi IS NULL AND status IN ('validated', 'indexed') THEN 'no doi' END AS reason FROM articles")
+def bulk_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records without an abstract are rejected; accepted ones without a DOI go back for review."""
+    bare = F.trim(F.split_part("body", F.lit("\n"), F.lit(2))) == ""
+    demoted = F.col("doi").isNull() & F.col("status").isin("validated", "indexed")
+    return articles(spark, sf_dir).select("article_id", F.when(bare, "rejected").when(demoted, "awaiting_validation").otherwise(F.col("status")).alias("status"), F.when(bare, "no abstract").when(demoted, "no doi").alias("reason"))
+
+
+@query("text_normalisation", "WITH n AS (SELECT page_id, html, trim(regexp_replace(regexp_replace(replace(html, '&amp;', '&'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'), ' ') AS clean FROM pages) SELECT page_id, sha256(clean) AS content_hash, CASE WHEN clean <> html THEN 'pending' ELSE 'indexed' END AS status FROM n")
+def text_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored texts cleaned of markup; those that change are queued again."""
+    clean = F.trim(F.regexp_replace(F.regexp_replace(F.replace("html", F.lit("&amp;"), F.lit("&")), "<[^>]+>", " "), r"\s+", " "))
+    rows = table(spark, sf_dir, "pages").select("page_id", "html", clean.alias("clean"))
+    return rows.select("page_id", F.sha2("clean", 256).alias("content_hash"), F.when(F.col("clean") != F.col("html"), "pending").otherwise("indexed").alias("status"))
+
+
+@query("latest_feedback", "SELECT user_id, event_type, arg_max(value > 50, (ts, event_id)) AS favourite, count(*) AS changes FROM events GROUP BY 1, 2")
+def latest_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all settings of one mark, the last one holds."""
+    last = F.max_by(F.col("value") > 50, F.struct("ts", "event_id"))
+    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(last.alias("favourite"), F.count(F.lit(1)).alias("changes"))
+
+
+@query("restored_evidence", f"WITH {CHUNKS}, e AS (SELECT chunk_id AS old_id, article_id, text[11:60] AS excerpt FROM chunks WHERE length(text) >= 60 AND chunk_id % 3 = 0), n AS (SELECT c.chunk_id + 1000000000 AS chunk_id, c.article_id, CASE WHEN chunk_id % 7 = 0 THEN upper(text) ELSE text END AS text FROM chunks c) SELECT e.old_id, min(n.chunk_id) AS chunk_id FROM e LEFT JOIN n ON n.article_id = e.article_id AND contains(n.text, e.excerpt) GROUP BY e.old_id")
+def restored_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Excerpts of replaced chunks attached to the new chunks of their article that hold them word for word; null where none does."""
+    own = chunks(spark, sf_dir).select("chunk_id", "article_id", "text")
+    old = own.where((F.length("text") >= 60) & (F.col("chunk_id") % 3 == 0)).select(F.col("chunk_id").alias("old_id"), "article_id", F.substring("text", 11, 50).alias("excerpt"))
+    new = own.select((F.col("chunk_id") + 1000000000).alias("chunk_id"), "article_id", F.when(F.col("chunk_id") % 7 == 0, F.upper("text")).otherwise(F.col("text")).alias("text"))
+    met = old.join(new, "article_id").where(F.contains("text", F.col("excerpt"))).groupBy("old_id").agg(F.min("chunk_id").alias("chunk_id"))
+    return old.select("old_id").join(met, "old_id", "left")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -89,15 +91,24 @@ SWEEP = f"""WITH {OBSERVED}, g AS (SELECT score AS threshold, count(*) AS n, cou
  f AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM m)"""
 
 
+RANGES = 64
+
+
 def threshold_sweep(rows: DataFrame) -> DataFrame:
     """Precision, recall, specificity and F1 for each threshold ``score >= threshold`` of ``rows(score, relevant)``.
 
-    Scores are counted first, so the running sums go over distinct scores only.
+    Scores are counted first, so the running sums go over distinct scores only. Those are dealt into ``RANGES`` ranges at
+    quantiles; a range's sums start from those of the ranges above it.
     """
     counts = rows.groupBy(F.col("score").alias("threshold")).agg(F.count(F.lit(1)).alias("n"), F.count_if("relevant").alias("pos"))
     total = counts.agg(F.sum("n").alias("N"), F.sum("pos").alias("P"))
-    w = Window.orderBy(F.desc("threshold"))
-    run = counts.select("threshold", F.sum("n").over(w).alias("taken"), F.sum("pos").over(w).alias("tp")).join(F.broadcast(total))
+    cuts = counts.agg(F.percentile_approx("threshold", [i / RANGES for i in range(1, RANGES)], 10 * RANGES)).first()[0] or []
+    counts = counts.withColumn("part", F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<double>"), lambda c: c <= F.col("threshold"))))
+    above = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.groupBy("part").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    parts = parts.select("part", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n0"), F.coalesce(F.sum("pos").over(above), F.lit(0)).alias("pos0"))
+    w = Window.partitionBy("part").orderBy(F.desc("threshold"))
+    run = counts.join(F.broadcast(parts), "part").select("threshold", (F.col("n0") + F.sum("n").over(w)).alias("taken"), (F.col("pos0") + F.sum("pos").over(w)).alias("tp")).join(F.broadcast(total))
     zero = F.lit(0)
     m = run.select(
         "threshold",
@@ -135,20 +146,39 @@ def variant_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.where("variant <> 'N'").join(base, "metric").select("variant", "metric", F.round(F.col("value") - F.col("base"), 6).alias("delta"))
 
 
-@query("bootstrap_mean")
-def bootstrap_mean(spark: SparkSession, sf_dir: str, samples: int = 200) -> DataFrame:
-    """Mean score and its 95 % interval: every row draws a Poisson weight for every resample from a hash, so that resamples need one pass."""
-    rows = table(spark, sf_dir, "lineitem").select(F.xxhash64("l_orderkey", "l_linenumber").alias("h"), F.col("l_discount").alias("x"))
-    u = F.pmod(F.xxhash64("h", "b"), F.lit(1 << 30)) / float(1 << 30)
-    cut, weight = 0.0, F.lit(0)
-    for n in range(8):
-        cut += math.exp(-1) / math.factorial(n)
-        weight = weight + F.when(u > cut, 1).otherwise(0)
-    drawn = rows.select("h", "x", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("b")).select("b", "x", weight.alias("w"))
-    means = drawn.groupBy("b").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("m"))
+# Resamples, and the seed.
+SAMPLES, SEED = 2000, 1729
+
+
+def bootstrap(rows: DataFrame, samples: int = SAMPLES) -> DataFrame:
+    """``mean, low, high``: the mean of ``rows(x)`` and its 95 % interval over ``samples`` resamples.
+
+    A row's weight in a resample is drawn from a Poisson distribution, so the weight of equal values together is a Poisson number about their count:
+    values are counted first, and each draws all its weights at once, from a generator that its own bits seed. Only sums by resample are
+    shuffled. A single row gives its value three times; no row gives nulls. Nulls are left out.
+    """
+
+    def run(batches):
+        sums, counts = np.zeros(samples), np.zeros(samples)
+        for batch in batches:
+            for x, n in zip(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), strict=True):
+                w = np.random.Generator(np.random.Philox(key=[SEED, int(np.float64(x).view(np.uint64))])).poisson(n, samples)
+                sums += w * x
+                counts += w
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(samples)), pa.array(sums), pa.array(counts)], ["b", "s", "n"])
+
+    held = rows.select(F.col("x").cast("double").alias("x")).where("x IS NOT NULL").groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    means = held.mapInArrow(run, "b long, s double, n double").groupBy("b").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0.0))).alias("m"))
     ends = means.agg(F.array_sort(F.collect_list("m")).alias("m"))
-    low, high = int(0.025 * (samples - 1)), int(0.975 * (samples - 1))
-    return ends.select(F.get("m", F.lit(low)).alias("low"), F.get("m", F.lit(high)).alias("high")).join(F.broadcast(rows.agg(F.avg("x").alias("mean"))))
+    at = lambda q: F.get("m", (q * (F.size("m") - 1)).cast("int"))
+    mean = held.agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("rows"))
+    found = ends.select("m").join(F.broadcast(mean))
+    return found.select("mean", F.when(F.col("rows") == 1, F.col("mean")).otherwise(at(0.025)).alias("low"), F.when(F.col("rows") == 1, F.col("mean")).otherwise(at(0.975)).alias("high"))
+
+
+@query("bootstrap_mean")
+def bootstrap_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bootstrap(table(spark, sf_dir, "lineitem").select(F.col("l_discount").alias("x")))
 
 
 # --- experiments ---------------------------------------------------------------------------------
@@ -210,27 +240,39 @@ def pair_concordance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.groupBy("low", "high").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("winner_id") == F.col("low")).cast("int")), 6).alias("low_share"), F.round(F.avg((F.col("winner_id") == F.col("left_id")).cast("int")), 6).alias("first_share"))
 
 
-def bradley_terry(games: DataFrame, rounds: int = 25) -> DataFrame:
+# Rounds at most, and the change of a strength's logarithm that ends them.
+ROUNDS, TOLERANCE = 200, 1e-10
+#: Rounds between two tests of the change, each written to the shared folder.
+STRIDE = 5
+
+
+def bradley_terry(games: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``id, ability, error``: Bradley-Terry strengths of ``games(left_id, right_id, winner_id)`` by minorisation-maximisation.
 
     Games are summed to pairs once; each round is a join of the pairs with the strengths and a sum
-    by player. Half a win each way is added to every pair; strengths are scaled to a geometric mean of one.
+    by player. Half a win each way is added to every pair; strengths are scaled to a geometric mean of one. Rounds go on until no strength changes
+    any more, ``rounds`` at most.
     """
     low, high = F.least("left_id", "right_id"), F.greatest("left_id", "right_id")
     pairs = games.groupBy(low.alias("i"), high.alias("j")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("winner_id") == low).alias("w"))
     both = pairs.select("i", "j", (F.col("n") + 1).alias("n"), (F.col("w") + 0.5).alias("w")).unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), (F.col("n") + 1).alias("n"), (F.col("n") - F.col("w") + 0.5).alias("w")))
     both = stored(both, "pairs")
-    wins = both.groupBy("i").agg(F.sum("w").alias("wins"), F.sum("n").alias("games"))
-    strength = stored(wins.select("i", F.lit(1.0).alias("p")), "strengths")
-    for _ in range(rounds):
-        other = strength.select(F.col("i").alias("j"), F.col("p").alias("q"))
-        base = both.join(strength, "i").join(other, "j").groupBy("i").agg(F.sum(F.col("n") / (F.col("p") + F.col("q"))).alias("d"))
-        new = base.join(wins, "i").select("i", (F.col("wins") / F.col("d")).alias("p"))
+    wins = stored(both.groupBy("i").agg(F.sum("w").alias("wins"), F.sum("n").alias("games")), "wins")
+    strength, done, change = wins.select("i", F.lit(1.0).alias("p")), 0, math.inf
+    while done < rounds and change > TOLERANCE:
+        new = strength
+        for _ in range(min(STRIDE, rounds - done)):
+            other = new.select(F.col("i").alias("j"), F.col("p").alias("q"))
+            base = both.join(new, "i").join(other, "j").groupBy("i").agg(F.sum(F.col("n") / (F.col("p") + F.col("q"))).alias("d"))
+            new = base.join(wins, "i").select("i", (F.col("wins") / F.col("d")).alias("p"))
+            done += 1
         scale = new.agg(F.exp(F.avg(F.ln("p"))).alias("g"))
-        strength = stored(new.join(F.broadcast(scale)).select("i", (F.col("p") / F.col("g")).alias("p")), "strengths")
+        new = stored(new.join(F.broadcast(scale)).select("i", (F.col("p") / F.col("g")).alias("p")), "strengths")
+        change = new.join(strength.withColumnRenamed("p", "q"), "i").agg(F.max(F.abs(F.ln("p") - F.ln("q")))).first()[0] or 0.0
+        strength = new
     return strength.join(wins, "i").select(F.col("i").alias("id"), F.ln("p").alias("ability"), (1 / F.sqrt("games")).alias("error"))
 
 
 @query("bradley_terry_strengths")
 def bradley_terry_strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bradley_terry(comparisons(spark, sf_dir), 10)
+    return bradley_terry(comparisons(spark, sf_dir))

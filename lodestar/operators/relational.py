@@ -300,10 +300,29 @@ def article_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.groupBy("article_id").agg(F.max("score").alias("best"), F.avg(F.when(F.col("rn") <= 3, F.col("score"))).alias("top3"), F.count(F.lit(1)).alias("matched"), F.array_join(top, ",").alias("top_ids"))
 
 
-@query("corpus_fingerprint", f"WITH {ARTICLES} SELECT count(*) AS n, sum(article_id * 31 + length(status)) AS mixed FROM articles")
+def table_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``n`` and a digest of the rows' contents that no order and no partitioning changes: two sums of parts of each row's hash, so that rows count each by itself."""
+    said = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]))
+    part = lambda at: F.conv(F.substring(said, at, 12), 16, 10).cast("decimal(38,0)")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(part(1)).alias("low"), F.sum(part(13)).alias("high"))
+
+
+def digest_sql(source: str, columns: str) -> str:
+    return f"SELECT count(*) AS n, sum(CAST(('0x' || md5({columns})[1:12]) AS BIGINT)) AS low, sum(CAST(('0x' || md5({columns})[13:24]) AS BIGINT)) AS high FROM {source}"
+
+
+@query("corpus_fingerprint", f"WITH {ARTICLES}, f AS (SELECT article_id, sha256(body) AS sha, status FROM articles) " + digest_sql("f", "concat_ws('|', CAST(article_id AS VARCHAR), sha, status)"))
 def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order-free digest that adds up across partitions."""
-    return articles(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("article_id") * 31 + F.length("status")).cast("decimal(38,0)").alias("mixed"))
+    """A digest of the articles' ids, contents and statuses."""
+    return table_digest(articles(spark, sf_dir).select("article_id", F.sha2("body", 256).alias("sha"), "status"), ["article_id", "sha", "status"])
+
+
+@query("index_snapshot_digest", f"WITH {ARTICLES}, {CHUNKS}, f AS (SELECT chunk_id, md5(c.text) AS hash FROM chunks c JOIN articles a USING (article_id) WHERE a.status = 'indexed') " + digest_sql("f", "concat_ws('|', CAST(chunk_id AS VARCHAR), hash)"))
+def index_snapshot_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest of the chunks of indexed articles, to tell whether an index is still theirs."""
+    shown = articles(spark, sf_dir).where("status = 'indexed'").select("article_id")
+    own = chunks(spark, sf_dir).join(shown, "article_id", "left_semi").select("chunk_id", F.md5("text").alias("hash"))
+    return table_digest(own, ["chunk_id", "hash"])
 
 
 # --- set operations ------------------------------------------------------------------------------

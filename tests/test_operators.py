@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import text
-from lodestar.operators.entities import title_candidates
-from lodestar.operators.evaluation import bradley_terry, ranking_metrics, threshold_sweep
+from lodestar.operators import evidence, passages
+from lodestar.operators.entities import filled, merged_providers, title_candidates
+from lodestar.operators.evaluation import bootstrap, bradley_terry, ranking_metrics, threshold_sweep
 from lodestar.operators.passages import canonical_number, chunked, numeric_verdicts, quantities
 from lodestar.operators.relational import hydrated, optional_filter
-from lodestar.operators.retrieval import bm25, fused, nearest, postings
+from lodestar.operators.retrieval import bm25, fused, index_of, nearest, within
 from lodestar.operators.selection import diversified
+from lodestar.sources import datasets
 from lodestar.streaming.events import accepted_once, event_stream, windowed_counts
 
 
@@ -73,10 +79,14 @@ def test_rank_fusion_by_hand(spark):
 
 
 def test_bm25_by_hand(spark):
-    index = postings(spark.createDataFrame([(1, "cat cat dog"), (2, "dog"), (3, "bird bird"), (4, None)], "id long, t string").na.fill(""), "id", "t")
-    got = {r.id: r.score for r in bm25(index, spark.createDataFrame([(7, "cat")], "query_id long, term string"), "id").collect()}
-    idf = math.log((3 - 1 + 0.5) / 1.5)
-    assert got == {1: pytest.approx(idf * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 3 / 2)))}
+    rows = spark.createDataFrame([(1, "cat cat dog", "cat"), (2, "dog", None), (3, "bird bird", ""), (4, None, None)], "id long, t string, h string")
+    asked = spark.createDataFrame([(7, "cat"), (8, "fish")], "query_id long, term string")
+    index = index_of(rows, "id", {"h": 1.5, "t": 1.0}, asked)
+    assert {(r.id, r.term): (r.length, r.tf) for r in index.where("term IS NOT NULL").collect()} == {(1, "cat"): (4, 3.5)}
+    got = {r.id: r.score for r in bm25(index, asked, "id").collect()}
+    idf = math.log((4 - 1 + 0.5) / 1.5)
+    assert got == {1: pytest.approx(idf * 3.5 * 2.2 / (3.5 + 1.2 * (0.25 + 0.75 * 4 / (7 / 4))))}
+    assert bm25(index_of(rows.limit(0), "id", {"t": 1.0}, asked), asked, "id").count() == 0
 
 
 def test_nearest_vectors(spark):
@@ -84,6 +94,10 @@ def test_nearest_vectors(spark):
     got = nearest(rows, spark.createDataFrame([(9, [2.0, 0.0])], "query_id long, embedding array<float>"), 2).orderBy("rank").collect()
     assert [r.id for r in got] == [1, 3] and got[1].similarity == pytest.approx(math.sqrt(0.5))
     assert nearest(rows.limit(0), rows.limit(0).withColumnRenamed("id", "query_id"), 2).count() == 0
+    assert [(r.query_id, r.n) for r in within(rows, spark.createDataFrame([(9, [2.0, 0.0])], "query_id long, embedding array<float>"), 0.5).collect()] == [(9, 2)]
+    many = spark.range(500).select("id", F.array(F.cos(F.col("id") % 50), F.sin(F.col("id") % 50)).alias("embedding"))
+    best = nearest(many, many.where("id < 2").withColumnRenamed("id", "query_id"), 12).collect()
+    assert {(r.query_id, r.id) for r in best if r["rank"] <= 10} == {(q, q + 50 * i) for q in (0, 1) for i in range(10)} and len(best) == 24
 
 
 def test_ranking_metrics_by_hand(spark):
@@ -138,9 +152,49 @@ def test_diversity_avoids_the_near_copy(spark):
 
 
 def test_title_candidates(spark):
-    rows = [(1, "On the ageing of cider in oak", 2000), (2, "On the ageing of cider in oaks", 2001), (3, "On the ageing of wine", 2000)]
-    got = {r.article_id: r.verdict for r in title_candidates(spark.createDataFrame(rows, "article_id long, title string, year int")).collect()}
-    assert got[2] == "accepted" and got.get(3) != "accepted"
+    r = random.Random(1)
+    words = ["ageing", "cider", "in", "oak", "on", "the", "yeast", "under", "pressure", "of", "apple", "must"]
+    titles = [" ".join(r.choice(words) for _ in range(r.randrange(2, 30))) for _ in range(80)]
+    for t in titles[:60]:
+        at = r.randrange(len(t))
+        titles.append(r.choice([t[:at] + "x" + t[at:], t[:at] + t[at + 1 :], "a" + t, t + "s", t[:at] + "zz" + t[at + 2 :]]))
+    rows = [(i, t, [2000, 2001, 2005, None][i % 4], [] if i % 5 == 0 else [f"n{i % 3}"]) for i, t in enumerate([*titles, None, titles[0].upper()])]
+    got = {(x.target_id, x.article_id): (x.likeness, x.verdict) for x in title_candidates(spark.createDataFrame(rows, "article_id long, title string, year int, authors array<string>")).collect()}
+    own = {}
+    for i, t, y, n in rows:
+        if t:
+            own.setdefault(re.sub("[^a-z0-9]", "", t.lower()), []).append((i, y, n))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    wanted = {}
+    for a in own:
+        for b in own:
+            if min(own[a])[0] < min(own[b])[0] and abs(len(a) - len(b)) <= 0.04 * max(len(a), len(b)):
+                likeness = 1 - distance(a, b) / max(len(a), len(b))
+                if likeness >= 0.96 - 1e-9:
+                    years = any(y is None or z is None or abs(y - z) <= 1 for _, y, _ in own[a] for _, z, _ in own[b])
+                    names = [{m for _, _, n in own[k] for m in n} for k in (a, b)]
+                    wanted[min(own[a])[0], min(own[b])[0]] = (round(likeness, 6), "accepted" if years and (not all(names) or names[0] & names[1]) else "review")
+    assert len(wanted) > 20 and got == wanted
+
+
+def test_records_of_two_providers(spark):
+    schema = "k long, title string, year int, doi string, journal string"
+    first = spark.createDataFrame([(1, "a", None, "10.1/x", None), (2, None, 2000, "10.1/y", "j")], schema)
+    second = spark.createDataFrame([(1, "b", 1999, "10.1/X", "z"), (2, "c", 2001, "10.1/other", None)], schema)
+    with pytest.raises(Exception, match="different DOIs"):
+        merged_providers(first, second, "k").collect()
+    one = merged_providers(first, second, "k", strict=False).collect()
+    assert [tuple(r) for r in one] == [(1, "a", 1999, "10.1/x", "z")]
+    got = filled(first, second, "k").orderBy("k").collect()
+    assert [tuple(r) for r in got] == [(1, "a", 1999, "10.1/x", "z", 2), (2, "c", 2000, "10.1/y", "j", 1)]
 
 
 def test_streams(spark, tmp_path):
@@ -156,3 +210,117 @@ def test_streams(spark, tmp_path):
     source = lambda: event_stream(spark, f"{tmp_path}/in", df.schema)
     assert sorted(r.n for r in drained(windowed_counts(source()), "counts", "complete")) == [1, 3]
     assert len(drained(accepted_once(source(), ["event_id"]), "once", "append")) == 3
+
+
+def test_intents_and_relevance_by_hand(spark):
+    queries = spark.createDataFrame([(1, "Oxygen in red cider during must fining, aroma and colour"), (2, "anything else")], "query_id long, query string")
+    lexicon = spark.createDataFrame(
+        [("primary", "", "red cider"), ("close", "", "wine"), ("close", "", "must"), ("distant", "", "beer"), ("process", "", "fining"), ("facet", "smell", "aroma"), ("facet", "look", "colour"), ("facet", "look", "color"), ("exclusion", "", "oxygen"), ("primary", "", "red wine")],
+        "kind string, facet string, phrase string",
+    )
+    asked = evidence.intents(queries, lexicon).orderBy("query_id").collect()
+    assert (asked[0].primary, asked[0].close, asked[0].process, asked[0].exclusion) == (["red cider"], ["must"], ["fining"], ["oxygen"])
+    assert [(f.facet, f.terms) for f in asked[0].facets] == [("look", ["colour"]), ("smell", ["aroma"])] and asked[1].facets == [] and asked[1].primary == []
+    rows = [(1, 1, "Red cider fining", "the aroma and colour"), (1, 2, "A must", "red cider fining aroma"), (1, 3, "x", "fining of must, colour"), (1, 4, "x", "nothing here"), (1, 5, "Oxygen in red cider", "fining aroma colour"), (1, 6, "x", "red cider, colour"), (2, 7, "a", "b")]
+    got = {r.rid: r for r in evidence.judged(spark.createDataFrame(rows, "query_id long, rid long, title string, text string"), evidence.intents(queries, lexicon)).collect()}
+    assert got[1].relevance == pytest.approx(min(1, 1.0 * (0.82 + 0.18 * 0.8) + 0.02)) and got[1].grade == "A" and got[1].tier == "exact"
+    assert got[2].tier == "near" and got[2].relevance == pytest.approx((0.45 * 0.88 + 0.30 + 0.25 * 0.5) * (0.82 + 0.18 * 0.45) + 0.02) and got[2].grade == "B"
+    assert got[3].tier == "near" and got[3].relevance == pytest.approx((0.45 * 0.88 + 0.30 + 0.125) * 0.82 + 0.02)
+    assert got[4].relevance == pytest.approx(0.0) and got[4].grade == "D" and got[5].grade == "D" and got[7].grade == "unassessed"
+    assert got[6].relevance == pytest.approx((0.45 + 0.125) * 0.82 * 0.35) and got[6].grade == "C"
+
+
+def test_reranking_and_merging_by_hand(spark):
+    queries = spark.createDataFrame([(1, "cider fining aroma colour")], "query_id long, query string")
+    lexicon = spark.createDataFrame([("primary", "", "cider"), ("process", "", "fining"), ("facet", "a", "aroma"), ("facet", "c", "colour")], "kind string, facet string, phrase string")
+    asked = evidence.intents(queries, lexicon)
+    schema = "query_id long, rid long, title string, text string, doi string, full boolean, rank int"
+    rows = [(1, 1, "other", "nothing", None, False, 1), (1, 2, "cider fining", "aroma", "10.1/A", False, 2), (1, 3, "cider fining", "aroma", "10.1/a", True, 9), (1, 4, "Cider fining colour", "", None, False, 3), (1, 5, "cider  FINING colour!", "", None, False, 4)]
+    got = evidence.reranked(spark.createDataFrame(rows, schema), asked, 3).orderBy("rank").collect()
+    assert [(r.rid, r.grade) for r in got] == [(4, "A"), (3, "A"), (1, "D")]
+    found = [(1, i, t, x, None, f, 0.5) for i, t, x, f in ((1, "cider fining colour", "", True), (2, "cider fining", "colour", True), (3, "cider", "aroma", False), (4, "cider fining", "aroma colour", False))]
+    found = [(q, i, f"{t} {i}", x, d, f, s) for q, i, t, x, d, f, s in found]
+    merged = evidence.merged_evidence(spark.createDataFrame(found, "query_id long, rid long, title string, text string, doi string, full boolean, score double"), asked, 4).orderBy("place").collect()
+    assert [r.rid for r in merged] == [4, 1, 2, 3]
+
+
+def test_passages_against_a_plain_loop(spark):
+    r = random.Random(5)
+    sections = ["results", "methods", "discussion", "introduction", None, "conclusion"]
+    words = "yeast oak must pressure cider fining protein however mean 5 mg aroma colour methodology sample".split()
+    texts = [(100 * a + i, a, i, r.choice(sections), " ".join(r.choice(words) for _ in range(r.randrange(3, 9)))) for a in (1, 2) for i in range(12)]
+    texts += [(300 + i, 3, i, "results", "the same words of cider here") for i in range(6)] + [(400, 4, 0, "methods", "cider " * 7000), (401, 4, 1, "results", "oak " * 100)]
+    hits = [(q, a, 100 * a + i, rank) for q in (1, 2) for a in (1, 2) for rank, i in enumerate(r.sample(range(12), 4), 1)] + [(1, 3, 302, 1), (1, 4, 400, 2), (1, 4, 401, 3)]
+    queries = [(1, "cider fining protein aroma"), (2, "sample of oak")]
+    got = passages.passage_candidates(spark.createDataFrame(hits, "query_id long, article_id long, chunk_id long, rank long"), spark.createDataFrame(texts, "chunk_id long, article_id long, chunk_index long, section string, text string"), spark.createDataFrame(queries, "query_id long, query string")).cache()
+    rows = got.collect()
+    assert {(x.query_id, x.chunk_id) for x in rows} == {(q, c) for q in (1, 2) for c, a, *_ in texts if any(h[0] == q and h[1] == a for h in hits)}
+    assert next(x for x in rows if x.chunk_id == 302).score == pytest.approx(min(1, 0.25 + 0.4 + 0.22 * 0.25 + 0.22))
+    wanted = {}
+    for key in {(x.query_id, x.article_id) for x in rows}:
+        pool = sorted((x for x in rows if (x.query_id, x.article_id) == key), key=lambda x: (-x.score, x.chunk_id))
+        chosen, later, used = [], {"near": [], "methods": [], "same": []}, 0
+        alike = lambda a, b: len({*a.said} & {*b.said}) / max(1, len({*a.said} | {*b.said})) >= 0.85 and a.said and b.said
+        for x in pool:
+            if len(chosen) >= 5 or used + len(x.text) > 32_000:
+                continue
+            if x.deferred:
+                later["methods"].append(x)
+            elif x.role and any(c.role == x.role for c in chosen) and any(o.role and o.role != x.role for o in pool):
+                later["same"].append(x)
+            elif any(alike(x, c) for c in chosen):
+                later["near"].append(x)
+            else:
+                chosen.append(x)
+                used += len(x.text)
+        for x in [*later["near"], *later["methods"], *later["same"]]:
+            if len(chosen) < min(3, len(pool)) and used + len(x.text) <= 32_000:
+                chosen.append(x)
+                used += len(x.text)
+        chosen.sort(key=lambda x: (8 if x.pos is None else x.pos, -x.score, x.chunk_id))
+        wanted |= {(*key, x.chunk_id): i for i, x in enumerate(chosen[:8], 1)}
+    assert {(x.query_id, x.article_id, x.chunk_id): x.place for x in passages.selected_passages(got).collect()} == wanted
+
+
+def test_bootstrap_intervals(spark):
+    df = spark.createDataFrame([(float(i % 7),) for i in range(400)] + [(None,)], "x double")
+    a, b = passages_of_bootstrap(df.repartition(3)), passages_of_bootstrap(df.repartition(5))
+    assert a == pytest.approx(b) and a[0] == pytest.approx(2.9925)
+    spread = 1.96 * 2 / math.sqrt(400)
+    assert a[1] == pytest.approx(a[0] - spread, abs=0.04) and a[2] == pytest.approx(a[0] + spread, abs=0.04)
+    assert passages_of_bootstrap(df.limit(1)) == (0.0, 0.0, 0.0) and passages_of_bootstrap(df.limit(0)) == (None, None, None)
+
+
+def passages_of_bootstrap(df):
+    r = bootstrap(df).first()
+    return (r.mean, r.low, r.high)
+
+
+def test_scans_of_files(spark, tmp_path):
+    csv, data = tmp_path / "v.csv", "kind,control_ph,control_empty,sample_id,replicate,compound,concentration,unit\nvolatiles,3.4,,a,1,ester,2.5,mg/L\nvolatiles,9,,b,2,acid,7,ug/L\n"
+    csv.write_bytes(b"\xef\xbb\xbf" + data.encode())
+    got = datasets.measurements(spark, str(csv)).orderBy("sample_id").collect()
+    assert [(r.kind, r.controls, r.sample_id, r.replicate, r.concentration) for r in got] == [("volatiles", {"ph": "3.4"}, "a", 1, 2.5), ("volatiles", {"ph": "3.4"}, "b", 2, 7.0)]
+    (tmp_path / "p.json").write_text(json.dumps({"kind": "polyphenols", "controls": {"oak": "no"}, "records": [{"sample_id": "s", "replicate": 1, "analyte": "x", "concentration_mg_l": 4.0}]}))
+    assert [(r.controls, r.analyte, r.concentration_mg_l) for r in datasets.measurements(spark, str(tmp_path / "p.json")).collect()] == [({"oak": "no"}, "x", 4.0)]
+    csv.write_text("kind,a\nother,1\n")
+    with pytest.raises(ValueError, match="known kind"):
+        datasets.measurements(spark, str(csv))
+    question = lambda i, f: {"id": i, "family_id": f, "split": "x", "language": "en", "task": "t", "question": "q", "answerable": True}
+    splits = []
+    for name, own in (("development", [question("1", "a"), question("2", "a")]), ("final_test", [question("3", "b")])):
+        text = json.dumps({"split": name, "questions": own})
+        (tmp_path / f"{name}.json").write_text(text)
+        splits.append({"split": name, "path": f"{name}.json", "sha256": hashlib.sha256(text.encode()).hexdigest(), "question_count": len(own)})
+    manifest = tmp_path / "manifest.json"
+    manifest.write_text(json.dumps({"splits": splits}))
+    assert datasets.question_splits(spark, str(tmp_path), "tuning").count() == 2 and datasets.question_splits(spark, str(tmp_path), "final_test").count() == 3
+    manifest.write_text(json.dumps({"splits": [splits[0] | {"sha256": "0"}]}))
+    with pytest.raises(ValueError, match="content"):
+        datasets.question_splits(spark, str(tmp_path), "tuning")
+    cases = [{"case_id": "c", "query": "q", "expected": ["a"], "acceptable": []}]
+    for i, said in enumerate((cases, {"cases": cases})):
+        (tmp_path / f"c{i}.json").write_text(json.dumps(said, indent=1))
+        assert [(r.case_id, r.expected) for r in datasets.evaluation_cases(spark, str(tmp_path / f"c{i}.json")).collect()] == [("c", ["a"])]
+    datasets.write_report(spark.createDataFrame([("mrr", 0.5), ("recall", 1.0)], "metric string, value double"), str(tmp_path / "report"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "report/markdown")).collect()] == ["| metric | value |", "| --- | --- |", "| mrr | 0.5 |", "| recall | 1.0 |"]
