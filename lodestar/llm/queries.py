@@ -39,9 +39,10 @@ SELECT w.doc_id, len(l) AS n_words, len(l) - coalesce(kept.n, 0) AS n_removed, s
 DECONTAMINATION = f"""
 WITH d AS (SELECT doc_id, {WORDS.format(x="lower(coalesce(text, ''))")} AS w FROM documents),
 b AS (SELECT item_id, {WORDS.format(x="lower(coalesce(text, ''))")} AS v FROM benchmark),
-masks(m, o) AS (VALUES (0, [0, 1, 2, 3, 4, 5]), (1, [0, 2, 3, 5, 7, 8]), (2, [0, 1, 4, 6, 7, 9])),
-ds AS (SELECT doc_id, p, m, array_to_string(list_transform(o, lambda x: w[p + x + 1]), ' ') AS s FROM (SELECT doc_id, w, unnest(range(len(w))) AS p FROM d), masks WHERE p + o[6] < len(w)),
-bs AS (SELECT item_id, q, m, q + o[6] + 1 AS until, array_to_string(list_transform(o, lambda x: v[q + x + 1]), ' ') AS s FROM (SELECT item_id, v, unnest(range(len(v))) AS q FROM b), masks WHERE q + o[6] < len(v)),
+masks(m, o) AS (VALUES (0, [0, 1, 2, 3, 4, 5]), (1, [0, 2, 3, 5, 7, 8]), (2, [0, 1, 4, 6, 7, 9]), (3, [0]), (4, [0, 1]), (5, [0, 1, 2]), (6, [0, 1, 2, 3]), (7, [0, 1, 2, 3, 4])),
+bs AS (SELECT item_id, q, m, q + o[-1] + 1 AS until, array_to_string(list_transform(o, lambda x: v[q + x + 1]), ' ') AS s FROM (SELECT item_id, v, unnest(range(len(v))) AS q FROM b), masks
+  WHERE q + o[-1] < len(v) AND CASE WHEN len(v) < 6 THEN q = 0 AND m = len(v) + 2 ELSE m < 3 OR m = 5 AND q % 3 = 0 AND len(v) * 0.8 <= 10 END),
+ds AS (SELECT doc_id, p, m, array_to_string(list_transform(o, lambda x: w[p + x + 1]), ' ') AS s FROM (SELECT doc_id, w, unnest(range(len(w))) AS p FROM d), masks WHERE p + o[-1] < len(w) AND m IN (SELECT m FROM bs)),
 h AS (SELECT doc_id, item_id, p - q AS shift, min(q) AS low, max(until) AS high FROM ds JOIN bs ON ds.m = bs.m AND ds.s = bs.s GROUP BY ALL),
 c AS (SELECT h.*, len(v) AS length, len(list_filter(range(low, high), lambda i: v[i + 1] = w[i + shift + 1])) AS matched FROM h JOIN d USING (doc_id) JOIN b USING (item_id)),
 g AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, high - low, low + shift, low) AS n FROM c WHERE matched >= least(10, length) AND matched >= 0.8 * (high - low))
