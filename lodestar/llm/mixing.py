@@ -19,6 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.llm.rows import named
 from lodestar.sources.tables import stored, table
 
 DOMAINS = ("good", "plain", "toxic")
@@ -136,8 +137,8 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with a rate above zero, and that ``rate``; rows with equal ids get the mean of their rates, rows without an id one; a column ``rate`` that is there already is replaced."""
-    rates = mixed(docs, table(spark, sf_dir, "labels")).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.avg("rate").alias("_rate"))
-    rate = F.coalesce(rates["_rate"], F.lit(1.0))
-    rated = docs.join(rates, docs["doc_id"] == rates["_id"], "left").where(rate > 0)
-    return rated.select(*[docs[c] for c in docs.columns if c != "rate"], rate.alias("rate"))
+    """The documents with a rate above zero, and that ``rate``; rows with equal ids, or without an id and with one text, get the mean of their rates; a column ``rate`` that is there already is replaced."""
+    own, row = named(docs)
+    rates = mixed(own.select(F.col(row).alias("doc_id"), "text"), table(spark, sf_dir, "labels")).groupBy(F.col("doc_id").alias("_id")).agg(F.avg("rate").alias("_rate"))
+    rated = own.join(rates, own[row] == rates["_id"]).where(rates["_rate"] > 0)
+    return rated.select(*[own[c] for c in docs.columns if c != "rate"], rates["_rate"].alias("rate"))

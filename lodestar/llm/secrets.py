@@ -15,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.llm.rows import named
 from lodestar.sources.tables import stored, table
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -75,7 +76,7 @@ def with_features(found: DataFrame, words: DataFrame) -> tuple[DataFrame, list[s
     letters = lambda c: F.regexp_replace(F.lower(c), "[^a-z]", "")
     runs = F.transform(F.regexp_extract_all(F.lower("value"), F.lit(f"[a-z]{{{WORD_LETTERS},}}"), F.lit(0)), lambda r: F.struct(r.alias("entry"), F.lit("run").alias("of")))
     sides = F.array(F.struct(letters(F.col("before")).alias("entry"), F.lit("before").alias("of")), F.struct(letters(F.col("after")).alias("entry"), F.lit("after").alias("of")))
-    said = found.select("cid", F.explode(F.concat(runs, sides)).alias("x")).select("cid", "x.entry", "x.of").join(words, "entry")
+    said = found.select("cid", F.explode(F.concat(runs, sides)).alias("x")).select("cid", "x.entry", "x.of").where("entry <> ''").join(words, "entry")
     known = said.groupBy("cid").agg(
         F.sum(F.when(F.col("of") == "run", F.length("entry")).otherwise(0)).alias("covered"),
         F.max(F.when(F.col("of") == "before", 1).otherwise(0)).alias("known_before"),
@@ -157,13 +158,14 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, mark: str = "[secret]") -> DataFrame:
-    """All documents, with each secret in ``text`` replaced by ``mark`` and ``n_chars`` counted anew; rows without an id stay as they are."""
-    found = findings(docs, F.col("source")).where("is_secret AND doc_id IS NOT NULL")
+    """All documents, with each secret in ``text`` replaced by ``mark`` and ``n_chars`` counted anew; rows without an id are told apart by their texts."""
+    own, row = named(docs)
+    found = findings(own.select(F.col(row).alias("doc_id"), "text", "source"), F.col("source")).where("is_secret")
     values = found.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias("_values"))
-    joined = docs.join(values, docs["doc_id"] == values["_id"], "left")
-    own, clean = values["_values"], docs["text"].cast("string")
-    text = F.when(own.isNull(), docs["text"]).otherwise(F.aggregate(own, clean, lambda t, v: F.replace(t, v, F.lit(mark))))
+    joined = own.join(values, own[row] == values["_id"], "left")
+    said, clean = values["_values"], own["text"].cast("string")
+    text = F.when(said.isNull(), own["text"]).otherwise(F.aggregate(said, clean, lambda t, v: F.replace(t, v, F.lit(mark))))
     new = {"text": text}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(own.isNull(), docs["n_chars"]).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
-    return joined.select(*[new.get(c, docs[c]).alias(c) for c in docs.columns])
+        new["n_chars"] = F.when(said.isNull(), own["n_chars"]).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+    return joined.select(*[new.get(c, own[c]).alias(c) for c in docs.columns])

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.components import connected_components
 from lodestar.llm.copies import near_copies
+from lodestar.llm.rows import named
 from lodestar.sources.tables import stored, table
 
 SHINGLE = 3
@@ -230,9 +231,13 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that have the least id of their group of near copies; rows that share that id are one document and stay together.
 
+    Rows without an id come after all others in a group; of those with one text, one stays at most.
+
     Sets of five-word shingles at a Jaccard similarity of 0.8 differ in about ten bits of 64: three
     bits, op8's contract, miss most of them, and a radius that holds them prunes nothing in a tree.
     So candidates come from least hashes here, and whole shingle sets decide.
     """
-    kept = near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    own, row = named(docs)
+    kept = near_copies(own.select(F.col(row).alias("doc_id"), "text")).where("doc_id = component_id").select(F.col("doc_id").alias(row)).distinct()
+    stay = own.join(kept, row, "left_semi")
+    return stay.where("doc_id IS NOT NULL").unionByName(stay.where("doc_id IS NULL").dropDuplicates([row])).select(*docs.columns)
