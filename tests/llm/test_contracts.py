@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import hmm, langid, mixing, pii, syncmers
+from lodestar.llm import decontaminate, hmm, langid, mixing, pii, secrets, simhash, syncmers
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -261,3 +261,83 @@ def test_the_language_stage_rejects_what_is_in_no_language(spark):
     assert langid.language_stage(spark, more.limit(0), "").count() == 0
     unlabelled = more.withColumn("lang", F.lit(None).cast("string"))
     assert langid.language_stage(spark, unlabelled, "").count() >= len(mine)
+
+
+# --- op9 -----------------------------------------------------------------------------------------
+
+
+def test_recall_of_substituted_passages_over_all_shifts(spark):
+    r = random.Random(12)
+    items = [[f"v{r.randrange(3000)}" for _ in range(r.choice([3, 5, 8, 12, 20, 40, 60]))] for _ in range(60)]
+    docs, planted = [], []
+    for i in range(400):
+        item = r.randrange(60)
+        own, share = list(items[item]), r.choice([0.0, 0.05, 0.1, 0.15])
+        own = [x if r.random() >= share else f"z{r.randrange(10**6)}" for x in own]
+        lead = [f"f{r.randrange(3000)}" for _ in range(r.randrange(40))]
+        docs.append((i, " ".join([*lead, *own, "tail", "words"])))
+        agree = sum(a == b for a, b in zip(own, items[item], strict=True))
+        if agree >= min(10, len(own)) and agree >= 0.8 * len(own) and (len(own) >= 6 or agree == len(own)):
+            planted.append((i, item))
+    got = {(x.doc_id, x.item_id) for x in decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")).collect()}
+    stage = {x.doc_id for x in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")).collect()}
+    found = sum(p in got for p in planted) / len(planted)
+    assert len(planted) > 250 and found >= 0.97, found
+    assert sum(i in stage for i, _ in planted) / len(planted) >= 0.97
+    assert not [p for p in got if p[0] >= 400] and len(got) < 1.1 * len(docs)
+
+
+def test_short_items_and_a_long_text(spark):
+    items = [(1, "a b c"), (2, "solo"), (3, "k1 k2 k3 k4 k5 k6 k7"), (4, None), (5, "")]
+    long = " ".join(f"w{i}" for i in range(150_000)) + " a b c k1 k2 k3 k4 k5 k6 k7"
+    docs = [(1, "x a b c y"), (2, "a b x c"), (3, "the Solo part"), (4, long), (None, "a b c"), (5, None), (6, "k1 k2 k3 zz k5 k6 k7")]
+    began = time.time()
+    rows = spark.createDataFrame(docs, "doc_id long, text string").withColumn("row", F.lit("clash")).withColumn("key", F.lit(1))
+    got = {(x.doc_id, x.item_id, x.matched, x.start) for x in decontaminate.overlaps(rows, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1, 3, 1), (3, 2, 1, 1), (4, 1, 3, 150_000), (4, 3, 7, 150_003), (None, 1, 3, 0)}
+    assert time.time() - began < 60
+
+
+# --- op1 -----------------------------------------------------------------------------------------
+
+
+def test_the_forest_removes_what_the_rules_take_for_secrets(spark):
+    r = random.Random(21)
+    words = "river stone garden window letter summer paper silver bridge forest".split()
+    key = lambda: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(24))
+    rows, truth = [], {}
+    for i in range(600):
+        kind = i % 3
+        value = key() if kind == 0 else "-".join(r.choice(words) for _ in range(4)) + str(r.randrange(10)) if kind == 1 else key()
+        path = "src/test/fixtures" if kind == 2 else "src/main"
+        rows.append((i, f"{' '.join(r.choice(words) for _ in range(30))} token = {value} {r.choice(words)}", path))
+        truth[i] = float(kind == 0)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    told = spark.createDataFrame([(i, y) for i, y in truth.items() if i % 2], "doc_id long, label double")
+    got = secrets.findings(docs, F.col("source"), lambda found: found.where("before = '='").join(told, "doc_id").select("cid", "label")).where("before = '=' AND doc_id % 2 = 0").collect()
+    rules = secrets.labelled_by_format(secrets.candidates(docs, F.col("source")))
+    assert rules.where("label = 1").count() > 500
+    right = np.mean([x.is_secret == bool(truth[x.doc_id]) for x in got])
+    assert len(got) == 300 and right >= 0.97, right
+
+
+# --- rows without an id --------------------------------------------------------------------------
+
+
+def test_stages_work_on_rows_without_an_id(spark):
+    r = random.Random(31)
+    body = [" ".join(f"{r.choice(['the', 'of', 'water', 'house'])}{r.randrange(50)}" for _ in range(80)) for _ in range(12)]
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").first().text
+    secret = "".join(r.choice("0123456789abcdef") for _ in range(40))
+    rows = [(i, body[i]) for i in range(6)] + [(None, body[i]) for i in (0, 7, 7, 8)] + [(None, body[9] + " " + bench), (None, f"{body[10]} token = {secret} end")]
+    rows += [(100 + i, f"{body[11]} {i} token = {''.join(r.choice('0123456789abcdef') for _ in range(40))} x") for i in range(20)] + [(200 + i, f"mail a{i}@h.example.com or {10**15 + i} now") for i in range(20)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumn("_row", F.lit("clash"))
+    sf = "/root/testdata/sf0.001"
+    kept = [x.text for x in simhash.simhash_stage(spark, docs, sf).where("doc_id IS NULL").collect()]
+    assert body[0] not in kept and kept.count(body[7]) == 1 and kept.count(body[8]) == 1
+    clean = decontaminate.decontamination_stage(spark, docs, sf).collect()
+    assert not [x for x in clean if bench in x.text] and len(clean) == docs.count() - 1
+    said = [x.text for x in secrets.secret_stage(spark, docs, sf).where("doc_id IS NULL").collect()]
+    assert not [t for t in said if secret in t] and sum("[secret]" in t for t in said) == 1 and len(said) == 6
+    rated = mixing.mixing_stage(spark, docs, sf)
+    assert rated.columns == [*docs.columns, "rate"] and rated.where("doc_id IS NULL AND rate > 0").count() > 0
