@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, hmm, langid, mixing, pii, secrets, simhash, syncmers
+from lodestar.llm import decontaminate, hmm, langid, mixing, pii, secrets, simhash, syncmers, urls
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -341,3 +343,108 @@ def test_stages_work_on_rows_without_an_id(spark):
     assert not [t for t in said if secret in t] and sum("[secret]" in t for t in said) == 1 and len(said) == 6
     rated = mixing.mixing_stage(spark, docs, sf)
     assert rated.columns == [*docs.columns, "rate"] and rated.where("doc_id IS NULL AND rate > 0").count() > 0
+
+
+# --- op2: the whole score -------------------------------------------------------------------------
+
+
+def test_scores_are_probabilities_of_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "HEAD", 6)
+    r = random.Random(41)
+    vocabulary = [f"{a}{b}" for a in "abcdefgh" for b in ("ing", "ed", "s", "")]
+    rows = [(i, " ".join(r.choice(vocabulary[: 8 + i % 20]) for _ in range(r.randrange(12))), i % 4 != 0) for i in range(80)] + [(90, None, False), (91, "never seen Words", False), (None, "aing", True), (92, "ties ties", True), (92, "ties ties", True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, learn boolean").withColumn("symbols", F.lit("clash"))
+    got = {(x.doc_id, x.n_tokens): x for x in hmm.score(docs, "learn").collect()}
+    counts = Counter(w for _, t, learn in rows if learn for w in hmm.words_of(t))
+    lex = hmm.lexicon(hmm.count_words(docs.where("learn")))
+    head = sorted(counts, key=lambda w: (-counts[w], w))[:6]
+    assert lex.words[:6] == head
+    mass = Counter()
+    for w, c in counts.items():
+        if w not in head:
+            mass[hmm.word_class(w)] += c + 0.5
+    coded = hmm.encode(docs.where("learn"), lex, {"doc_id": "long"})
+    model = hmm.train(coded, lex.symbols)
+    assert model.emits.sum(axis=0) == pytest.approx(1) and model.moves.sum(axis=1) == pytest.approx(1)
+    for i, t, _ in rows:
+        alpha, total, words = None, 0.0, hmm.words_of(t)
+        for w in [*words, None]:
+            symbol = lex.head if w is None else head.index(w) if w in head else lex.head + 1 + hmm.word_class(w)
+            alpha = (model.start if alpha is None else alpha @ model.moves) * model.emits[symbol]
+            total += math.log10(alpha.sum())
+            alpha = alpha / alpha.sum()
+            if w is not None and w not in head:
+                total += math.log10((counts[w] + 0.5) / (mass[hmm.word_class(w)] + 0.5))
+        assert got[i, len(words) + 1].score == pytest.approx(total, abs=1e-6), (i, t)
+
+
+# --- op3: the trees -------------------------------------------------------------------------------
+
+
+def trees_by_hand(shapes: dict, depth: int, fan: int, apart: float) -> dict:
+    """The nodes of each ``(host, parts)`` of ``shapes``, whose values are ``(n, labelled, blocked)``."""
+    nodes = {k: [""] for k in shapes}
+    kind = lambda parts, i: "$" if i >= len(parts) else parts[i] if parts[i].startswith("{") else "word"
+    for level in range(depth):
+        part = {}
+        for k in shapes:
+            host, parts = k
+            part[k] = parts[level] if level < len(parts) else None
+        words = {}
+        for k, p in part.items():
+            if p is not None and not p.startswith("{"):
+                words.setdefault((k[0], nodes[k][-1]), set()).add(p)
+        for k, p in part.items():
+            if p is not None and not p.startswith("{") and len(words[k[0], nodes[k][-1]]) > fan:
+                part[k] = "{word}"
+        follow = {}
+        for k, (n, _, _) in shapes.items():
+            if part[k] is not None:
+                own = follow.setdefault((k[0], nodes[k][-1]), {}).setdefault(part[k], Counter())
+                own[kind(k[1], level + 1)] += n
+        alike = set()
+        for node, branches in follow.items():
+            pool = sum(branches.values(), Counter())
+            near = [p for p, c in branches.items() if sum(min(v / sum(c.values()), pool[x] / sum(pool.values())) for x, v in c.items()) >= 1 - apart - 1 / math.sqrt(sum(c.values()))]
+            if len(near) > 1:
+                alike |= {(*node, p) for p in near}
+        for k in shapes:
+            p = part[k]
+            name = nodes[k][-1] if p is None else nodes[k][-1] + "/" + ("{any}" if (k[0], nodes[k][-1], p) in alike else p)
+            nodes[k].append(name)
+    return {k: (v, v[-1] + "/**" if len(k[1]) > depth else v[-1]) for k, v in nodes.items()}
+
+
+def test_trees_and_purities_by_hand(spark):
+    r = random.Random(51)
+    hosts = ["a.com", "b.example.com", "c.net", "d.org", ""]
+    segment = lambda: r.choice(["en", "de", "es", "7", "81", "2024-01-02", "blog", "tag", f"w{r.randrange(14)}", f"{r.randrange(10**9):09d}.html", "deadbeef01"])
+    said = [f"http://{r.choice(hosts[:4])}/" + "/".join(segment() for _ in range(r.randrange(7))) for _ in range(500)] + ["no scheme", None, "http://a.com/" + "x" * 20_000, "http://a.com/en/7", "http://a.com/en/7"]
+    rows = [(i if i % 50 else None, u) for i, u in enumerate(said)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash")).withColumn("said", F.lit(3))
+    got = urls.judged(pages).collect()
+    assert len(got) == len(rows)
+    fixed = lambda s: re.sub(r"^[0-9]+(?=$|\\.[A-Za-z0-9]+$)", "{n}", re.sub(r"^(?=[0-9a-fA-F-]*[0-9])[0-9a-fA-F]{8,}(-[0-9a-fA-F]{4,})*$", "{hex}", re.sub(r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$", "{date}", s)))
+    shapes = {}
+    for x in got:
+        rules = [(len(h + p), h, v) for v, h, p in urls.RULES if (x.host == h or x.host.endswith("." + h)) and x.path.startswith(p)]
+        rule = max(rules, default=None)
+        assert (x.rule is None) == (rule is None) and (rule is None or x.verdict == rule[2])
+        k = (x.host, tuple(fixed(s) for s in x.path.split("/") if s))
+        n, labelled, blocked = shapes.get(k, (0, 0, 0))
+        shapes[k] = (n + 1, labelled + (rule is not None), blocked + (rule is not None and rule[2] == "block"))
+    trees = trees_by_hand(shapes, urls.DEPTH, urls.FAN, urls.APART)
+    smooth = lambda t, l, b, parent: (b + urls.PARENT * parent) / (l + urls.UNLABELLED * (t - l) + urls.PARENT)
+    root = smooth(*(sum(v[i] for v in shapes.values()) for i in range(3)), 0.5)
+    purity = dict.fromkeys(shapes, root)
+    for level in range(urls.DEPTH + 2):
+        sums, parent = {}, {}
+        for k, v in shapes.items():
+            node = (k[0], trees[k][0][level] if level <= urls.DEPTH else trees[k][1])
+            sums[node] = tuple(a + b for a, b in zip(sums.get(node, (0, 0, 0)), v, strict=True))
+            parent.setdefault(node, purity[k])
+        purity = {k: smooth(*sums[n], parent[n]) for k in shapes for n in [(k[0], trees[k][0][level] if level <= urls.DEPTH else trees[k][1])]}
+    for x in got:
+        k = (x.host, tuple(fixed(s) for s in x.path.split("/") if s))
+        assert x.template == trees[k][1] and x.purity == pytest.approx(purity[k])
+        assert x.rule is not None or x.verdict == ("block" if purity[k] >= urls.REJECT else "allow")
