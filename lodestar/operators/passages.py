@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +27,8 @@ def chunked(units: DataFrame, target: int = TARGET, most: int = MOST, overlap: i
 
     Units fill a chunk until ``target`` tokens are reached; a change of section or a gap between pages
     closes it. The next chunk begins with the whole units at its end that fit into ``overlap``,
-    unless they would overflow ``most``. A unit longer than ``most`` is cut at tokens. The fold goes
-    through one document's units in order.
+    unless they would overflow ``most``. A unit longer than ``most`` is cut at tokens. The fold streams
+    through the documents of a partition, sorted; it holds one chunk at a time.
     """
 
     def cut(text: str) -> list[tuple[str, int]]:
@@ -35,36 +38,42 @@ def chunked(units: DataFrame, target: int = TARGET, most: int = MOST, overlap: i
         ends = [*range(most, len(found), most), len(found)]
         return [(text[found[a].start() : found[b - 1].end()], b - a) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, held, size, fresh = [], [], 0, False
-
-        def close(carry: bool) -> None:
-            nonlocal held, size, fresh
-            if held and fresh:
-                pages = [p for p, _, _, _ in held]
-                out.append((pdf["doc_id"].iloc[0], len(out), min(pages), max(pages), size, " ".join(t for _, _, t, _ in held)))
-            tail, n = [], 0
-            for unit in reversed(held if carry else []):
-                if n + unit[3] > overlap:
-                    break
-                tail.insert(0, unit)
-                n += unit[3]
-            held, size, fresh = tail, n, False
-
-        for row in pdf.sort_values(["page", "pos"]).itertuples():
-            for text, n in cut(row.text):
-                if held and (held[-1][1] != row.section or row.page - held[-1][0] > 1):
-                    close(False)
+    def folded(rows: Iterable[tuple]) -> Iterator[tuple[int, int, int, str]]:
+        held, size, fresh = [], 0, False
+
+        def whole() -> list[tuple[int, int, int, str]]:
+            pages = [p for p, _, _, _ in held]
+            return [(min(pages), max(pages), size, " ".join(t for _, _, t, _ in held))] if held and fresh else []
+
+        for page, section, said in rows:
+            for text, n in cut(said):
+                if held and (held[-1][1] != section or page - held[-1][0] > 1):
+                    yield from whole()
+                    held, size, fresh = [], 0, False
                 if fresh and size + n > target:
-                    close(True)
+                    yield from whole()
+                    tail, kept = [], 0
+                    for unit in reversed(held):
+                        if kept + unit[3] > overlap:
+                            break
+                        tail.insert(0, unit)
+                        kept += unit[3]
+                    held, size, fresh = tail, kept, False
                 if held and size + n > most:
                     held, size = [], 0
-                held.append((row.page, row.section, text, n))
+                held.append((page, section, text, n))
                 size, fresh = size + n, True
-        close(False)
-        return pd.DataFrame(out, columns=["doc_id", "chunk", "first_page", "last_page", "n_tokens", "text"])
+        yield from whole()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        chunks = ((doc, i, *c) for doc, own in groupby(units, key=lambda r: r[0]) for i, c in enumerate(folded((page, section, text) for _, page, _, section, text in own)))
+        while part := list(islice(chunks, 1000)):
+            columns = zip(zip(*part, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], ["doc_id", "chunk", "first_page", "last_page", "n_tokens", "text"])
 
-    return units.groupBy("doc_id").applyInPandas(fold, "doc_id long, chunk int, first_page int, last_page int, n_tokens int, text string")
+    own = units.select("doc_id", "page", "pos", "section", "text").repartition("doc_id").sortWithinPartitions("doc_id", "page", "pos")
+    return own.mapInArrow(run, "doc_id long, chunk int, first_page int, last_page int, n_tokens int, text string")
 
 
 @query("token_chunks")
