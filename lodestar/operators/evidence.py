@@ -38,6 +38,8 @@ STRUCTURED_RELEVANCE, STRUCTURED_RANK = 0.85, 0.15
 FINAL_RELEVANCE, FINAL_RANK, FINAL_PLACE = 0.80, 0.15, 0.05
 ABSTRACT_LEXICAL, ABSTRACT_VECTOR, THEME_BONUS, RRF_K = 0.4, 0.6, 0.02, 60
 RECORD_FIELDS = {"title": 2.0, "abstract": 1.0}
+#: Added before a result is rounded, so that sums that differ in their last bits round alike.
+TIE = 1e-10
 #: Kinds of phrases in a lexicon of intents: tiers of the matter, processes, facets of the outcome, and what excludes a text.
 KINDS = ("primary", "close", "distant", "process", "facet", "exclusion")
 GRADES = ("A", "B", "C", "D", "unassessed")
@@ -190,12 +192,12 @@ TIER_SQL = "list_position(['exact','near','distant','none'], tier)"
 PAIRS = "pairs AS (SELECT item_id AS query_id, doc_id AS rid, split_part(d.text, chr(10), 1) AS title, d.text AS text FROM documents d JOIN benchmark b ON doc_id % 40 = item_id % 40)"
 
 
-@query("scientific_relevance", f"WITH {INTENTS}, {PAIRS}, {judged_sql('pairs', 'j')} SELECT query_id, rid AS article_id, tier, round(relevance, 6) AS score, grade, len(matched) AS facets FROM j")
+@query("scientific_relevance", f"WITH {INTENTS}, {PAIRS}, {judged_sql('pairs', 'j')} SELECT query_id, rid AS article_id, tier, round(relevance + 1e-10, 6) AS score, grade, len(matched) AS facets FROM j")
 def scientific_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against the queries that share its number modulo forty."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), "text", (F.col("doc_id") % 40).alias("k"))
     rows = docs.join(search_queries(spark, sf_dir).select("query_id", (F.col("query_id") % 40).alias("k")), "k").drop("k")
-    return judged(rows, query_intents(spark, sf_dir)).select("query_id", "article_id", "tier", F.round("relevance", 6).alias("score"), "grade", F.size("matched").cast("long").alias("facets"))
+    return judged(rows, query_intents(spark, sf_dir)).select("query_id", "article_id", "tier", F.round(F.col("relevance") + TIE, 6).alias("score"), "grade", F.size("matched").cast("long").alias("facets"))
 
 
 # --- searches ------------------------------------------------------------------------------------
@@ -307,10 +309,10 @@ ABSTRACTS = f"""{RECORD_LISTS}, {record_bm25('fulls', 'fl')}, {record_bm25('bare
 ABSTRACTS = ABSTRACTS.replace("{vector_record}", VECTOR_OF.format(x="concat_ws(' ', title, abstract)")).replace("{vector_query}", VECTOR_OF.format(x="text"))
 
 
-@query("abstract_search", f"WITH {INTENTS}, {ABSTRACTS} SELECT query_id, rid AS article_id, place AS rank, grade, tier, round(combined, 6) AS score FROM ab WHERE place <= 12")
+@query("abstract_search", f"WITH {INTENTS}, {ABSTRACTS} SELECT query_id, rid AS article_id, place AS rank, grade, tier, round(combined + 1e-10, 6) AS score FROM ab WHERE place <= 12")
 def abstract_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twelve best records of each query, with grade and tier."""
-    return abstract_results(spark, sf_dir, 12).select("query_id", F.col("rid").alias("article_id"), "rank", "grade", "tier", F.round("combined", 6).alias("score"))
+    return abstract_results(spark, sf_dir, 12).select("query_id", F.col("rid").alias("article_id"), "rank", "grade", "tier", F.round(F.col("combined") + TIE, 6).alias("score"))
 
 
 def full_text_search(hits: DataFrame, details: DataFrame, queries: DataFrame, texts: DataFrame, asked: DataFrame, axes: DataFrame, most: int) -> DataFrame:
@@ -363,10 +365,10 @@ FULL_TEXTS = f"""axt AS (SELECT query_id, f.facet AS axis, unnest(list_distinct(
  ft AS (SELECT fs.*, row_number() OVER (PARTITION BY fs.query_id ORDER BY CASE WHEN fq.rid IS NULL THEN 1 ELSE 0 END, score DESC, fs.rid) AS rank FROM fs LEFT JOIN fq ON fq.query_id = fs.query_id AND fq.rid = fs.rid)"""
 
 
-@query("full_text_search", f"{LEXICAL_SQL}{ARTICLE_RANK}, {INTENTS}, {FULL_TEXTS} SELECT query_id, rid AS article_id, rank, chunk_id, round(score, 6) AS score, grade, coalesce(array_to_string(axes, ','), '') AS axes FROM ft WHERE rank <= 8")
+@query("full_text_search", f"{LEXICAL_SQL}{ARTICLE_RANK}, {INTENTS}, {FULL_TEXTS} SELECT query_id, rid AS article_id, rank, chunk_id, round(score + 1e-10, 6) AS score, grade, coalesce(array_to_string(axes, ','), '') AS axes FROM ft WHERE rank <= 8")
 def full_text_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight best articles of each query, with the axes that they are in."""
-    return full_text_results(spark, sf_dir, 8).select("query_id", "article_id", "rank", "chunk_id", F.round("score", 6).alias("score"), "grade", F.array_join("axes", ",").alias("axes"))
+    return full_text_results(spark, sf_dir, 8).select("query_id", "article_id", "rank", "chunk_id", F.round(F.col("score") + TIE, 6).alias("score"), "grade", F.array_join("axes", ",").alias("axes"))
 
 
 def merged_evidence(records: DataFrame, asked: DataFrame, most: int) -> DataFrame:
@@ -402,27 +404,27 @@ COVERED = """cover AS (SELECT query_id, l, facets, 1 AS turn, []::INTEGER[] AS t
  mp AS (SELECT mo.*, row_number() OVER (PARTITION BY mo.query_id ORDER BY coalesce(c, 1073741824), mo.nn) AS place FROM mo LEFT JOIN cov ON cov.query_id = mo.query_id AND cov.nn = mo.nn)"""
 
 
-@query("merged_evidence", f"{LEXICAL_SQL}{ARTICLE_RANK}, {INTENTS}, {FULL_TEXTS}, {ABSTRACTS}, {MERGED}, {COVERED} SELECT query_id, rid AS article_id, place, \"full\", grade, round(score, 6) AS score FROM mp WHERE place <= 12".replace("WITH ", "WITH RECURSIVE ", 1))
+@query("merged_evidence", f"{LEXICAL_SQL}{ARTICLE_RANK}, {INTENTS}, {FULL_TEXTS}, {ABSTRACTS}, {MERGED}, {COVERED} SELECT query_id, rid AS article_id, place, \"full\", grade, round(score + 1e-10, 6) AS score FROM mp WHERE place <= 12".replace("WITH ", "WITH RECURSIVE ", 1))
 def merged_evidence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full texts and abstracts of each query as one list of twelve."""
     full = full_text_results(spark, sf_dir, 8).select("query_id", F.col("article_id").alias("rid"), "title", "text", "score").join(article_details(spark, sf_dir).select(F.col("article_id").alias("rid"), "doi"), "rid").withColumn("full", F.lit(True))
     bare = abstract_results(spark, sf_dir, 12).select("query_id", "rid", "title", "text", F.col("combined").alias("score"), "doi").withColumn("full", F.lit(False))
     found = merged_evidence(full.unionByName(bare), stored(query_intents(spark, sf_dir), "intents"), 12)
-    return found.select("query_id", F.col("rid").alias("article_id"), "place", "full", "grade", F.round("score", 6).alias("score"))
+    return found.select("query_id", F.col("rid").alias("article_id"), "place", "full", "grade", F.round(F.col("score") + TIE, 6).alias("score"))
 
 
 RERANK_SOURCE = """rs AS (SELECT ar.query_id, ar.article_id AS rid, split_part(d.text, chr(10), 1) AS title, split_part(d.text, chr(10), 2) AS text, CASE WHEN d.doc_id % 3 <> 0 THEN '10.5555/ls.' || CAST(d.doc_id // 2 AS VARCHAR) END AS doi, d.doc_id % 5 < 2 AS "full", ar.rank
  FROM ar JOIN documents d ON d.doc_id = ar.article_id WHERE ar.rank <= 40)"""
 
 
-@query("reranked_articles", f"{LEXICAL_SQL}{ARTICLE_RANK}, {INTENTS}, {RERANK_SOURCE}, {reranked_sql('rs', 'rr')} SELECT query_id, rid AS article_id, place AS rank, grade, tier, round(combined, 6) AS score FROM rr WHERE place <= 15")
+@query("reranked_articles", f"{LEXICAL_SQL}{ARTICLE_RANK}, {INTENTS}, {RERANK_SOURCE}, {reranked_sql('rs', 'rr')} SELECT query_id, rid AS article_id, place AS rank, grade, tier, round(combined + 1e-10, 6) AS score FROM rr WHERE place <= 15")
 def reranked_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The forty best articles of each query by their abstracts' relevance, the best fifteen."""
     details = article_details(spark, sf_dir)
     ranked = ranked_articles(article_hits(spark, sf_dir), details, search_queries(spark, sf_dir), chunks(spark, sf_dir), 40)
     own = details.select(F.col("article_id").alias("rid"), "title", F.coalesce("abstract", F.lit("")).alias("text"), "doi", F.col("status").isin(VISIBLE).alias("full"))
     records = ranked.select("query_id", F.col("article_id").alias("rid"), "rank").join(own, "rid")
-    return reranked(records, query_intents(spark, sf_dir), 15).select("query_id", F.col("rid").alias("article_id"), "rank", "grade", "tier", F.round("combined", 6).alias("score"))
+    return reranked(records, query_intents(spark, sf_dir), 15).select("query_id", F.col("rid").alias("article_id"), "rank", "grade", "tier", F.round(F.col("combined") + TIE, 6).alias("score"))
 
 
 # The weights of a variant's tier, and how many variants a question has.
