@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: Letters of the Latin blocks whose decomposition is one ASCII letter with marks, and those letters, position by position.
 _PAIRS = [(c, p) for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if c.lower() == c and len(p := "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))) == 1 and p.isascii() and p != c]
 MARKED, PLAIN = "".join(c for c, _ in _PAIRS), "".join(p for _, p in _PAIRS)
+#: Marks that follow a letter; behind the letters, they have no counterpart and are dropped.
+FOLLOWING = "".join(map(chr, range(0x300, 0x370)))
 WORD = r"[\p{L}\p{N}]+"
 DOI = r"10\.[0-9]{4,9}/[^\s\x22<>]+"
 # Function words that carry no topic, for the corpus's four languages.
@@ -18,7 +20,7 @@ STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "der", "des", "di
 
 def fold(x: Column) -> Column:
     """Lower case without accents, whether they are part of a letter or follow it; sharp s becomes ``ss``."""
-    return F.replace(F.regexp_replace(F.translate(F.lower(x), MARKED, PLAIN), r"\p{Mn}+", ""), F.lit("ß"), F.lit("ss"))
+    return F.replace(F.translate(F.lower(x), MARKED + FOLLOWING, PLAIN), F.lit("ß"), F.lit("ss"))
 
 
 def ascii_words(x: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import coverage, tokens
 from lodestar.operators.evidence import INTENTS, query_intents
-from lodestar.operators.retrieval import POSTINGS, QUERY_TERMS, SCORED, asked_terms, bm25, index_of, top
+from lodestar.operators.retrieval import POSTINGS, QUERY_TERMS, SCORED, asked_terms, best_first, bm25, index_of, top
 from lodestar.operators.selection import first_by
 from lodestar.plans.registry import query
 from lodestar.sources.bindings import ARTICLES, CHUNKS, HITS, TOKENS, VISIBLE, articles, chunks, record_hits, search_queries
@@ -133,7 +133,7 @@ def caption_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("figure_candidates", f"WITH {CAPTION_LISTS}, lr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM sc), g AS (SELECT query_id, article_id, min(rank) AS best FROM lr WHERE rank <= 50 GROUP BY ALL), q AS (SELECT item_id AS query_id, list_distinct({TOKENS.format(x='text')}) AS terms FROM benchmark), e AS (SELECT g.query_id, g.article_id, best, caps.chunk_id AS element_id, round(CASE WHEN len(terms) = 0 THEN 0 ELSE len(list_intersect(terms, {TOKENS.format(x='caps.text')})) / len(terms) END, 9) AS overlap FROM g JOIN caps USING (article_id) JOIN q USING (query_id)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best, overlap DESC, article_id, element_id) AS place FROM e) SELECT query_id, element_id, article_id, best, place FROM r WHERE place <= 6")
 def figure_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The six figures to look at for each query: those of its best articles, then by shared words, article and place."""
-    ranked = top(caption_scores(spark, sf_dir), ["query_id"], [F.desc(F.round("score", 6)), "element_id"], 50)
+    ranked = top(caption_scores(spark, sf_dir), ["query_id"], [best_first(), "element_id"], 50)
     best = ranked.groupBy("query_id", F.floor(F.col("element_id") / 100000).cast("long").alias("article_id")).agg(F.min("rank").alias("best"))
     captions = chunks(spark, sf_dir).where(F.length("text") < 60).select(F.col("chunk_id").alias("element_id"), "article_id", tokens(F.col("text")).alias("said"))
     asked = search_queries(spark, sf_dir).select("query_id", F.array_distinct(tokens(F.col("query"))).alias("terms"))

@@ -21,6 +21,8 @@ CHUNK_FIELDS = {"section": 1.5, "text": 1.0}
 ARTICLE_WEIGHTS = {"best": 0.40, "top3": 0.25, "title": 0.15, "abstract": 0.10, "concept": 0.10}
 #: Queries that meet a block of rows together, and bytes of query vectors that may be broadcast; beyond, blocks are joined.
 QUERY_BLOCK, BROADCAST_BYTES = 4096, 64 << 20
+#: Rows of asked terms that may be broadcast (about 60 bytes each).
+BROADCAST_TERMS = 1_000_000
 
 
 def index_of(rows: DataFrame, key: str, fields: dict[str, float], asked: DataFrame) -> DataFrame:
@@ -47,16 +49,23 @@ def bm25(index: DataFrame, queries: DataFrame, key: str) -> DataFrame:
     """``query_id, key, score``, higher is better, for ``queries(query_id, term)`` with a row for each distinct term.
 
     The entries of a row are brought to one place first: so its scores are added up there, and no pair of query and
-    row is shuffled before the best are chosen.
+    row is shuffled before the best are chosen, as long as the asked terms can be broadcast.
     """
     size = index.groupBy(key).agg(F.first("length").alias("length")).agg(F.count(F.lit(1)).alias("N"), F.avg("length").alias("mean"))
     df = index.where("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.ln((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     asked = queries.join(df.join(F.broadcast(size)).select("term", idf.alias("idf"), "mean"), "term")
+    if queries.count() <= BROADCAST_TERMS:
+        asked = F.broadcast(asked)
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     return index.where("term IS NOT NULL").repartition(key).join(asked, "term").groupBy("query_id", key).agg(F.sum(part).alias("score"))
 
 
+def best_first(score: str = "score") -> Column:
+    """Descending order of a score in millionths, so that ties are ties however sums were added up."""
+    return F.desc(F.floor(F.col(score) * 1e6 + 0.5))
+
+
 def top(rows: DataFrame, by: list[str], order: list, most: int) -> DataFrame:
     """The first ``most`` rows of each group, numbered ``rank`` from one."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= most)
@@ -82,7 +91,7 @@ def lexical_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical_lists(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
-    return top(lexical_scores(spark, sf_dir), ["query_id"], [F.desc(F.round("score", 6)), "chunk_id"], most)
+    return top(lexical_scores(spark, sf_dir), ["query_id"], [best_first(), "chunk_id"], most)
 
 
 @query("lexical_search", LEXICAL_SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM sc) SELECT query_id, chunk_id, round(score, 4) AS score, rank FROM r WHERE rank <= 20")

@@ -29,6 +29,7 @@ def one(spark, column):
 
 def test_fold_and_keys(spark):
     assert one(spark, text.fold(F.lit("Éß Ñandú"))) == "ess nandu"
+    assert one(spark, text.fold(F.lit("E\u0301te\u0301 ǅ ṩ ș"))) == "ete ǆ s s"
     assert one(spark, text.title_key(F.lit("The Étude: 2nd!"))) == "theetude2nd"
     assert len(one(spark, text.title_key(F.lit("!!!")))) == 64
     assert one(spark, text.tokens(F.lit("a-b_c 12"))) == ["a", "b", "c", "12"]
