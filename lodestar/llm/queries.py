@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from lodestar.llm.alignment import op13_cross_tokenizer_alignment
 from lodestar.llm.decontaminate import op9_benchmark_decontamination
 from lodestar.llm.hmm import op2_hmm_language_model
 from lodestar.llm.langid import op6_language_id
 from lodestar.llm.mixing import op7_source_mixing
+from lodestar.llm.packed import op11_packed_token_ids
 from lodestar.llm.pii import op4_pii_spans
 from lodestar.llm.secrets import op1_secret_scan
 from lodestar.llm.simhash import op8_simhash_near_dedup
 from lodestar.llm.substrings import op5_substring_dedup
 from lodestar.llm.syncmers import op10_document_fingerprints
 from lodestar.llm.urls import op3_url_filters
+from lodestar.llm.whitening import op12_embedding_whitening
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_document_fingerprints": op10_document_fingerprints,
+    "op11_packed_token_ids": op11_packed_token_ids,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 WORDS = r"list_filter(string_split_regex({x}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
