@@ -14,6 +14,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -28,16 +29,22 @@ from lodestar.sources.tables import remember, shared_dir, stored, table
 BLOCK, MAGIC = 1 << 16, b"BITSIDS1"
 #: The id behind every document.
 END = 2
+#: Widths at which the fields are whole little-endian numbers.
+WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
     """``ids`` in ``width`` bits each, least bit first, padded to whole bytes."""
+    if width in WHOLE:
+        return ids.astype(WHOLE[width]).tobytes()
     bits = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
     return np.packbits(bits, bitorder="little").tobytes()
 
 
 def unpack(data: bytes, width: int, start: int, stop: int) -> np.ndarray:
     """The ids ``start`` to ``stop`` of packed ``data``."""
+    if width in WHOLE:
+        return np.frombuffer(data, WHOLE[width])[start:stop].astype(np.uint32)
     low = start * width
     bits = np.unpackbits(np.frombuffer(data, np.uint8)[low // 8 : -(-stop * width // 8)], bitorder="little")
     bits = bits[low % 8 : low % 8 + (stop - start) * width].reshape(-1, width)
@@ -152,7 +159,7 @@ class Encoder:
     def learn(self, units: list[str]) -> None:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
         n = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.ids = self.ids.grown(n, np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum())))
+        self.ids = self.ids.grown(n, np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum())))
 
     def encode(self, texts: pa.Array, end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Rows that end, the number of ids so far up to each end (the end id counts), and the ids; a part of the texts at a time."""

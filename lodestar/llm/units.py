@@ -11,12 +11,13 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text looked at together; units handed on together; distinct units, and their characters, that a worker remembers.
-WINDOW, STEP, REMEMBERED, REMEMBERED_CHARS = 1 << 23, 1 << 20, 1_000_000, 1 << 25
+WINDOW, STEP, REMEMBERED, REMEMBERED_CHARS = 1 << 23, 1 << 21, 1_000_000, 1 << 25
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 #: First bytes of the characters among which the white space beyond ASCII is.
@@ -81,13 +82,15 @@ class Memory:
         """The number of every unit, in order of first sight."""
         coded = units.dictionary_encode()
         words = coded.dictionary.to_pylist()
-        fresh = [w for w in words if w not in self.number]
-        if fresh:
+        known = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        unseen = np.flatnonzero(known < 0)
+        if len(unseen):
+            fresh = [words[i] for i in unseen]
             self.learn(fresh)
-            self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh)), strict=True))
+            known[unseen] = np.arange(len(self.number), len(self.number) + len(fresh))
+            self.number.update(zip(fresh, known[unseen].tolist(), strict=True))
             self.chars += sum(map(len, fresh))
-        known = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        return known[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
+        return known[coded.indices.to_numpy(zero_copy_only=False)]
 
     def full(self, most: int = REMEMBERED) -> bool:
         return len(self.number) > most or self.chars > REMEMBERED_CHARS
