@@ -28,8 +28,8 @@ LEAST_PARTS, TAUGHT = 8, 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.01
 CHUNK = 1 << 18
 UNKNOWN = "und"
-#: The stage's bar: texts of a language that a trigram must be in to count as used, texts that tell which are, and the share of the middle share.
-USED, LEAST_TEXTS, BAR = 0.01, 50, 0.6
+#: The stage's bar: the part of a language's texts (one at least) that a trigram must be in to count as used, the share of the language's middle share, and the least share of all languages' middle one.
+USED, BAR, LEAST_BAR = 0.01, 0.6, 0.3
 
 
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -256,27 +256,31 @@ def is_letter() -> np.ndarray:
 
 @dataclass(frozen=True)
 class Usage:
-    """Which trigrams each language uses, and the share of a text's trigrams that must be used in its languages."""
+    """Which trigrams each language uses, which it would use without any one of its texts, and the share of a text's trigrams that must be used in its languages."""
 
     known: np.ndarray
-    bar: float = 0.0
+    sure: np.ndarray
+    bars: np.ndarray
 
-    def share(self, text: str, language: int) -> tuple[float, int]:
-        """The share of a text's trigrams that ``language``, or the one other language that knows most of the rest, uses; and their number."""
+    def share(self, text: str, language: int, own: bool = False) -> tuple[float, int]:
+        """The share of a text's trigrams that ``language``, or the one other language that knows most of the rest, uses; and their number. ``own`` texts, which taught the language, do not count for themselves."""
         found, counts = letter_trigrams(text)
-        rest = counts * ~self.known[language, found]
-        return (1.0 - (rest.sum() - max(0, (self.known[:, found] @ rest).max())) / counts.sum() if len(found) else 1.0), int(counts.sum())
+        rest = counts * ~(self.sure if own else self.known)[language, found]
+        others = self.known[:, found] @ rest
+        others[language] = 0
+        return (1.0 - (rest.sum() - max(0, others.max())) / counts.sum() if len(found) else 1.0), int(counts.sum())
 
     def foreign(self, text: str, language: int) -> bool:
-        """Whether the share is below the bar even if it is two standard deviations short by chance."""
+        """Whether the share is below the language's bar even if it is two standard deviations short by chance."""
         share, n = self.share(text, language)
-        return share + 2 * np.sqrt(share * (1 - share) / max(n, 1)) < self.bar
+        return share + 2 * np.sqrt(share * (1 - share) / max(n, 1)) < self.bars[language]
 
 
 def usage(sample: DataFrame, model: Model) -> Usage:
-    """The trigrams that ``USED`` of a language's texts in ``sample(text, lang, part)`` have, and the bar that held-out texts set.
+    """The trigrams that ``USED`` of a language's texts in ``sample(text, lang, part)`` have, and the languages' bars.
 
-    A language with fewer than ``LEAST_TEXTS`` texts to learn from is taken to use every trigram.
+    A bar is ``BAR`` of the middle share of the language's texts, each judged by the others and the other languages; so a language with few
+    texts, which say less about each other, has a lower one, but not below ``LEAST_BAR`` of the middle share of all texts.
     """
     number = {lang: i for i, lang in enumerate(model.languages)}
 
@@ -290,31 +294,34 @@ def usage(sample: DataFrame, model: Model) -> Usage:
 
     learnt = sample.where("part >= 0")
     sizes = {r.lang: r["count"] for r in learnt.groupBy("lang").count().collect()}
-    known = np.ones((len(number), DIM), bool)
-    for lang, n in sizes.items():
-        known[number[lang]] = n < LEAST_TEXTS
-    least = learnt.sparkSession.createDataFrame([(number[x], max(1, int(USED * n))) for x, n in sizes.items() if n >= LEAST_TEXTS], "k long, least long")
+    known, sure = np.zeros((len(number), DIM), bool), np.zeros((len(number), DIM), bool)
+    least = learnt.sparkSession.createDataFrame([(number[x], max(1, int(USED * n))) for x, n in sizes.items()], "k long, least long")
     uses = learnt.mapInArrow(count, "k long, bucket long, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).join(F.broadcast(least), "k").where("n >= least")
-    for r in uses.groupBy("k").agg(F.collect_list("bucket").alias("buckets")).collect():
+    for r in uses.groupBy("k", (F.col("n") > F.col("least")).alias("more")).agg(F.collect_list("bucket").alias("buckets")).collect():
         known[r.k, r.buckets] = True
-    found = Usage(known)
+        sure[r.k, r.buckets] = r.more
+    found = Usage(known, sure, np.zeros(len(number)))
 
     def judge(batches):
         for batch in batches:
-            rows = [found.share(t, number[y])[0] for t, y in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True) if has_letter(t)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.float64())], ["share"])
+            rows = [(number[y], found.share(t, number[y], part >= 0)[0]) for t, y, part in zip(*(batch[c].to_pylist() for c in ("text", "lang", "part")), strict=True) if has_letter(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.float64())], ["k", "share"])
 
-    middle = sample.where("part < 0").mapInArrow(judge, "share double").agg(F.percentile_approx("share", 0.5)).first()[0]
-    return replace(found, bar=BAR * middle if middle is not None else 0.0)
+    shares = stored(sample.mapInArrow(judge, "k long, share double"), "shares")
+    middle = shares.agg(F.percentile_approx("share", 0.5)).first()[0]
+    bars = np.full(len(number), LEAST_BAR * (middle or 0.0))
+    for r in shares.groupBy("k").agg(F.percentile_approx("share", 0.5).alias("share")).collect():
+        bars[r.k] = max(bars[r.k], BAR * r.share)
+    return replace(found, bars=bars)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are in some learnt language, or in two; rows and columns as given.
 
     Rejected are texts without a letter, null and empty ones among them, and texts whose trigrams are too rarely used in the predicted
-    language and in the one other that knows most of the rest: less than ``BAR`` of what is the middle among held-out
-    labelled texts. So the bar does not depend on how many languages there are, and a short text has the benefit of the doubt. Where no
-    row has a language nothing with a letter is rejected.
+    language and in the one other that knows most of the rest: less than ``BAR`` of what is the middle among the predicted language's own
+    texts, as :func:`usage` states. So the bar depends neither on how many languages there are nor on how rare another one is, and a short
+    text has the benefit of the doubt. Where no row has a language nothing with a letter is rejected.
     """
     model, sample = trained(docs.where(crc_remainder("doc_id", 3) != 1))
     uses = usage(sample, model) if model.languages else None

@@ -265,6 +265,22 @@ def test_the_language_stage_rejects_what_is_in_no_language(spark):
     assert langid.language_stage(spark, unlabelled, "").count() >= len(mine)
 
 
+@pytest.mark.parametrize("taught", [1, 2, 10, 70])
+def test_a_rare_language_excuses_no_junk(spark, taught):
+    r = random.Random(21)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    junk = [" ".join("".join(r.choice(letters) for _ in range(r.randrange(3, 10))) for _ in range(120)) for _ in range(50)]
+    stems = ["ühe", "kõik", "päev", "sõna", "töö", "maja", "linn", "jõgi", "mets", "kevad", "suvi", "sügis", "talv", "laps", "ema", "isa", "õde", "vend", "kirik", "kool", "raamat", "laud", "tool", "aken"]
+    ends = ["", "s", "st", "le", "lt", "ks", "ni", "ga", "ta", "de", "del", "dest", "sse"]
+    estonian = [" ".join(r.choice(stems) + r.choice(ends) for _ in range(150)) for _ in range(taught + 8)]
+    extra = [(10**6 + i, t, None, "junk", 0) for i, t in enumerate(junk)] + [(2 * 10**6 + i, t, "et" if i < taught else None, "rare", 0) for i, t in enumerate(estonian)]
+    ids = {x.doc_id for x in langid.language_stage(spark, docs.unionByName(spark.createDataFrame(extra, docs.schema)), "").select("doc_id").collect()}
+    assert not [i for i in ids if 10**6 <= i < 2 * 10**6]
+    assert {x.doc_id for x in docs.collect() if x.text and any(map(str.isalpha, x.text))} <= ids
+    assert taught < 10 or {2 * 10**6 + i for i in range(len(estonian))} <= ids
+
+
 # --- op9 -----------------------------------------------------------------------------------------
 
 
