@@ -2,7 +2,8 @@
 
 A candidate is a stretch of eight characters or more of a word, between quotes, brackets and other
 delimiters, or the value of a ``key=value`` or ``key:value`` in it, that has a digit or mixes cases, is all in capitals, or
-is the value of a key word. A word can have several. The forest sees its length, the rates of transitions between character classes, its spread
+is the value of a key word; behind a key word and a sign of assignment also what stands up to the closing quote or white space,
+if it has other signs. A word can have several. The forest sees its length, the rates of transitions between character classes, its spread
 of characters, how much of it dictionary words cover, the path it stands in and the words next to
 it. DataFrame functions and Spark ML only.
 """
@@ -29,7 +30,13 @@ PARTS = r"(?:([A-Za-z0-9_.-]+)[\x22'`]?[=:][\x22'`]?)?([A-Za-z0-9+/_.@%-]{8,}={0
 USERINFO = r"://[^/:@]*:([^/@]{8,})@"
 MIXED = "[A-Z]{16}|[a-z][A-Z]|[A-Z]{2}[a-z]"
 CLASSES = {"upper": "[A-Z]", "lower": "[a-z]", "digit": "[0-9]", "other": "[^A-Za-z0-9]"}
-KEYS = r"(?i)^[\x22'`(\[{<,;]*[a-z0-9_.-]*(?:pass|passwd|password|pwd|secret|token|apikey|api_key|api-key|access|auth|credential|bearer)[a-z0-9_-]*[\x22'`:=]*$"
+KEY = "(?:pass|passwd|password|pwd|secret|token|apikey|api_key|api-key|access|auth|credential|bearer)[a-z0-9_-]*"
+KEYS = rf"(?i)^[\x22'`(\[{{<,;]*[a-z0-9_.-]*{KEY}[\x22'`:=]*$"
+#: A key word and what is assigned to it in the same word, signs that :data:`PARTS` leaves out, what stands in a word between quotes or brackets, and marks behind a value.
+ASSIGNED = rf"(?i)([a-z0-9_.-]*{KEY})[\x22'`]?:?[=:][\x22'`]?([^\x22'`]{{8,}})"
+SIGNS = r"[^A-Za-z0-9+/_.@%=,;:)\]}>\x22'`-]"
+WITHIN = r"^[\x22'`(\[{<]*([^\x22'`]*)"
+BEHIND = r"[,;.)\]}>]+$"
 TRIAL_PATH = r"(?i)(?:^|[/_.-])(?:test|tests|example|examples|sample|mock|fixture|doc|docs)(?:[/_.-]|$)"
 
 
@@ -43,7 +50,11 @@ def candidates(docs: DataFrame, path: Column) -> DataFrame:
     placed = placed.where(F.col("word").rlike(f"[0-9=:]|{MIXED}") | F.col("before").rlike("[=:]$"))
     pairs = F.transform(F.regexp_extract_all("word", F.lit(PARTS), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, PARTS, 1).alias("key"), F.regexp_extract(m, PARTS, 2).alias("value")))
     logins = F.transform(F.regexp_extract_all("word", F.lit(USERINFO), F.lit(1)), lambda v: F.struct(F.lit("password").alias("key"), v.alias("value")))
-    found = placed.select("*", F.explode(F.concat(pairs, logins)).alias("x")).select("doc_id", "path", "pos", *near, "x.key", "x.value")
+    trimmed = lambda v: F.regexp_replace(v, BEHIND, "")
+    assigned = F.transform(F.regexp_extract_all("word", F.lit(ASSIGNED), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, ASSIGNED, 1).alias("key"), trimmed(F.regexp_extract(m, ASSIGNED, 2)).alias("value")))
+    whole = F.array(F.struct(F.lit("").alias("key"), trimmed(F.regexp_extract("word", WITHIN, 1)).alias("value")))
+    signed = F.filter(F.concat(assigned, F.when(announced(), whole).otherwise(F.array().cast("array<struct<key:string,value:string>>"))), lambda x: x["value"].rlike(SIGNS))
+    found = placed.select("*", F.explode(F.concat(pairs, logins, signed)).alias("x")).select("doc_id", "path", "pos", *near, "x.key", "x.value")
     told = F.col("value").rlike(f"[0-9]|{MIXED}") | F.col("key").rlike(KEYS) | announced()
     return found.where((F.length("value") >= LEAST_LENGTH) & told).withColumn("cid", F.monotonically_increasing_id())
 
