@@ -13,6 +13,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -26,8 +27,8 @@ from lodestar.sources.tables import stored, table
 
 #: Buckets; runs merged together; records sorted together; pairs in a block of a run; bytes of runs that one part of a bucket has.
 BUCKETS, FAN, RECORDS, PAIRS, PART_BYTES = 64, 256, 1 << 21, 1 << 14, 1 << 25
-#: Distinct units that a worker remembers.
-REMEMBERED = 400_000
+#: Distinct units that a worker remembers, and learns at once.
+REMEMBERED, TOGETHER = 400_000, 1 << 16
 #: How a piece writes a space.
 SPACE = "▁"
 
@@ -49,18 +50,32 @@ def groups(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
 
 
-def links(a: np.ndarray, b: np.ndarray, a_groups: np.ndarray, b_groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ends of all A-B pairs whose groups are equal."""
+def links(b: np.ndarray, a_groups: np.ndarray, b_groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All A-B pairs whose groups are equal: the place of the A token, and the B id."""
     low, high = np.searchsorted(b_groups, a_groups), np.searchsorted(b_groups, a_groups, "right")
     n = high - low
     ends = np.cumsum(n)
-    return np.repeat(a, n), b[np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - (ends - n), n)]
+    return np.repeat(np.arange(len(n)), n), b[np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - (ends - n), n)]
 
 
-def spelled(a: np.ndarray, b: np.ndarray, a_groups: np.ndarray, b_groups: np.ndarray) -> bytes:
-    """``a1,a2|b1;a3|b2,b3``: the ids of each group."""
-    a_parts, b_parts = np.split(a, np.flatnonzero(np.diff(a_groups)) + 1), np.split(b, np.flatnonzero(np.diff(b_groups)) + 1)
-    return ";".join(",".join(map(str, x.tolist())) + "|" + ",".join(map(str, y.tolist())) for x, y in zip(a_parts, b_parts, strict=True)).encode()
+def texts_of(strings: list[bytes]) -> np.ndarray:
+    out = np.empty(len(strings), object)
+    out[:] = strings
+    return out
+
+
+def lengths_of(rows: list) -> np.ndarray:
+    return np.fromiter(map(len, rows), np.int64, len(rows))
+
+
+def spells(table: Ragged, ids: np.ndarray, counts: np.ndarray, sizes: np.ndarray, stream: np.ndarray) -> np.ndarray:
+    """For each unit, of ``counts`` ids and ``sizes`` bytes of ``stream``, whether its ids' bytes are its own."""
+    unit = np.repeat(np.arange(len(counts)), counts)
+    same = np.bincount(unit, table.lengths(ids), len(counts)) == sizes
+    got, own = table.take(ids[same[unit]]), np.repeat(same, sizes)
+    wrong = np.flatnonzero(got != stream[own])
+    same[np.repeat(np.flatnonzero(same), sizes[same])[wrong]] = False
+    return same
 
 
 class Aligner:
@@ -78,7 +93,10 @@ class Aligner:
         self.n_a, self.n_b = self.a.get_vocab_size(), self.b.get_piece_size()
         self.a_bytes = [added[i] if i in added else bytes(byte[c] for c in self.a.id_to_token(i)) for i in range(self.n_a)]
         self.b_bytes = [piece_bytes(self.b.id_to_piece(i), self.b.is_byte(i)) for i in range(self.n_b)]
-        self.a_lengths, self.b_lengths = np.array([len(x) for x in self.a_bytes]), np.array([len(x) for x in self.b_bytes])
+        self.a_table, self.b_table = (Ragged.empty(np.uint8).grown(lengths_of(x), np.frombuffer(b"".join(x), np.uint8)) for x in (self.a_bytes, self.b_bytes))
+        # ids as text with each mark that can follow them
+        self.a_texts = {mark: texts_of([b"%d%s" % (i, mark) for i in range(self.n_a)]) for mark in (b",", b"|")}
+        self.b_texts = {mark: texts_of([b"%d%s" % (i, mark) for i in range(self.n_b)]) for mark in (b",", b";", b"")}
         pieces = [self.b.id_to_piece(i) for i in range(self.n_b)]
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in pieces):
             raise ValueError("a piece of the second vocabulary goes on over a space or line end")
@@ -90,35 +108,41 @@ class Aligner:
         self.sizes, self.whole, self.spelled = np.zeros((0, 4), np.int64), np.zeros(0, bool), []
         self.pairs, self.times = Ragged.empty(np.int64), Ragged.empty(np.int64)
 
-    def encoded(self, units: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The ids of each unit; a unit that begins with a line end has no space before it."""
-        a = self.a.encode_batch_fast(units, add_special_tokens=False)
-        b = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
-        for unit, x, y in zip(units, a, b, strict=True):
-            yield np.array(x.ids, np.int64), np.array(y[1:] if unit[0] == "\n" and y[0] == self.prefix else y, np.int64)
-
     def learn(self, units: list[str]) -> None:
-        rows, whole, pairs, times = [], [], [], []
-        for unit, (a, b) in zip(units, self.encoded(units), strict=True):
-            raw = unit.encode()
-            whole.append(b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b)))
-            if not whole[-1]:
-                rows.append((0, 0, 0, 0))
-                self.spelled.append(b"")
-                pairs.append(np.zeros(0, np.int64))
-                times.append(np.zeros(0, np.int64))
-                continue
-            a_groups, b_groups = groups(np.cumsum(self.a_lengths[a]), np.cumsum(self.b_lengths[b]))
-            x, y = links(a, b, a_groups, b_groups)
-            found, n = np.unique(x * self.n_b + y, return_counts=True)
-            rows.append((len(a), len(b), int(a_groups[-1]) + 1, len(x)))
-            self.spelled.append(spelled(a, b, a_groups, b_groups))
-            pairs.append(found)
-            times.append(n)
-        self.sizes = np.concatenate([self.sizes, np.array(rows, np.int64).reshape(-1, 4)])
-        self.whole = np.concatenate([self.whole, np.array(whole, bool)])
-        lengths = np.array([len(p) for p in pairs], np.int64)
-        self.pairs, self.times = self.pairs.grown(lengths, np.concatenate(pairs)), self.times.grown(lengths, np.concatenate(times))
+        for low in range(0, len(units), TOGETHER):
+            self.learn_together(units[low : low + TOGETHER])
+
+    def learn_together(self, units: list[str]) -> None:
+        """Encode, compare, group and link ``units`` at once; a unit that begins with a line end has no space before it."""
+        a_rows = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
+        b_rows = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
+        b_rows = [y[1:] if u[0] == "\n" and y[0] == self.prefix else y for u, y in zip(units, b_rows, strict=True)]
+        n_a, n_b, raw = lengths_of(a_rows), lengths_of(b_rows), [u.encode() for u in units]
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((a_rows, n_a), (b_rows, n_b)))
+        sizes, stream = lengths_of(raw), np.frombuffer(b"".join(raw), np.uint8)
+        whole = spells(self.a_table, a, n_a, sizes, stream) & spells(self.b_table, b, n_b, sizes, stream)
+        a, b = a[np.repeat(whole, n_a)], b[np.repeat(whole, n_b)]
+        n_a, n_b = n_a * whole, n_b * whole
+        # both run over the same bytes, so their ends can be compared over all units at once
+        a_groups, b_groups = groups(np.cumsum(self.a_table.lengths(a)), np.cumsum(self.b_table.lengths(b)))
+        unit = np.repeat(np.arange(len(units)), n_a)
+        at, y = links(b, a_groups, b_groups)
+        pairs, times = np.unique(unit[at] * (self.n_a * self.n_b) + a[at] * self.n_b + y, return_counts=True)
+        own = np.bincount(pairs // (self.n_a * self.n_b), minlength=len(units))
+        last_a, last_b = np.diff(a_groups, append=-1) != 0, np.diff(b_groups, append=-1) != 0
+        count = lambda x: np.bincount(x, minlength=len(units))
+        self.sizes = np.concatenate([self.sizes, np.stack([n_a, n_b, count(unit[last_a]), count(unit[at])], axis=1)])
+        self.whole = np.concatenate([self.whole, whole])
+        self.pairs, self.times = self.pairs.grown(own, pairs % (self.n_a * self.n_b)), self.times.grown(own, times)
+        # the groups' ids in order: A's of a group, then B's
+        said = np.empty(len(a) + len(b), object)
+        said[np.arange(len(a)) + np.searchsorted(b_groups, a_groups)] = np.where(last_a, self.a_texts[b"|"][a], self.a_texts[b","][a])
+        final = np.zeros(len(b), bool)
+        final[np.cumsum(n_b)[n_b > 0] - 1] = True
+        marked = np.where(final, self.b_texts[b""][b], np.where(last_b, self.b_texts[b";"][b], self.b_texts[b","][b]))
+        said[np.arange(len(b)) + np.searchsorted(a_groups, b_groups, "right")] = marked
+        said, ends = said.tolist(), np.cumsum(n_a + n_b).tolist()
+        self.spelled += [b"".join(said[s:e]) for s, e in zip([0, *ends], ends)]
 
 
 @cache
@@ -243,7 +267,7 @@ class Spill:
             return
         keys, docs, times = np.concatenate(self.keys), np.concatenate(self.docs), np.concatenate(self.times)
         radix = keys // self.n_b % BUCKETS
-        order = np.lexsort((docs, keys, radix))
+        order = np.argsort(radix * np.int64(1 << 48) + keys, kind="stable")
         keys, docs, times, radix = keys[order], docs[order], times[order], radix[order]
         edges = np.searchsorted(radix, np.arange(BUCKETS + 1))
         for bucket, (low, high) in enumerate(zip(edges, edges[1:])):
