@@ -2,5 +2,6 @@
 
 from lodestar.operators import entities, evaluation, events, evidence, passages, phrases, planning, relational, research, retrieval, selection, texts
 from lodestar.plans.registry import ORACLES, QUERIES
+from lodestar.streaming import keyed
 
-__all__ = ["ORACLES", "QUERIES", "entities", "evaluation", "events", "evidence", "passages", "phrases", "planning", "relational", "research", "retrieval", "selection", "texts"]
+__all__ = ["ORACLES", "QUERIES", "entities", "evaluation", "events", "evidence", "keyed", "passages", "phrases", "planning", "relational", "research", "retrieval", "selection", "texts"]

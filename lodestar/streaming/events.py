@@ -1,4 +1,4 @@
-"""Streams of the event log: windowed counts with a watermark, idempotent intake, and keyed cooldowns."""
+"""Streams of the event log: windowed counts with a watermark, and idempotent intake; keyed state is in ``keyed``."""
 
 from __future__ import annotations
 
