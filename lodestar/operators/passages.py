@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.functions.text import content_terms, coverage, jaccard, tokens
+from lodestar.operators.numbers import verdicts
 from lodestar.operators.retrieval import article_details, article_hits, ranked_articles
 from lodestar.plans.registry import query
 from lodestar.sources.bindings import CHUNKS, TOKENS, chunks, search_queries
@@ -245,14 +246,18 @@ def numeric_verdicts(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     return own.select("claim_id", n.cast("long").alias("quantities"), verdict.alias("verdict"))
 
 
-@query("numeric_claims")
+@query("numeric_claims", """WITH l AS (SELECT l_orderkey AS claim_id, l_linenumber AS n, CAST(l_quantity AS INTEGER) AS q, CAST(round(l_discount * 100) AS INTEGER) AS d FROM lineitem),
+w AS (SELECT *, 'quantity ' || q || ' kg at ' || d || ' %' AS text FROM l), e AS (SELECT claim_id, arg_min(q, text) AS qa, arg_min(d, text) AS da, arg_max(q, text) AS qb, arg_max(d, text) AS db FROM w GROUP BY claim_id),
+t AS (SELECT claim_id, list_distinct(list_concat(['k' || qa, 'd' || da], CASE WHEN claim_id % 3 = 0 THEN ['k' || qb, 'd' || db] ELSE [] END, CASE WHEN claim_id % 5 = 0 THEN ['x'] ELSE [] END)) AS need FROM e),
+h AS (SELECT claim_id, n, list_concat(list('k' || q), list('d' || d)) AS have FROM l GROUP BY claim_id, n), s AS (SELECT t.claim_id, need, list_filter(need, lambda k: list_contains(have, k)) AS got FROM t JOIN h ON t.claim_id = h.claim_id)
+SELECT claim_id, len(any_value(need)) AS quantities, CASE WHEN len(list_distinct(flatten(list(got)))) < len(any_value(need)) THEN 'unsupported' WHEN max(len(got)) < len(any_value(need)) THEN 'ambiguous' ELSE 'supported' END AS verdict FROM s GROUP BY claim_id""")
 def numeric_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims about order lines, checked against what the lines of the order say."""
     line = table(spark, sf_dir, "lineitem")
     said = F.concat(F.lit("quantity "), F.col("l_quantity").cast("int").cast("string"), F.lit(" kg at "), F.round(F.col("l_discount") * 100, 0).cast("int").cast("string"), F.lit(" %"))
     evidence = line.select(F.col("l_orderkey").alias("claim_id"), F.col("l_linenumber").alias("evidence_id"), said.alias("text"))
     claims = evidence.groupBy("claim_id").agg(F.concat_ws(" and ", F.min("text"), F.when(F.col("claim_id") % 3 == 0, F.max("text")), F.when(F.col("claim_id") % 5 == 0, F.lit("77,5 mg/L"))).alias("text"))
-    return numeric_verdicts(claims, evidence)
+    return verdicts(claims, evidence)
 
 
 @query("claim_admission", "WITH c AS (SELECT l_orderkey AS claim_id, count(*) AS cited, count(*) FILTER (l_returnflag = 'N') AS direct, avg(l_discount) AS score FROM lineitem GROUP BY 1) SELECT claim_id, CASE WHEN cited = 0 THEN 'rejected' WHEN direct = 0 THEN 'indirect' WHEN score >= 0.04 THEN 'established' ELSE 'tentative' END AS level, direct > 0 AND score >= 0.04 AS admitted FROM c")

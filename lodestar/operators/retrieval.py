@@ -61,6 +61,70 @@ def bm25(index: DataFrame, queries: DataFrame, key: str) -> DataFrame:
     return index.where("term IS NOT NULL").repartition(key).join(asked, "term").groupBy("query_id", key).agg(F.sum(part).alias("score"))
 
 
+#: Ratio of the lengths in neighbouring blocks; postings of a query's rarest terms that seed its threshold, and how many of the seeds, for each row wanted, are scored in full.
+LENGTH_STEP, SEEDS, SEED_SHARE = 1.2, 4000, 5
+#: How far below the threshold a row may be and still tie with it.
+NEAR = 1e-5
+
+
+def with_impacts(index: DataFrame, queries: DataFrame, key: str) -> DataFrame:
+    """The postings of the asked terms: ``key, block, term, impact``. A posting's impact is all that its term adds to the row's score.
+
+    A block is the rows of about one length, on which an impact hangs most; so its highest impact bounds it closely.
+    """
+    size = index.groupBy(key).agg(F.first("length").alias("length")).agg(F.count(F.lit(1)).alias("N"), F.avg("length").alias("mean"))
+    df = index.where("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.greatest(F.ln((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
+    terms = df.join(queries.select("term").distinct(), "term", "left_semi").join(F.broadcast(size)).select("term", idf.alias("idf"), "mean")
+    impact = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    block = F.floor(F.log(F.col("length").cast("double")) / float(np.log(LENGTH_STEP))).cast("int")
+    return index.where("term IS NOT NULL").join(terms, "term").select(key, block.alias("block"), "term", impact.alias("impact"))
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` to be broadcast if it has few rows."""
+    return F.broadcast(df) if rows <= BROADCAST_TERMS else df
+
+
+def bounded_candidates(index: DataFrame, queries: DataFrame, key: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """``query_id, key, block, score, bound, least`` of the rows that can be among a query's ``most`` best, and :func:`with_impacts`'s postings by ``key``.
+
+    The rows with the rarest terms are scored in full first: the ``most``-th of their scores is a threshold (``least``) that the result cannot fall below.
+    In each block a query's terms are taken in order of their highest impact; those whose impacts together stay below the
+    threshold make no row a candidate. So the postings of frequent terms are skipped in almost all blocks, and only rows with a
+    term that can matter are met. ``score`` adds up those terms, ``bound`` is the most that the skipped ones can add.
+    """
+    postings = stored(with_impacts(index, queries, key).repartition(key), "postings")
+    asked = stored(queries.select("query_id", "term").distinct(), "asked")
+    n = asked.count()
+    highest = stored(postings.groupBy("term", "block").agg(F.max("impact").alias("highest"), F.count(F.lit(1)).alias("n")), "highest")
+    held = highest.groupBy("term").agg(F.sum("n").alias("df"), F.max("highest").alias("highest")).join(asked, "term")
+    before = F.sum("df").over(Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1))
+    rare = held.withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("before") < SEED_SHARE * most) | (F.col("before") + F.col("df") <= SEEDS)).select("query_id", "term")
+    seeds = postings.join(small(rare, n), "term").groupBy("query_id", key).agg(F.sum("impact").alias("part"))
+    seeds = stored(top(seeds, ["query_id"], [F.desc("part"), key], SEED_SHARE * most).select("query_id", key), "seeds")
+    scored = seeds.join(postings, key).join(small(asked, n), ["query_id", "term"]).groupBy("query_id", key).agg(F.sum("impact").alias("score"))
+    least = top(scored, ["query_id"], [F.desc("score"), key], most).where(F.col("rank") == most).select("query_id", (F.col("score") - NEAR).alias("least"))
+    limits = asked.join(highest, "term").join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
+    weakest = Window.partitionBy("query_id", "block").orderBy("highest", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    limits = stored(limits.withColumn("needed", F.sum("highest").over(weakest) >= F.col("least")).select("query_id", "term", "block", "highest", "least", "needed"), "limits")
+    skipped = limits.where("NOT needed").groupBy("query_id", "block").agg(F.sum("highest").alias("bound"))
+    rows = limits.count()
+    needed = limits.where("needed").select("query_id", "term", "block", "least").join(skipped, ["query_id", "block"], "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
+    met = postings.repartition(key).join(small(needed, rows), ["term", "block"])
+    found = met.groupBy("query_id", key).agg(F.first("block").alias("block"), F.sum("impact").alias("score"), F.first("bound").alias("bound"), F.first("least").alias("least"))
+    return found, postings.join(small(limits.where("NOT needed").select("query_id", "term", "block"), rows), ["term", "block"])
+
+
+def best_by_bounds(index: DataFrame, queries: DataFrame, key: str, most: int) -> DataFrame:
+    """``query_id, key, score, rank``: the ``most`` best of :func:`bm25`, without scoring the rows that cannot be among them."""
+    found, skipped = bounded_candidates(index, queries, key, most)
+    found = found.where(F.col("score") + F.col("bound") >= F.col("least")).select("query_id", key, "score")
+    rest = skipped.select("query_id", key, F.col("impact").alias("score")).join(found.select("query_id", key), ["query_id", key], "left_semi")
+    full = found.unionByName(rest).groupBy("query_id", key).agg(F.sum("score").alias("score"))
+    return top(full, ["query_id"], [best_first(), key], most)
+
+
 def best_first(score: str = "score") -> Column:
     """Descending order of a score in millionths, so that ties are ties however sums were added up."""
     return F.desc(F.floor(F.col(score) * 1e6 + 0.5))
@@ -91,12 +155,13 @@ def lexical_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical_lists(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
-    return top(lexical_scores(spark, sf_dir), ["query_id"], [best_first(), "chunk_id"], most)
+    asked = asked_terms(spark, sf_dir)
+    return best_by_bounds(index_of(chunks(spark, sf_dir), "chunk_id", CHUNK_FIELDS, asked), asked, "chunk_id", most)
 
 
 @query("lexical_search", LEXICAL_SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM sc) SELECT query_id, chunk_id, round(score, 4) AS score, rank FROM r WHERE rank <= 20")
 def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25 over all chunks, the best twenty of each query."""
+    """BM25 over all chunks, the best twenty of each query; rows that cannot be among them are not scored."""
     return lexical_lists(spark, sf_dir, 20).select("query_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
 
 

@@ -1,7 +1,7 @@
 """Imports every module that registers queries."""
 
-from lodestar.operators import entities, evaluation, events, evidence, passages, phrases, planning, relational, research, retrieval, selection, texts
+from lodestar.operators import cells, entities, evaluation, events, evidence, numbers, passages, phrases, planning, relational, research, retrieval, selection, texts, upserts
 from lodestar.plans.registry import ORACLES, QUERIES
 from lodestar.streaming import keyed
 
-__all__ = ["ORACLES", "QUERIES", "entities", "evaluation", "events", "evidence", "keyed", "passages", "phrases", "planning", "relational", "research", "retrieval", "selection", "texts"]
+__all__ = ["ORACLES", "QUERIES", "cells", "entities", "evaluation", "events", "evidence", "keyed", "numbers", "passages", "phrases", "planning", "relational", "research", "retrieval", "selection", "texts", "upserts"]
