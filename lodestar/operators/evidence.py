@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.text import title_key, tokens
 from lodestar.operators.retrieval import (
     ARTICLE_RANK,
+    CANDIDATES,
     CHUNK_FIELDS,
     LEXICAL_SQL,
     POSTINGS,
@@ -17,6 +18,7 @@ from lodestar.operators.retrieval import (
     best_first,
     bm25,
     index_of,
+    lexical_candidates,
     nearest,
     ranked_articles,
     stand_in_vectors,
@@ -190,14 +192,14 @@ def place_in(order, x: str) -> Column:
 GRADE_SQL = "list_position(['A','B','C','D','unassessed'], grade)"
 TIER_SQL = "list_position(['exact','near','distant','none'], tier)"
 
-PAIRS = "pairs AS (SELECT item_id AS query_id, doc_id AS rid, split_part(d.text, chr(10), 1) AS title, d.text AS text FROM documents d JOIN benchmark b ON doc_id % 40 = item_id % 40)"
+PAIRS = "pairs AS (SELECT query_id, doc_id AS rid, split_part(d.text, chr(10), 1) AS title, d.text AS text FROM cand JOIN documents d ON doc_id = article_id)"
 
 
-@query("scientific_relevance", f"WITH {INTENTS}, {PAIRS}, {judged_sql('pairs', 'j')} SELECT query_id, rid AS article_id, tier, round(relevance + 1e-10, 6) AS score, grade, len(matched) AS facets FROM j")
+@query("scientific_relevance", f"{CANDIDATES}, {INTENTS}, {PAIRS}, {judged_sql('pairs', 'j')} SELECT query_id, rid AS article_id, tier, round(relevance + 1e-10, 6) AS score, grade, len(matched) AS facets FROM j")
 def scientific_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document against the queries that share its number modulo forty."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), "text", (F.col("doc_id") % 40).alias("k"))
-    rows = docs.join(search_queries(spark, sf_dir).select("query_id", (F.col("query_id") % 40).alias("k")), "k").drop("k")
+    """The documents of each query's best chunks against what the query asks for."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), "text")
+    rows = docs.join(lexical_candidates(spark, sf_dir), "article_id")
     return judged(rows, query_intents(spark, sf_dir)).select("query_id", "article_id", "tier", F.round(F.col("relevance") + TIE, 6).alias("score"), "grade", F.size("matched").cast("long").alias("facets"))
 
 

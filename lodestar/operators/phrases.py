@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import STOP_WORDS, fold, tokens
+from lodestar.operators.retrieval import CANDIDATES, lexical_candidates
 from lodestar.plans.registry import query
 from lodestar.sources.bindings import ARTICLES, FOLD, TOKENS, articles, search_queries
 from lodestar.sources.tables import table
@@ -56,14 +57,15 @@ def concept_coverage(concepts: Column, words: Column, without: float) -> Column:
     return F.when(F.size(concepts) == 0, without).otherwise(held / F.size(concepts))
 
 
-@query("concept_coverage", f"WITH c AS (SELECT item_id, list_filter([array_to_string(w[1:2], ' '), array_to_string(w[4:6], ' '), w[2]], lambda x: x <> '') AS c, item_id % 50 AS k FROM (SELECT item_id, {TOKENS.format(x='text')} AS w FROM benchmark)), d AS (SELECT doc_id, doc_id % 50 AS k, ' ' || array_to_string({TOKENS.format(x='text')}, ' ') || ' ' AS s FROM documents) SELECT item_id, doc_id, round(CASE WHEN len(c) = 0 THEN 1 ELSE len(list_filter(c, lambda x: contains(s, ' ' || x || ' '))) / len(c) END, 6) AS recall FROM c JOIN d USING (k)")
+@query("concept_coverage", f"{CANDIDATES}, c AS (SELECT item_id, list_filter([array_to_string(w[1:2], ' '), array_to_string(w[4:6], ' '), w[2]], lambda x: x <> '') AS c FROM (SELECT item_id, {TOKENS.format(x='text')} AS w FROM benchmark)), d AS (SELECT doc_id, ' ' || array_to_string({TOKENS.format(x='text')}, ' ') || ' ' AS s FROM documents) SELECT item_id, doc_id, round(CASE WHEN len(c) = 0 THEN 1 ELSE len(list_filter(c, lambda x: contains(s, ' ' || x || ' '))) / len(c) END, 6) AS recall FROM cand JOIN c ON item_id = query_id JOIN d ON doc_id = article_id")
 def concept_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many of a question's first phrases the documents of its number modulo fifty have."""
+    """How many of a question's first phrases the documents of its best chunks have."""
     w = tokens(F.col("query"))
     part = lambda at, n: F.array_join(F.slice(w, at, n), " ")
-    asked = search_queries(spark, sf_dir).select(F.col("query_id").alias("item_id"), F.filter(F.array(part(1, 2), part(4, 3), part(2, 1)), lambda x: x != "").alias("c"), (F.col("query_id") % 50).alias("k"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 50).alias("k"), tokens(F.col("text")).alias("w"))
-    return docs.join(asked, "k").select("item_id", "doc_id", F.round(concept_coverage(F.col("c"), F.col("w"), 1.0), 6).alias("recall"))
+    asked = search_queries(spark, sf_dir).select("query_id", F.filter(F.array(part(1, 2), part(4, 3), part(2, 1)), lambda x: x != "").alias("c"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), tokens(F.col("text")).alias("w"))
+    met = docs.join(lexical_candidates(spark, sf_dir), "article_id").join(asked, "query_id")
+    return met.select(F.col("query_id").alias("item_id"), F.col("article_id").alias("doc_id"), F.round(concept_coverage(F.col("c"), F.col("w"), 1.0), 6).alias("recall"))
 
 
 def anchors(question: Column, most: int = 12) -> Column:

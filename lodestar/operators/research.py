@@ -19,11 +19,11 @@ def has(x: Column, part: str) -> Column:
 # --- routing and filters -------------------------------------------------------------------------
 
 
-@query("latest_answers", "SELECT conv_id, max(turn) AS turn, arg_max(text, turn)[1:60] AS answer FROM conversations WHERE role = 'assistant' AND trim(text, ' ') <> '' GROUP BY conv_id")
+@query("latest_answers", "SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS answer FROM conversations WHERE role = 'assistant' AND trim(text, ' ') <> '' GROUP BY conv_id")
 def latest_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation's last answer that says something."""
+    """Each conversation's whole last answer that says something."""
     said = table(spark, sf_dir, "conversations").where("role = 'assistant' AND trim(text) <> ''")
-    return said.groupBy("conv_id").agg(F.max("turn").alias("turn"), F.substring(F.max_by("text", "turn"), 1, 60).alias("answer"))
+    return said.groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("text", "turn").alias("answer"))
 
 
 @query("interaction_mode", "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\\b(compare|evidence|study|studies)\\b') THEN 'research' WHEN turn > 0 AND length(text) < 80 THEN 'conversation' WHEN contains(text, '?') OR length(text) > 200 THEN 'research' ELSE 'conversation' END AS mode FROM conversations WHERE role = 'user'")

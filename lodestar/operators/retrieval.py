@@ -165,6 +165,14 @@ def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_lists(spark, sf_dir, 20).select("query_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
 
 
+CANDIDATES = LEXICAL_SQL + ", cand AS (SELECT DISTINCT query_id, article_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM sc) WHERE rank <= 20)"
+
+
+def lexical_candidates(spark: SparkSession, sf_dir: str, most: int = 20) -> DataFrame:
+    """``query_id, article_id``: the articles of each query's best chunks."""
+    return lexical_lists(spark, sf_dir, most).select("query_id", F.floor(F.col("chunk_id") / 100000).cast("long").alias("article_id")).distinct()
+
+
 @query("match_all_terms", LEXICAL_SQL + " SELECT qt.query_id, idx.chunk_id FROM idx JOIN (SELECT query_id, term FROM qt) qt ON qt.term = idx.term GROUP BY qt.query_id, idx.chunk_id HAVING count(*) = (SELECT count(*) FROM qt q2 WHERE q2.query_id = qt.query_id)")
 def match_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that have every term of a query: those with its rarest term, looked at for the others."""

@@ -88,24 +88,49 @@ def axis_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("run_id", "record_id", "axes", "memberships", F.row_number().over(Window.partitionBy("run_id").orderBy("best", "record_id")).alias("place"))
 
 
-@query("conversation_cards", "SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS asked, arg_max(role, turn) AS last_role, arg_max(text, turn)[1:80] AS latest FROM conversations GROUP BY conv_id")
+@query("conversation_cards", "SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS asked, arg_max(role, turn) AS last_role, arg_max(text, turn) AS latest FROM conversations GROUP BY conv_id")
 def conversation_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.col("role") == "user").alias("asked"), F.max_by("role", "turn").alias("last_role"), F.substring(F.max_by("text", "turn"), 1, 80).alias("latest"))
+    """Each conversation's number of turns and questions, and its whole latest message."""
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.col("role") == "user").alias("asked"), F.max_by("role", "turn").alias("last_role"), F.max_by("text", "turn").alias("latest"))
 
 
-@query("history_window", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE role IN ('user','assistant')) SELECT conv_id, turn, role, substring(text, 1, 200) AS text FROM r WHERE back <= 3")
+# Messages of a history window and characters of each; questions before the current one, and characters of all.
+WINDOW_TURNS, WINDOW_CHARS, QUESTIONS_BEFORE, QUESTION_CHARS = 10, 2000, 2, 4000
+ROLES = ["user", "assistant"]
+
+
+def squeezed(x: Column) -> Column:
+    """A text with every run of white space as one space, none at its ends."""
+    return F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"[\x20\x09-\x0D]+", " "))
+
+
+def history_of(turns: DataFrame) -> DataFrame:
+    """``conv_id, turn, role, text``: of each conversation's last ten messages those of the user and the assistant that say something, squeezed and cut."""
+    back = turns.withColumn("back", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where(F.col("back") <= WINDOW_TURNS)
+    said = back.where(F.col("role").isin(ROLES)).select("conv_id", "turn", "role", squeezed(F.col("text")).alias("text")).where("text <> ''")
+    return said.withColumn("text", F.substring("text", 1, WINDOW_CHARS))
+
+
+def questions_in_context(turns: DataFrame) -> DataFrame:
+    """``conv_id, turn, question``: each question of a user behind the two before it that differ from it, the last 4000 characters; blank ones do not count."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    said = turns.where("role = 'user'").select("conv_id", "turn", squeezed(F.col("text")).alias("text")).where("text <> ''")
+    before = [F.lag("text", i).over(w) for i in range(QUESTIONS_BEFORE, 0, -1)]
+    parts = [F.when(x != F.col("text"), x) for x in before]
+    return said.select("conv_id", "turn", F.right(F.concat_ws(" ", *parts, "text"), F.lit(QUESTION_CHARS)).alias("question"))
+
+
+SQUEEZED = r"trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')"
+
+
+@query("history_window", f"WITH r AS (SELECT conv_id, turn, role, {SQUEEZED} AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) SELECT conv_id, turn, role, substring(said, 1, 2000) AS text FROM r WHERE back <= 10 AND role IN ('user','assistant') AND said <> ''")
 def history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
-    back = rows.withColumn("back", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"))))
-    return back.where("back <= 3").select("conv_id", "turn", "role", F.substring("text", 1, 200).alias("text"))
+    return history_of(table(spark, sf_dir, "conversations"))
 
 
-@query("contextual_questions", "SELECT conv_id, turn, right(trim(coalesce(lag(text, 2) OVER w || ' ', '') || coalesce(lag(text) OVER w || ' ', '') || text, ' '), 400) AS question FROM conversations WHERE role = 'user' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+@query("contextual_questions", f"WITH u AS (SELECT conv_id, turn, {SQUEEZED} AS said FROM conversations WHERE role = 'user'), b AS (SELECT *, lag(said, 2) OVER w AS two, lag(said) OVER w AS one FROM u WHERE said <> '' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, right(CASE WHEN two <> said THEN two || ' ' ELSE '' END || CASE WHEN one <> said THEN one || ' ' ELSE '' END || said, 4000) AS question FROM b")
 def contextual_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A question with the two before it, the last 400 characters."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    before = [F.coalesce(F.concat(F.lag("text", i).over(w), F.lit(" ")), F.lit("")) for i in (2, 1)]
-    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.right(F.trim(F.concat(*before, "text")), F.lit(400)).alias("question"))
+    return questions_in_context(table(spark, sf_dir, "conversations"))
 
 
 @query("cadence_due", "SELECT user_id, max(ts) AS latest, max(ts) + INTERVAL 7 DAY <= TIMESTAMP '2024-01-20' AS due FROM events GROUP BY user_id")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import STOP_WORDS, all_dois, ascii_words, canonical_key, content_terms, coverage, doi_in, fold, jaccard, query_terms, readable_share, title_key, token_count, tokens, verified_doi, without_markup
+from lodestar.operators.retrieval import CANDIDATES, lexical_candidates
 from lodestar.plans.registry import query
 from lodestar.sources.bindings import ARTICLES, CHUNKS, FOLD, TOKENS, articles, chunks, search_queries
 from lodestar.sources.tables import table
@@ -162,12 +163,13 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(parts).cast("long").alias("n"))
 
 
-@query("question_overlap", f"WITH q AS (SELECT item_id AS query_id, list_distinct({TOKENS.format(x='text')}) AS w, item_id % 40 AS k FROM benchmark), c AS (SELECT doc_id, list_distinct({TOKENS.format(x='text')}) AS w, doc_id % 40 AS k FROM documents) SELECT query_id, doc_id, round(CASE WHEN len(q.w) = 0 OR len(c.w) = 0 THEN 0 ELSE len(list_intersect(q.w, c.w)) / len(list_distinct(list_concat(q.w, c.w))) END, 6) AS jaccard, round(CASE WHEN len(q.w) = 0 THEN 0 ELSE len(list_intersect(q.w, c.w)) / len(q.w) END, 6) AS coverage FROM q JOIN c USING (k)")
+@query("question_overlap", f"{CANDIDATES}, q AS (SELECT item_id AS query_id, list_distinct({TOKENS.format(x='text')}) AS w FROM benchmark), c AS (SELECT doc_id, list_distinct({TOKENS.format(x='text')}) AS w FROM documents) SELECT query_id, doc_id, round(CASE WHEN len(q.w) = 0 OR len(c.w) = 0 THEN 0 ELSE len(list_intersect(q.w, c.w)) / len(list_distinct(list_concat(q.w, c.w))) END, 6) AS jaccard, round(CASE WHEN len(q.w) = 0 THEN 0 ELSE len(list_intersect(q.w, c.w)) / len(q.w) END, 6) AS coverage FROM cand JOIN q USING (query_id) JOIN c ON doc_id = article_id")
 def question_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Likeness and coverage of questions and the documents of their number modulo forty, whatever they share."""
-    q = search_queries(spark, sf_dir).select("query_id", tokens(F.col("query")).alias("q"), (F.col("query_id") % 40).alias("k"))
-    c = table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("c"), (F.col("doc_id") % 40).alias("k"))
-    return c.join(q, "k").select("query_id", "doc_id", F.round(jaccard(F.col("q"), F.col("c")), 6).alias("jaccard"), F.round(coverage(F.col("q"), F.col("c")), 6).alias("coverage"))
+    """Likeness and coverage of each question and the documents of its best chunks."""
+    q = search_queries(spark, sf_dir).select("query_id", tokens(F.col("query")).alias("q"))
+    c = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), tokens(F.col("text")).alias("c"))
+    met = c.join(lexical_candidates(spark, sf_dir), "article_id").join(q, "query_id")
+    return met.select("query_id", F.col("article_id").alias("doc_id"), F.round(jaccard(F.col("q"), F.col("c")), 6).alias("jaccard"), F.round(coverage(F.col("q"), F.col("c")), 6).alias("coverage"))
 
 
 READABLE_SQL = """WITH t AS (SELECT doc_id, text, greatest(1, length(text)) AS n, string_split_regex(trim(text, ' '), '\\s+') AS p FROM documents),
