@@ -1,7 +1,7 @@
 """Imports every module that registers queries."""
 
-from lodestar.operators import cells, entities, evaluation, events, evidence, fusion, ingestion, mappings, numbers, passages, phrases, planning, relational, research, retrieval, selection, texts, upserts
+from lodestar.operators import cells, enrichment, entities, evaluation, events, evidence, fusion, grounding, ingestion, mappings, numbers, passages, phrases, planning, relational, research, retrieval, selection, synthesis, texts, upserts
 from lodestar.plans.registry import ORACLES, QUERIES
 from lodestar.streaming import keyed
 
-__all__ = ["ORACLES", "QUERIES", "cells", "entities", "evaluation", "events", "evidence", "fusion", "ingestion", "keyed", "mappings", "numbers", "passages", "phrases", "planning", "relational", "research", "retrieval", "selection", "texts", "upserts"]
+__all__ = ["ORACLES", "QUERIES", "cells", "enrichment", "entities", "evaluation", "events", "evidence", "fusion", "grounding", "ingestion", "keyed", "mappings", "numbers", "passages", "phrases", "planning", "relational", "research", "retrieval", "selection", "synthesis", "texts", "upserts"]
