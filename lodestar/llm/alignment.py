@@ -26,9 +26,9 @@ from lodestar.llm.units import Memory, Ragged, single_threaded, slices
 from lodestar.sources.tables import stored, table
 
 #: Buckets; runs merged together; records sorted together; pairs in a block of a run; bytes of runs that one part of a bucket has.
-BUCKETS, FAN, RECORDS, PAIRS, PART_BYTES = 64, 256, 1 << 21, 1 << 14, 1 << 25
-#: Distinct units that a worker remembers, and learns at once.
-REMEMBERED, TOGETHER = 400_000, 1 << 16
+BUCKETS, FAN, RECORDS, PAIRS, PART_BYTES = 64, 256, 1 << 20, 1 << 14, 1 << 24
+#: Distinct units that a worker remembers, and learns at once; texts, and units of them, that are looked at together.
+REMEMBERED, TOGETHER, TEXTS, STEP = 200_000, 1 << 15, 1024, 1 << 19
 #: How a piece writes a space.
 SPACE = "▁"
 
@@ -326,9 +326,9 @@ def spilled(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
         tokens = aligner(a_path, b_path)
         spill = Spill(TaskContext.get().partitionId(), tokens.n_b)
-        for batch in batches:
+        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             ids, now = batch.column(0).to_pylist(), Open()
-            for part in slices(spaced(batch.column(1))):
+            for part in slices(spaced(batch.column(1)), STEP):
                 if tokens.memory.full(REMEMBERED):
                     tokens.forget()
                 numbers = tokens.memory.numbers(part.units)
