@@ -95,7 +95,7 @@ def enriched(targets: DataFrame, tiers: list[tuple[str, str, DataFrame]], least:
     full = targets.join(matched, "id", "left").join(doubted, "id", "left")
     method = F.coalesce("method", F.when(F.col("_rid").isNotNull(), "review").otherwise("none"))
     count = lambda cols: sum((missing(c).cast("int") for c in cols), F.lit(0))
-    new = {c: F.when(missing(F.col(c)), F.col(f"_{c}")).otherwise(F.col(c)) for c in FILLED}
+    new = {c: F.when(missing(F.col(c)), F.coalesce(F.col(f"_{c}"), F.col(c))).otherwise(F.col(c)) for c in FILLED}
     return full.select(
         "id", "title", *(x.alias(c) for c, x in new.items()), method.alias("method"), F.coalesce("record_id", "_rid").alias("record_id"), F.coalesce("confidence", "_c").alias("confidence"),
         count([F.col(c) for c in FILLED]).alias("missing_before"), count(list(new.values())).alias("missing_after"),
