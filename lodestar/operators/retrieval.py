@@ -86,8 +86,8 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_TERMS else df
 
 
-def bounded_candidates(index: DataFrame, queries: DataFrame, key: str, most: int) -> tuple[DataFrame, DataFrame]:
-    """``query_id, key, block, score, bound, least`` of the rows that can be among a query's ``most`` best, and :func:`with_impacts`'s postings by ``key``.
+def bounded_candidates(index: DataFrame, queries: DataFrame, key: str, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``query_id, key, block, score, bound, least`` of the rows that can be among a query's ``most`` best, :func:`with_impacts`'s postings by ``key``, and the ``query_id, term, block`` that were skipped.
 
     The rows with the rarest terms are scored in full first: the ``most``-th of their scores is a threshold (``least``) that the result cannot fall below.
     In each block a query's terms are taken in order of their highest impact; those whose impacts together stay below the
@@ -113,14 +113,15 @@ def bounded_candidates(index: DataFrame, queries: DataFrame, key: str, most: int
     needed = limits.where("needed").select("query_id", "term", "block", "least").join(skipped, ["query_id", "block"], "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
     met = postings.repartition(key).join(small(needed, rows), ["term", "block"])
     found = met.groupBy("query_id", key).agg(F.first("block").alias("block"), F.sum("impact").alias("score"), F.first("bound").alias("bound"), F.first("least").alias("least"))
-    return found, postings.join(small(limits.where("NOT needed").select("query_id", "term", "block"), rows), ["term", "block"])
+    return found, postings, limits.where("NOT needed").select("query_id", "term", "block")
 
 
 def best_by_bounds(index: DataFrame, queries: DataFrame, key: str, most: int) -> DataFrame:
     """``query_id, key, score, rank``: the ``most`` best of :func:`bm25`, without scoring the rows that cannot be among them."""
-    found, skipped = bounded_candidates(index, queries, key, most)
-    found = found.where(F.col("score") + F.col("bound") >= F.col("least")).select("query_id", key, "score")
-    rest = skipped.select("query_id", key, F.col("impact").alias("score")).join(found.select("query_id", key), ["query_id", key], "left_semi")
+    found, postings, skipped = bounded_candidates(index, queries, key, most)
+    found = stored(found.where(F.col("score") + F.col("bound") >= F.col("least")).select("query_id", key, "score"), "candidates")
+    # the skipped terms' impacts, for the rows that are left only
+    rest = found.select("query_id", key).join(postings, key).join(small(skipped, skipped.count()), ["query_id", "term", "block"]).select("query_id", key, F.col("impact").alias("score"))
     full = found.unionByName(rest).groupBy("query_id", key).agg(F.sum("score").alias("score"))
     return top(full, ["query_id"], [best_first(), key], most)
 
