@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,7 +87,11 @@ def evaluation_cases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_report(metrics: DataFrame, folder: str) -> None:
-    """Write ``metrics(metric, value, ...)`` below ``folder`` as JSON lines and as one Markdown table; either is there whole or not at all."""
+    """Write ``metrics(metric, value, ...)`` below ``folder`` as JSON lines and as one Markdown table.
+
+    Both are written beside the folder and take its place when they are whole, so a run that fails leaves the old report.
+    """
+    place, folder = folder, f"{folder}-{uuid.uuid4().hex}"
     columns = metrics.columns
     ordered = metrics.orderBy(*columns[:1])
     ordered.coalesce(1).write.mode("overwrite").json(f"{folder}/json")
@@ -93,3 +99,18 @@ def write_report(metrics: DataFrame, folder: str) -> None:
     head = metrics.sparkSession.createDataFrame([(0, "| " + " | ".join(columns) + " |"), (1, "|" + " --- |" * len(columns))], "n int, value string")
     body = ordered.select(F.lit(2).alias("n"), line)
     head.unionByName(body).coalesce(1).sortWithinPartitions("n", "value").select("value").write.mode("overwrite").text(f"{folder}/markdown")
+    take_place(metrics.sparkSession, folder, place)
+
+
+def take_place(spark: SparkSession, new: str, place: str) -> None:
+    """Rename the folder ``new`` to ``place``; what was there is deleted once the new one stands, and comes back if it cannot."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    there, aside = path(place), path(f"{place}-{uuid.uuid4().hex}")
+    system = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    had = system.exists(there) and system.rename(there, aside)
+    if not system.rename(path(new), there):
+        if had:
+            system.rename(aside, there)
+        raise OSError(f"{new} could not take the place of {place}")
+    if had:
+        system.delete(aside, True)
