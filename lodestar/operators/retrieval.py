@@ -149,12 +149,6 @@ SCORED = """st AS (SELECT count(*) AS n, avg(len(s) + len(w)) AS mean FROM w0),
 LEXICAL_SQL = f"WITH {CHUNKS}, {QUERY_TERMS}, {POSTINGS}, {SCORED}"
 
 
-def lexical_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``query_id, chunk_id, score`` of the chunks by section and text, the section counting more."""
-    asked = asked_terms(spark, sf_dir)
-    return bm25(index_of(chunks(spark, sf_dir), "chunk_id", CHUNK_FIELDS, asked), asked, "chunk_id")
-
-
 def lexical_lists(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
     asked = asked_terms(spark, sf_dir)
     return best_by_bounds(index_of(chunks(spark, sf_dir), "chunk_id", CHUNK_FIELDS, asked), asked, "chunk_id", most)
