@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.plans.registry import query
-from lodestar.sources.tables import table
+from lodestar.sources.tables import stored, table
 
 # Each unit's dimension and factor to the dimension's base, and its spellings (folded, without blanks).
 UNITS = {
@@ -40,21 +42,26 @@ SIGNS = ("−–—μ  ", "---µ  ")
 NUMBER = r"[+-]?[0-9]+(?:[.,][0-9]+)*"
 UNIT = "|".join(sorted({*(u.replace("^", r"\^") for u in SPELLED), "mg L-1", "g L-1", "percentage points?", "degrees Celsius"}, key=lambda u: (-len(u), u)))
 QUANTITY = rf"(?i)(<=|>=|≤|≥|<|>|≈|~)?\s*({NUMBER})(?:\s*(±|\+/-|-|to|à)\s*({NUMBER}))?(?:\s*({UNIT}))?(?![\w])"
+#: Stands between the groups of a found quantity; none of them can hold it.
+CUT = "\x01"
 # Spellings of one comparison and of one mark between two numbers.
 OPERATORS, MARKS = {"≤": "<=", "≥": ">=", "≈": "~"}, {"+/-": "±", "to": "-", "à": "-"}
 
 
 def lookup(values: dict[str, str], x: Column) -> Column:
     """``x`` by ``values``, itself where they have nothing."""
-    return F.coalesce(F.create_map(*(F.lit(v) for p in values.items() for v in p))[x], x)
+    return let(x, lambda v: F.coalesce(F.create_map(*(F.lit(y) for p in values.items() for y in p))[v], v))
+
+
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(x)`` with ``x`` worked out once and written once, however often ``body`` names it; so expressions of expressions stay small."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
 
 
 def plain(x: Column) -> Column:
     """A plain decimal without leading zeros and trailing decimal zeros; a minus only where the number is not zero."""
-    minus, x = x.startswith("-"), F.regexp_replace(x, "^[+-]", "")
-    x = F.regexp_replace(x, "^0+(?=[0-9])", "")
-    x = F.when(F.contains(x, F.lit(".")), F.regexp_replace(x, r"\.?0*$", "")).otherwise(x)
-    return F.when(minus & (x != "0"), F.concat(F.lit("-"), x)).otherwise(x)
+    bare = let(F.regexp_replace(x, "^[+-]?(?:0+(?=[0-9]))?", ""), lambda v: F.when(F.contains(v, F.lit(".")), F.regexp_replace(v, r"\.?0*$", "")).otherwise(v))
+    return let(bare, lambda v: F.when(x.startswith("-") & (v != "0"), F.concat(F.lit("-"), v)).otherwise(v))
 
 
 def number_readings(x: Column) -> Column:
@@ -64,11 +71,14 @@ def number_readings(x: Column) -> Column:
     thousands; once, before three digits and behind one to three without a leading zero, it can be either; else it is a decimal one. What
     is written otherwise (``1,2,3``) has itself as its only reading.
     """
-    bare = F.regexp_replace(x, "[^0-9.,+-]", "")
+    return let(F.regexp_replace(x, "[^0-9.,+-]", ""), readings_of)
+
+
+def readings_of(bare: Column) -> Column:
     joined, point = F.regexp_replace(bare, "[.,]", ""), F.translate(bare, ",", ".")
     last_point = F.length(bare) - F.locate(".", F.reverse(bare)) > F.length(bare) - F.locate(",", F.reverse(bare))
     mixed = F.when(last_point, F.replace(bare, F.lit(","), F.lit(""))).otherwise(F.translate(F.replace(bare, F.lit("."), F.lit("")), ",", "."))
-    dots, commas = F.regexp_count(bare, F.lit(r"\.")), F.regexp_count(bare, F.lit(","))
+    dots, commas = (F.length(bare) - F.length(F.replace(bare, F.lit(sign), F.lit(""))) for sign in ".,")
     found = (
         F.when((dots == 0) & (commas == 0), F.array(bare))
         .when((dots > 0) & (commas > 0), F.when(F.least(dots, commas) == 1, F.array(mixed)).otherwise(F.array(bare)))
@@ -90,14 +100,23 @@ def of_unit(which: int) -> dict[str, str]:
 
 def quantities(text: Column) -> Column:
     """Every quantity of a text in order, as ``operator, value, mark, other, unit``; ``value`` and ``other`` are arrays of readings, ``other`` is empty without a second number."""
-    said = F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), *SIGNS), F.lit(QUANTITY), F.lit(0))
+    return F.transform(mentions(text), quantity_of)
+
+
+def mentions(text: Column) -> Column:
+    """Every quantity of a text in order, as it is written."""
+    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), *SIGNS), F.lit(QUANTITY), F.lit(0))
+
+
+def quantity_of(m: Column) -> Column:
+    """What one of :func:`mentions` says. It is cut into its five groups once: what the pattern found, it finds again as a whole."""
 
-    def parts(m: Column) -> Column:
-        at = lambda i: F.regexp_extract(m, QUANTITY, i)
+    def named(part: Column) -> Column:
+        at = lambda i: F.get(part, F.lit(i - 1))
         other = F.when(at(4) != "", number_readings(at(4))).otherwise(F.array().cast("array<string>"))
         return F.struct(lookup(OPERATORS, at(1)).alias("operator"), number_readings(at(2)).alias("value"), lookup(MARKS, F.lower(at(3))).alias("mark"), other.alias("other"), canonical_unit(at(5)).alias("unit"))
 
-    return F.transform(said, parts)
+    return let(F.split(F.regexp_replace(m, QUANTITY, CUT.join(f"${i}" for i in range(1, 6))), CUT), named)
 
 
 def keys_of(q: Column, convert: bool) -> Column:
@@ -106,11 +125,31 @@ def keys_of(q: Column, convert: bool) -> Column:
     def scaled(v: Column) -> Column:
         factor = F.create_map(*(F.lit(x) for p in of_unit(1).items() for x in p))[q["unit"]]
         exact = F.try_multiply(v.try_cast("decimal(24,9)"), F.coalesce(factor, F.lit("1")).cast("decimal(14,9)"))
-        return F.coalesce(plain(exact.cast("decimal(38,18)").cast("string")), v) if convert else v
+        return F.coalesce(let(exact.cast("decimal(38,18)").cast("string"), plain), v) if convert else v
 
     unit = lookup(of_unit(0), q["unit"]) if convert else q["unit"]
     other = F.when(F.size(q["other"]) == 0, F.array(F.lit(""))).otherwise(F.transform(q["other"], scaled))
-    return F.flatten(F.transform(F.transform(q["value"], scaled), lambda v: F.transform(other, lambda o: F.concat_ws("|", q["operator"], v, q["mark"], o, unit))))
+    ends = F.transform(other, lambda o: F.concat_ws("|", q["mark"], o, unit))
+    return F.flatten(F.transform(F.transform(q["value"], scaled), lambda v: F.transform(ends, lambda e: F.concat_ws("|", q["operator"], v, e))))
+
+
+#: Ways of writing that may be broadcast (about 1 KB each), else they are joined. Joins of what claims and evidence say are merged: their files and
+#: shuffles are packed many times, so Spark would take them for small and send them to the driver.
+BROADCAST_MENTIONS = 20_000
+
+
+def merged(df: DataFrame) -> DataFrame:
+    return df.hint("merge")
+
+
+#: Which of a quantity's keys a fact is: its whole meaning, one of its numbers, that number with the other sign, its meaning in the base of its dimension.
+WHOLE, VALUE, TURNED, BASE = "w", "v", "t", "b"
+
+
+def facts(kinds: dict[str, Column]) -> Column:
+    """``kind, key`` of all keys of each kind, an array of structs. A key begins with the kind that it meets."""
+    of = lambda kind, keys: F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), F.concat(F.lit(VALUE if kind == TURNED else kind), k).alias("key")))
+    return F.concat(*(of(kind, keys) for kind, keys in kinds.items()))
 
 
 #: What a claim's quantity lacks in the evidence, the first that holds.
@@ -124,36 +163,42 @@ def assessed(claims: DataFrame, evidence: DataFrame, convert: bool = False) -> D
     converted unless ``convert`` says so; without it, the same dimension in another unit is ``unsupported_conversion``. Quantities meet by
     what they mean, in joins on it, never all with all.
     """
-    told = claims.select("claim_id", F.explode(F.array_distinct(quantities(F.col("text")))).alias("q"))
-    told = told.withColumn("quantity", F.to_json("q")).withColumn("at", F.xxhash64("quantity"))
-    have = evidence.select("claim_id", "evidence_id", F.explode(quantities(F.col("text"))).alias("q"))
-    own, its = told.withColumn("key", F.explode(keys_of(F.col("q"), convert))), have.withColumn("key", F.explode(keys_of(F.col("q"), convert)))
-    full = own.select("claim_id", "quantity", "key").join(its.select("claim_id", "key", "evidence_id").distinct(), ["claim_id", "key"])
-    full = full.groupBy("claim_id", "quantity").agg(F.array_sort(F.collect_set("evidence_id")).alias("sources"))
-    # what else is there: a part of the quantity, by itself
-    value = lambda df: df.withColumn("v", F.explode("q.value")).withColumn("unit", F.col("q.unit"))
-    mine, theirs = value(told).select("claim_id", "quantity", "v", "unit"), value(have).select("claim_id", "v", F.col("unit").alias("u")).distinct()
-    kinds = lambda c: lookup(of_unit(0), F.col(c))
-    near = mine.join(theirs, ["claim_id", "v"]).groupBy("claim_id", "quantity").agg(F.max(F.col("unit") == F.col("u")).alias("same_unit"), F.max(kinds("unit") == kinds("u")).alias("same_kind"))
-    turned = lambda c: F.when(F.col(c).startswith("-"), F.substring(c, 2, 1 << 20)).otherwise(F.concat(F.lit("-"), F.col(c)))
-    signs = mine.withColumn("v", turned("v")).join(theirs, ["claim_id", "v"]).select("claim_id", "quantity").distinct().withColumn("turned", F.lit(True))
-    # the same quantity in another unit of its dimension
-    based = lambda df: df.withColumn("base", F.explode(keys_of(F.col("q"), True)))
-    other_unit = based(told).select("claim_id", "quantity", "base").join(based(have).select("claim_id", "base").distinct(), ["claim_id", "base"]).select("claim_id", "quantity").distinct().withColumn("converts", F.lit(True))
-    joined = told.select("claim_id", "at", "quantity")
-    for part in (full, near, signs, other_unit):
-        joined = joined.join(part, ["claim_id", "quantity"], "left")
-    issue = F.when(F.col("sources").isNotNull(), "none").when(F.col("converts") | (F.col("same_kind") & ~F.col("same_unit")), "unsupported_conversion").when(F.col("same_unit"), "operator_or_range")
+    turned = lambda v: F.when(v.startswith("-"), F.substring(v, 2, 1 << 20)).otherwise(F.concat(F.lit("-"), v))
+    meant = lambda q, convert: F.array_distinct(keys_of(q, convert))
+    q, kind_of = F.col("q"), lambda c: lookup(of_unit(0), F.col(c))
+    told = stored(claims.select("claim_id", F.explode(F.array_distinct(mentions(F.col("text")))).alias("m")).distinct(), "told")
+    have = stored(evidence.select("claim_id", "evidence_id", F.explode(F.array_distinct(mentions(F.col("text")))).alias("m")).distinct(), "have")
+    # a way of writing is read once, however often it occurs
+    read = told.select("m").unionByName(have.select("m")).distinct().withColumn("q", quantity_of(F.col("m")))
+    kinds = {WHOLE: meant(q, convert), VALUE: q["value"], BASE: meant(q, True)}
+    read = read.select("m", F.to_json("q").alias("quantity"), q["unit"].alias("unit"), facts(kinds).alias("have"), facts(kinds | {TURNED: F.transform(q["value"], turned)}).alias("told"))
+    read = stored(read, "read")
+    small = F.broadcast if read.count() <= BROADCAST_MENTIONS else merged
+    told = told.join(small(read.select("m", "quantity", "unit", F.col("told").alias("f"))), "m").select("claim_id", "quantity", "unit", "f").dropDuplicates(["claim_id", "quantity"])
+    own = told.select("claim_id", "quantity", "unit", F.explode("f").alias("f")).select("claim_id", "quantity", "unit", "f.kind", "f.key")
+    have = have.join(small(read.select("m", "unit", F.col("have").alias("f"))), "m").select("claim_id", "evidence_id", "unit", F.explode("f").alias("f"))
+    only = lambda kind, c: F.when(F.col("f.kind") == kind, F.col(c))
+    its = have.select("claim_id", "f.key", only(WHOLE, "evidence_id").alias("evidence_id"), only(VALUE, "unit").alias("u")).distinct()
+    met = own.join(merged(its), ["claim_id", "key"])
+    if_ = lambda kind, x: F.max(F.when(F.col("kind") == kind, x))
+    found = met.groupBy("claim_id", "quantity").agg(
+        F.array_sort(F.collect_set(F.when(F.col("kind") == WHOLE, F.col("evidence_id")))).alias("sources"), if_(VALUE, F.col("unit") == F.col("u")).alias("same_unit"), if_(VALUE, kind_of("unit") == kind_of("u")).alias("same_kind"),
+        if_(TURNED, F.lit(True)).alias("turned"), if_(BASE, F.lit(True)).alias("converts"), if_(WHOLE, F.lit(True)).alias("stated"),
+    )
+    joined = told.select("claim_id", F.xxhash64("quantity").alias("at"), "quantity").join(merged(found), ["claim_id", "quantity"], "left")
+    issue = F.when(F.col("stated"), "none").when(F.col("converts") | (F.col("same_kind") & ~F.col("same_unit")), "unsupported_conversion").when(F.col("same_unit"), "operator_or_range")
     issue = issue.when(F.col("same_kind").isNotNull(), "unit_mismatch").when(F.col("turned"), "sign_mismatch").otherwise("value_missing")
     return joined.select("claim_id", "at", "quantity", issue.alias("issue"), F.coalesce("sources", F.array().cast(evidence.select(F.array("evidence_id")).schema[0].dataType)).alias("sources"))
 
 
 def verdicts(claims: DataFrame, evidence: DataFrame, convert: bool = False) -> DataFrame:
     """``claim_id, quantities, verdict``: unsupported if a quantity is stated by no evidence, ambiguous if no one piece states all, else supported; not numeric without quantities."""
-    found = assessed(claims, evidence, convert)
-    n = found.groupBy("claim_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("issue") != "none").alias("missing"))
-    by_source = found.select("claim_id", F.explode("sources").alias("s")).groupBy("claim_id", "s").agg(F.count(F.lit(1)).alias("k")).groupBy("claim_id").agg(F.max("k").alias("most"))
-    joined = claims.select("claim_id").distinct().join(n, "claim_id", "left").join(by_source, "claim_id", "left")
+    found = assessed(claims, evidence, convert).select("claim_id", "issue", F.posexplode_outer("sources").alias("place", "s"))
+    # each quantity has one row at place zero, or without a place if it has no source
+    first = F.coalesce("place", F.lit(0)) == 0
+    by_source = found.groupBy("claim_id", "s").agg(F.count("place").alias("k"), F.count_if(first).alias("n"), F.count_if(first & (F.col("issue") != "none")).alias("missing"))
+    own = by_source.groupBy("claim_id").agg(F.sum("n").alias("n"), F.sum("missing").alias("missing"), F.max(F.nullif("k", F.lit(0))).alias("most"))
+    joined = claims.select("claim_id").distinct().join(merged(own), "claim_id", "left")
     verdict = F.when(F.col("n").isNull(), "not_numeric").when(F.col("missing") > 0, "unsupported").when(F.col("most") < F.col("n"), "ambiguous").otherwise("supported")
     return joined.select("claim_id", F.coalesce("n", F.lit(0)).cast("long").alias("quantities"), verdict.alias("verdict"))
 

@@ -45,3 +45,12 @@ def test_verdicts_of_claims(spark):
     evidence = spark.createDataFrame([(1, 1, "7 % of 5 mg"), (2, 1, "5 mg"), (2, 2, "7 %"), (3, 1, "5 mg"), (6, 1, None)], "claim_id long, evidence_id long, text string")
     got = {r.claim_id: (r.quantities, r.verdict) for r in numbers.verdicts(claims, evidence).collect()}
     assert got == {1: (2, "supported"), 2: (2, "ambiguous"), 3: (2, "unsupported"), 4: (0, "not_numeric"), 5: (0, "not_numeric"), 6: (1, "unsupported")}
+
+
+def test_quantities_are_read_once_and_nothing_large_is_broadcast(spark):
+    claims = spark.createDataFrame([(1, "5 mg and 7 %")], "claim_id long, text string")
+    evidence = spark.createDataFrame([(1, 1, "7 % of 5 mg")], "claim_id long, evidence_id long, text string")
+    plan = numbers.assessed(claims, evidence, True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "[+-]?[0-9]+" not in plan  # texts are taken apart before, into stored rows
+    joins = [x for x in plan.splitlines() if "Join" in x and "claim_id" in x]
+    assert len(joins) == 2 and all("strategy=merge" in x for x in joins)
