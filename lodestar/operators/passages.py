@@ -260,8 +260,10 @@ def numeric_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(claims, evidence)
 
 
-@query("claim_admission", "WITH c AS (SELECT l_orderkey AS claim_id, count(*) AS cited, count(*) FILTER (l_returnflag = 'N') AS direct, avg(l_discount) AS score FROM lineitem GROUP BY 1) SELECT claim_id, CASE WHEN cited = 0 THEN 'rejected' WHEN direct = 0 THEN 'indirect' WHEN score >= 0.04 THEN 'established' ELSE 'tentative' END AS level, direct > 0 AND score >= 0.04 AS admitted FROM c")
+@query("claim_admission", "WITH c AS (SELECT l_orderkey AS claim_id, count(*) AS cited, count(*) FILTER (l_returnflag = 'N') AS direct, sum(CAST(l_discount AS DECIMAL(18, 6))) >= 0.04 * count(l_discount) AS enough FROM lineitem GROUP BY 1) SELECT claim_id, CASE WHEN cited = 0 THEN 'rejected' WHEN direct = 0 THEN 'indirect' WHEN enough THEN 'established' ELSE 'tentative' END AS level, direct > 0 AND enough AS admitted FROM c")
 def claim_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("claim_id")).agg(F.count(F.lit(1)).alias("cited"), F.count_if(F.col("l_returnflag") == "N").alias("direct"), F.avg("l_discount").alias("score"))
-    level = F.when(F.col("cited") == 0, "rejected").when(F.col("direct") == 0, "indirect").when(F.col("score") >= 0.04, "established").otherwise("tentative")
-    return own.select("claim_id", level.alias("level"), ((F.col("direct") > 0) & (F.col("score") >= 0.04)).alias("admitted"))
+    """How far an order's lines carry it: none of them direct, or a mean discount of 0.04 or not, in exact decimals."""
+    enough = F.sum(F.col("l_discount").cast("decimal(18,6)")) >= F.lit("0.04").cast("decimal(3,2)") * F.count("l_discount")
+    own = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("claim_id")).agg(F.count(F.lit(1)).alias("cited"), F.count_if(F.col("l_returnflag") == "N").alias("direct"), enough.alias("enough"))
+    level = F.when(F.col("cited") == 0, "rejected").when(F.col("direct") == 0, "indirect").when(F.col("enough"), "established").otherwise("tentative")
+    return own.select("claim_id", level.alias("level"), ((F.col("direct") > 0) & F.col("enough")).alias("admitted"))
