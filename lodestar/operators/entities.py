@@ -304,7 +304,7 @@ def cross_validated_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, first, second = providers(spark, sf_dir)
     other = second.select("article_id", *[F.col(c).alias(f"_{c}") for c in MERGED])
     both = first.join(other, "article_id", "left")
-    low, high = F.lower("title"), F.lower("_title")
+    low, high = (F.replace(F.lower(c), F.lit("ß"), F.lit("ss")) for c in ("title", "_title"))  # in capitals a sharp s is two letters
     likeness = 1 - F.levenshtein(low, high) / F.greatest(F.lit(1), F.length(low), F.length(high))
     same = F.coalesce(F.lower("doi") == F.lower("_doi"), F.lit(False))
     near = F.col("year").isNull() | F.col("_year").isNull() | (F.abs(F.col("year") - F.col("_year")) <= 1)
