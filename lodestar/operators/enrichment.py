@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import title_key
-from lodestar.operators.entities import ALIKE, GRAM, KEY
+from lodestar.operators.entities import ALIKE, KEY, judged_titles, placed_grams, title_meetings
 from lodestar.operators.selection import first_by
 from lodestar.plans.registry import query
 from lodestar.sources.bindings import ARTICLES, articles
@@ -22,32 +22,15 @@ def missing(x: Column) -> Column:
     return x.isNull() | (F.trim(x.cast("string")).isin("", "[]"))
 
 
-def grams(keys: DataFrame) -> DataFrame:
-    """``id, key, g, turn``: every gram of a key; repeats of one are numbered by ``turn``."""
-    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length("key") - GRAM + 1, F.lit(1))), lambda i: F.substring("key", i, F.lit(GRAM)))
-    placed = keys.select("id", "key", F.explode(pieces).alias("g"))
-    return placed.withColumn("turn", F.row_number().over(Window.partitionBy("id", "g").orderBy(F.lit(1))))
-
-
-def prefixes(keys: DataFrame, common: DataFrame, least: float) -> DataFrame:
-    """``id, key, g, turn``: of each key's grams, the rarest first, as many as a partner ``least`` alike must share one of."""
-    ranked = grams(keys).join(common, ["g", "turn"]).withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("df", "g", "turn")))
-    return ranked.where(F.col("n") <= GRAM * F.floor((1 - least) * F.length("key") + 1e-9) + 1).select("id", "key", "g", "turn")
-
-
 def like_titles(left: DataFrame, right: DataFrame, least: float = ALIKE) -> DataFrame:
     """``a, b, likeness``: all pairs of ``left(id, key)`` and ``right(id, key)`` that are ``least`` alike; the likeness is one less the edit distance over the longer length.
 
-    A distance of ``d`` leaves all but ``GRAM * d`` grams alone, so such keys share one of the first grams of either in one order of the grams of both
-    tables, the rarest first: frequent grams are hardly reached, and no pair of one table is ever made.
+    Equal keys are joined, others meet by :func:`title_meetings`: no pair of one table is ever made.
     """
-    common = grams(left).select("g", "turn").unionByName(grams(right).select("g", "turn")).groupBy("g", "turn").agg(F.count(F.lit(1)).alias("df"))
-    a = prefixes(left, common, least).withColumnsRenamed({"id": "a", "key": "ka"})
-    b = prefixes(right, common, least).withColumnsRenamed({"id": "b", "key": "kb"})
-    met = a.join(b, ["g", "turn"]).where(F.least(F.length("ka"), F.length("kb")) >= F.greatest(F.length("ka"), F.length("kb")) * least - 1e-9)
-    met = met.select("a", "b", "ka", "kb").distinct()
-    like = 1 - F.levenshtein("ka", "kb") / F.greatest(F.length("ka"), F.length("kb"))
-    return met.select("a", "b", like.alias("likeness")).where(F.col("likeness") >= least - 1e-9)
+    left, right = stored(left, "left"), stored(right, "right")
+    equal = left.select(F.col("id").alias("a"), "key").join(right.select(F.col("id").alias("b"), "key").hint("merge"), "key").select("a", "b", F.lit(1.0).alias("likeness"))
+    met = title_meetings(stored(placed_grams(left, least), "grams"), stored(placed_grams(right, least), "grams"), least).distinct()
+    return judged_titles(met, left, right, least).unionByName(equal)
 
 
 def enriched(targets: DataFrame, tiers: list[tuple[str, str, DataFrame]], least: float = ALIKE) -> DataFrame:
@@ -80,7 +63,7 @@ def enriched(targets: DataFrame, tiers: list[tuple[str, str, DataFrame]], least:
         elif kind == "title":
             keys = lambda df, i, k: df.where(F.col(k).isNotNull()).select(F.xxhash64(k).alias("id"), F.col(k).alias("key")).distinct()
             alike = like_titles(keys(left, "id", "key"), keys(own, "record_id", "_key"), least)
-            met = left.withColumn("a", F.xxhash64("key")).join(alike, "a").join(own.withColumn("b", F.xxhash64("_key")), "b").withColumn("ok", fits).withColumnRenamed("likeness", "confidence").drop("a", "b")
+            met = left.withColumn("a", F.xxhash64("key")).join(alike.hint("merge"), "a").join(own.withColumn("b", F.xxhash64("_key")).hint("merge"), "b").withColumn("ok", fits).withColumnRenamed("likeness", "confidence").drop("a", "b")
         else:
             raise ValueError(f"unknown kind of tier {kind}")
         best = stored(first_by(met, ["id"], [F.desc("ok"), F.desc(F.round("confidence", 9)), "record_id"]), "tier")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from lodestar.functions.text import fold, title_key
 from lodestar.operators.selection import first_by
 from lodestar.plans.registry import query
 from lodestar.sources.bindings import ARTICLES, CHUNKS, FOLD, HITS, articles, chunks, record_hits
-from lodestar.sources.tables import table
+from lodestar.sources.tables import stored, table
 
 KEY = f"CASE WHEN regexp_replace({FOLD.format(x='title')}, '[^a-z0-9]+', '', 'g') = '' THEN sha256(title) ELSE regexp_replace({FOLD.format(x='title')}, '[^a-z0-9]+', '', 'g') END"
 
@@ -128,25 +130,56 @@ def hash_guarded_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 GRAM, ALIKE = 3, 0.96
 
 
-def title_pairs(keys: DataFrame, least: float = ALIKE) -> DataFrame:
-    """``a, b, likeness``: all pairs of distinct ``keys(id, key)`` with a likeness of ``least`` or more, ``a < b``.
+def placed_grams(keys: DataFrame, least: float) -> DataFrame:
+    """``id, l, d, pos, g``: every gram of ``keys(id, key)`` and its place; ``l`` is a key's length, ``d`` the most edits to a partner ``least`` alike. Keys that have no such partner but themselves are left out."""
+    edits = F.floor((1 - least) / least * F.length("key") + 1e-9)
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length("key") - GRAM + 1, F.lit(1))), lambda i: F.substring("key", i, F.lit(GRAM)))
+    return keys.where(edits > 0).select("id", F.length("key").alias("l"), edits.alias("d"), F.posexplode(pieces).alias("pos", "g"))
+
+
+def title_meetings(one: DataFrame, two: DataFrame, least: float) -> DataFrame:
+    """``a, b`` of two tables of :func:`placed_grams`, among them all pairs of different keys that are ``least`` alike.
 
-    The likeness is one less the edit distance over the longer length. A distance of ``d`` leaves all but ``GRAM * d`` grams of a key alone, so of two
-    such keys some gram stands among the first ``GRAM * d + 1`` of either, in one order of all grams; the rarest come first, so few keys meet that are not alike.
+    A distance of ``d`` destroys ``GRAM * d`` grams of a key at most and moves the others by ``d`` places at most. So of two such keys the first gram that is kept, in one
+    order of all grams, the rarest first, is among the first ``GRAM * d + 1`` of either, at about the same place, in keys of about the same
+    length. Grams meet by themselves, the class of length and the stretch of the key together, so that those that many keys share do not bring all of these together.
     """
-    n = F.length("key")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - GRAM + 1, F.lit(1))), lambda i: F.substring("key", i, F.lit(GRAM)))
-    placed = keys.select("id", "key", F.explode(grams).alias("g"))
-    placed = placed.withColumn("turn", F.row_number().over(Window.partitionBy("id", "g").orderBy(F.lit(1))))
-    common = placed.groupBy("g", "turn").agg(F.count(F.lit(1)).alias("df"))
-    ranked = placed.join(common, ["g", "turn"]).withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("df", "g", "turn")))
-    allowed = F.floor((1 - least) * n + 1e-9)
-    first = ranked.where(F.col("n") <= GRAM * allowed + 1).select("id", "g", "turn", n.alias("l"))
-    met = first.withColumnsRenamed({"id": "a", "l": "la"}).join(first.withColumnsRenamed({"id": "b", "l": "lb"}), ["g", "turn"])
-    met = met.where((F.col("a") < F.col("b")) & (F.least("la", "lb") >= F.greatest("la", "lb") * least - 1e-9)).select("a", "b").distinct()
-    both = met.join(keys.select(F.col("id").alias("a"), F.col("key").alias("ka")), "a").join(keys.select(F.col("id").alias("b"), F.col("key").alias("kb")), "b")
-    like = 1 - F.levenshtein("ka", "kb") / F.greatest(F.length("ka"), F.length("kb"))
-    return both.select("a", "b", like.alias("likeness")).where(F.col("likeness") >= least - 1e-9)
+    common = one.select("g").unionByName(two.select("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+
+    def first(rows: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "g", "pos"))
+        return rows.join(common, "g").withColumn("n", rank).where(F.col("n") <= GRAM * F.col("d") + 1).where("df > 1").drop("n", "df")
+
+    step = -math.log(least) * 1.001  # a little more than partners' lengths can differ by, so that rounding moves none by two classes
+    own_class = F.floor(F.log(F.col("l").cast("double")) / step)
+    width = F.ceil((1 - least) / least * F.exp((F.col("class") + 1) * step)) + 1
+    b = first(two).withColumn("class", own_class).withColumn("at", F.floor(F.col("pos") / width)).select(F.col("id").alias("b"), F.col("l").alias("lb"), F.col("pos").alias("pb"), "g", "class", "at")
+    a = first(one).withColumn("class", F.explode(F.sequence(own_class - 1, own_class + 1)))
+    a = a.withColumn("at", F.explode(F.sequence(F.floor(F.greatest(F.col("pos") - F.col("d"), F.lit(0)) / width), F.floor((F.col("pos") + F.col("d")) / width))))
+    met = a.withColumnsRenamed({"id": "a", "l": "la", "pos": "pa"}).join(b.hint("merge"), ["g", "class", "at"])
+    edits = F.floor((1 - least) * F.greatest("la", "lb") + 1e-9)
+    return met.where((F.abs(F.col("la") - F.col("lb")) <= edits) & (F.abs(F.col("pa") - F.col("pb")) <= edits)).select("a", "b")
+
+
+def likeness_of(a: str, b: str, least: float) -> Column:
+    """One less the edit distance of two keys over the longer length; null below ``least``, which is found out within the band of the distances that it allows."""
+    longer = F.greatest(F.length(a), F.length(b))
+    apart = F.call_function("levenshtein", F.col(a), F.col(b), F.floor((1 - least) * longer + 1e-9).cast("int"))
+    return F.when(apart >= 0, 1 - apart / longer)
+
+
+def title_pairs(keys: DataFrame, least: float = ALIKE) -> DataFrame:
+    """``a, b, likeness``: all pairs of distinct ``keys(id, key)`` with a likeness of ``least`` or more, ``a < b``; the likeness is one less the edit distance over the longer length."""
+    keys = stored(keys, "keys")
+    placed = stored(placed_grams(keys, least), "grams")
+    return judged_titles(title_meetings(placed, placed, least).where("a < b").distinct(), keys, keys, least)
+
+
+def judged_titles(met: DataFrame, left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """``a, b, likeness`` of the pairs ``met(a, b)`` of different keys that are ``least`` alike. Keys are as long as whole texts: they come to the pairs, not to the grams."""
+    side = lambda keys, i, k: keys.select(F.col("id").alias(i), F.col("key").alias(k)).hint("merge")
+    both = met.join(side(left, "a", "ka"), "a").join(side(right, "b", "kb"), "b").where("ka <> kb")
+    return both.select("a", "b", likeness_of("ka", "kb", least).alias("likeness")).where("likeness IS NOT NULL")
 
 
 def title_candidates(rows: DataFrame, least: float = ALIKE) -> DataFrame:
