@@ -19,8 +19,9 @@ STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "der", "des", "di
 
 
 def fold(x: Column) -> Column:
-    """Lower case without accents, whether they are part of a letter or follow it; sharp s becomes ``ss``."""
-    return F.replace(F.translate(F.lower(x), MARKED + FOLLOWING, PLAIN), F.lit("ß"), F.lit("ss"))
+    """Lower case without accents, whether they are part of a letter or follow it; sharp s becomes ``ss``. ASCII texts have nothing to replace."""
+    low = F.lower(x)
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.replace(F.translate(low, MARKED + FOLLOWING, PLAIN), F.lit("ß"), F.lit("ss")))
 
 
 def ascii_words(x: Column) -> Column:

@@ -15,9 +15,7 @@ from lodestar.operators.retrieval import (
     VECTOR_OF,
     article_details,
     article_hits,
-    best_first,
-    bm25,
-    index_of,
+    best_lexical,
     lexical_candidates,
     nearest,
     ranked_articles,
@@ -236,8 +234,7 @@ def abstract_lists(records: DataFrame, queries: DataFrame, themes: DataFrame, mo
     """``query_id, rid, rank`` of the ``most`` best of ``records(rid, title, abstract, theme)``: a lexical and a vector list, fused, and a bonus for one of the query's ``themes(query_id, theme)``."""
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     candidates = min(max(5 * most, 50), 200)
-    scores = bm25(index_of(records, "rid", RECORD_FIELDS, asked), asked, "rid")
-    lexical = top(scores, ["query_id"], [best_first(), "rid"], candidates).select("query_id", "rid", F.col("rank").alias("lexical"))
+    lexical = best_lexical(records, "rid", RECORD_FIELDS, asked, candidates).select("query_id", "rid", F.col("rank").alias("lexical"))
     vectors = stand_in_vectors(records.withColumn("_text", F.concat_ws(" ", "title", "abstract")), "rid", "_text").withColumnRenamed("rid", "id")
     near = nearest(vectors, stand_in_vectors(queries, "query_id", "query"), candidates).select("query_id", F.col("id").alias("rid"), F.col("rank").alias("vector"))
     both = lexical.join(near, ["query_id", "rid"], "full").join(records.select("rid", "theme"), "rid")
@@ -259,7 +256,7 @@ def abstract_search(articles: DataFrame, queries: DataFrame, themes: DataFrame,
     pool = min(max(2 * most, 30), 100)
     titled = full.select("rid", title_key(F.col("title")).alias("k")).join(queries.select("query_id", title_key(F.col("query")).alias("k")), "k").select("query_id", "rid", F.lit(0).alias("kind"), F.lit(1.0).alias("score"))
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    lexical = top(bm25(index_of(full, "rid", RECORD_FIELDS, terms), terms, "rid"), ["query_id"], [best_first(), "rid"], pool)
+    lexical = best_lexical(full, "rid", RECORD_FIELDS, terms, pool)
     lexical = lexical.select("query_id", "rid", F.lit(1).alias("kind"), (1 / (RRF_K + F.col("rank"))).alias("score"))
     found = first_by(titled.unionByName(lexical), ["query_id", "rid"], ["kind"])
     found = top(found, ["query_id"], ["kind", F.desc("score"), "rid"], pool).select("query_id", "rid", "rank")
@@ -344,9 +341,7 @@ def axis_pools(spark: SparkSession, sf_dir: str, asked: DataFrame, most: int) ->
     """``query_id, axis, article_id, chunk_id, rank``: for each facet of a query the articles of the best chunks by its words, the process and the matter."""
     terms = asked.select("query_id", F.explode("facets").alias("f"), F.slice("primary", 1, 2).alias("p"), F.slice("close", 1, 5).alias("c"), F.slice("process", 1, 7).alias("x"))
     terms = terms.select(F.concat_ws("|", F.col("query_id").cast("string"), "f.facet").alias("axis_id"), F.explode(F.array_distinct(F.concat("p", "c", "x", F.slice("f.terms", 1, 8)))).alias("term"))
-    index = index_of(chunks(spark, sf_dir), "chunk_id", {"text": 1.0}, terms)
-    scored = bm25(index, terms.withColumnRenamed("axis_id", "query_id"), "chunk_id")
-    best = top(scored, ["query_id"], [best_first(), "chunk_id"], most)
+    best = best_lexical(chunks(spark, sf_dir), "chunk_id", {"text": 1.0}, terms.withColumnRenamed("axis_id", "query_id"), most)
     best = best.select(F.split_part("query_id", F.lit("|"), F.lit(1)).cast("long").alias("query_id"), F.split_part("query_id", F.lit("|"), F.lit(2)).alias("axis"), F.floor(F.col("chunk_id") / 100000).cast("long").alias("article_id"), "chunk_id", "rank")
     return first_by(best, ["query_id", "axis", "article_id"], ["rank"])
 
@@ -484,10 +479,10 @@ def query_variants_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query_variants(search_queries(spark, sf_dir), query_intents(spark, sf_dir), spark.createDataFrame(list(COUNTERPARTS.items()), "source string, target string"))
 
 
-def weighted_lexical_lists(index: DataFrame, variants: DataFrame, key: str, most: int) -> DataFrame:
-    """``query_id, key, score, best_rank``: the variants' lexical lists of ``most`` rows each, fused with the weights of their tiers; the search without vectors."""
+def weighted_lexical_lists(rows: DataFrame, variants: DataFrame, key: str, fields: dict[str, float], most: int) -> DataFrame:
+    """``query_id, key, score, best_rank``: the variants' lexical lists of ``most`` of ``rows`` each, fused with the weights of their tiers; the search without vectors."""
     asked = variants.select(F.concat_ws("|", F.col("query_id").cast("string"), F.col("place").cast("string")).alias("query_id"), F.explode(F.array_distinct(tokens(F.col("variant")))).alias("term"))
-    lists = top(bm25(index, asked, key), ["query_id"], [best_first(), key], most).withColumnRenamed("query_id", "_v")
+    lists = best_lexical(rows, key, fields, asked, most).withColumnRenamed("query_id", "_v")
     lists = lists.select(F.split_part("_v", F.lit("|"), F.lit(1)).cast("long").alias("query_id"), F.split_part("_v", F.lit("|"), F.lit(2)).cast("int").alias("place"), key, "rank")
     part = F.col("weight") / (RRF_K + F.col("rank"))
     return lists.join(variants.select("query_id", "place", "weight"), ["query_id", "place"]).groupBy("query_id", key).agg(F.sum(part).alias("score"), F.min("rank").alias("best_rank"))
@@ -508,6 +503,5 @@ def lexical_fallback_sql() -> str:
 def lexical_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty best chunks of each query over all its variants, without vectors."""
     variants = stored(query_variants_query(spark, sf_dir), "variants")
-    terms = variants.select(F.explode(tokens(F.col("variant"))).alias("term")).distinct()
-    found = weighted_lexical_lists(index_of(chunks(spark, sf_dir), "chunk_id", CHUNK_FIELDS, terms), variants, "chunk_id", 120)
+    found = weighted_lexical_lists(chunks(spark, sf_dir), variants, "chunk_id", CHUNK_FIELDS, 120)
     return top(found, ["query_id"], [F.desc(F.round("score", 12)), "best_rank", "chunk_id"], 20).select("query_id", "chunk_id", F.round("score", 8).alias("score"), "rank")

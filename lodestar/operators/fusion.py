@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.text import fold, tokens
 from lodestar.operators.evidence import VARIANT_LISTS, lexical_fallback_sql, query_variants_query
 from lodestar.operators.phrases import anchors
-from lodestar.operators.retrieval import CHUNK_FIELDS, VECTOR_OF, best_by_bounds, index_of, nearest, stand_in_vectors, top
+from lodestar.operators.retrieval import CHUNK_FIELDS, VECTOR_OF, best_lexical, nearest, stand_in_vectors, top
 from lodestar.plans.registry import ORACLES, query
 from lodestar.sources.bindings import FOLD, articles, chunks, search_queries
 from lodestar.sources.tables import stored
@@ -62,7 +62,7 @@ def variant_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     variants = stored(query_variants_query(spark, sf_dir), "variants")
     name = (F.col("query_id") * 10 + F.col("place")).cast("long").alias("query_id")
     terms = variants.select(name, F.explode(F.array_distinct(tokens(F.col("variant")))).alias("term"))
-    lexical = best_by_bounds(index_of(chunks(spark, sf_dir), "chunk_id", CHUNK_FIELDS, terms), terms, "chunk_id", LIST_ROWS)
+    lexical = best_lexical(chunks(spark, sf_dir), "chunk_id", CHUNK_FIELDS, terms, LIST_ROWS)
     vectors = stand_in_vectors(chunks(spark, sf_dir), "chunk_id", "text").withColumnRenamed("chunk_id", "id")
     near = nearest(vectors, stand_in_vectors(variants.select(name, "variant"), "query_id", "variant"), LIST_ROWS)
     lists = lexical.select("query_id", "chunk_id", "rank", F.lit("lexical").alias("method")).unionByName(near.select("query_id", F.col("id").alias("chunk_id"), "rank", F.lit("vector").alias("method")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import STOP_WORDS, content_terms, coverage, query_terms, tokens
+from lodestar.operators.blocks import ASKED_PAIRS, KEPT, Best, best_by_terms, tiles
 from lodestar.plans.registry import query
 from lodestar.sources.bindings import CHUNKS, TOKENS, articles, chunks, search_queries
 from lodestar.sources.tables import stored, table
@@ -136,6 +137,25 @@ def top(rows: DataFrame, by: list[str], order: list, most: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= most)
 
 
+def impact(n: int, df: np.ndarray, tf: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
+    """What a term adds to a row's score in :func:`bm25`."""
+    idf = np.maximum(np.log((n - df + 0.5) / (df + 0.5)), LEAST_IDF)
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
+def best_lexical(rows: DataFrame, key: str, fields: dict[str, float], queries: DataFrame, most: int) -> DataFrame:
+    """``query_id, key, score, rank``: the ``most`` best of ``rows`` by :func:`bm25` for each of ``queries(query_id, term)``; ``key`` is a whole number.
+
+    The queries' terms go to every task, which scores its rows for all queries in blocks and hands on the best of each query only; so
+    no word of a row and no pair of row and query is shuffled. Sets of queries that are too large for that are searched by bounds.
+    """
+    asked = stored(queries.select("query_id", "term").where("term IS NOT NULL").distinct(), "asked")
+    size = asked.agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("query_id").alias("queries")).first()
+    if size.pairs > ASKED_PAIRS or size.queries * most > KEPT:
+        return best_by_bounds(index_of(rows, key, fields, asked), asked, key, most)
+    return top(best_by_terms(rows, key, fields, asked.toArrow(), most, impact), ["query_id"], [best_first(), key], most)
+
+
 def asked_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_queries(spark, sf_dir).select("query_id", F.explode(query_terms(F.col("query"))).alias("term"))
 
@@ -151,7 +171,7 @@ LEXICAL_SQL = f"WITH {CHUNKS}, {QUERY_TERMS}, {POSTINGS}, {SCORED}"
 
 def lexical_lists(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
     asked = asked_terms(spark, sf_dir)
-    return best_by_bounds(index_of(chunks(spark, sf_dir), "chunk_id", CHUNK_FIELDS, asked), asked, "chunk_id", most)
+    return best_lexical(chunks(spark, sf_dir), "chunk_id", CHUNK_FIELDS, asked, most)
 
 
 @query("lexical_search", LEXICAL_SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM sc) SELECT query_id, chunk_id, round(score, 4) AS score, rank FROM r WHERE rank <= 20")
@@ -207,12 +227,14 @@ def unit_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def meetings(vectors: DataFrame, queries: DataFrame, judge, schema: str) -> DataFrame:
-    """``judge(query_ids, ids, similarities)`` for every block of ``queries(query_id, embedding)`` and of rows ``vectors(id, embedding)``.
+    """``judge`` of the ``(query ids, ids, similarities)`` of every block of ``queries(query_id, embedding)`` and of rows ``vectors(id, embedding)``, task by task.
 
-    Rows are not shuffled: each batch of them is packed where it is and meets the blocks of queries, which are
-    broadcast if they are small. Null vectors meet nothing.
+    Rows are not shuffled: each batch of them meets the queries where it is, a block of queries at a time. The queries are sent to every task if they are small; else blocks of both are joined. Null vectors meet nothing.
     """
 
+    def held(df: DataFrame, key: str) -> DataFrame:
+        return df.select(F.col(key).cast("long").alias(key), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col(key).isNotNull() & F.col("embedding").isNotNull())
+
     def packed(df: DataFrame, key: str, block: str) -> DataFrame:
         def run(batches):
             for batch in batches:
@@ -221,40 +243,57 @@ def meetings(vectors: DataFrame, queries: DataFrame, judge, schema: str) -> Data
                     for at in range(0, len(ids), QUERY_BLOCK):
                         yield pa.RecordBatch.from_arrays([pa.array([x[at : at + QUERY_BLOCK].tobytes()], pa.binary()) for x in (ids.astype(np.int64), v)], [f"{block}_ids", f"{block}_v"])
 
-        own = df.select(F.col(key).cast("long").alias(key), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col(key).isNotNull() & F.col("embedding").isNotNull())
-        return own.mapInArrow(run, f"{block}_ids binary, {block}_v binary")
+        return held(df, key).mapInArrow(run, f"{block}_ids binary, {block}_v binary")
+
+    def pieces(q: np.ndarray, q_v: np.ndarray, b: np.ndarray, b_v: np.ndarray):
+        if len(q) and len(b):
+            for block in tiles(len(q)):
+                yield q[block], b, q_v[block] @ b_v.T
 
     n = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    if n.n * (n.d or 0) * 8 <= BROADCAST_BYTES:
+        asked = held(queries, "query_id").toArrow().combine_chunks()
+        q, q_v = asked["query_id"].to_numpy(), unit_rows(asked["embedding"].combine_chunks())
+
+        def meet(batches):
+            return judge(p for batch in batches if batch.num_rows for p in pieces(q, q_v, batch.column(0).to_numpy(zero_copy_only=False), unit_rows(batch.column(1))))
+
+        return held(vectors, "id").mapInArrow(meet, schema)
     parts = max(1, -(-n.n // QUERY_BLOCK))
     asked = stored(packed(queries.repartition(parts), "query_id", "q").withColumn("q", F.monotonically_increasing_id()), "queries")
     blocks = F.array(*[F.lit(r.q) for r in asked.select("q").collect()]).cast("array<long>")
-    rows = packed(vectors, "id", "b").withColumn("q", F.explode(blocks))
-    met = rows.join(F.broadcast(asked) if n.n * (n.d or 0) * 8 <= BROADCAST_BYTES else asked, "q")
+    met = packed(vectors, "id", "b").withColumn("q", F.explode(blocks)).join(asked, "q")
 
     def search(batches):
-        for batch in batches:
-            for row in batch.select(["q_ids", "q_v", "b_ids", "b_v"]).to_pylist():
-                q, b = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["b_ids"], np.int64)
-                yield judge(q, b, np.frombuffer(row["q_v"]).reshape(len(q), -1) @ np.frombuffer(row["b_v"]).reshape(len(b), -1).T)
+        def joined():
+            for batch in batches:
+                for row in batch.select(["q_ids", "q_v", "b_ids", "b_v"]).to_pylist():
+                    q, b = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["b_ids"], np.int64)
+                    yield from pieces(q, np.frombuffer(row["q_v"]).reshape(len(q), -1), b, np.frombuffer(row["b_v"]).reshape(len(b), -1))
+
+        return judge(joined())
 
     return met.mapInArrow(search, schema)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, most: int) -> DataFrame:
-    """``query_id, id, similarity, rank``: exact cosine neighbours of ``queries(query_id, embedding)`` among ``vectors(id, embedding)``; a block's best ``most`` leave its task."""
-
-    def judge(q: np.ndarray, b: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
-        if len(b) > 4 * most:
-            least = -np.partition(-s, most, axis=1)[:, most]
-            rows, columns = np.nonzero(s >= least[:, None] - 1e-8)
-        else:
-            rows, columns = np.indices(s.shape).reshape(2, -1)
-        x = s[rows, columns]
-        order = np.lexsort((b[columns], -np.round(x, 9), rows))
-        rows, columns, x = rows[order], columns[order], x[order]
-        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        kept = place < most
-        return pa.RecordBatch.from_arrays([pa.array(q[rows[kept]]), pa.array(b[columns[kept]]), pa.array(x[kept])], ["query_id", "id", "similarity"])
+    """``query_id, id, similarity, rank``: exact cosine neighbours of ``queries(query_id, embedding)`` among ``vectors(id, embedding)``; a task's best ``most`` leave it."""
+
+    def judge(pieces):
+        best, of = Best(most), {}
+
+        def found():
+            for block, q, i, s in best.taken():
+                yield pa.RecordBatch.from_arrays([pa.array(of[block][q]), pa.array(i), pa.array(s)], ["query_id", "id", "similarity"])
+
+        for q, b, s in pieces:
+            block = (int(q[0]), len(q))
+            of[block] = q
+            best.add(block, b, s, np.round(s, 9))
+            if len(best) > KEPT:
+                yield from found()
+                of.clear()
+        yield from found()
 
     found = meetings(vectors, queries, judge, "query_id long, id long, similarity double")
     return top(found, ["query_id"], [F.desc(F.round("similarity", 9)), "id"], most)
@@ -263,8 +302,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, most: int) -> DataFrame:
 def within(vectors: DataFrame, queries: DataFrame, least: float) -> DataFrame:
     """``query_id, n``: how many vectors have a cosine of ``least`` or more with each query; counted where they meet."""
 
-    def judge(q: np.ndarray, b: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(q), pa.array((s >= least).sum(axis=1))], ["query_id", "n"])
+    def judge(pieces):
+        counts = {}
+        for q, _, s in pieces:
+            block = (int(q[0]), len(q))
+            counts[block] = (q, counts[block][1] + (s >= least).sum(axis=1) if block in counts else (s >= least).sum(axis=1))
+        for q, n in counts.values():
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(n)], ["query_id", "n"])
 
     return meetings(vectors, queries, judge, "query_id long, n long").groupBy("query_id").agg(F.sum("n").alias("n")).where("n > 0")
 
