@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -167,8 +170,8 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def question_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likeness and coverage of each question and the documents of its best chunks."""
     q = search_queries(spark, sf_dir).select("query_id", tokens(F.col("query")).alias("q"))
-    c = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), tokens(F.col("text")).alias("c"))
-    met = c.join(lexical_candidates(spark, sf_dir), "article_id").join(q, "query_id")
+    c = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), "text")
+    met = c.join(lexical_candidates(spark, sf_dir), "article_id").withColumn("c", tokens(F.col("text"))).join(q, "query_id")
     return met.select("query_id", F.col("article_id").alias("doc_id"), F.round(jaccard(F.col("q"), F.col("c")), 6).alias("jaccard"), F.round(coverage(F.col("q"), F.col("c")), 6).alias("coverage"))
 
 
@@ -202,15 +205,26 @@ def bibliography(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("article_id", entry.alias("entry"))
 
 
+def word_places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``doc_id, index``: the places of each word of ``doc_id, words``, where the document is."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part, found = batch.slice(at, 64), []
+            for words in part.column(1).to_pylist():
+                places: dict[str, list[int]] = {}
+                for i, w in enumerate(words):
+                    places.setdefault(w, []).append(i)
+                found.append(list(places.items()))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.map_(pa.string(), pa.list_(pa.int32())))], ["doc_id", "index"])
+
+
 @query("inverted_abstracts", "SELECT doc_id, array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''), ' ') AS abstract FROM documents WHERE text IS NOT NULL")
 def inverted_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word-to-positions maps turned back into texts: the index of every document is built and read again."""
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    places = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("pos", "word"))
-    index = places.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("index"))
+    index = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", words.alias("words")).mapInArrow(word_places, "doc_id long, index map<string,array<int>>")
     flat = F.flatten(F.transform(F.map_entries("index"), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    back = index.select("doc_id", F.array_join(F.transform(F.array_sort(flat), lambda x: x["w"]), " ").alias("abstract"))
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id").join(back, "doc_id", "left").na.fill("")
+    return index.select("doc_id", F.array_join(F.transform(F.array_sort(flat), lambda x: x["w"]), " ").alias("abstract"))
 
 
 @query("json_fields", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, json_valid(props) AS valid FROM events")
