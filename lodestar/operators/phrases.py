@@ -63,8 +63,8 @@ def concept_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = tokens(F.col("query"))
     part = lambda at, n: F.array_join(F.slice(w, at, n), " ")
     asked = search_queries(spark, sf_dir).select("query_id", F.filter(F.array(part(1, 2), part(4, 3), part(2, 1)), lambda x: x != "").alias("c"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), tokens(F.col("text")).alias("w"))
-    met = docs.join(lexical_candidates(spark, sf_dir), "article_id").join(asked, "query_id")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), "text")
+    met = docs.join(lexical_candidates(spark, sf_dir), "article_id").withColumn("w", tokens(F.col("text"))).join(asked, "query_id")
     return met.select(F.col("query_id").alias("item_id"), F.col("article_id").alias("doc_id"), F.round(concept_coverage(F.col("c"), F.col("w"), 1.0), 6).alias("recall"))
 
 
