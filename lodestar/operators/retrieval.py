@@ -185,7 +185,8 @@ CANDIDATES = LEXICAL_SQL + ", cand AS (SELECT DISTINCT query_id, article_id FROM
 
 def lexical_candidates(spark: SparkSession, sf_dir: str, most: int = 20) -> DataFrame:
     """``query_id, article_id``: the articles of each query's best chunks."""
-    return lexical_lists(spark, sf_dir, most).select("query_id", F.floor(F.col("chunk_id") / 100000).cast("long").alias("article_id")).distinct()
+    found = stored(lexical_lists(spark, sf_dir, most).select("query_id", F.floor(F.col("chunk_id") / 100000).cast("long").alias("article_id")).distinct(), "candidates")
+    return small(found, found.count())
 
 
 @query("match_all_terms", LEXICAL_SQL + " SELECT qt.query_id, idx.chunk_id FROM idx JOIN (SELECT query_id, term FROM qt) qt ON qt.term = idx.term GROUP BY qt.query_id, idx.chunk_id HAVING count(*) = (SELECT count(*) FROM qt q2 WHERE q2.query_id = qt.query_id)")
@@ -201,13 +202,16 @@ def match_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("match_phrase", f"WITH {CHUNKS} SELECT item_id AS query_id, chunk_id FROM (SELECT item_id, array_to_string({TOKENS.format(x='text')}[1:4], ' ') AS phrase FROM benchmark) q JOIN (SELECT chunk_id, array_to_string({TOKENS.format(x='text')}, ' ') AS body FROM chunks) c ON contains(' ' || c.body || ' ', ' ' || q.phrase || ' ')")
 def match_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks that have the first four words of a query side by side: positions of equal terms, joined at one shift."""
-    place = lambda df, key, text: df.select(key, F.posexplode(tokens(F.col(text))).alias("pos", "term"))
-    asked = place(search_queries(spark, sf_dir), "query_id", "query").where("pos < 4").withColumnRenamed("pos", "at")
-    need = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
-    met = place(chunks(spark, sf_dir), "chunk_id", "text").join(asked, "term")
-    met = met.groupBy("query_id", "chunk_id", (F.col("pos") - F.col("at")).alias("shift")).agg(F.count(F.lit(1)).alias("have"))
-    return met.join(need, "query_id").where("have = need").select("query_id", "chunk_id").distinct()
+    """Chunks that have the first four words of a query side by side: a chunk's runs of as many words, joined where they are."""
+    asked = stored(search_queries(spark, sf_dir).select("query_id", F.slice(tokens(F.col("query")), 1, 4).alias("w")).where(F.size("w") > 0), "phrases")
+    sizes = sorted(r.n for r in asked.select(F.size("w").alias("n")).distinct().collect())
+    if not sizes:
+        return chunks(spark, sf_dir).select(F.lit(0).cast("long").alias("query_id"), "chunk_id").limit(0)
+    runs = lambda w, n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+    held = chunks(spark, sf_dir).select("chunk_id", tokens(F.col("text")).alias("w"))
+    held = held.select("chunk_id", F.explode(F.concat(*[F.when(F.size("w") >= n, runs(F.col("w"), n)).otherwise(F.array().cast("array<string>")) for n in sizes])).alias("phrase"))
+    phrases = asked.select("query_id", F.array_join("w", " ").alias("phrase"))
+    return held.join(small(phrases, phrases.count()), "phrase").select("query_id", "chunk_id").distinct()
 
 
 @query("match_prefix", f"WITH {CHUNKS}, q AS (SELECT DISTINCT item_id AS query_id, term[1:4] AS stem FROM (SELECT item_id, unnest({TOKENS.format(x='text')}) AS term FROM benchmark) WHERE length(term) >= 9), p AS (SELECT DISTINCT chunk_id, term FROM (SELECT chunk_id, unnest({TOKENS.format(x='text')}) AS term FROM chunks)) SELECT query_id, count(DISTINCT chunk_id) AS n FROM q JOIN p ON starts_with(term, stem) GROUP BY query_id")
@@ -405,6 +409,11 @@ def ranked_articles(hits: DataFrame, details: DataFrame, queries: DataFrame, tex
     the share of the query's terms in the title and in the abstract (``details(article_id, title, abstract)``), and the
     share of the query's concepts, its three longest terms, that stand in title, abstract or the five best chunks (``texts(chunk_id, text)``).
     """
+    hits = stored(hits, "hits")
+    n = hits.count()
+    # only the hits' own texts and articles are read word by word
+    texts = texts.join(small(hits.select("chunk_id").distinct(), n), "chunk_id", "left_semi")
+    details = details.join(small(hits.select("article_id").distinct(), n), "article_id", "left_semi")
     best_first = Window.partitionBy("query_id", "article_id").orderBy(F.desc(F.round("score", 12)), "rank", "chunk_id")
     placed = hits.withColumn("n", F.row_number().over(best_first))
     said = placed.where("n <= 5").join(texts.select("chunk_id", F.array_distinct(tokens(F.col("text"))).alias("said")), "chunk_id")

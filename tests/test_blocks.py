@@ -74,3 +74,22 @@ def test_the_best_of_blocks_are_those_of_one_sort(spark):
 def test_ascii_texts_fold_like_others(spark):
     rows = spark.createDataFrame([("ABC d",), ("ÉÈ aß",), ("é",), ("",), (None,)], "t string")
     assert [x[0] for x in rows.select(fold(F.col("t"))).collect()] == ["abc d", "ee ass", "e", "", None]
+
+
+def test_cells_never_send_packed_queries_to_the_driver(spark):
+    from lodestar.operators import cells
+
+    r = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(r.normal(size=(300, 4)))], "id long, embedding array<double>")
+    index = cells.built(rows, 4)
+    asked = cells.stored(cells.with_cells(rows.withColumnRenamed("id", "query_id"), "query_id", index.centroids, 4), "asked")
+    plan = cells.met(index, asked, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_indexes_of_documents_are_not_shuffled_and_phrases_meet_without_their_words(spark):
+    from lodestar.operators.texts import inverted_abstracts
+
+    assert "Exchange" not in inverted_abstracts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    phrases = retrieval.match_phrase(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in phrases and "shift" not in phrases
