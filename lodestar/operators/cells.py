@@ -115,8 +115,11 @@ def bounds(s: np.ndarray, widest: np.ndarray) -> np.ndarray:
 
 
 def met(index: Cells, asked: DataFrame, most: int) -> DataFrame:
-    """``query_id, id, similarity``: of each block that ``asked(id, v, cell)`` probes, its best ``most``; queries of a cell meet a block together."""
-    pairs = packed(asked.repartition("cell").select("id", "v", "cell"), ("q_ids", "q_v")).drop("n").join(index.blocks, "cell")
+    """``query_id, id, similarity``: of each block that ``asked(id, v, cell)`` probes, its best ``most``; queries of a cell meet a block together.
+
+    A query's vector stands beside each of its cells, which a file packs away: so the join is hinted, as its sides look small enough for the driver.
+    """
+    pairs = packed(asked.repartition("cell").select("id", "v", "cell"), ("q_ids", "q_v")).drop("n").hint("merge").join(index.blocks, "cell")
 
     def search(batches):
         for batch in batches:
