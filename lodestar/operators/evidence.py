@@ -19,6 +19,7 @@ from lodestar.operators.retrieval import (
     lexical_candidates,
     nearest,
     ranked_articles,
+    small,
     stand_in_vectors,
     top,
 )
@@ -325,6 +326,10 @@ def full_text_search(hits: DataFrame, details: DataFrame, queries: DataFrame, te
     pool = ranked.select("query_id", "article_id", F.col("best_chunk").alias("chunk_id"), "score", F.lit("").alias("axis"), F.lit(0).alias("turn"), "rank")
     pool = pool.unionByName(axes.select("query_id", "article_id", "chunk_id", F.lit(0.0).alias("score"), "axis", F.lit(1).alias("turn"), "rank"))
     merged = pool.groupBy("query_id", "article_id").agg(F.min_by("chunk_id", F.struct("turn", "rank", "axis")).alias("chunk_id"), F.max("score").alias("adjusted"), F.array_sort(F.collect_set(F.when(F.col("axis") != "", F.col("axis")))).alias("axes"))
+    merged = stored(merged, "merged")
+    # only the articles of the pool are cut into chunks
+    its = small(merged.select("article_id").distinct(), merged.count())
+    texts, details = texts.join(its, "article_id", "left_semi"), details.join(its, "article_id", "left_semi")
     full = merged.join(texts.select("chunk_id", F.col("text").alias("_chunk")), "chunk_id").join(details.select("article_id", "title", "abstract"), "article_id")
     full = judged(full.withColumn("text", F.concat_ws(" ", "abstract", "_chunk")), asked)
     first = F.round(F.least(F.lit(1.0), STRUCTURED_RELEVANCE * F.col("relevance") + STRUCTURED_RANK * F.col("adjusted")), 9)

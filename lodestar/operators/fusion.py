@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.text import fold, tokens
 from lodestar.operators.evidence import VARIANT_LISTS, lexical_fallback_sql, query_variants_query
 from lodestar.operators.phrases import anchors
-from lodestar.operators.retrieval import CHUNK_FIELDS, VECTOR_OF, best_lexical, nearest, stand_in_vectors, top
+from lodestar.operators.retrieval import CHUNK_FIELDS, VECTOR_OF, best_lexical, nearest, small, stand_in_vectors, top
 from lodestar.plans.registry import ORACLES, query
 from lodestar.sources.bindings import FOLD, articles, chunks, search_queries
 from lodestar.sources.tables import stored
@@ -67,7 +67,10 @@ def variant_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     near = nearest(vectors, stand_in_vectors(variants.select(name, "variant"), "query_id", "variant"), LIST_ROWS)
     lists = lexical.select("query_id", "chunk_id", "rank", F.lit("lexical").alias("method")).unionByName(near.select("query_id", F.col("id").alias("chunk_id"), "rank", F.lit("vector").alias("method")))
     lists = lists.withColumn("variant", (F.col("query_id") % 10).cast("int")).withColumn("query_id", F.floor(F.col("query_id") / 10).cast("long"))
-    own = chunks(spark, sf_dir).select("chunk_id", "article_id", "text", F.col("chunk_index").alias("page_start"), F.col("chunk_index").alias("page_end"))
+    # only the hits' articles are cut into chunks
+    lists = stored(lists, "lists")
+    its = small(lists.select(F.floor(F.col("chunk_id") / 100000).cast("long").alias("article_id")).distinct(), lists.count())
+    own = chunks(spark, sf_dir).join(its, "article_id", "left_semi").select("chunk_id", "article_id", "text", F.col("chunk_index").alias("page_start"), F.col("chunk_index").alias("page_end"))
     hits = lists.join(own, "chunk_id").join(articles(spark, sf_dir).select("article_id", "title"), "article_id").withColumn("scope", F.lit("common"))
     return hits, variants.select("query_id", F.col("place").cast("int").alias("variant"), "weight")
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import STOP_WORDS, content_terms, coverage, query_terms, tokens
-from lodestar.operators.blocks import ASKED_PAIRS, KEPT, Best, best_by_terms, tiles
+from lodestar.operators.blocks import ASKED_PAIRS, KEPT, Best, best_by_terms, lowered, slices, tiles, words_in
 from lodestar.plans.registry import query
 from lodestar.sources.bindings import CHUNKS, TOKENS, articles, chunks, search_queries
 from lodestar.sources.tables import stored, table
@@ -362,11 +365,35 @@ def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.where("place <= 20").select("query_id", "id", F.round("score", 8).alias("score"), "best_rank", "place")
 
 
+#: Slots of a stand-in vector.
+SLOTS = 16
+
+
+def slots_of(words: pa.Array) -> np.ndarray:
+    """The slot of each topical word, the first digit of its hash; function words have none."""
+    digests = b"".join(hashlib.md5(w).digest()[:1] for w in words.cast(pa.binary()).to_pylist())
+    topical = pc.invert(pc.is_in(words, value_set=pa.array(STOP_WORDS))).to_numpy(zero_copy_only=False)
+    return np.where(topical, np.frombuffer(digests, np.uint8).astype(np.int64) >> 4, -1)
+
+
 def stand_in_vectors(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, embedding``: sixteen hashed counts of a text's topical words, a stand-in for an encoder's vectors."""
-    slots = F.array_join(F.transform(content_terms(F.col(text)), lambda t: F.substring(F.md5(t), 1, 1)), "")
-    own = rows.select(key, slots.alias("_slots"))
-    return own.select(key, F.array(*[(F.length("_slots") - F.length(F.replace("_slots", F.lit(d)))).cast("double") for d in "0123456789abcdef"]).alias("embedding"))
+    """``key, embedding``: sixteen hashed counts of a text's topical words, a stand-in for an encoder's vectors; a null text has none.
+
+    A word is hashed once a batch at most.
+    """
+
+    def run(batches):
+        for batch in (part for whole in batches for part in slices(whole)):
+            n, words = words_in(batch.column(1))
+            words = words.dictionary_encode()
+            slot = slots_of(words.dictionary)[words.indices.to_numpy(zero_copy_only=False)]
+            place = np.repeat(np.arange(batch.num_rows), n) * SLOTS + slot
+            counts = np.bincount(place[slot >= 0], minlength=batch.num_rows * SLOTS).astype(np.float64)
+            until = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * SLOTS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(until, pa.array(counts), mask=batch.column(1).is_null())], [key, "embedding"])
+
+    own = rows.select(key, lowered(text).alias("_low"))
+    return own.mapInArrow(run, f"{key} {own.schema[key].dataType.simpleString()}, embedding array<double>")
 
 
 CONTENT = "list_filter(" + TOKENS + ", lambda t: NOT list_contains([" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "], t))"
@@ -412,8 +439,9 @@ def ranked_articles(hits: DataFrame, details: DataFrame, queries: DataFrame, tex
     hits = stored(hits, "hits")
     n = hits.count()
     # only the hits' own texts and articles are read word by word
+    its = small(hits.select("article_id").distinct(), n)
+    texts, details = texts.join(its, "article_id", "left_semi"), details.join(its, "article_id", "left_semi")
     texts = texts.join(small(hits.select("chunk_id").distinct(), n), "chunk_id", "left_semi")
-    details = details.join(small(hits.select("article_id").distinct(), n), "article_id", "left_semi")
     best_first = Window.partitionBy("query_id", "article_id").orderBy(F.desc(F.round("score", 12)), "rank", "chunk_id")
     placed = hits.withColumn("n", F.row_number().over(best_first))
     said = placed.where("n <= 5").join(texts.select("chunk_id", F.array_distinct(tokens(F.col("text"))).alias("said")), "chunk_id")

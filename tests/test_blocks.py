@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import fold
+from lodestar.functions.text import fold, tokens
 from lodestar.operators import blocks, retrieval
 
 
@@ -93,3 +94,24 @@ def test_indexes_of_documents_are_not_shuffled_and_phrases_meet_without_their_wo
     assert "Exchange" not in inverted_abstracts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     phrases = retrieval.match_phrase(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in phrases and "shift" not in phrases
+
+
+def test_words_of_a_batch_are_the_tokens_of_each_of_its_texts(spark):
+    r = random.Random(3)
+    pool = "abXY09 _-.,\n\t'éÉßẞŁøİıǅЖ漢“–²½Ⅷ٣ﬁ𝒜😀́̈ ​Σ"
+    texts = [None, "", " ", "ß", "Éa", "́"] + ["".join(r.choice(pool) for _ in range(r.randrange(30))) for _ in range(600)]
+    for some in (texts, [x for x in texts if x is None or x.isascii()], [None]):
+        rows = spark.createDataFrame(list(enumerate(some)), "id int, text string")
+        both = rows.select(blocks.lowered("text").alias("low"), tokens(F.col("text")).alias("w")).toArrow().combine_chunks()
+        wanted = [w or [] for w in both["w"].to_pylist()]
+        for low, w in ((both["low"].combine_chunks(), wanted), (both["low"].combine_chunks().slice(5, 40), wanted[5:45])):
+            n, words = blocks.words_in(low)
+            assert n.tolist() == [len(x) for x in w] and words.to_pylist() == [x for row in w for x in row]
+
+
+def test_vectors_count_topical_words_by_the_first_digit_of_their_hash(spark):
+    rows = spark.createDataFrame([(1, "The cat and the Dög, cat"), (2, "of the and"), (3, ""), (4, None), (5, "漢 x1 und y")], "id long, text string")
+    wanted = {1: ["cat", "dog", "cat"], 2: [], 3: [], 5: ["漢", "x1"]}
+    slots = {i: [hashlib.md5(w.encode()).hexdigest()[0] for w in ws] for i, ws in wanted.items()}
+    got = {r.id: r.embedding for r in retrieval.stand_in_vectors(rows, "id", "text").collect()}
+    assert got == {i: [float(s.count(d)) for d in "0123456789abcdef"] for i, s in slots.items()} | {4: None}
