@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestar.operators.retrieval import small
 from lodestar.plans.registry import query
 from lodestar.sources.tables import stored, table
 
@@ -242,29 +243,30 @@ def pair_concordance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Rounds at most, and the change of a strength's logarithm that ends them.
 ROUNDS, TOLERANCE = 200, 1e-10
-#: Rounds between two tests of the change, each written to the shared folder.
+#: Rounds between two tests of the change; each round is written to the shared folder.
 STRIDE = 5
 
 
 def bradley_terry(games: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``id, ability, error``: Bradley-Terry strengths of ``games(left_id, right_id, winner_id)`` by minorisation-maximisation.
 
-    Games are summed to pairs once; each round is a join of the pairs with the strengths and a sum
-    by player. Half a win each way is added to every pair; strengths are scaled to a geometric mean of one. Rounds go on until no strength changes
+    Games are summed to pairs once and lie by player. In each round the strengths go to the pairs, if they are few enough to be sent to every task, and the sums
+    by player are made where they lie; so no pair is shuffled again. Half a win each way is added to every pair; strengths are scaled to a geometric mean of one. Rounds go on until no strength changes
     any more, ``rounds`` at most.
     """
     low, high = F.least("left_id", "right_id"), F.greatest("left_id", "right_id")
     pairs = games.groupBy(low.alias("i"), high.alias("j")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("winner_id") == low).alias("w"))
     both = pairs.select("i", "j", (F.col("n") + 1).alias("n"), (F.col("w") + 0.5).alias("w")).unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), (F.col("n") + 1).alias("n"), (F.col("n") - F.col("w") + 0.5).alias("w")))
-    both = stored(both, "pairs")
+    both = stored(both.repartition("i"), "pairs")
     wins = stored(both.groupBy("i").agg(F.sum("w").alias("wins"), F.sum("n").alias("games")), "wins")
+    players = wins.count()
     strength, done, change = wins.select("i", F.lit(1.0).alias("p")), 0, math.inf
     while done < rounds and change > TOLERANCE:
         new = strength
         for _ in range(min(STRIDE, rounds - done)):
             other = new.select(F.col("i").alias("j"), F.col("p").alias("q"))
-            base = both.join(new, "i").join(other, "j").groupBy("i").agg(F.sum(F.col("n") / (F.col("p") + F.col("q"))).alias("d"))
-            new = base.join(wins, "i").select("i", (F.col("wins") / F.col("d")).alias("p"))
+            base = both.join(small(new, players), "i").join(small(other, players), "j").groupBy("i").agg(F.sum(F.col("n") / (F.col("p") + F.col("q"))).alias("d"))
+            new = stored(base.join(wins, "i").select("i", (F.col("wins") / F.col("d")).alias("p")), "round")
             done += 1
         scale = new.agg(F.exp(F.avg(F.ln("p"))).alias("g"))
         new = stored(new.join(F.broadcast(scale)).select("i", (F.col("p") / F.col("g")).alias("p")), "strengths")

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import fold, tokens
-from lodestar.operators import blocks, retrieval
+from lodestar.operators import blocks, evaluation, planning, retrieval
 
 
 def corpus(spark, n: int = 900):
@@ -115,3 +115,37 @@ def test_vectors_count_topical_words_by_the_first_digit_of_their_hash(spark):
     slots = {i: [hashlib.md5(w.encode()).hexdigest()[0] for w in ws] for i, ws in wanted.items()}
     got = {r.id: r.embedding for r in retrieval.stand_in_vectors(rows, "id", "text").collect()}
     assert got == {i: [float(s.count(d)) for d in "0123456789abcdef"] for i, s in slots.items()} | {4: None}
+
+
+def test_articles_of_facets_are_counted_where_they_are(spark, monkeypatch):
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i % 150 if i % 10 else 7, " ".join(r.choice(words) for _ in range(r.randrange(4)))) for i in range(300)] + [(None, "w1 w2"), (900, None)]
+    facets = [(q, f, w) for q in range(6) for f in "ab" for w in {*(r.choice(words) for _ in range(3))}] + [(9, "z", "unheard")]
+    said, asked = spark.createDataFrame(rows, "article_id long, text string").repartition(3), spark.createDataFrame(facets, "query_id long, facet string, t string")
+    wanted = {(q, f): len({i for i, x in rows if i is not None and x and {*x.split()} & {t for a, b, t in facets if (a, b) == (q, f)}}) for q, f, _ in facets}
+    got = planning.articles_that_say(said, asked)
+    assert {(x.query_id, x.facet): x.articles for x in got.collect()} == wanted
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(planning, "ASKED_PAIRS", 0)
+    assert {(x.query_id, x.facet): x.articles for x in planning.articles_that_say(said, asked).collect()} == wanted
+
+
+def test_strengths_go_to_the_pairs_and_no_pair_is_shuffled_in_a_round(spark, monkeypatch):
+    plans, keep = [], evaluation.stored
+
+    def watched(df, label):
+        if label in ("round", "strengths"):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, label)
+
+    monkeypatch.setattr(evaluation, "stored", watched)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        games = spark.createDataFrame([(a, b, a if (a * b) % 3 else b) for a in range(12) for b in range(a)], "left_id long, right_id long, winner_id long")
+        got = {x.id: x.ability for x in evaluation.bradley_terry(games, 3).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # a round's pairs meet strengths that were sent to them
+    assert plans[0].count("BroadcastHashJoin") >= 2
+    assert len(got) == 12 and abs(sum(got.values())) < 1e-9
