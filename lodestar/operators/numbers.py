@@ -41,7 +41,8 @@ SPELLED = {name: unit for unit, (_, _, others) in UNITS.items() for name in (uni
 SIGNS = ("−–—μ  ", "---µ  ")
 NUMBER = r"[+-]?[0-9]+(?:[.,][0-9]+)*"
 UNIT = "|".join(sorted({*(u.replace("^", r"\^") for u in SPELLED), "mg L-1", "g L-1", "percentage points?", "degrees Celsius"}, key=lambda u: (-len(u), u)))
-QUANTITY = rf"(?i)(<=|>=|≤|≥|<|>|≈|~)?\s*({NUMBER})(?:\s*(±|\+/-|-|to|à)\s*({NUMBER}))?(?:\s*({UNIT}))?(?![\w])"
+#: The sign ahead that a quantity can begin with is looked for first, so that the other places of a text cost little.
+QUANTITY = rf"(?i)(?=[<>≤≥≈~\s+0-9-])(<=|>=|≤|≥|<|>|≈|~)?\s*({NUMBER})(?:\s*(±|\+/-|-|to|à)\s*({NUMBER}))?(?:\s*({UNIT}))?(?![\w])"
 #: Stands between the groups of a found quantity; none of them can hold it.
 CUT = "\x01"
 # Spellings of one comparison and of one mark between two numbers.
@@ -104,8 +105,9 @@ def quantities(text: Column) -> Column:
 
 
 def mentions(text: Column) -> Column:
-    """Every quantity of a text in order, as it is written."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), *SIGNS), F.lit(QUANTITY), F.lit(0))
+    """Every quantity of a text in order, as it is written; a text without a digit has none and is not searched."""
+    found = F.regexp_extract_all(F.translate(text, *SIGNS), F.lit(QUANTITY), F.lit(0))
+    return F.when(text.rlike("[0-9]"), found).otherwise(F.array().cast("array<string>"))
 
 
 def quantity_of(m: Column) -> Column:

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import fold, tokens
-from lodestar.operators import blocks, evaluation, planning, retrieval
+from lodestar.operators import blocks, evaluation, numbers, planning, retrieval
 
 
 def corpus(spark, n: int = 900):
@@ -149,3 +149,10 @@ def test_strengths_go_to_the_pairs_and_no_pair_is_shuffled_in_a_round(spark, mon
     # a round's pairs meet strengths that were sent to them
     assert plans[0].count("BroadcastHashJoin") >= 2
     assert len(got) == 12 and abs(sum(got.values())) < 1e-9
+
+
+def test_a_text_without_a_digit_is_not_searched_for_quantities(spark):
+    rows = spark.createDataFrame([(0, None), (1, ""), (2, "no < quantity - here"), (3, "of − 1,5 mg/L or 20\xa0% to 3")], "id int, text string")
+    got = {r.id: r.m for r in rows.select("id", numbers.mentions(F.col("text")).alias("m")).collect()}
+    assert got[0] == got[1] == got[2] == [] and [m.strip() for m in got[3]] == ["1,5 mg/L", "20 %", "3"]
+    assert "CASE WHEN" in rows.select(numbers.mentions(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
