@@ -238,6 +238,6 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     So candidates come from least hashes here, and whole shingle sets decide.
     """
     own, row = named(docs)
-    kept = near_copies(own.select(F.col(row).alias("doc_id"), "text")).where("doc_id = component_id").select(F.col("doc_id").alias(row)).distinct()
+    kept = stored(near_copies(own.select(F.col(row).alias("doc_id"), "text")).where("doc_id = component_id").select(F.col("doc_id").alias(row)).distinct(), "kept")
     stay = own.join(kept, row, "left_semi")
     return stay.where("doc_id IS NOT NULL").unionByName(stay.where("doc_id IS NULL").dropDuplicates([row])).select(*docs.columns)

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lodestar.llm import copies
+from lodestar.llm import components, copies
 from lodestar.llm.components import connected_components
 
 
@@ -76,3 +76,26 @@ def test_documents_of_one_template_do_not_meet_and_links_of_all_sizes_are_found(
     assert {i: least[root] for i, root in roots.items()} == wanted
     got = {x.doc_id: x.component_id for x in copies.near_copies(docs).collect()}
     assert got == wanted
+
+
+def test_stars_join_at_once_and_steps_cost_few_shuffles(spark, monkeypatch):
+    kept, plans = components.stored, []
+
+    def watched(df, label="stage"):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString().count("Exchange hash")))
+        return kept(df, label)
+
+    monkeypatch.setattr(components, "stored", watched)
+    edges = [(i, 5000) for i in range(900)] + [(5000, 6000), (6000, 6001), (7000, 7001), (7001, 7002)]
+    roots = {x.node: x.root for x in connected_components(spark.createDataFrame(edges, "a long, b long"), hub_rounds=2).collect()}
+    assert len({roots[i] for i in (*range(900), 5000, 6000, 6001)}) == 1 and len(set(roots.values())) == 2
+    assert len([x for x in plans if x[0] == "moves"]) <= 2
+    plans.clear()
+    monkeypatch.setattr(copies, "stored", watched)
+    r, rows = random.Random(7), []
+    for g in range(20):
+        hub = [f"h{g}x{r.randrange(10**6)}" for _ in range(60)]
+        rows += [(100 * g + i, " ".join(edited(hub, [r.randrange(60)] if i else [], r))) for i in range(r.randrange(1, 9))]
+    got = {x.doc_id: x.component_id for x in copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == groups(rows)
+    assert max(n for _, n in plans) <= 9
