@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestar.functions.text import fold, title_key
 from lodestar.operators.selection import first_by
@@ -127,50 +131,178 @@ def hash_guarded_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- titles that mean the same -------------------------------------------------------------------
 
-GRAM, ALIKE = 3, 0.96
+#: Letters of a gram, the share of grams that is looked at (one in so many, finer levels for keys that need them), and the likeness from which titles mean the same.
+GRAM, THIN, ALIKE = 12, (4, 2, 1), 0.96
+ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def most_lost(places: np.ndarray, edits: int, gram: int) -> int:
+    """How many of the grams at ``places``, in order, ``edits`` edits can destroy at most: one edit destroys those that begin within ``gram`` places."""
+    n = len(places)
+    if edits >= n:
+        return n
+    after = np.searchsorted(places, places + gram)
+    own, best = after - np.arange(n), np.zeros(n + 1, np.int64)
+    for _ in range(edits):
+        more = np.maximum.accumulate(np.append(own + best[after], 0)[::-1])[::-1]
+        if (more == best).all():
+            break
+        best = more
+    return int(best[0])
+
+
+def drawn_grams(key: str, edits: int, gram: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """``level, names, counts, first places, last places, most lost`` of a key's grams, from the coarsest level to the first at which ``edits`` edits leave a gram of it. A gram's name decides at which levels it is."""
+    letters = np.frombuffer(key.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    names = np.zeros(len(letters) - gram + 1, np.uint64)
+    for i in range(gram):
+        names = (names ^ letters[i : i + len(names)]) * ODD
+        names ^= names >> np.uint64(29)
+    found = []
+    for level, thin in enumerate(THIN):
+        places = np.flatnonzero(names <= np.uint64((2**64 - 1) // thin))
+        own, at, n = np.unique(names[places], return_inverse=True, return_counts=True)
+        low, high = np.full(len(own), len(names)), np.zeros(len(own), np.int64)
+        np.minimum.at(low, at, places)
+        np.maximum.at(high, at, places)
+        lost = most_lost(places, edits, gram)
+        found.append((level, own.view(np.int64), n, low, high, lost))
+        if lost < len(places):
+            break
+    return found
 
 
 def placed_grams(keys: DataFrame, least: float) -> DataFrame:
-    """``id, l, d, pos, g``: every gram of ``keys(id, key)`` and its place; ``l`` is a key's length, ``d`` the most edits to a partner ``least`` alike. Keys that have no such partner but themselves are left out."""
-    edits = F.floor((1 - least) / least * F.length("key") + 1e-9)
-    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length("key") - GRAM + 1, F.lit(1))), lambda i: F.substring("key", i, F.lit(GRAM)))
-    return keys.where(edits > 0).select("id", F.length("key").alias("l"), edits.alias("d"), F.posexplode(pieces).alias("pos", "g"))
+    """``id, l, level, g, n, low, high, lost``: grams of ``keys(id, key)``, how often and between which places each occurs; ``l`` is a key's length, ``lost`` how many of a level's grams the most edits to a partner ``least`` alike can destroy.
+
+    Keys that have no such partner but themselves are left out. Only one gram in some is looked at, those that a hash of the gram draws, so two keys draw
+    the same of what they have in common. A key has as many levels, each with the grams of the one before and more, as it takes until some gram is left whatever the edits are.
+    """
+    ratio = (1 - least) / least
+    gram = min(GRAM, int(0.5 / ratio + 1e-9)) if ratio else GRAM
+    if gram < 1:
+        raise ValueError("titles less alike than two thirds need not have a letter in common")
+    kind = keys.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part, out = batch.slice(at, 256), []
+                for i, key in enumerate(part.column(1).to_pylist()):
+                    out += [(np.full(len(g), i), np.full(len(g), len(key)), np.full(len(g), level), g, n, low, high, np.full(len(g), lost)) for level, g, n, low, high, lost in drawn_grams(key, int(ratio * len(key) + 1e-9), gram)]
+                if out:
+                    i, *columns = (np.concatenate(x) for x in zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), *(pa.array(x, pa.int64() if at == 2 else pa.int32()) for at, x in enumerate(columns))], ["id", "l", "level", "g", "n", "low", "high", "lost"])
+
+    return keys.where(F.floor(ratio * F.length("key") + 1e-9) > 0).select("id", "key").mapInArrow(run, f"id {kind}, l int, level int, g long, n int, low int, high int, lost int")
 
 
 def title_meetings(one: DataFrame, two: DataFrame, least: float) -> DataFrame:
-    """``a, b`` of two tables of :func:`placed_grams`, among them all pairs of different keys that are ``least`` alike.
+    """``a, b`` of two tables of :func:`placed_grams`, or of one with itself, among them all pairs of different keys that are ``least`` alike.
 
-    A distance of ``d`` destroys ``GRAM * d`` grams of a key at most and moves the others by ``d`` places at most. So of two such keys the first gram that is kept, in one
-    order of all grams, the rarest first, is among the first ``GRAM * d + 1`` of either, at about the same place, in keys of about the same
-    length. Grams meet by themselves, the class of length and the stretch of the key together, so that those that many keys share do not bring all of these together.
+    At the coarser of two keys' last levels some gram of one is kept in the other. The first that is, in one order of all grams, the rarest first, comes in either key before more
+    grams than its edits can destroy have passed, at about the same place, in keys of about the same length. Grams of one table only are lost in any pair. Classes of
+    length keep those apart that many keys share.
     """
-    common = one.select("g").unionByName(two.select("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    held = one.select("level", "g", F.lit(1).alias("side"))
+    held = held if two is one else held.unionByName(two.select("level", "g", F.lit(2).alias("side")))
+    common = held.groupBy("level", "g").agg(F.count(F.lit(1)).alias("df"), F.min("side").alias("low"), F.max("side").alias("high")).where("df > 1" if two is one else "low < high").select("level", "g", "df")
 
     def first(rows: DataFrame) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "g", "pos"))
-        return rows.join(common, "g").withColumn("n", rank).where(F.col("n") <= GRAM * F.col("d") + 1).where("df > 1").drop("n", "df")
+        passed = F.sum("n").over(Window.partitionBy("id", "level").orderBy(F.asc_nulls_first("df"), "g")) - F.col("n")
+        kept = rows.join(common.hint("merge"), ["level", "g"], "left").withColumn("passed", passed).where("passed <= lost AND df IS NOT NULL")
+        return stored(kept.select("id", "l", "level", "g", "low", "high"), "prefixes")
 
     step = -math.log(least) * 1.001  # a little more than partners' lengths can differ by, so that rounding moves none by two classes
     own_class = F.floor(F.log(F.col("l").cast("double")) / step)
-    width = F.ceil((1 - least) / least * F.exp((F.col("class") + 1) * step)) + 1
-    b = first(two).withColumn("class", own_class).withColumn("at", F.floor(F.col("pos") / width)).select(F.col("id").alias("b"), F.col("l").alias("lb"), F.col("pos").alias("pb"), "g", "class", "at")
-    a = first(one).withColumn("class", F.explode(F.sequence(own_class - 1, own_class + 1)))
-    a = a.withColumn("at", F.explode(F.sequence(F.floor(F.greatest(F.col("pos") - F.col("d"), F.lit(0)) / width), F.floor((F.col("pos") + F.col("d")) / width))))
-    met = a.withColumnsRenamed({"id": "a", "l": "la", "pos": "pa"}).join(b.hint("merge"), ["g", "class", "at"])
+    b = first(two)
+    a = (b if two is one else first(one)).select(F.col("id").alias("a"), F.col("l").alias("la"), "level", "g", F.col("low").alias("la0"), F.col("high").alias("la1"), F.explode(F.sequence(own_class - 1, own_class + 1)).alias("class"))
+    b = b.select(F.col("id").alias("b"), F.col("l").alias("lb"), "level", "g", F.col("low").alias("lb0"), F.col("high").alias("lb1"), own_class.alias("class"))
     edits = F.floor((1 - least) * F.greatest("la", "lb") + 1e-9)
-    return met.where((F.abs(F.col("la") - F.col("lb")) <= edits) & (F.abs(F.col("pa") - F.col("pb")) <= edits)).select("a", "b")
+    near = (F.abs(F.col("la") - F.col("lb")) <= edits) & (F.col("la0") <= F.col("lb1") + edits) & (F.col("lb0") <= F.col("la1") + edits)
+    return a.join(b.hint("merge"), ["level", "g", "class"]).where(near).select("a", "b")
+
 
+#: Letters up to which Spark's own distance serves, and from which it is sought along diagonals, whose work grows with the distance, not with the square of the length.
+SHORT, LONG = 64, 4000
 
-def likeness_of(a: str, b: str, least: float) -> Column:
-    """One less the edit distance of two keys over the longer length; null below ``least``, which is found out within the band of the distances that it allows."""
+
+def distance_by_bits(a: str, b: str) -> int:
+    """The edit distance, a column of the table at a time: whether a cell is one more or one less than its neighbour is a bit of a number as long as ``a``."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    every, last, apart = (1 << len(a)) - 1, 1 << len(a) >> 1, len(a)
+    more, less = every, 0
+    for x in b:
+        same = places.get(x, 0)
+        across = (((same & more) + more) ^ more) | same
+        up, down = less | (every & ~(across | more)), more & across
+        apart += bool(up & last) - bool(down & last)
+        up, down, same = up << 1 | 1, down << 1, same | less
+        more, less = (down | ~(same | up)) & every, up & same & every
+    return apart
+
+
+def distance_within(a: str, b: str, most: int) -> int:
+    """The edit distance of two ASCII texts if it is ``most`` or less, else -1.
+
+    Letters' counts that differ too much rule it out. For each number of edits the farthest place on each diagonal is kept that they reach; equal letters behind it are passed eight at a time.
+    """
+    n, m = len(a), len(b)
+    if abs(n - m) > most:
+        return -1
+    eights = [np.frombuffer(x.encode("ascii") + end * 8, np.uint8) for x, end in ((a, b"\xff"), (b, b"\xfe"))]
+    held, other = (np.bincount(x[:-8], minlength=128) for x in eights)
+    if np.abs(held - other).sum() > 2 * most:  # an edit changes two letters' counts by one at most
+        return -1
+    a8, b8 = (np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(x, 8)).view(np.uint64).ravel() for x in eights)
+    one = np.uint64(1)
+
+    def slid(x: np.ndarray, k: np.ndarray) -> np.ndarray:
+        live = np.arange(len(x))
+        while len(live):
+            differ = a8[x[live]] ^ b8[x[live] + k[live]]
+            same = differ == 0
+            x[live] += np.where(same, 8, np.bitwise_count((differ & (~differ + one)) - one) >> 3)
+            live = live[same]
+        return x
+
+    far = np.full(2 * most + 3, -2)  # diagonal k at place k + most + 1
+    for edits in range(most + 1):
+        low, high = max(-edits, m - n - (most - edits)), min(edits, m - n + most - edits)
+        k = np.arange(low, high + 1)
+        at = k + most + 1
+        if edits:
+            x = np.maximum(np.maximum(far[at] + 1, far[at - 1]), far[at + 1] + 1)
+            x = np.minimum(x, np.minimum(n, m - k))
+        else:
+            x = np.zeros(len(k), np.int64)
+        new = np.full(len(far), -2)
+        new[at] = slid(x, k)
+        far = new
+        if far[m - n + most + 1] >= n:
+            return edits
+    return -1
+
+
+@F.pandas_udf(T.IntegerType())
+def distances_within(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else distance_within(x, y, m) for x, y, m in zip(a, b, most, strict=True)], dtype="Int32")
+
+
+def apart_within(a: str, b: str, least: float) -> Column:
+    """The edit distance of two keys if it allows a likeness of ``least``, else -1."""
     longer = F.greatest(F.length(a), F.length(b))
-    apart = F.call_function("levenshtein", F.col(a), F.col(b), F.floor((1 - least) * longer + 1e-9).cast("int"))
-    return F.when(apart >= 0, 1 - apart / longer)
+    most = F.floor((1 - least) * longer + 1e-9).cast("int")
+    long = (longer >= SHORT) & (F.octet_length(a) == F.length(a)) & (F.octet_length(b) == F.length(b))
+    # not worked out again wherever the distance is named
+    asked = distances_within.asNondeterministic()(F.when(long, F.col(a)), F.when(long, F.col(b)), most)
+    return F.coalesce(asked, F.when(~long, F.call_function("levenshtein", F.col(a), F.col(b), most)))
 
 
 def title_pairs(keys: DataFrame, least: float = ALIKE) -> DataFrame:
     """``a, b, likeness``: all pairs of distinct ``keys(id, key)`` with a likeness of ``least`` or more, ``a < b``; the likeness is one less the edit distance over the longer length."""
-    keys = stored(keys, "keys")
     placed = stored(placed_grams(keys, least), "grams")
     return judged_titles(title_meetings(placed, placed, least).where("a < b").distinct(), keys, keys, least)
 
@@ -179,7 +311,8 @@ def judged_titles(met: DataFrame, left: DataFrame, right: DataFrame, least: floa
     """``a, b, likeness`` of the pairs ``met(a, b)`` of different keys that are ``least`` alike. Keys are as long as whole texts: they come to the pairs, not to the grams."""
     side = lambda keys, i, k: keys.select(F.col("id").alias(i), F.col("key").alias(k)).hint("merge")
     both = met.join(side(left, "a", "ka"), "a").join(side(right, "b", "kb"), "b").where("ka <> kb")
-    return both.select("a", "b", likeness_of("ka", "kb", least).alias("likeness")).where("likeness IS NOT NULL")
+    found = both.withColumn("apart", apart_within("ka", "kb", least)).where("apart >= 0")
+    return found.select("a", "b", (1 - F.col("apart") / F.greatest(F.length("ka"), F.length("kb"))).alias("likeness"))
 
 
 def title_candidates(rows: DataFrame, least: float = ALIKE) -> DataFrame:
@@ -191,6 +324,7 @@ def title_candidates(rows: DataFrame, least: float = ALIKE) -> DataFrame:
     own = rows.where("title IS NOT NULL").withColumn("key", title_key(F.col("title"))).groupBy("key").agg(
         F.min("article_id").alias("id"), F.collect_set("year").alias("years"), F.max(F.col("year").isNull()).alias("undated"), F.array_distinct(F.flatten(F.collect_set("authors"))).alias("authors"),
     )
+    own = stored(own, "titles")
     side = lambda k: own.select(F.col("id").alias(k), F.col("years").alias(f"y{k}"), F.col("undated").alias(f"u{k}"), F.col("authors").alias(f"n{k}"))
     met = title_pairs(own.select("id", "key"), least).join(side("a"), "a").join(side("b"), "b")
     near = F.col("ua") | F.col("ub") | F.exists("ya", lambda x: F.exists("yb", lambda y: F.abs(x - y) <= 1))
