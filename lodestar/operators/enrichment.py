@@ -61,9 +61,17 @@ def enriched(targets: DataFrame, tiers: list[tuple[str, str, DataFrame]], least:
             single = own.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").select("_key")
             met = left.join(own.join(single, "_key"), F.col("key") == F.col("_key")).where(fits).withColumns({"ok": F.lit(True), "confidence": F.lit(SURE[kind])})
         elif kind == "title":
-            keys = lambda df, i, k: df.where(F.col(k).isNotNull()).select(F.xxhash64(k).alias("id"), F.col(k).alias("key")).distinct()
-            alike = like_titles(keys(left, "id", "key"), keys(own, "record_id", "_key"), least)
-            met = left.withColumn("a", F.xxhash64("key")).join(alike.hint("merge"), "a").join(own.withColumn("b", F.xxhash64("_key")).hint("merge"), "b").withColumn("ok", fits).withColumnRenamed("likeness", "confidence").drop("a", "b")
+            keys = lambda df, k: df.where(F.col(k).isNotNull()).select(F.xxhash64(k).alias("id"), F.col(k).alias("key")).distinct()
+            alike = like_titles(keys(left, "key"), keys(own, "_key"), least)
+            people = lambda c: F.array_sort(F.array_distinct(c))
+            # rows of one title, year and authors are matched alike: each such group asks once, and its least record answers
+            asking = left.where("key IS NOT NULL").select(F.xxhash64("key").alias("a"), F.col("year"), people("authors").alias("authors")).distinct()
+            payload = ["record_id", *(f"_{c}" for c in FILLED)]
+            answers = own.where("_key IS NOT NULL").groupBy(F.xxhash64("_key").alias("b"), "_year", people("_authors").alias("_people")).agg(F.min(F.struct(*payload)).alias("r")).select("b", "r.*")
+            met = asking.join(alike.hint("merge"), "a").join(answers.hint("merge"), "b").withColumn("ok", fits)
+            best = met.groupBy("a", "year", "authors").agg(F.min(F.struct((~F.col("ok")).alias("no"), (-F.round("likeness", 9)).alias("far"), *payload, F.col("likeness").alias("confidence"))).alias("x"))
+            best = best.select("a", F.col("year").alias("y"), F.col("authors").alias("p"), (~F.col("x.no")).alias("ok"), *(F.col(f"x.{c}").alias(c) for c in [*payload, "confidence"]))
+            met = left.withColumn("a", F.xxhash64("key")).join(best.hint("merge"), "a").where(F.col("year").eqNullSafe(F.col("y")) & people("authors").eqNullSafe(F.col("p")))
         else:
             raise ValueError(f"unknown kind of tier {kind}")
         best = stored(first_by(met, ["id"], [F.desc("ok"), F.desc(F.round("confidence", 9)), "record_id"]), "tier")

@@ -1,10 +1,10 @@
-"""Alike titles: few grams, few meetings, distances within bounds."""
+"""Alike titles: few grams, few meetings, distances within bounds, copies that ask and answer once."""
 
 from __future__ import annotations
 
 import random
 
-from lodestar.operators import entities
+from lodestar.operators import enrichment, entities
 
 
 def distance(a: str, b: str) -> int:
@@ -54,3 +54,20 @@ def test_titles_of_one_vocabulary_hardly_meet_and_periodic_ones_are_found(spark)
     met = {(x.a, x.b) for x in entities.title_meetings(placed, placed, entities.ALIKE).where("a < b").distinct().collect()}
     assert like <= met and len(met) < len(like) + 60
     assert {(x.a, x.b) for x in entities.title_pairs(rows).collect()} == like and len(like) > 20
+
+def test_copies_of_a_title_ask_and_answer_once(spark, monkeypatch):
+    kept, rows = enrichment.first_by, []
+
+    def watched(df, keys, order):
+        rows.append(df.count())
+        return kept(df, keys, order)
+
+    monkeypatch.setattr(enrichment, "first_by", watched)
+    kind = "id long, doi string, provider_id string, title string, year int, journal string, authors array<string>"
+    title = "a rather long title about the ageing of something in bottles"
+    targets = spark.createDataFrame([(i, None, None, title, 2000 + i % 2, None, None if i % 3 == 0 else ["b", "a"]) for i in range(60)], kind)
+    records = spark.createDataFrame([(100 + i, f"10.1/{i}", None, title + "s" * (i % 2), 2001 + i % 3, "J", ["a", "c"]) for i in range(60)], kind.replace("id", "record_id", 1))
+    got = enrichment.enriched(targets, [("t", "title", records)]).collect()
+    assert max(rows) <= 60  # 3600 before
+    assert {(x.id % 2, x.method, x.record_id, round(x.confidence, 6)) for x in got} == {(0, "t", 100, 1.0), (1, "t", 100, 1.0)}
+    assert {x.id for x in got} == set(range(60))
