@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.components import connected_components
-from lodestar.llm.copies import near_copies
+from lodestar.llm.copies import first_copies, mark
 from lodestar.llm.rows import named
 from lodestar.sources.tables import stored, table
 
@@ -229,15 +229,18 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that have the least id of their group of near copies; rows that share that id are one document and stay together.
+    """One document of each group of near copies: the row with the least id, and of rows that share it the one whose text has the least mark.
 
-    Rows without an id come after all others in a group; of those with one text, one stays at most.
+    An id is no proof of a text: rows with one id and different texts are judged each by its text, and of rows that are alike in id and text one stays. Rows without an
+    id come after all others in a group.
 
     Sets of five-word shingles at a Jaccard similarity of 0.8 differ in about ten bits of 64: three
     bits, op8's contract, miss most of them, and a radius that holds them prunes nothing in a tree.
     So candidates come from least hashes here, and whole shingle sets decide.
     """
     own, row = named(docs)
-    kept = stored(near_copies(own.select(F.col(row).alias("doc_id"), "text")).where("doc_id = component_id").select(F.col("doc_id").alias(row)).distinct(), "kept")
-    stay = own.join(kept, row, "left_semi")
-    return stay.where("doc_id IS NOT NULL").unionByName(stay.where("doc_id IS NULL").dropDuplicates([row])).select(*docs.columns)
+    name = f"{row}_mark"
+    while name in docs.columns:
+        name += "_"
+    kept = stored(first_copies(own.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), F.col("mark").alias(name)), "kept")
+    return own.withColumn(name, mark(F.col("text"))).join(kept, [row, name], "left_semi").dropDuplicates([row, name]).select(*docs.columns)

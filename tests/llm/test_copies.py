@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lodestar.llm import components, copies
+from lodestar.llm import components, copies, simhash
 from lodestar.llm.components import connected_components
 
 
@@ -99,3 +99,15 @@ def test_stars_join_at_once_and_steps_cost_few_shuffles(spark, monkeypatch):
     got = {x.doc_id: x.component_id for x in copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == groups(rows)
     assert max(n for _, n in plans) <= 9
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    r = random.Random(9)
+    text = [" ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(5)]
+    near = " ".join([*text[0].split()[:-1], "changed"])
+    # 2 has a copy of 1's text and a text of its own; 3 and 4 repeat; 5 has two near copies of its own
+    rows = [(1, text[0]), (2, near), (2, text[1]), (3, text[2]), (3, text[2]), (4, None), (4, ""), (5, text[3]), (5, text[3] + " more"), (6, text[1]), (6, text[4]), (None, text[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(simhash.simhash_stage(spark, docs, "").collect(), key=str)
+    assert sorted(x.doc_id for x in got) == [1, 2, 3, 4, 5, 6]
+    assert {(x.doc_id, x.text) for x in got if x.doc_id not in (4, 5)} == {(1, text[0]), (2, text[1]), (3, text[2]), (6, text[4])}
