@@ -149,8 +149,8 @@ WHOLE, VALUE, TURNED, BASE = "w", "v", "t", "b"
 
 
 def facts(kinds: dict[str, Column]) -> Column:
-    """``kind, key`` of all keys of each kind, an array of structs. A key begins with the kind that it meets."""
-    of = lambda kind, keys: F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), F.concat(F.lit(VALUE if kind == TURNED else kind), k).alias("key")))
+    """``kind, key`` of all keys of each kind, an array of structs. A key is a hash, of the kind that it meets as well: it is compared within one claim only, and far more of them are shuffled than are written."""
+    of = lambda kind, keys: F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), F.xxhash64(F.lit(VALUE if kind == TURNED else kind), k).alias("key")))
     return F.concat(*(of(kind, keys) for kind, keys in kinds.items()))
 
 
@@ -158,36 +158,41 @@ def facts(kinds: dict[str, Column]) -> Column:
 ISSUES = ["none", "operator_or_range", "unsupported_conversion", "unit_mismatch", "sign_mismatch", "value_missing"]
 
 
-def assessed(claims: DataFrame, evidence: DataFrame, convert: bool = False) -> DataFrame:
+def assessed(claims: DataFrame, evidence: DataFrame, convert: bool = False, why: bool = True) -> DataFrame:
     """``claim_id, at, quantity, issue, sources`` of each distinct quantity of ``claims(claim_id, text)`` against ``evidence(claim_id, evidence_id, text)``.
 
     ``sources`` are the pieces of evidence that state the quantity: operator, numbers, mark and unit agree in one reading. Units are not
     converted unless ``convert`` says so; without it, the same dimension in another unit is ``unsupported_conversion``. Quantities meet by
-    what they mean, in joins on it, never all with all.
+    what they mean, in joins on it, never all with all. Unless ``why`` is asked, what is stated by no evidence is ``value_missing``, and only whole meanings are sought.
+
+    Texts are kept with what they mention, a row each, and only keys are shuffled: once on either side, in numbers of fixed size.
     """
     turned = lambda v: F.when(v.startswith("-"), F.substring(v, 2, 1 << 20)).otherwise(F.concat(F.lit("-"), v))
     meant = lambda q, convert: F.array_distinct(keys_of(q, convert))
     q, kind_of = F.col("q"), lambda c: lookup(of_unit(0), F.col(c))
-    told = stored(claims.select("claim_id", F.explode(F.array_distinct(mentions(F.col("text")))).alias("m")).distinct(), "told")
-    have = stored(evidence.select("claim_id", "evidence_id", F.explode(F.array_distinct(mentions(F.col("text")))).alias("m")).distinct(), "have")
+    told = stored(claims.select("claim_id", F.array_distinct(mentions(F.col("text"))).alias("ms")).where("size(ms) > 0"), "told")
+    have = stored(evidence.select("claim_id", "evidence_id", F.array_distinct(mentions(F.col("text"))).alias("ms")).where("size(ms) > 0"), "have")
     # a way of writing is read once, however often it occurs
-    read = told.select("m").unionByName(have.select("m")).distinct().withColumn("q", quantity_of(F.col("m")))
-    kinds = {WHOLE: meant(q, convert), VALUE: q["value"], BASE: meant(q, True)}
-    read = read.select("m", F.to_json("q").alias("quantity"), q["unit"].alias("unit"), facts(kinds).alias("have"), facts(kinds | {TURNED: F.transform(q["value"], turned)}).alias("told"))
+    read = told.select(F.explode("ms").alias("m")).unionByName(have.select(F.explode("ms").alias("m"))).distinct().withColumn("q", quantity_of(F.col("m")))
+    kinds = {WHOLE: meant(q, convert)}
+    if why:
+        kinds |= {VALUE: q["value"]} | ({} if convert else {BASE: meant(q, True)})  # converted meanings are whole ones already
+    asked = kinds | ({TURNED: F.transform(q["value"], turned)} if why else {})
+    read = read.select("m", F.to_json("q").alias("quantity"), q["unit"].alias("unit"), facts(kinds).alias("have"), facts(asked).alias("told")).withColumn("at", F.xxhash64("quantity"))
     read = stored(read, "read")
     small = F.broadcast if read.count() <= BROADCAST_MENTIONS else merged
-    told = told.join(small(read.select("m", "quantity", "unit", F.col("told").alias("f"))), "m").select("claim_id", "quantity", "unit", "f").dropDuplicates(["claim_id", "quantity"])
-    own = told.select("claim_id", "quantity", "unit", F.explode("f").alias("f")).select("claim_id", "quantity", "unit", "f.kind", "f.key")
-    have = have.join(small(read.select("m", "unit", F.col("have").alias("f"))), "m").select("claim_id", "evidence_id", "unit", F.explode("f").alias("f"))
+    told = told.select("claim_id", F.explode("ms").alias("m")).join(small(read.select("m", "at", "quantity", "unit", F.col("told").alias("f"))), "m")
+    own = told.select("claim_id", "at", "unit", F.explode("f").alias("f")).select("claim_id", "at", "unit", "f.kind", "f.key")
+    have = have.select("claim_id", "evidence_id", F.explode("ms").alias("m")).join(small(read.select("m", "unit", F.col("have").alias("f"))), "m").select("claim_id", "evidence_id", "unit", F.explode("f").alias("f"))
     only = lambda kind, c: F.when(F.col("f.kind") == kind, F.col(c))
-    its = have.select("claim_id", "f.key", only(WHOLE, "evidence_id").alias("evidence_id"), only(VALUE, "unit").alias("u")).distinct()
+    its = have.select("claim_id", "f.key", only(WHOLE, "evidence_id").alias("evidence_id"), only(VALUE, "unit").alias("u"))
     met = own.join(merged(its), ["claim_id", "key"])
     if_ = lambda kind, x: F.max(F.when(F.col("kind") == kind, x))
-    found = met.groupBy("claim_id", "quantity").agg(
+    found = met.groupBy("claim_id", "at").agg(
         F.array_sort(F.collect_set(F.when(F.col("kind") == WHOLE, F.col("evidence_id")))).alias("sources"), if_(VALUE, F.col("unit") == F.col("u")).alias("same_unit"), if_(VALUE, kind_of("unit") == kind_of("u")).alias("same_kind"),
         if_(TURNED, F.lit(True)).alias("turned"), if_(BASE, F.lit(True)).alias("converts"), if_(WHOLE, F.lit(True)).alias("stated"),
     )
-    joined = told.select("claim_id", F.xxhash64("quantity").alias("at"), "quantity").join(merged(found), ["claim_id", "quantity"], "left")
+    joined = told.select("claim_id", "at", "quantity").dropDuplicates(["claim_id", "at"]).join(merged(found), ["claim_id", "at"], "left")
     issue = F.when(F.col("stated"), "none").when(F.col("converts") | (F.col("same_kind") & ~F.col("same_unit")), "unsupported_conversion").when(F.col("same_unit"), "operator_or_range")
     issue = issue.when(F.col("same_kind").isNotNull(), "unit_mismatch").when(F.col("turned"), "sign_mismatch").otherwise("value_missing")
     return joined.select("claim_id", "at", "quantity", issue.alias("issue"), F.coalesce("sources", F.array().cast(evidence.select(F.array("evidence_id")).schema[0].dataType)).alias("sources"))
@@ -195,7 +200,7 @@ def assessed(claims: DataFrame, evidence: DataFrame, convert: bool = False) -> D
 
 def verdicts(claims: DataFrame, evidence: DataFrame, convert: bool = False) -> DataFrame:
     """``claim_id, quantities, verdict``: unsupported if a quantity is stated by no evidence, ambiguous if no one piece states all, else supported; not numeric without quantities."""
-    found = assessed(claims, evidence, convert).select("claim_id", "issue", F.posexplode_outer("sources").alias("place", "s"))
+    found = assessed(claims, evidence, convert, why=False).select("claim_id", "issue", F.posexplode_outer("sources").alias("place", "s"))
     # each quantity has one row at place zero, or without a place if it has no source
     first = F.coalesce("place", F.lit(0)) == 0
     by_source = found.groupBy("claim_id", "s").agg(F.count("place").alias("k"), F.count_if(first).alias("n"), F.count_if(first & (F.col("issue") != "none")).alias("missing"))

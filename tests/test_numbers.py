@@ -54,3 +54,16 @@ def test_quantities_are_read_once_and_nothing_large_is_broadcast(spark):
     assert "[+-]?[0-9]+" not in plan  # texts are taken apart before, into stored rows
     joins = [x for x in plan.splitlines() if "Join" in x and "claim_id" in x]
     assert len(joins) == 2 and all("strategy=merge" in x for x in joins)
+
+
+def test_only_numbers_are_shuffled_once_on_each_side(spark):
+    claims = spark.createDataFrame([(1, "5 mg and 7 %"), (1, "5 mg or 7 percent")], "claim_id long, text string")
+    evidence = spark.createDataFrame([(1, "a", "7 % of 5 mg"), (1, "b", "7,0 percent")], "claim_id long, evidence_id string, text string")
+    plan = numbers.assessed(claims, evidence).groupBy("issue").count()._jdf.queryExecution().optimizedPlan().toString()
+    # claims' quantities, what was found, and the count; evidence is not made distinct before it meets, nor its ids read for nothing
+    assert plan.count("Aggregate [") == 3 and "evidence_id" not in plan.replace("[claim_id#", "").split("Relation")[0]
+    [facts] = spark.range(1).select(numbers.facts({numbers.WHOLE: F.array(F.lit("5 mg"))}).alias("x")).collect()
+    assert isinstance(facts.x[0].key, int)
+    got = {(r.claim_id, r.issue, tuple(r.sources)) for r in numbers.assessed(claims, evidence).collect()}
+    assert got == {(1, "none", ("a",)), (1, "none", ("a", "b"))}
+    assert [(r.quantities, r.verdict) for r in numbers.verdicts(claims, evidence).collect()] == [(2, "supported")]
